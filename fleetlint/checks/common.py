@@ -19,9 +19,11 @@ def facts_frame(df: DataFrame, keys: list[str], object_name: Column, severity: C
 
 def current_statements(cat) -> DataFrame:
     """Statement counters of the newest snapshot of each instance."""
-    st = cat["stat_statements"]
-    latest = st.groupBy(*cat.keys).agg(F.max("snapshot_no").alias("snapshot_no"))
-    return st.join(latest, cat.keys + ["snapshot_no"], "left_semi")
+    def build() -> DataFrame:
+        st = cat["stat_statements"]
+        latest = st.groupBy(*cat.keys).agg(F.max("snapshot_no").alias("snapshot_no"))
+        return st.join(latest, cat.keys + ["snapshot_no"], "left_semi")
+    return cat.memo(("current_statements",), build)
 
 
 def per_instance_count(cat, df: DataFrame, out: str) -> DataFrame:

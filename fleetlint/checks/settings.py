@@ -40,11 +40,13 @@ def rule_table(spark) -> DataFrame:
 def setting_evaluations(cat) -> DataFrame:
     """(keys, check_name, name, value, op, target, fail_severity, violated) per
     instance setting that has a rule."""
-    rules = F.broadcast(rule_table(cat.spark))
-    s = cat["settings"].select(*cat.keys, "name", F.col("setting").alias("value"))
-    j = s.join(rules, "name")
-    return j.withColumn("violated", F.coalesce(
-        setting_rule_eval(F.col("value"), F.col("op"), F.col("target")), F.lit(False)))
+    def build() -> DataFrame:
+        rules = F.broadcast(rule_table(cat.spark))
+        s = cat["settings"].select(*cat.keys, "name", F.col("setting").alias("value"))
+        j = s.join(rules, "name")
+        return j.withColumn("violated", F.coalesce(
+            setting_rule_eval(F.col("value"), F.col("op"), F.col("target")), F.lit(False)))
+    return cat.memo(("setting_evaluations",), build)
 
 
 def violations(cat, check: str) -> DataFrame:

@@ -41,7 +41,8 @@ EXAMPLES = 10
 
 def classify_statements(cat):
     """Newest statement counters per instance with their pattern classes."""
-    return current_statements(cat).withColumn("classes", regex_classes("query", STATEMENT_PATTERNS))
+    return cat.memo(("classified_statements",), lambda: current_statements(cat).withColumn(
+        "classes", regex_classes("query", STATEMENT_PATTERNS)))
 
 
 def _of(cat, cls: str):

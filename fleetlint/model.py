@@ -51,8 +51,11 @@ def _meta_value(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("string")
 
 
-def to_findings(spec, facts: DataFrame, keys: list[str]) -> DataFrame:
-    """Render a facts frame of one check into the uniform findings shape."""
+def to_findings(spec, facts: DataFrame, keys: list[str], remediation_when: Column | None = None) -> DataFrame:
+    """Render a facts frame of one check into the uniform findings shape.
+
+    ``remediation_when`` (a condition over the facts columns) keeps the
+    remediation text only on findings that carry one."""
     fact_cols = [c for c in facts.columns if c not in set(keys) | {"object_name", "severity"}]
     pairs = []
     for c in fact_cols:
@@ -61,8 +64,10 @@ def to_findings(spec, facts: DataFrame, keys: list[str]) -> DataFrame:
     title = spec.title() if spec.title else F.lit(spec.description)
     detail = spec.detail() if spec.detail else F.lit(spec.description)
     remediation = spec.remediation() if spec.remediation else F.lit(None).cast("string")
+    if remediation_when is not None:
+        remediation = F.when(remediation_when, remediation)
     return facts.select(
-        *[F.col(k).cast("bigint").alias(k) for k in keys],
+        *[F.col(k).cast("bigint").alias(k) if k == "instance_id" else F.col(k) for k in keys],
         F.lit(spec.name).alias("check_name"),
         F.lit(spec.category).alias("category"),
         F.col("severity"),

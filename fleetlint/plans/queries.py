@@ -1,7 +1,110 @@
-"""Named queries of the non-check operators (relational core, dump facts,
-activity, reports) and their oracle SQL."""
+"""Named queries of the non-check operators (report rollups, relational
+core, schema-dump facts, activity) and their oracle SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..checks.registry import select_checks
+from ..oracles.checks_sql import SQL as CHECK_SQL
+from ..sources.catalog import Catalog
+from . import report
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+# queries whose result has no instance_id column (fleet-wide rollups)
+NO_INSTANCE_COLUMN: set[str] = {"fleet_verdicts"}
+
+
+def query(name: str, oracle: str | None = None):
+    def deco(fn):
+        QUERIES[name] = fn
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return fn
+    return deco
+
+
+# -- report rollups over all 57 checks --------------------------------
+def _all_findings_sql() -> str:
+    parts = []
+    for i, s in enumerate(select_checks()):
+        parts.append(f"select cast(instance_id as bigint) as instance_id, '{s.name}' as check_name, "
+                     f"'{s.category}' as category, severity, object_name, "
+                     f"({report.remediation_rule(s.name)}) as has_rem from ({CHECK_SQL[s.name]}) q{i}")
+    return "af as (\n" + "\nunion all\n".join(parts) + ")"
+
+
+_RANK = "case severity when 'CRITICAL' then 0 when 'WARNING' then 1 when 'CONSIDER' then 2 else 3 end"
+_COUNTS = """sc as (select cast(i.instance_id as bigint) as instance_id,
+  count(af.severity) filter (where af.severity = 'CRITICAL') as critical,
+  count(af.severity) filter (where af.severity = 'WARNING') as warning,
+  count(af.severity) filter (where af.severity = 'CONSIDER') as consider,
+  count(af.severity) filter (where af.severity = 'INFO') as info
+  from instances i left join af on af.instance_id = i.instance_id group by i.instance_id)"""
+_VERDICT = ("case when critical = 0 and warning = 0 then 'READY' when critical = 0 then 'CONDITIONALLY READY' "
+            "else 'NOT READY' end")
+
+
+def _findings(spark, sf_dir):
+    cat = Catalog.from_fixtures(spark, sf_dir)
+    return cat, report.run_findings(cat)
+
+
+def _register_reports() -> None:
+    af = _all_findings_sql()
+
+    @query("severity_counts", f"with {af},\n{_COUNTS}\nselect * from sc")
+    def severity_counts(spark, sf_dir):
+        """Findings per severity per instance over all checks."""
+        cat, f = _findings(spark, sf_dir)
+        return report.severity_counts(cat, f)
+
+    @query("verdict", f"with {af},\n{_COUNTS}\nselect *, {_VERDICT} as verdict from sc")
+    def verdict(spark, sf_dir):
+        """Readiness verdict per instance from its severity counts."""
+        cat, f = _findings(spark, sf_dir)
+        return report.verdict(report.severity_counts(cat, f))
+
+    @query("fleet_verdicts", f"""with {af},\n{_COUNTS},
+v(verdict) as (values ('READY'), ('CONDITIONALLY READY'), ('NOT READY')),
+c as (select {_VERDICT} as verdict, count(*) as n from sc group by 1)
+select v.verdict, coalesce(c.n, 0) as instances from v left join c on c.verdict = v.verdict""")
+    def fleet_verdicts(spark, sf_dir):
+        """Number of instances per verdict."""
+        cat, f = _findings(spark, sf_dir)
+        return report.fleet_verdicts(report.verdict(report.severity_counts(cat, f)))
+
+    checks_values = ", ".join(f"('{s.name}', '{s.category}')" for s in select_checks())
+
+    @query("check_status", f"""with {af},
+ck(check_name, category) as (values {checks_values}),
+cnt as (select instance_id, check_name, count(*) as n from af group by instance_id, check_name)
+select cast(i.instance_id as bigint) as instance_id, ck.check_name, ck.category,
+       case when coalesce(cnt.n, 0) > 0 then 'failed' else 'passed' end as status,
+       coalesce(cnt.n, 0) as finding_count, cast(null as varchar) as skip_reason
+from instances i cross join ck
+left join cnt on cnt.instance_id = i.instance_id and cnt.check_name = ck.check_name""")
+    def check_status(spark, sf_dir):
+        """Per instance and check: passed, failed (has findings) or skipped (missing input)."""
+        cat, f = _findings(spark, sf_dir)
+        return report.check_status(cat, f)
+
+    @query("findings_grouped", f"""with {af}
+select instance_id, {_RANK} as severity_rank, severity, category, count(*) as finding_count
+from af group by all""")
+    def findings_grouped(spark, sf_dir):
+        """Findings counted by severity and category per instance."""
+        cat, f = _findings(spark, sf_dir)
+        return report.findings_grouped(cat, f)
+
+    @query("todo_list", f"""with {af}
+select instance_id, severity, {_RANK} as severity_rank, check_name, category, object_name
+from af where severity in ('CRITICAL', 'WARNING') and has_rem""")
+    def todo_list(spark, sf_dir):
+        """CRITICAL and WARNING findings that carry a remediation (text column left out for the oracle)."""
+        cat, f = _findings(spark, sf_dir)
+        return report.todo_list(f).drop("remediation")
+
+
+_register_reports()

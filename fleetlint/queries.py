@@ -41,4 +41,5 @@ def all_oracles() -> dict[str, str]:
     texts.update(checks_sql.SQL)
     from .plans import queries as plan_queries
     texts.update(plan_queries.ORACLES)
-    return {k: build(v, bigint_instance=("instance_id" in v)) for k, v in texts.items()}
+    flat = plan_queries.NO_INSTANCE_COLUMN
+    return {k: build(v, bigint_instance=(k not in flat and "instance_id" in v)) for k, v in texts.items()}

@@ -17,6 +17,7 @@ three tables; column pruning and pushed filters reach the parquet scan.
 from __future__ import annotations
 
 import re
+import threading
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +54,8 @@ class Catalog:
         self.spark = spark
         self._loaders = dict(loaders)
         self._cache: dict[str, DataFrame] = {}
+        self._memo: dict[tuple, DataFrame] = {}
+        self._lock = threading.RLock()
         self.keys = list(keys)
         self.excluded_namespaces = list(excluded_namespaces)
 
@@ -61,39 +64,73 @@ class Catalog:
         return name in self._loaders
 
     def table(self, name: str) -> DataFrame:
-        if name not in self._cache:
-            if name not in self._loaders:
-                raise KeyError(f"catalog table {name!r} is not available")
-            self._cache[name] = self._loaders[name]()
-        return self._cache[name]
+        with self._lock:
+            if name not in self._cache:
+                if name not in self._loaders:
+                    raise KeyError(f"catalog table {name!r} is not available")
+                self._cache[name] = self._loaders[name]()
+            return self._cache[name]
+
+    def memo(self, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+        """Build a shared projection once per catalog (plans are immutable)."""
+        with self._lock:
+            if key not in self._memo:
+                self._memo[key] = build()
+            return self._memo[key]
 
     __getitem__ = table
 
     def available(self) -> list[str]:
         return sorted(self._loaders)
 
+    def materialize(self, names: Iterable[str] | None = None) -> "Catalog":
+        """Cut the lineage of the given tables with a reliable checkpoint.
+
+        The data is written once to ``spark.checkpoint.dir`` (a shared folder
+        on a cluster), so many checks reading the same table build on a small
+        leaf plan and a lost executor never forces re-deriving the table.
+        """
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(self.spark)
+        for n in (names if names is not None else self.available()):
+            if n in self._loaders:
+                self._cache[n] = self.table(n).checkpoint(eager=True)
+        return self
+
     def without(self, *names: str) -> "Catalog":
         """A copy of this catalog with some inputs missing (for skip handling)."""
         return Catalog(self.spark, {k: v for k, v in self._loaders.items() if k not in names},
                        self.keys, self.excluded_namespaces)
 
+    def materialize_shared(self) -> "Catalog":
+        """Checkpoint the user-object projections most checks start from."""
+        for key, build in ((("user_namespaces",), self.user_namespaces), (("user_classes",), self.user_classes)):
+            df = build()
+            with self._lock:
+                self._memo[key] = df.checkpoint(eager=True)
+        return self
+
     # -- shared projections used by many checks ------------------------------
     def instances(self) -> DataFrame:
         return self.table("instances")
 
     def user_namespaces(self) -> DataFrame:
         """Namespaces holding user objects: (keys, relnamespace, nspname)."""
-        ns = self.table("cat_namespace")
-        return (ns.filter(~F.col("nspname").isin(*self.excluded_namespaces))
-                  .select(*self.keys, F.col("oid").alias("relnamespace"), "nspname"))
+        def build() -> DataFrame:
+            ns = self.table("cat_namespace")
+            return (ns.filter(~F.col("nspname").isin(*self.excluded_namespaces))
+                      .select(*self.keys, F.col("oid").alias("relnamespace"), "nspname"))
+        return self.memo(("user_namespaces",), build)
 
     def user_classes(self, *relkinds: str) -> DataFrame:
         """Relations in user namespaces with ``fqn`` = schema.name."""
-        c = self.table("cat_class")
-        if relkinds:
-            c = c.filter(F.col("relkind").isin(*relkinds))
-        return (c.join(self.user_namespaces(), self.keys + ["relnamespace"])
-                 .withColumn("fqn", F.concat_ws(".", "nspname", "relname")))
+        def build() -> DataFrame:
+            c = self.table("cat_class")
+            if relkinds:
+                c = c.filter(F.col("relkind").isin(*relkinds))
+            return (c.join(self.user_namespaces(), self.keys + ["relnamespace"])
+                     .withColumn("fqn", F.concat_ws(".", "nspname", "relname")))
+        return self.memo(("user_classes",) + tuple(sorted(relkinds)), build)
 
     # -- constructors --------------------------------------------------------
     @classmethod
