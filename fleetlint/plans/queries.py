@@ -108,3 +108,29 @@ from af where severity in ('CRITICAL', 'WARNING') and has_rem""")
 
 
 _register_reports()
+
+
+# -- activity ------------------------------------------------------------
+def _register_activity() -> None:
+    from ..oracles import activity as osql
+    from . import activity as act
+
+    def keyed(fn):
+        def run(spark, sf_dir):
+            cat = Catalog.from_fixtures(spark, sf_dir)
+            return fn(cat)
+        run.__doc__ = fn.__doc__
+        return run
+
+    QUERIES["stmt_key"] = keyed(lambda cat: act.stmt_keyed(cat["stat_statements"], cat.keys))
+    QUERIES["stmt_delta"] = keyed(lambda cat: act.stmt_delta(cat["stat_statements"], cat.keys))
+    QUERIES["stmt_delta_findings"] = keyed(lambda cat: act.stmt_delta_findings(cat["stat_statements"], cat.keys))
+    QUERIES["log_assemble"] = keyed(lambda cat: act.log_assemble(cat["log_lines"], cat.keys))
+    QUERIES["log_classify"] = keyed(lambda cat: act.log_classify(act.log_assemble(cat["log_lines"], cat.keys))
+                                    .select("instance_id", "file_id", "entry_no", "line_no", "class"))
+    QUERIES["log_findings"] = keyed(lambda cat: act.log_findings(act.log_assemble(cat["log_lines"], cat.keys),
+                                                                 cat.keys))
+    ORACLES.update(osql.SQL)
+
+
+_register_activity()
