@@ -134,3 +134,153 @@ def _register_activity() -> None:
 
 
 _register_activity()
+
+
+# -- the reusable relational operators -------------------------
+def _register_relops() -> None:
+    from ..checks.extensions import KNOWN_EXTENSIONS  # noqa: F401  (registry import side effects)
+    from ..checks.functions import WRITE_PATTERNS
+    from ..checks.schema import FK_ACTION_LABELS, VOLATILE_DEFAULT_PATTERNS
+    from ..checks.settings import setting_evaluations
+    from ..checks.sql_patterns import STATEMENT_PATTERNS, classify_statements
+    from ..oracles import any_contains, label_case
+    from ..operators import relops as R
+
+    def q(name, oracle):
+        def deco(fn):
+            def run(spark, sf_dir):
+                return fn(Catalog.from_fixtures(spark, sf_dir))
+            run.__doc__ = fn.__doc__
+            QUERIES[name] = run
+            ORACLES[name] = oracle
+            return fn
+        return deco
+
+    @q("r_prefix_cover_anti", """
+select k.instance_id, k.conrelid, k.conname, array_to_string(k.conkey, ',') as conkey
+from cat_constraint k where k.contype = 'f' and not exists (
+  select 1 from cat_index i where i.instance_id = k.instance_id and i.indrelid = k.conrelid
+    and len(i.indkey) >= len(k.conkey) and i.indkey[1:len(k.conkey)] = k.conkey)""")
+    def prefix_cover(cat):
+        """Foreign keys whose columns are not the leading columns of any index on the table."""
+        k = cat.keys
+        fk = cat["cat_constraint"].filter(F.col("contype") == "f").select(*k, "conrelid", "conname", "conkey")
+        out = R.prefix_cover_anti(fk, cat["cat_index"], k + ["conrelid"], k + ["indrelid"], "conkey", "indkey")
+        return out.select(F.col("instance_id").cast("bigint"), "conrelid", "conname",
+                          F.array_join("conkey", ",").alias("conkey"))
+
+    @q("r_ordered_array_agg", """
+with ex as (select instance_id, conrelid, conname, unnest(conkey) as attnum, generate_subscripts(conkey, 1) as pos
+            from cat_constraint where contype in ('p', 'u'))
+select e.instance_id, e.conrelid, e.conname, string_agg(a.attname, ',' order by e.pos) as columns
+from ex e join cat_attribute a on a.instance_id = e.instance_id and a.attrelid = e.conrelid and a.attnum = e.attnum
+group by e.instance_id, e.conrelid, e.conname""")
+    def ordered_agg(cat):
+        """Column names of every PRIMARY KEY / UNIQUE constraint in key order (unnest with ordinality)."""
+        k = cat.keys
+        c = (cat["cat_constraint"].filter(F.col("contype").isin("p", "u"))
+             .select(*k, "conrelid", "conname", F.posexplode("conkey").alias("pos", "attnum")))
+        a = cat["cat_attribute"].select(*k, F.col("attrelid").alias("conrelid"), "attnum", "attname")
+        g = c.join(a, k + ["conrelid", "attnum"]).groupBy(*k, "conrelid", "conname").agg(
+            F.array_join(R.ordered_array_agg("attname", "pos"), ",").alias("columns"))
+        return g.withColumn("instance_id", F.col("instance_id").cast("bigint"))
+
+    @q("r_correlated_count", """
+select c.instance_id, c.oid, c.relname,
+       (select count(*) from cat_policy p where p.instance_id = c.instance_id and p.polrelid = c.oid) as policy_count,
+       (select count(*) from cat_inherits i where i.instance_id = c.instance_id and i.inhparent = c.oid) as child_count
+from cat_class c""")
+    def corr_count(cat):
+        """Per relation: number of policies and of inheriting children (scalar subquery counts)."""
+        k = cat.keys
+        c = cat["cat_class"].select(*k, "oid", "relname")
+        c = R.correlated_count(c, cat["cat_policy"], k + ["oid"], k + ["polrelid"], "policy_count")
+        c = R.correlated_count(c, cat["cat_inherits"], k + ["oid"], k + ["inhparent"], "child_count")
+        return c.withColumn("instance_id", F.col("instance_id").cast("bigint"))
+
+    @q("r_topk", """
+select * from (
+  select instance_id, table_name, count(*) as conflicts,
+         row_number() over (partition by instance_id order by count(*) desc, table_name) as rank
+  from conflict_history group by instance_id, table_name) x
+where rank <= 5""")
+    def top_k(cat):
+        """The five tables with most conflicts per instance (top-k report; ties by name)."""
+        k = cat.keys
+        g = cat["conflict_history"].groupBy(*k, "table_name").agg(F.count(F.lit(1)).alias("conflicts"))
+        t = R.topk(g, k, [F.col("conflicts").desc(), F.col("table_name").asc()], 5, "rank")
+        return t.select(F.col("instance_id").cast("bigint"), "table_name", "conflicts",
+                        F.col("rank").cast("bigint"))
+
+    @q("r_group_list_preview", """
+with x as (select instance_id, typname, enumlabel, enumsortorder,
+                  row_number() over (partition by instance_id, typname order by enumsortorder) as rn from cat_enum)
+select instance_id, typname, count(*) as label_count,
+       string_agg(case when rn <= 20 then enumlabel end, ',' order by rn) as kept,
+       string_agg(case when rn <= 10 then enumlabel end, ', ' order by rn) || case when count(*) > 10 then '...' else '' end
+         as preview
+from x group by instance_id, typname""")
+    def list_preview(cat):
+        """Per enum type name: label count, first 20 labels kept, first 10 shown."""
+        k = cat.keys
+        g = R.group_list_preview(cat["cat_enum"], k + ["typname"], "enumlabel", [F.col("enumsortorder")], 10, 20)
+        return g.select(F.col("instance_id").cast("bigint"), "typname", F.col("count").cast("bigint").alias("label_count"),
+                        F.array_join("kept", ",").alias("kept"), "preview")
+
+    @q("r_code_labels", f"""
+select instance_id, oid, {label_case('confdeltype', FK_ACTION_LABELS)} as on_delete,
+       {label_case('confupdtype', FK_ACTION_LABELS)} as on_update
+from cat_constraint where contype = 'f'""")
+    def labels(cat):
+        """FK action codes as labels (unknown codes fall back to the code)."""
+        c = cat["cat_constraint"].filter(F.col("contype") == "f")
+        return c.select(F.col("instance_id").cast("bigint"), "oid",
+                        R.code_labels("confdeltype", FK_ACTION_LABELS).alias("on_delete"),
+                        R.code_labels("confupdtype", FK_ACTION_LABELS).alias("on_update"))
+
+    @q("r_keyword_any", f"""
+select instance_id, attrelid, attnum, {any_contains('lower(default_expr)', VOLATILE_DEFAULT_PATTERNS)} as volatile
+from cat_attribute where default_expr is not null""")
+    def kw_any(cat):
+        """Whether each column default contains any volatile-function keyword."""
+        a = cat["cat_attribute"].filter(F.col("default_expr").isNotNull())
+        return a.select(F.col("instance_id").cast("bigint"), "attrelid", "attnum",
+                        R.keyword_any("default_expr", VOLATILE_DEFAULT_PATTERNS).alias("volatile"))
+
+    hits = ", ".join(f"case when contains(upper(prosrc), '{p}') then '{p}' end" for p in WRITE_PATTERNS)
+
+    @q("r_keyword_all_hits", f"""
+select instance_id, oid, concat_ws('|', {hits}) as hits from cat_proc""")
+    def kw_all(cat):
+        """Every write phrase each function body contains, in phrase order."""
+        p = cat["cat_proc"]
+        return p.select(F.col("instance_id").cast("bigint"), "oid",
+                        F.array_join(R.keyword_all_hits("prosrc", WRITE_PATTERNS), "|").alias("hits"))
+
+    cls = ", ".join(f"case when regexp_matches(query, '{rx}') then '{c}' end" for c, rx in STATEMENT_PATTERNS)
+
+    @q("r_regex_scan", f"""
+select instance_id, snapshot_no, query, calls, concat_ws(',', {cls}) as classes from cur_stmt""")
+    def regex_scan(cat):
+        """Pattern classes of every statement of the newest snapshot, in one pass over the text."""
+        s = classify_statements(cat)
+        return s.select(F.col("instance_id").cast("bigint"), "snapshot_no", "query", "calls",
+                        F.array_join("classes", ",").alias("classes"))
+
+    from ..checks.settings import SETTING_RULES
+    rules = ", ".join(f"('{c}', '{n}', '{o}', '{t}', '{s}')" for c, n, o, t, s in SETTING_RULES)
+
+    @q("r_setting_rule", f"""
+with r(check_name, name, op, target, fail_severity) as (values {rules})
+select s.instance_id, r.check_name, s.name, s.setting as value, r.fail_severity,
+       coalesce(case r.op when 'eq' then s.setting <> r.target when 'ne' then s.setting = r.target
+                when 'min' then try_cast(s.setting as bigint) < cast(r.target as bigint) end, false) as violated
+from settings s join r on r.name = s.name""")
+    def setting_rule(cat):
+        """Every setting with a rule, evaluated against it (one join with the broadcast rule table)."""
+        e = setting_evaluations(cat)
+        return e.select(F.col("instance_id").cast("bigint"), "check_name", "name", "value", "fail_severity",
+                        "violated")
+
+
+_register_relops()
