@@ -140,3 +140,45 @@ def setting_rule_eval(value: Column, op: Column, target: Column) -> Column:
              .when(op == "ne", value == target)
              .when(op == "min", num < target.cast("bigint"))
              .otherwise(F.lit(False)))
+
+
+# -- ordered scans over huge partitions ------------------------------------------------
+def block_running_sum(df: DataFrame, partition: Sequence[str], order: str, value: str, out: str,
+                      block: Column, inclusive: bool = True) -> DataFrame:
+    """Running sum of ``value`` per partition in ``order``, computed by blocks.
+
+    Sums per block are aggregated first (map-side), the block offsets come
+    from a window over the few block rows of each partition, and the running
+    sum inside a block is a window over that block only.  A partition holding
+    a third of all rows is therefore processed by as many tasks as it has
+    blocks instead of one.
+    """
+    p = list(partition)
+    d = df.withColumn("__blk", block)
+    per_block = d.groupBy(*p, "__blk").agg(F.sum(value).alias("__bs"))
+    wb = Window.partitionBy(*p).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_block.withColumn("__off", F.coalesce(F.sum("__bs").over(wb), F.lit(0))).drop("__bs")
+    wl = Window.partitionBy(*p, "__blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("__in", F.sum(value).over(wl)).join(offsets, p + ["__blk"])
+    total = F.col("__off") + F.col("__in")
+    if not inclusive:
+        total = total - F.col(value)
+    return d.withColumn(out, total.cast("bigint")).drop("__blk", "__in", "__off")
+
+
+def block_carry_forward(df: DataFrame, partition: Sequence[str], order: str, value: str, out: str,
+                        block: Column) -> DataFrame:
+    """Last non-null ``value`` up to each row (``last(ignorenulls)``), by blocks."""
+    p = list(partition)
+    d = df.withColumn("__blk", block)
+    per_block = (d.filter(F.col(value).isNotNull()).groupBy(*p, "__blk")
+                  .agg(F.max_by(value, order).alias("__bl")))
+    wb = Window.partitionBy(*p).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    wl = Window.partitionBy(*p, "__blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("__in", F.last(value, ignorenulls=True).over(wl))
+    blocks = d.select(*p, "__blk").distinct()
+    # blocks without any value still need the carried value of earlier blocks
+    all_blocks = blocks.join(per_block.select(*p, "__blk", "__bl"), p + ["__blk"], "left")
+    init = all_blocks.withColumn("__init", F.last("__bl", ignorenulls=True).over(wb)).drop("__bl")
+    d = d.join(init, p + ["__blk"], "left")
+    return d.withColumn(out, F.coalesce("__in", "__init")).drop("__blk", "__in", "__init")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 SQL: dict[str, str] = {}
-for _mod in ("schema", "replication", "config", "extensions", "sql_patterns", "functions", "sequences"):
+for _mod in ("schema", "replication", "config", "extensions", "sql_patterns", "functions", "sequences", "dump"):
     try:
         SQL.update(importlib.import_module(f"{__package__}.{_mod}").SQL)
     except ModuleNotFoundError as e:  # category not written yet

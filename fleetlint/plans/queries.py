@@ -284,3 +284,27 @@ from settings s join r on r.name = s.name""")
 
 
 _register_relops()
+
+
+# -- schema-dump facts ----------------------------------------------------------
+def _register_dump() -> None:
+    from . import dump as D
+
+    def stmts(cat):
+        return D.dump_statements(cat["dump_lines"], cat.keys)
+
+    def reg(name, fn):
+        def run(spark, sf_dir):
+            cat = Catalog.from_fixtures(spark, sf_dir)
+            return fn(cat)
+        run.__doc__ = (fn.__doc__ or "") or name
+        QUERIES[name] = run
+
+    reg("dump_statements", lambda cat: stmts(cat))
+    for name in ("dump_tables", "dump_columns", "dump_constraints", "dump_indexes", "dump_sequences",
+                 "dump_defaults_identity", "dump_extensions", "dump_enums", "dump_rules"):
+        fn = getattr(D, name)
+        reg(name, (lambda f: lambda cat: f(stmts(cat), cat.keys))(fn))
+
+
+_register_dump()
