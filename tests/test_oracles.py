@@ -32,8 +32,10 @@ def test_report_matches_oracle(spark, con, name):
 
 def test_every_query_has_oracle_or_is_documented():
     missing = sorted(set(queries()) - set(ORACLES))
-    # only non-SQL jobs (files, streams) may lack SQL
-    assert all(n.startswith(("src_", "sink_", "stream_")) for n in missing), missing
+    # without SQL: dump facts that need the character-level body splitter;
+    # they are checked against hand-written expectations in test_text_fixtures
+    assert set(missing) <= {"dump_columns", "dump_constraints", "dump_sequences", "dump_defaults_identity",
+                            "dump_extensions", "dump_enums", "dump_rules"}, missing
 
 
 def test_entry_runs(spark):
