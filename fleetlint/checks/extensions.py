@@ -65,6 +65,8 @@ def installed_extensions(cat):
     summary = facts_frame(per_inst, k, F.lit("(extensions)"), F.lit(CONSIDER),
                           version=F.lit(None).cast("string"), note=F.lit(None).cast("string"),
                           extension_count=F.col("extension_count"), extensions=F.col("extensions"))
+    if getattr(cat, "source", "catalog") == "dump":   # offline: summary only when any extension
+        summary = summary.filter(F.col("extension_count") > 0)
     return detail.unionByName(summary)
 
 

@@ -55,7 +55,7 @@ _ts, _tn = _qual(f"regexp_extract(text, '{_q(RE_TABLE)}', 2)")
 _is, _in = _qual(f"regexp_extract(text, '{_q(RE_INDEX)}', 3)")
 _INH = f"regexp_extract(text, '{_q(RE_INHERITS)}', 1)"
 _PART = f"regexp_extract(text, '{_q(RE_PARTITION_BY)}', 1)"
-_ON = _q(r"(?is)\bON\s+(?:ONLY\s+)?[\w"".]+\s*(?:USING\s+\w+\s*)?\(([^)]*)\)")
+_ON = _q(r'(?is)\bON\s+(?:ONLY\s+)?[\w".]+\s*(?:USING\s+\w+\s*)?\(([^)]*)\)')
 
 SQL = {
     "dump_statements": f"with {STATEMENTS_CTES}\nselect * from stmts",

@@ -308,3 +308,25 @@ def _register_dump() -> None:
 
 
 _register_dump()
+
+
+# -- offline audit of schema dumps (analyze) ----------------------------------------------------
+def _register_analyze() -> None:
+    from . import analyze as AZ
+
+    def dump_cat(spark, sf_dir):
+        return AZ.catalog_from_dump(spark, Catalog.from_fixtures(spark, sf_dir)["dump_lines"])
+
+    def analyze_findings(spark, sf_dir):
+        """Findings of the 19 offline checks over the schema dumps (metadata map left out)."""
+        return AZ.analyze_findings(dump_cat(spark, sf_dir)).drop("metadata")
+
+    def analyze_check_status(spark, sf_dir):
+        """Per dump and check: passed / failed / skipped (live-only checks)."""
+        return AZ.analyze_check_status(dump_cat(spark, sf_dir))
+
+    QUERIES["analyze_findings"] = analyze_findings
+    QUERIES["analyze_check_status"] = analyze_check_status
+
+
+_register_analyze()

@@ -58,6 +58,7 @@ class Catalog:
         self._lock = threading.RLock()
         self.keys = list(keys)
         self.excluded_namespaces = list(excluded_namespaces)
+        self.source = "catalog"          # "dump" for catalogs derived from schema dumps
 
     # -- access -------------------------------------------------------------
     def has(self, name: str) -> bool:

@@ -181,3 +181,25 @@ def test_nested_dollar_tags_use_exact_fallback(spark):
     st = D.dump_statements(_dump(spark, text, 2), ["instance_id"]).orderBy("stmt_no").collect()
     assert [r.kind for r in st] == ["other", "table"]
     assert st[0].last_line == 7
+
+
+def test_analyze_dump_runs_offline_checks(spark):
+    from fleetlint.plans import analyze as AZ
+    cat = AZ.catalog_from_dump(spark, _dump(spark))
+    f = AZ.analyze_findings(cat)
+    got = {(r.check_name, r.severity, r.object_name) for r in f.collect()}
+    expected = {
+        ("primary_keys", "WARNING", "app.Orders"), ("primary_keys", "WARNING", "public.child"),
+        ("unlogged_tables", "WARNING", "app.Orders"),
+        ("numeric_columns", "CONSIDER", "app.Orders.amount"), ("numeric_columns", "WARNING", "app.Orders.total"),
+        ("generated_columns", "CONSIDER", "app.Orders.total"),
+        ("foreign_keys", "WARNING", "public.child"), ("foreign_keys", "CONSIDER", "(database)"),
+        ("sequence_audit", "WARNING", "public.s"), ("sequence_data_types", "WARNING", "public.s"),
+        ("enum_types", "CONSIDER", "public.mood"), ("rules", "WARNING", "public.child.r1"),
+        ("installed_extensions", "INFO", "hstore"), ("installed_extensions", "CONSIDER", "(extensions)"),
+        ("pg_version", "INFO", "pg_version"),
+    }
+    assert expected <= got, expected - got
+    assert not any(c == "missing_fk_indexes" for c, _, _ in got)   # the unique index covers child(id)
+    st = {r.check_name: r.status for r in AZ.analyze_check_status(cat, f).collect()}
+    assert len(st) == 57 and sum(1 for s in st.values() if s == "skipped") == 57 - 19
