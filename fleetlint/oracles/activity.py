@@ -50,8 +50,8 @@ select instance_id, '(monitor)', 'INFO', 'summary', null, 0, null, new_count, ac
 
 _WS = "regexp_replace(line, '^\\s+|\\s+$', '', 'g')"
 _ENTRIES = f"""l as (select *, regexp_matches(line, '{LOG_HEADER_RE}') as is_start from log_lines),
-r as (select *, sum(case when is_start then 1 else 0 end) over (partition by instance_id, file_id order by line_no
-              rows between unbounded preceding and current row) as entry_no from l),
+r as (select *, cast(sum(case when is_start then 1 else 0 end) over (partition by instance_id, file_id order by line_no
+              rows between unbounded preceding and current row) as bigint) as entry_no from l),
 h as (select instance_id, file_id, entry_no, line_no, regexp_extract(line, '{LOG_HEADER_RE}', 1) as ts,
              regexp_extract(line, '{LOG_HEADER_RE}', 2) as content from r where is_start),
 h2 as (select *, regexp_matches(content, '{LOG_STATEMENT_RE}') as is_statement,

@@ -34,7 +34,7 @@ l2 as (select *, sum(n) over ({_W} rows between unbounded preceding and current
               last_value(sp_set ignore nulls) over ({_W} rows between unbounded preceding and current row) as sp
        from l),
 l3 as (select *, case when par % 2 = 0 and ends_with(stripped, ';') then 1 else 0 end as is_end from l2),
-l4 as (select *, coalesce(sum(is_end) over ({_W} rows between unbounded preceding and 1 preceding), 0) as stmt_no
+l4 as (select *, cast(coalesce(sum(is_end) over ({_W} rows between unbounded preceding and 1 preceding), 0) as bigint) as stmt_no
        from l3),
 st as (select instance_id, file_id, stmt_no, min(line_no) as first_line, max(line_no) as last_line,
               arg_max(sp, line_no) as search_path, string_agg(line, chr(10) order by line_no) as text
@@ -78,3 +78,68 @@ t as (select instance_id, file_id, stmt_no, {_is} as schema_name, {_in} as table
       from stmts where kind = 'index')
 select * from t where schema_name not in ({_EXCL})""",
 }
+
+
+# dump_columns: the body split as window scans over characters (quote parity,
+# parenthesis depth, top-level commas), independent of the Spark fold.
+from ..plans.dump import (RE_ADD_IDENTITY, RE_COLUMN, RE_DEFAULT, RE_GENERATED, RE_IDENTITY, RE_NOT_NULL,  # noqa: E402
+                          RE_SET_DEFAULT, RE_TABLE_CONSTRAINT, RE_TYPE_END)
+
+_WS = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+_sd_s, _sd_n = _qual(f"regexp_extract(text, '{_q(RE_SET_DEFAULT)}', 1)")
+_ai_s, _ai_n = _qual(f"regexp_extract(text, '{_q(RE_ADD_IDENTITY)}', 1)")
+_SP = "partition by instance_id, file_id, stmt_no order by i"
+
+SQL["dump_columns"] = f"""with {STATEMENTS_CTES},
+tb as (select instance_id, file_id, stmt_no, {_ts} as schema_name, {_tn} as table_name,
+              regexp_extract(text, '(?s)^[^(]*\\((.*)$', 1) as body
+       from stmts where kind = 'table'),
+ch as (select instance_id, file_id, stmt_no, schema_name, table_name, body, i, substr(body, i, 1) as c
+       from (select *, unnest(range(1, length(body) + 1)) as i from tb) x),
+q as (select *, coalesce(sum(case when c = '''' then 1 else 0 end) over ({_SP} rows between unbounded preceding
+              and 1 preceding), 0) % 2 = 1 as inq from ch),
+dp as (select *, coalesce(sum(case when c = '''' or inq then 0 when c = '(' then 1 when c = ')' then -1 else 0 end)
+              over ({_SP} rows between unbounded preceding and 1 preceding), 0) as depth from q),
+cl as (select instance_id, file_id, stmt_no, min(i) as close_i from dp
+       where c = ')' and not inq and depth = 0 group by instance_id, file_id, stmt_no),
+inb as (select dp.*, (dp.c = ',' and not dp.inq and dp.depth = 0) as sep from dp
+        left join cl on cl.instance_id = dp.instance_id and cl.file_id = dp.file_id and cl.stmt_no = dp.stmt_no
+        where dp.i < coalesce(cl.close_i, length(dp.body) + 1)),
+it as (select *, sum(case when sep then 1 else 0 end) over ({_SP} rows between unbounded preceding and current row)
+              as item_no from inb),
+items as (select instance_id, file_id, stmt_no, schema_name, table_name, item_no,
+                 {_WS.format(x="string_agg(c, '' order by i)")} as item
+          from it where not sep group by instance_id, file_id, stmt_no, schema_name, table_name, item_no),
+cols as (select *, regexp_extract(item, '{_q(RE_COLUMN)}', 2) as rest from items
+         where item <> '' and not regexp_matches(item, '{_q(RE_TABLE_CONSTRAINT)}')
+           and regexp_matches(item, '{_q(RE_COLUMN)}') and schema_name not in ({_EXCL})),
+raw as (select instance_id, file_id, stmt_no, schema_name, table_name,
+               row_number() over (partition by instance_id, file_id, stmt_no order by item_no) as attnum,
+               replace(regexp_extract(item, '{_q(RE_COLUMN)}', 1), '"', '') as column_name,
+               {_WS.format(x=f"regexp_extract(rest, '{_q(RE_TYPE_END)}', 1)")} as data_type,
+               regexp_matches(rest, '{_q(RE_NOT_NULL)}') as not_null,
+               regexp_extract(rest, '{_q(RE_GENERATED)}', 1) as gen,
+               regexp_extract(rest, '{_q(RE_DEFAULT)}', 1) as dflt,
+               upper(regexp_replace(regexp_extract(rest, '{_q(RE_IDENTITY)}', 1), '\\s+', ' ', 'g')) as ident
+        from cols),
+ov as (select instance_id, file_id, schema_name, table_name, column_name,
+              arg_max(default_expr, case when default_expr is not null then stmt_no end) as o_default,
+              arg_max(identity, case when identity is not null then stmt_no end) as o_identity
+       from (select instance_id, file_id, stmt_no,
+                    case when kind = 'default' then {_sd_s} else {_ai_s} end as schema_name,
+                    case when kind = 'default' then {_sd_n} else {_ai_n} end as table_name,
+                    replace(case when kind = 'default' then regexp_extract(text, '{_q(RE_SET_DEFAULT)}', 2)
+                            else regexp_extract(text, '{_q(RE_ADD_IDENTITY)}', 2) end, '"', '') as column_name,
+                    case when kind = 'default' then regexp_extract(text, '{_q(RE_SET_DEFAULT)}', 3) end as default_expr,
+                    case when kind = 'identity' then case when upper(regexp_replace(regexp_extract(text,
+                         '{_q(RE_ADD_IDENTITY)}', 3), '\\s+', ' ', 'g')) = 'ALWAYS' then 'a' else 'd' end end as identity
+             from stmts where kind in ('default', 'identity')) d
+       group by instance_id, file_id, schema_name, table_name, column_name)
+select r.instance_id, r.file_id, r.stmt_no, r.schema_name, r.table_name, cast(r.attnum as bigint) as attnum,
+       r.column_name, r.data_type, r.not_null,
+       case when r.gen <> '' then 's' else '' end as generated,
+       case when r.gen <> '' then r.gen end as generation_expr,
+       coalesce(ov.o_default, case when r.dflt <> '' and r.gen = '' then r.dflt end) as default_expr,
+       coalesce(ov.o_identity, case r.ident when 'ALWAYS' then 'a' when 'BY DEFAULT' then 'd' else '' end) as identity
+from raw r left join ov on ov.instance_id = r.instance_id and ov.file_id = r.file_id
+  and ov.schema_name = r.schema_name and ov.table_name = r.table_name and ov.column_name = r.column_name"""
