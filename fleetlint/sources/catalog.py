@@ -91,11 +91,16 @@ class Catalog:
         on a cluster), so many checks reading the same table build on a small
         leaf plan and a lost executor never forces re-deriving the table.
         """
+        from concurrent.futures import ThreadPoolExecutor
+
         from ..session import ensure_checkpoint_dir
         ensure_checkpoint_dir(self.spark)
-        for n in (names if names is not None else self.available()):
-            if n in self._loaders:
-                self._cache[n] = self.table(n).checkpoint(eager=True)
+        todo = [n for n in (names if names is not None else self.available()) if n in self._loaders]
+        # independent small jobs: run them side by side so the cores stay busy
+        with ThreadPoolExecutor(max_workers=max(1, min(8, len(todo)))) as pool:
+            done = list(pool.map(lambda n: (n, self.table(n).checkpoint(eager=True)), todo))
+        with self._lock:
+            self._cache.update(dict(done))
         return self
 
     def without(self, *names: str) -> "Catalog":
