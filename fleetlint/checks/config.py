@@ -29,18 +29,27 @@ def _version_num(cat):
 
 @register_check("pg_version", "config", needs=("settings",),
                 description="PostgreSQL major version supported by the replication extension",
-                title=lambda: F.when(F.col("severity") == CRITICAL, F.format_string(
+                title=lambda: F.when(F.col("severity") == WARNING, F.lit(
+                    "Could not determine the PostgreSQL version of the dump"))
+                .when(F.col("severity") == CRITICAL, F.format_string(
                     "PostgreSQL %d is not supported by Spock 5", F.col("major")))
                 .otherwise(F.format_string("PostgreSQL %d is supported by Spock 5", F.col("major"))),
                 remediation=lambda: F.when(F.col("severity") == CRITICAL, F.lit(
-                    "Upgrade to a supported major version (15, 16, 17 or 18).")),
+                    "Upgrade to a supported major version (15, 16, 17 or 18).")).when(
+                    F.col("severity") == WARNING, F.lit("Check that the dump header names the server version.")),
                 offline=True)
 def pg_version(cat):
     t = _version_num(cat).filter(F.col("version_num").isNotNull())
     t = t.withColumn("major", F.expr("version_num div 10000"))
-    return facts_frame(t, cat.keys, F.lit("pg_version"),
-                       F.when(F.col("major").isin(*SUPPORTED_MAJORS), F.lit(INFO)).otherwise(F.lit(CRITICAL)),
-                       major=F.col("major").cast("bigint"), version_num=F.col("version_num"))
+    out = facts_frame(t, cat.keys, F.lit("pg_version"),
+                      F.when(F.col("major").isin(*SUPPORTED_MAJORS), F.lit(INFO)).otherwise(F.lit(CRITICAL)),
+                      major=F.col("major").cast("bigint"), version_num=F.col("version_num"))
+    if getattr(cat, "source", "catalog") == "dump":
+        # offline: a dump without a readable version header is a WARNING
+        unknown = cat.instances().select(*cat.keys).join(t.select(*cat.keys), cat.keys, "left_anti")
+        out = out.unionByName(facts_frame(unknown, cat.keys, F.lit("pg_version"), F.lit(WARNING),
+                                          major=F.lit(0).cast("bigint"), version_num=F.lit(0).cast("bigint")))
+    return out
 
 
 @register_check("pg_minor_version", "config", mode="audit", needs=("settings", "instances"),

@@ -31,7 +31,7 @@ REMEDIATION_RULES = {
     "spock_gucs": "status = 'mismatch'",
     "stored_procedures": "object_name <> '(functions)'",
     "lolor_check": "status <> 'ok'",
-    "pg_version": "severity = 'CRITICAL'",
+    "pg_version": "severity in ('CRITICAL', 'WARNING')",
 }
 DEFAULT_REMEDIATION_RULE = "severity <> 'INFO'"
 VERDICTS = ["READY", "CONDITIONALLY READY", "NOT READY"]

@@ -201,5 +201,8 @@ def test_analyze_dump_runs_offline_checks(spark):
     }
     assert expected <= got, expected - got
     assert not any(c == "missing_fk_indexes" for c, _, _ in got)   # the unique index covers child(id)
+    nover = AZ.catalog_from_dump(spark, _dump(spark, DUMP.replace("-- Dumped from database version 16.2\n", ""), 3))
+    pv = [(r.severity, r.object_name) for r in AZ.analyze_findings(nover).collect() if r.check_name == "pg_version"]
+    assert pv == [("WARNING", "pg_version")]
     st = {r.check_name: r.status for r in AZ.analyze_check_status(cat, f).collect()}
     assert len(st) == 57 and sum(1 for s in st.values() if s == "skipped") == 57 - 19
