@@ -90,8 +90,7 @@ _sd_s, _sd_n = _qual(f"regexp_extract(text, '{_q(RE_SET_DEFAULT)}', 1)")
 _ai_s, _ai_n = _qual(f"regexp_extract(text, '{_q(RE_ADD_IDENTITY)}', 1)")
 _SP = "partition by instance_id, file_id, stmt_no order by i"
 
-SQL["dump_columns"] = f"""with {STATEMENTS_CTES},
-tb as (select instance_id, file_id, stmt_no, {_ts} as schema_name, {_tn} as table_name,
+_ITEMS = f"""tb as (select instance_id, file_id, stmt_no, {_ts} as schema_name, {_tn} as table_name,
               regexp_extract(text, '(?s)^[^(]*\\((.*)$', 1) as body
        from stmts where kind = 'table'),
 ch as (select instance_id, file_id, stmt_no, schema_name, table_name, body, i, substr(body, i, 1) as c
@@ -109,7 +108,10 @@ it as (select *, sum(case when sep then 1 else 0 end) over ({_SP} rows between u
               as item_no from inb),
 items as (select instance_id, file_id, stmt_no, schema_name, table_name, item_no,
                  {_WS.format(x="string_agg(c, '' order by i)")} as item
-          from it where not sep group by instance_id, file_id, stmt_no, schema_name, table_name, item_no),
+          from it where not sep group by instance_id, file_id, stmt_no, schema_name, table_name, item_no)"""
+
+SQL["dump_columns"] = f"""with {STATEMENTS_CTES},
+{_ITEMS},
 cols as (select *, regexp_extract(item, '{_q(RE_COLUMN)}', 2) as rest from items
          where item <> '' and not regexp_matches(item, '{_q(RE_TABLE_CONSTRAINT)}')
            and regexp_matches(item, '{_q(RE_COLUMN)}') and schema_name not in ({_EXCL})),
@@ -143,3 +145,57 @@ select r.instance_id, r.file_id, r.stmt_no, r.schema_name, r.table_name, cast(r.
        coalesce(ov.o_identity, case r.ident when 'ALWAYS' then 'a' when 'BY DEFAULT' then 'd' else '' end) as identity
 from raw r left join ov on ov.instance_id = r.instance_id and ov.file_id = r.file_id
   and ov.schema_name = r.schema_name and ov.table_name = r.table_name and ov.column_name = r.column_name"""
+
+
+from ..plans.dump import (CONTYPE_CODES, FK_ACTION_CODES, RE_ADD_CONSTRAINT, RE_CONSTRAINT_NAME,  # noqa: E402
+                          RE_DEFERRABLE, RE_INITIALLY_DEFERRED, RE_NOT_DEFERRABLE, RE_ON_DELETE, RE_ON_UPDATE,
+                          RE_REFERENCES)
+
+_ac_s, _ac_n = _qual(f"regexp_extract(text, '{_q(RE_ADD_CONSTRAINT)}', 1)")
+_rf_s, _rf_n = _qual(f"regexp_extract(text, '{_q(RE_REFERENCES)}', 1)")
+
+
+def _codes(expr: str, codes: dict, default: str | None) -> str:
+    norm = f"upper(regexp_replace({expr}, '\\s+', ' ', 'g'))"
+    whens = " ".join(f"when '{k}' then '{v}'" for k, v in codes.items())
+    out = f"case {norm} {whens} end"
+    return f"coalesce({out}, '{default}')" if default else out
+
+
+def _list(expr: str) -> str:
+    return (f"array_to_string(list_transform(string_split({expr}, ','), lambda x: "
+            f"replace(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), '\"', '')), ',')")
+
+
+_KW_COLS = _q(r"(?i)(?:PRIMARY\s+KEY|UNIQUE|FOREIGN\s+KEY|EXCLUDE|CHECK)\s*(?:USING\s+\w+\s*)?\(([^)]*)\)")
+_REF = f"regexp_extract(text, '{_q(RE_REFERENCES)}', 1)"
+_DEFER = (f"(regexp_matches(text, '{_q(RE_DEFERRABLE)}') and not regexp_matches(text, '{_q(RE_NOT_DEFERRABLE)}'))")
+
+SQL["dump_constraints"] = f"""with {STATEMENTS_CTES},
+{_ITEMS},
+a as (select instance_id, file_id, stmt_no, {_ac_s} as schema_name, {_ac_n} as table_name,
+             replace(regexp_extract(text, '{_q(RE_ADD_CONSTRAINT)}', 2), '"', '') as constraint_name,
+             regexp_extract(text, '{_q(RE_ADD_CONSTRAINT)}', 3) as ctype, text, search_path
+      from stmts where kind = 'constraint'),
+i as (select it.instance_id, it.file_id, it.stmt_no, it.schema_name, it.table_name,
+             case when regexp_matches(it.item, '{_q(RE_CONSTRAINT_NAME)}')
+                  then replace(regexp_extract(it.item, '{_q(RE_CONSTRAINT_NAME)}', 1), '"', '') end as constraint_name,
+             regexp_extract(it.item, '(?i)(PRIMARY\\s+KEY|UNIQUE|FOREIGN\\s+KEY|EXCLUDE|CHECK)', 1) as ctype,
+             it.item as text, s.search_path
+      from items it join stmts s on s.instance_id = it.instance_id and s.file_id = it.file_id
+        and s.stmt_no = it.stmt_no
+      where it.item <> '' and regexp_matches(it.item, '{_q(RE_TABLE_CONSTRAINT)}')),
+u as (select * from a union all select * from i),
+c as (select instance_id, file_id, stmt_no, schema_name, table_name, constraint_name,
+             {_codes('ctype', CONTYPE_CODES, None)} as contype,
+             {_list(f"regexp_extract(text, '{_KW_COLS}', 1)")} as columns,
+             case when {_REF} <> '' then {_rf_s} || '.' || {_rf_n} end as ref_table,
+             case when {_REF} <> '' then {_list(f"regexp_extract(text, '{_q(RE_REFERENCES)}', 2)")} end as ref_columns,
+             case when {_REF} <> '' then {_codes(f"regexp_extract(text, '{_q(RE_ON_DELETE)}', 1)", FK_ACTION_CODES, 'a')}
+                  end as on_delete,
+             case when {_REF} <> '' then {_codes(f"regexp_extract(text, '{_q(RE_ON_UPDATE)}', 1)", FK_ACTION_CODES, 'a')}
+                  end as on_update,
+             {_DEFER} as deferrable,
+             {_DEFER} and regexp_matches(text, '{_q(RE_INITIALLY_DEFERRED)}') as deferred
+      from u where ctype <> '')
+select * from c where schema_name not in ({_EXCL})"""

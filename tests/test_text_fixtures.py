@@ -206,3 +206,27 @@ def test_analyze_dump_runs_offline_checks(spark):
     assert pv == [("WARNING", "pg_version")]
     st = {r.check_name: r.status for r in AZ.analyze_check_status(cat, f).collect()}
     assert len(st) == 57 and sum(1 for s in st.values() if s == "skipped") == 57 - 19
+
+
+def test_dump_oracles_agree_on_rich_fixture(spark):
+    """The DuckDB oracles and the Spark jobs agree on the hand-written dump."""
+    import duckdb
+    import pandas as pd
+
+    from __spark_entry__ import queries  # noqa: F401  (registers the dump queries)
+    from fleetlint.oracles.dump import SQL
+    from helpers import canon
+
+    lines = _dump(spark)
+    con = duckdb.connect()
+    con.register("dump_lines_df", lines.toPandas())
+    con.execute("create table dump_lines as select * from dump_lines_df")
+    st = D.dump_statements(lines, ["instance_id"])
+    spark_out = {"dump_statements": st, "dump_tables": D.dump_tables(st, ["instance_id"]),
+                 "dump_columns": D.dump_columns(st, ["instance_id"]),
+                 "dump_constraints": D.dump_constraints(st, ["instance_id"]),
+                 "dump_indexes": D.dump_indexes(st, ["instance_id"])}
+    for name, df in spark_out.items():
+        got = canon(df.toPandas())
+        want = canon(con.execute(SQL[name]).df())
+        assert got == want, name
