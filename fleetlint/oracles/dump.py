@@ -199,3 +199,78 @@ c as (select instance_id, file_id, stmt_no, schema_name, table_name, constraint_
              {_DEFER} and regexp_matches(text, '{_q(RE_INITIALLY_DEFERRED)}') as deferred
       from u where ctype <> '')
 select * from c where schema_name not in ({_EXCL})"""
+
+
+# sequences, ALTER COLUMN overrides, extensions, enums, rules
+from ..plans.dump import RE_ENUM, RE_EXTENSION, RE_RULE, RE_SEQ_OWNED, RE_SEQUENCE, SEQ_OPTIONS  # noqa: E402
+
+_sq_s, _sq_n = _qual(f"regexp_extract(text, '{_q(RE_SEQUENCE)}', 1)")
+_ow_s, _ow_n = _qual(f"regexp_extract(text, '{_q(RE_SEQ_OWNED)}', 1)")
+_ot_s, _ot_n = _qual(f"regexp_extract(text, '{_q(RE_SEQ_OWNED)}', 2)")
+_en_s, _en_n = _qual(f"regexp_extract(text, '{_q(RE_ENUM)}', 1)")
+_ru_s, _ru_n = _qual(f"regexp_extract(text, '{_q(RE_RULE)}', 3)")
+
+
+def _opt(name: str) -> str:
+    x = f"regexp_extract(text, '{_q(SEQ_OPTIONS[name])}', 1)"
+    return f"case when {x} <> '' then cast({x} as bigint) end as {name}"
+
+
+_DT = f"regexp_extract(text, '{_q(SEQ_OPTIONS['data_type'])}', 1)"
+_EXT_SCH = f"regexp_extract(text, '{_q(RE_EXTENSION)}', 2)"
+
+SQL["dump_sequences"] = f"""with {STATEMENTS_CTES},
+s as (select instance_id, file_id, {_sq_s} as schema_name, {_sq_n} as sequence_name,
+             case when {_DT} <> '' then lower({_DT}) else 'bigint' end as data_type,
+             {_opt('start_value')}, {_opt('increment')}, {_opt('min_value')}, {_opt('max_value')},
+             regexp_matches(text, '(?i)\\bCYCLE\\b') and not regexp_matches(text, '(?i)\\bNO\\s+CYCLE\\b') as is_cycle
+      from stmts where kind = 'sequence'),
+o as (select instance_id, file_id, {_ow_s} as schema_name, {_ow_n} as sequence_name,
+             {_ot_s} || '.' || {_ot_n} as owner_table,
+             replace(regexp_extract(text, '{_q(RE_SEQ_OWNED)}', 3), '"', '') as owner_column, stmt_no
+      from stmts where kind = 'owned_by'),
+og as (select instance_id, file_id, schema_name, sequence_name, arg_max(owner_table, stmt_no) as owner_table,
+              arg_max(owner_column, stmt_no) as owner_column
+       from o group by instance_id, file_id, schema_name, sequence_name)
+select s.*, og.owner_table, og.owner_column from s left join og on og.instance_id = s.instance_id
+  and og.file_id = s.file_id and og.schema_name = s.schema_name and og.sequence_name = s.sequence_name
+where s.schema_name not in ({_EXCL})"""
+
+SQL["dump_defaults_identity"] = f"""with {STATEMENTS_CTES},
+d as (select instance_id, file_id, stmt_no,
+             case when kind = 'default' then {_sd_s} else {_ai_s} end as schema_name,
+             case when kind = 'default' then {_sd_n} else {_ai_n} end as table_name,
+             replace(case when kind = 'default' then regexp_extract(text, '{_q(RE_SET_DEFAULT)}', 2)
+                     else regexp_extract(text, '{_q(RE_ADD_IDENTITY)}', 2) end, '"', '') as column_name,
+             case when kind = 'default' then regexp_extract(text, '{_q(RE_SET_DEFAULT)}', 3) end as default_expr,
+             case when kind = 'identity' then case when upper(regexp_replace(regexp_extract(text,
+                  '{_q(RE_ADD_IDENTITY)}', 3), '\\s+', ' ', 'g')) = 'ALWAYS' then 'a' else 'd' end end as identity
+      from stmts where kind in ('default', 'identity'))
+select instance_id, file_id, schema_name, table_name, column_name,
+       arg_max(default_expr, case when default_expr is not null then stmt_no end) as default_expr,
+       arg_max(identity, case when identity is not null then stmt_no end) as identity
+from d group by instance_id, file_id, schema_name, table_name, column_name"""
+
+SQL["dump_extensions"] = f"""with {STATEMENTS_CTES}
+select instance_id, file_id,
+       regexp_replace(replace(regexp_extract(text, '{_q(RE_EXTENSION)}', 1), '"', ''), ';$', '') as extension_name,
+       case when {_EXT_SCH} <> '' then regexp_replace(replace({_EXT_SCH}, '"', ''), ';$', '') else 'public' end
+         as schema_name
+from stmts where kind = 'extension'"""
+
+SQL["dump_enums"] = f"""with {STATEMENTS_CTES},
+e as (select instance_id, file_id, {_en_s} as schema_name, {_en_n} as type_name,
+             regexp_extract_all(regexp_extract(text, '(?is)AS\\s+ENUM\\s*\\((.*)\\)', 1), '''((?:[^'']|'''')*)''', 1)
+               as labels
+      from stmts where kind = 'enum')
+select instance_id, file_id, schema_name, type_name, cast(len(labels) as bigint) as label_count,
+       array_to_string(labels, ',') as labels
+from e where schema_name not in ({_EXCL})"""
+
+SQL["dump_rules"] = f"""with {STATEMENTS_CTES},
+r as (select instance_id, file_id, {_ru_s} as schema_name, {_ru_n} as table_name,
+             replace(regexp_extract(text, '{_q(RE_RULE)}', 1), '"', '') as rule_name,
+             upper(regexp_extract(text, '{_q(RE_RULE)}', 2)) as event,
+             regexp_extract(text, '{_q(RE_RULE)}', 4) <> '' as is_instead
+      from stmts where kind = 'rule')
+select * from r where schema_name not in ({_EXCL})"""

@@ -5,9 +5,10 @@ def norm(v):
     if v is None:
         return None
     try:
-        if v != v:
+        import pandas as pd
+        if not isinstance(v, (list, tuple, dict)) and pd.isna(v):  # NaN, NaT, pd.NA
             return None
-    except Exception:
+    except (TypeError, ValueError):
         pass
     if hasattr(v, "item"):
         v = v.item()

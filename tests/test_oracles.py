@@ -35,7 +35,7 @@ def test_every_query_has_oracle_or_is_documented():
     # without SQL: dump facts whose fixture rows are empty or need the inline
     # constraint split, and the offline audit; all are checked against
     # hand-written expectations in test_text_fixtures
-    assert set(missing) <= {"dump_sequences", "dump_defaults_identity",
+    assert set(missing) <= {
                             "dump_extensions", "dump_enums", "dump_rules",
                             "analyze_findings", "analyze_check_status"}, missing
 

@@ -1,4 +1,5 @@
 """Text fixtures (FIXTURES.md section 3): logs, statements, dumps."""
+import pytest
 from pyspark.sql import functions as F
 
 from fleetlint.checks.sql_patterns import STATEMENT_PATTERNS
@@ -208,8 +209,27 @@ def test_analyze_dump_runs_offline_checks(spark):
     assert len(st) == 57 and sum(1 for s in st.values() if s == "skipped") == 57 - 19
 
 
-def test_dump_oracles_agree_on_rich_fixture(spark):
-    """The DuckDB oracles and the Spark jobs agree on the hand-written dump."""
+EXTRA_DUMP = """SET search_path = '', pg_catalog;
+CREATE SEQUENCE public.c AS smallint START WITH 5 INCREMENT BY 2 MINVALUE 5 MAXVALUE 100 CYCLE;
+CREATE TABLE public.w (
+    id integer NOT NULL,
+    label text
+);
+ALTER TABLE public.w ALTER COLUMN id ADD GENERATED ALWAYS AS IDENTITY (
+    SEQUENCE NAME public.w_id_seq
+);
+ALTER TABLE ONLY public.w ALTER COLUMN label SET DEFAULT 'x'::text;
+CREATE TYPE public.q AS ENUM (
+    'it''s',
+    'b'
+);
+CREATE EXTENSION snowflake;
+CREATE RULE r2 AS ON UPDATE TO public.w DO ALSO NOTIFY w;"""
+
+
+@pytest.mark.parametrize("text", [DUMP, EXTRA_DUMP], ids=["rich", "extra"])
+def test_dump_oracles_agree_on_rich_fixture(spark, text):
+    """The DuckDB oracles and the Spark jobs agree on the hand-written dumps."""
     import duckdb
     import pandas as pd
 
@@ -217,7 +237,7 @@ def test_dump_oracles_agree_on_rich_fixture(spark):
     from fleetlint.oracles.dump import SQL
     from helpers import canon
 
-    lines = _dump(spark)
+    lines = _dump(spark, text)
     con = duckdb.connect()
     con.register("dump_lines_df", lines.toPandas())
     con.execute("create table dump_lines as select * from dump_lines_df")
@@ -225,8 +245,15 @@ def test_dump_oracles_agree_on_rich_fixture(spark):
     spark_out = {"dump_statements": st, "dump_tables": D.dump_tables(st, ["instance_id"]),
                  "dump_columns": D.dump_columns(st, ["instance_id"]),
                  "dump_constraints": D.dump_constraints(st, ["instance_id"]),
-                 "dump_indexes": D.dump_indexes(st, ["instance_id"])}
+                 "dump_indexes": D.dump_indexes(st, ["instance_id"]),
+                 "dump_sequences": D.dump_sequences(st, ["instance_id"]),
+                 "dump_defaults_identity": D.dump_defaults_identity(st, ["instance_id"]),
+                 "dump_extensions": D.dump_extensions(st, ["instance_id"]),
+                 "dump_enums": D.dump_enums(st, ["instance_id"]),
+                 "dump_rules": D.dump_rules(st, ["instance_id"])}
     for name, df in spark_out.items():
         got = canon(df.toPandas())
         want = canon(con.execute(SQL[name]).df())
         assert got == want, name
+        if text is DUMP or name != "dump_constraints" and name != "dump_indexes":
+            assert len(got[1]) > 0, name
