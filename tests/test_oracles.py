@@ -32,12 +32,9 @@ def test_report_matches_oracle(spark, con, name):
 
 def test_every_query_has_oracle_or_is_documented():
     missing = sorted(set(queries()) - set(ORACLES))
-    # without SQL: dump facts whose fixture rows are empty or need the inline
-    # constraint split, and the offline audit; all are checked against
-    # hand-written expectations in test_text_fixtures
-    assert set(missing) <= {
-                            "dump_extensions", "dump_enums", "dump_rules",
-                            "analyze_findings", "analyze_check_status"}, missing
+    # without SQL: only the offline audit, checked against hand-written
+    # expectations in test_text_fixtures
+    assert set(missing) <= {"analyze_findings", "analyze_check_status"}, missing
 
 
 def test_entry_runs(spark):
