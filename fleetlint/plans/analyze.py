@@ -42,7 +42,7 @@ def catalog_from_dump(spark: SparkSession, lines: DataFrame, keys: list[str] | N
                       file_col: str = "file_id") -> Catalog:
     keys = list(keys or ["instance_id"])
     k = keys
-    stmts = D.dump_statements(lines, keys, file_col).checkpoint(eager=True)
+    stmts = D.dump_statements(lines, keys, file_col, checkpoint=True)
     tables = D.dump_tables(stmts, keys, file_col)
     columns = D.dump_columns(stmts, keys, file_col)
     cons = D.dump_constraints(stmts, keys, file_col)
