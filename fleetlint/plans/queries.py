@@ -83,13 +83,15 @@ ck(check_name, category) as (values {checks_values}),
 cnt as (select instance_id, check_name, count(*) as n from af group by instance_id, check_name)
 select cast(i.instance_id as bigint) as instance_id, ck.check_name, ck.category,
        case when coalesce(cnt.n, 0) > 0 then 'failed' else 'passed' end as status,
-       coalesce(cnt.n, 0) as finding_count, cast(null as varchar) as skip_reason
+       coalesce(cnt.n, 0) as finding_count, cast(null as varchar) as skip_reason, cast(null as varchar) as error
 from instances i cross join ck
 left join cnt on cnt.instance_id = i.instance_id and cnt.check_name = ck.check_name""")
     def check_status(spark, sf_dir):
-        """Per instance and check: passed, failed (has findings) or skipped (missing input)."""
-        cat, f = _findings(spark, sf_dir)
-        return report.check_status(cat, f)
+        """Per instance and check: passed, failed (has findings), error or skipped (missing input)."""
+        cat = Catalog.from_fixtures(spark, sf_dir)
+        errors: dict = {}
+        f = report.run_findings(cat, cache_inputs=True, errors=errors)
+        return report.check_status(cat, f, errors=errors)
 
     @query("findings_grouped", f"""with {af}
 select instance_id, {_RANK} as severity_rank, severity, category, count(*) as finding_count

@@ -59,8 +59,12 @@ def check_findings(spec: CheckSpec, cat) -> DataFrame:
 
 
 def run_findings(cat, mode: str | None = None, categories=None, exclude=None, include_only=None,
-                 cache_inputs: bool = False) -> DataFrame:
-    """All findings of the selected, runnable checks as one DataFrame."""
+                 cache_inputs: bool = False, errors: dict | None = None) -> DataFrame:
+    """All findings of the selected, runnable checks as one DataFrame.
+
+    With an ``errors`` dict, a check whose plan cannot be built (for example
+    an input table without a column the check reads) is recorded there with
+    its message and left out; the other checks still run."""
     specs, _ = runnable(cat, select_checks(mode, categories, exclude, include_only))
     if cache_inputs:
         persist_inputs(cat, specs)
@@ -70,8 +74,17 @@ def run_findings(cat, mode: str | None = None, categories=None, exclude=None, in
                 cat.table(t)
     # Each check is an independent plan; build them concurrently on the driver
     # (pure planning work: eager analysis in the JVM, no data is touched).
+    def build(spec):
+        try:
+            return check_findings(spec, cat)
+        except Exception as e:  # analysis errors surface while the plan is built
+            if errors is None:
+                raise
+            errors[spec.name] = f"{type(e).__name__}: {str(e).strip().splitlines()[0][:300]}"
+            return None
+
     with ThreadPoolExecutor(max_workers=min(8, len(specs))) as pool:
-        parts = list(pool.map(lambda s: check_findings(s, cat), specs))
+        parts = [p for p in pool.map(build, specs) if p is not None]
     return union_all(parts)
 
 
@@ -96,24 +109,29 @@ def persist_inputs(cat, specs: list[CheckSpec]) -> None:
     cat.materialize_shared()
 
 
-def check_status(cat, findings: DataFrame | None = None, mode: str | None = None) -> DataFrame:
-    """Per instance and check: passed / failed (with findings) / skipped (missing input, with reason)."""
+def check_status(cat, findings: DataFrame | None = None, mode: str | None = None,
+                 errors: dict | None = None) -> DataFrame:
+    """Per instance and check: passed / failed (with findings) / error (plan could
+    not be built, with message) / skipped (missing input, with reason)."""
     k = cat.keys
     specs = select_checks(mode)
     ok, skipped = runnable(cat, specs)
+    errors = {} if errors is None else errors
     if findings is None:
-        findings = run_findings(cat, mode)
+        findings = run_findings(cat, mode, errors=errors)
     counts = findings.groupBy(*k, "check_name").agg(F.count(F.lit(1)).alias("finding_count"))
     rows = F.array(*[F.struct(F.lit(s.name).alias("check_name"), F.lit(s.category).alias("category"),
-                              F.lit(skipped.get(s.name)).cast("string").alias("skip_reason")) for s in specs])
+                              F.lit(skipped.get(s.name)).cast("string").alias("skip_reason"),
+                              F.lit(errors.get(s.name)).cast("string").alias("error")) for s in specs])
     grid = cat.instances().select(*k, F.inline(rows))
     t = grid.join(counts, k + ["check_name"], "left").withColumn(
         "finding_count", F.coalesce("finding_count", F.lit(0)).cast("bigint"))
     status = (F.when(F.col("skip_reason").isNotNull(), F.lit("skipped"))
+               .when(F.col("error").isNotNull(), F.lit("error"))
                .when(F.col("finding_count") > 0, F.lit("failed")).otherwise(F.lit("passed")))
     return t.select(F.col("instance_id").cast("bigint").alias("instance_id"),
                     *[c for c in k if c != "instance_id"], "check_name", "category",
-                    status.alias("status"), "finding_count", "skip_reason")
+                    status.alias("status"), "finding_count", "skip_reason", "error")
 
 
 def severity_counts(cat, findings: DataFrame) -> DataFrame:

@@ -78,3 +78,17 @@ def test_todo_list_only_with_remediation(spark):
     names = {r.check_name for r in t.collect()}
     assert "conflict_log" not in names and "primary_keys" in names
     assert t.filter(F.col("remediation").isNull()).count() == 0
+
+
+def test_check_errors_are_captured(spark):
+    """A check whose input lacks a column it reads is reported as error; the rest still run."""
+    base = Catalog.from_fixtures(spark, SF)
+    loaders = {t: (lambda t=t: base[t]) for t in base.available()}
+    loaders["cat_trigger"] = lambda: base["cat_trigger"].drop("tgenabled")
+    cat = Catalog(spark, loaders)
+    errors: dict = {}
+    f = report.run_findings(cat, errors=errors)
+    assert set(errors) == {"trigger_functions"} and "tgenabled" in errors["trigger_functions"]
+    st = {r.check_name: (r.status, r.error) for r in report.check_status(cat, f, errors=errors)
+          .filter("instance_id = 1").collect()}
+    assert st["trigger_functions"][0] == "error" and st["wal_level"] == ("failed", None)
