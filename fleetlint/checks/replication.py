@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import cut, fmt_time, lsn_diff_bytes
@@ -23,15 +22,15 @@ def _setting_check(cat, check: str, **extra):
     v = violations(cat, check)
     for name, df in extra.items():
         v = v.join(df, cat.keys, "left")
-    cols = {k: F.col(k) for k in extra_cols(extra)}
+    cols = {k: F.col(k) for k in extra_cols(extra, cat.keys)}
     return facts_frame(v, cat.keys, F.col("name"), F.col("fail_severity"),
                        current=F.col("value"), required=F.col("target"), **cols)
 
 
-def extra_cols(extra):
+def extra_cols(extra, keys):
     out = []
     for df in extra.values():
-        out += [c for c in df.columns if c not in ("instance_id", "snapshot_ts")]
+        out += [c for c in df.columns if c not in keys]
     return out
 
 

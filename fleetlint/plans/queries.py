@@ -141,7 +141,6 @@ _register_activity()
 
 # -- the reusable relational operators -------------------------
 def _register_relops() -> None:
-    from ..checks.extensions import KNOWN_EXTENSIONS  # noqa: F401  (registry import side effects)
     from ..checks.functions import WRITE_PATTERNS
     from ..checks.schema import FK_ACTION_LABELS, VOLATILE_DEFAULT_PATTERNS
     from ..checks.settings import setting_evaluations
