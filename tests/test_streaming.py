@@ -63,3 +63,30 @@ def test_stream_stmt_delta_matches_batch_and_survives_restart(spark):
     b = A.stmt_delta(cat["stat_statements"], ["instance_id"])
     want = sorted((r.instance_id, r.stmt_key, r.status, r.delta_calls) for r in b.collect())
     assert got == want
+
+
+def test_late_lines_are_dropped_and_counted(spark):
+    root = tempfile.mkdtemp(prefix="fleetlint-stream-late-")
+    d = os.path.join(root, "instance_id=0")
+    os.makedirs(d)
+    with open(os.path.join(d, "a.log"), "w") as fh:
+        fh.write("2026-01-27 10:00:00 UTC [1] LOG:  statement: ALTER TABLE t ADD c int\n"
+                 "2026-01-27 15:00:00 UTC [1] LOG:  statement: ALTER TABLE t ADD d int\n")
+    out = tempfile.mkdtemp(prefix="fleetlint-stream-late-out-")
+
+    def run():
+        q = (S.stream_log_classes(spark, root).writeStream.format("parquet").outputMode("append")
+             .option("checkpointLocation", out + "/ckpt").option("path", out + "/data")
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+        return q
+
+    run()
+    with open(os.path.join(d, "b.log"), "w") as fh:   # hours behind the watermark (14:00)
+        fh.write("2026-01-27 09:00:00 UTC [1] LOG:  statement: DROP TABLE x\n")
+    q = run()
+    dropped = sum(op.get("numRowsDroppedByWatermark", 0)
+                  for p in q.recentProgress for op in p.get("stateOperators", []))
+    assert dropped >= 1
+    got = spark.read.parquet(out + "/data")
+    assert got.filter(F.hour("window_start") == 9).count() == 0
