@@ -19,6 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+# The pandas functions of this module run in Python workers: ship them by
+# value so executors need not have the package installed.
+import sys as _sys  # noqa: E402
+
+from pyspark import cloudpickle as _cloudpickle  # noqa: E402
+
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
 from ..plans.activity import (LOG_CLASS_RULES, LOG_CONCURRENT_RE, LOG_DDL_RE, LOG_HEADER_RE, LOG_STATEMENT_RE,
                               STMT_KEY_CHARS)
 
