@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, toxicity
+from . import decontaminate, mixing, pii, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scans": secrets.op1,
+    "op2_pii": pii.op2,
     "op6_benchmark_decontamination": decontaminate.op6,
     "op7_toxicity": toxicity.op7,
+    "op10_source_mixing": mixing.op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_source_mixing": mixing.ORACLE,
+}
