@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, pii, secrets, toxicity
+from . import decontaminate, mixing, pii, secrets, setjoin, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": secrets.op1,
     "op2_pii": pii.op2,
+    "op4_ngram_jaccard_join": setjoin.op4,
     "op6_benchmark_decontamination": decontaminate.op6,
     "op7_toxicity": toxicity.op7,
     "op10_source_mixing": mixing.op10,
