@@ -11,12 +11,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlint.llm import decontaminate, toxicity
+from fleetlint.llm import decontaminate, mixing, secrets, setjoin, toxicity
 from fleetlint.session import scratch_dir
 
 STAGES = [
     ("toxicity", toxicity.stage),
+    ("ngram_jaccard_join", setjoin.stage),
     ("benchmark_decontamination", decontaminate.stage),
+    ("secret_scans", secrets.stage),
+    ("source_mixing", mixing.stage),
 ]
 
 #: stages 1 (a trained network) and 2 (similarity classes) are not expressible in SQL
