@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, pii, secrets, setjoin, toxicity
+from . import decontaminate, mixing, pii, secrets, setjoin, suffixdedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": secrets.op1,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard_join": setjoin.op4,
     "op6_benchmark_decontamination": decontaminate.op6,
     "op7_toxicity": toxicity.op7,
+    "op8_suffix_array_dedup": suffixdedup.op8,
     "op10_source_mixing": mixing.op10,
 }
 
