@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, pii, secrets, setjoin, suffixdedup, toxicity
+from . import ann, decontaminate, lmscore, mixing, pii, quality, secrets, setjoin, suffixdedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": secrets.op1,
     "op2_pii": pii.op2,
+    "op3_learned_partition_search": ann.op3,
     "op4_ngram_jaccard_join": setjoin.op4,
+    "op5_lm_scoring": lmscore.op5,
     "op6_benchmark_decontamination": decontaminate.op6,
     "op7_toxicity": toxicity.op7,
     "op8_suffix_array_dedup": suffixdedup.op8,
+    "op9_quality": quality.op9,
     "op10_source_mixing": mixing.op10,
 }
 
