@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import ALNUM, column_bytes, map_text, split_words, word_hashes
+from .textops import ALNUM, column_bytes, fresh, map_text, split_words, word_hashes
 
 WINDOW = 10
 SAMPLE = 16
@@ -407,9 +407,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with benchmark passages cut from their texts; documents that were nothing else go."""
     blocks = list(phrase_blocks(spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
-    before = F.coalesce(F.length("text"), F.lit(0))
-    out = remove(spark, docs.withColumn("_was", before), blocks)
-    emptied = (F.col("_was") > 0) & ~F.coalesce(F.col("text").rlike(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"), F.lit(False)) & (F.length("text") < F.col("_was"))
+    was = fresh("was", docs.columns)
+    out = remove(spark, docs.withColumn(was, F.coalesce(F.length("text"), F.lit(0))), blocks)
+    emptied = (F.col(was) > 0) & ~F.coalesce(F.col("text").rlike(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"), F.lit(False)) & (F.length("text") < F.col(was))
     return out.filter(~emptied).select(*docs.columns)
 
 

@@ -154,7 +154,8 @@ def deal(docs: DataFrame, t: Target = Target()) -> DataFrame:
     cols = [c for c in docs.columns if c not in made]
     sources, n = plan(docs, t)
     last = F.col("_p.epochs")
-    out = (docs.select(*cols).withColumn("_src", _source())
+    row = F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row")
+    out = (docs.select(row, "doc_id", _source().alias("_src"))
                .join(_sized(sources.select(F.col("src").alias("_src"), F.struct("weight", "epochs", "blocks", "cut_block", "cut_doc").alias("_p")), n), "_src")
                .withColumn("block", _block(t.seed, F.col("_p.blocks")))
                .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
@@ -163,7 +164,7 @@ def deal(docs: DataFrame, t: Target = Target()) -> DataFrame:
     whole = F.col("epoch") < last
     part = F.col("_p.cut_block").isNotNull() & ((F.col("block_key") < F.col("_p.cut_block"))
                                                | ((F.col("block_key") == F.col("_p.cut_block")) & (F.col("doc_key") <= F.col("_p.cut_doc"))))
-    return out.filter(whole | part).select(*cols, "epoch", "block", "block_key", "doc_key", F.col("_p.weight").alias("weight"))
+    return out.filter(whole | part).select("_row.*", "epoch", "block", "block_key", "doc_key", F.col("_p.weight").alias("weight"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

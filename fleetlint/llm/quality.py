@@ -162,10 +162,14 @@ def _strength(groups: DataFrame, mean: str, center, center_name: str | None = No
 
 
 def combine(scored: DataFrame, sites: Sites = Sites()) -> DataFrame:
-    """``scored`` (evidence column ``p``, host and path columns) plus host_post, path_post and quality."""
+    """``scored`` (evidence column ``p``, host and path columns) plus host_post, path_post and quality
+    (columns of these names are replaced)."""
     h, p = f"`{sites.host}`", f"`{sites.path}`"
-    flat = scored.withColumn("_h", F.coalesce(F.concat(F.lit("s"), F.col(h).cast("string")), F.lit("n"))).withColumn(
-        "_p", F.coalesce(F.concat(F.lit("s"), F.col(p).cast("string")), F.lit("n")))
+    made = ("host_post", "path_post", "quality")
+    keep = [c for c in scored.columns if c not in made]
+    flat = scored.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col("p").alias("p"),
+                         F.coalesce(F.concat(F.lit("s"), F.col(h).cast("string")), F.lit("n")).alias("_h"),
+                         F.coalesce(F.concat(F.lit("s"), F.col(p).cast("string")), F.lit("n")).alias("_p"))
     paths = written(flat.groupBy("_h", "_p").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q"))
                     .withColumn("v", F.greatest(F.lit(0.0), F.col("q") - F.col("s") * F.col("s") / F.col("n"))), "paths")
     hosts = paths.groupBy("_h").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).withColumn(
@@ -177,15 +181,13 @@ def combine(scored: DataFrame, sites: Sites = Sites()) -> DataFrame:
     table = written(paths.join(hosts, "_h"), "sites")
     k_path = _strength(table, "s", None, "host_post")
     few = table.count() <= BROADCAST_SITES
-    made = ("host_post", "path_post", "quality", "_h", "_p")
-    keep = [c for c in scored.columns if c not in made]
     site = table.select("_h", "_p", "n", "s", "hn", "hs")
     out = flat.join(F.broadcast(site) if few else site, ["_h", "_p"])
     own_host = (F.col("hs") - F.col("p") + k_host * mu) / (F.col("hn") - 1 + k_host)
     own_path = (F.col("s") - F.col("p") + k_path * own_host) / (F.col("n") - 1 + k_path)
     out = out.withColumn("host_post", own_host).withColumn("path_post", own_path)
     z = _logit(F.col("p")) + _logit(F.col("path_post")) - _logit(F.lit(mu))
-    return out.withColumn("quality", 1 / (1 + F.exp(-z))).select(*[F.col(f"`{c}`") for c in keep], "host_post", "path_post", "quality")
+    return out.withColumn("quality", 1 / (1 + F.exp(-z))).select("_row.*", "host_post", "path_post", "quality")
 
 
 def score(spark: SparkSession, docs: DataFrame, model: dict, keep: list[str], text: str = "text") -> DataFrame:

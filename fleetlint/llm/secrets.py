@@ -97,7 +97,8 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     cols = docs.columns
     weak = F.expr(" or ".join(f"size({k}) > 0" for k in WEAK))
-    found = located(docs.withColumn("key", row_key("doc_id", "text")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), "doc_id", "text", row_key("doc_id", "text").alias("key"))
+    found = located(rows)
     plain = found.filter(~weak).withColumn("_all", tagged(list(BASE)))
     hard = found.filter(weak)
     hard = hard.join(linked(hard), "key", "left").withColumn(
@@ -105,9 +106,10 @@ def redact(docs: DataFrame) -> DataFrame:
     out = []
     for part in (plain, hard):
         part = part.withColumn("text", F.when(F.size("_all") > 0, redacted(F.col("_t"), F.col("_all"), MARK)).otherwise(F.col("text")))
+        new = {"text": F.col("text")}
         if "n_chars" in cols:
-            part = part.withColumn("n_chars", F.when(F.size("_all") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-        out.append(part.select(*cols))
+            new["n_chars"] = F.when(F.size("_all") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+        out.append(part.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in cols]))
     return out[0].unionByName(out[1])
 
 

@@ -120,6 +120,14 @@ def word_hashes(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix64(out)
 
 
+def fresh(name: str, taken) -> str:
+    """``name``, lengthened until no column in ``taken`` has it (names compare without case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def map_text(df: DataFrame, text: str, keep: list[str], fields: list[T.StructField],
              kernel: Callable[[pa.Array], list[pa.Array]], limit: int = CHUNK_BYTES) -> DataFrame:
     """``df``'s ``keep`` columns plus ``fields`` computed by ``kernel`` from the text column.
