@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import cut, fmt_time, lsn_diff_bytes
-from ..operators.relops import ordered_array_agg, topk
+from ..functions.scalar import fmt_time, lsn_diff_bytes
+from ..operators.relops import ordered_array_agg
 from .common import CONSIDER, CRITICAL, INFO, WARNING, facts_frame, per_instance_count, sev
 from .registry import register_check
 from .settings import violations
 
 # Fixed values
-CONFLICT_TOP_K = 50
-EXCEPTION_TOP_K = 50
-EXCEPTION_MESSAGE_CHARS = 300
 SLOT_CRITICAL_MB = 1024
 SLOT_WARNING_MB = 100
 
@@ -199,32 +197,29 @@ def stale_replication_slots(cat):
                        retained_mb=F.col("retained_mb"))
 
 
-def _log_rollup(cat, table: str, group_cols: list, ts: str, k_top: int, count_name: str,
+def _log_rollup(cat, table: str, group_cols: list, ts: str, count_name: str,
                 total_sev_when_any: str, row_sev: str, object_col: str, summary_object: str, extra):
-    """Shared shape of conflict_log / exception_log: grouped counts, true
-    total per instance, the top ``k_top`` groups (deterministic tie-break),
-    INFO when the instance has none."""
+    """Shared shape of conflict_log / exception_log: every group with its
+    count and rank (deterministic tie-break), total per instance, INFO when
+    the instance has none.  Ranks are over pre-aggregated groups."""
     k = cat.keys
     src = cat[table]
     g = src.groupBy(*k, *group_cols).agg(F.count(F.lit(1)).alias(count_name),
                                          F.max(ts).alias("last_ts"))
     totals = g.groupBy(*k).agg(F.sum(count_name).cast("bigint").alias("total"))
-    top = topk(g, k, [F.col(count_name).desc(), *[F.col(c).asc() for c in group_cols]], k_top, "rank")
-    shown = top.groupBy(*k).agg(F.sum(count_name).cast("bigint").alias("shown_total"))
-    inst = cat.instances().select(*k).join(totals, k, "left").join(shown, k, "left") \
-        .select(*k, F.coalesce("total", F.lit(0)).cast("bigint").alias("total"),
-                F.coalesce("shown_total", F.lit(0)).cast("bigint").alias("shown_total"))
-    detail = top.join(inst, k)
+    w = Window.partitionBy(*k).orderBy(F.col(count_name).desc(), *[F.col(c).asc() for c in group_cols])
+    inst = cat.instances().select(*k).join(totals, k, "left") \
+        .select(*k, F.coalesce("total", F.lit(0)).cast("bigint").alias("total"))
+    detail = g.withColumn("rank", F.row_number().over(w)).join(inst, k)
     detail = facts_frame(detail, k, F.col(object_col), F.lit(row_sev), kind=F.lit("group"),
                          **extra, event_count=F.col(count_name), last_event=fmt_time("last_ts"),
-                         rank=F.col("rank").cast("bigint"), total=F.col("total"),
-                         shown_total=F.col("shown_total"))
+                         rank=F.col("rank").cast("bigint"), total=F.col("total"))
     nulls = {n: F.lit(None).cast("string") for n in extra}
     summary = facts_frame(inst, k, F.lit(summary_object),
                           F.when(F.col("total") > 0, F.lit(total_sev_when_any)).otherwise(F.lit(INFO)),
                           kind=F.when(F.col("total") > 0, F.lit("total")).otherwise(F.lit("none")),
                           **nulls, event_count=F.col("total"), last_event=F.lit(None).cast("string"),
-                          rank=F.lit(0).cast("bigint"), total=F.col("total"), shown_total=F.col("shown_total"))
+                          rank=F.lit(0).cast("bigint"), total=F.col("total"))
     return detail.unionByName(summary)
 
 
@@ -237,7 +232,7 @@ def _log_rollup(cat, table: str, group_cols: list, ts: str, k_top: int, count_na
                 .otherwise(F.lit("No replication conflicts found")))
 def conflict_log(cat):
     return _log_rollup(cat, "conflict_history", ["table_name", "conflict_type", "resolution"], "conflict_ts",
-                       CONFLICT_TOP_K, "n", WARNING, WARNING, "table_name", "spock.conflict_history",
+                       "n", WARNING, WARNING, "table_name", "spock.conflict_history",
                        {"conflict_type": F.col("conflict_type"), "resolution": F.col("resolution")})
 
 
@@ -253,6 +248,6 @@ def conflict_log(cat):
                     "Review the failing rows and resolve the cause on the subscriber.")))
 def exception_log(cat):
     return _log_rollup(cat, "exception_log", ["remote_origin", "table_name", "error_message"], "exception_time",
-                       EXCEPTION_TOP_K, "n", CRITICAL, CRITICAL, "table_name", "spock.exception_log",
+                       "n", CRITICAL, CRITICAL, "table_name", "spock.exception_log",
                        {"origin": F.col("remote_origin").cast("string"),
-                        "error_message": cut("error_message", EXCEPTION_MESSAGE_CHARS)})
+                        "error_message": F.col("error_message")})

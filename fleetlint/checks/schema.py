@@ -287,10 +287,9 @@ def enum_types(cat):
     k = cat.keys
     e = cat["cat_enum"].withColumnRenamed("typnamespace", "relnamespace").join(
         cat.user_namespaces(), k + ["relnamespace"])
-    g = group_list_preview(e, k + ["nspname", "typname"], "enumlabel", [F.col("enumsortorder")],
-                           show=10, keep=20)
+    g = e.groupBy(*k, "nspname", "typname").agg(ordered_array_agg("enumlabel", "enumsortorder").alias("labels"))
     return facts_frame(g, k, qualify("nspname", "typname"), F.lit(CONSIDER),
-                       label_count=F.col("count").cast("bigint"), labels=F.array_join("kept", ","))
+                       label_count=F.size("labels").cast("bigint"), labels=F.array_join("labels", ","))
 
 
 @register_check("generated_columns", "schema", needs=("cat_class", "cat_namespace", "cat_attribute"),
@@ -409,7 +408,7 @@ def notify_listen(cat):
                          query=F.lit(None).cast("string"), calls=F.lit(0).cast("bigint"))
     s = current_statements(cat).filter(F.col("query").rlike("(?s)" + NOTIFY_REGEX))
     s_rows = facts_frame(s, k, F.lit("(query)"), F.lit(CONSIDER), source=F.lit("statement"),
-                         query=cut("query", 200), calls=F.col("calls").cast("bigint"))
+                         query=F.col("query"), calls=F.col("calls").cast("bigint"))
     return f_rows.unionByName(s_rows)
 
 
@@ -425,9 +424,9 @@ def tablespace_usage(cat):
     t = c.join(cat["cat_tablespace"].select(*k, F.col("oid").alias("reltablespace"), "spcname"),
                k + ["reltablespace"])
     label = F.concat(F.col("fqn"), F.lit(" ("), code_labels("relkind", RELKIND_LABELS), F.lit(")"))
-    g = group_list_preview(t, k + ["spcname"], label, [F.col("nspname"), F.col("relname")], show=10, keep=20)
+    g = t.groupBy(*k, "spcname").agg(ordered_array_agg(label, "nspname", "relname").alias("objects"))
     return facts_frame(g, k, F.col("spcname"), F.lit(CONSIDER),
-                       object_count=F.col("count").cast("bigint"), objects=F.array_join("kept", ","))
+                       object_count=F.size("objects").cast("bigint"), objects=F.array_join("objects", ","))
 
 
 @register_check("temp_tables", "schema", needs=("cat_namespace", "cat_proc"),

@@ -34,7 +34,6 @@ STATEMENT_PATTERNS = [
     ("concurrent_index", r"(?is)CREATE\s+INDEX\s+CONCURRENTLY"),
     ("temp_table", r"(?is)CREATE\s+(TEMP|TEMPORARY)\s+TABLE"),
 ]
-QUERY_CHARS = 200
 EXAMPLE_CHARS = {"ddl": 120, "concurrent_index": 150, "temp_table": 150}
 EXAMPLES = 10
 
@@ -45,6 +44,12 @@ def classify_statements(cat):
         "classes", regex_classes("query", STATEMENT_PATTERNS)))
 
 
+def pattern_statements(cat):
+    """Every matched statement with its whole text: the rows behind the checks' counts and previews."""
+    s = classify_statements(cat)
+    return s.select(*cat.keys, F.explode("classes").alias("pattern"), F.col("calls").cast("bigint").alias("calls"), "query")
+
+
 def _of(cat, cls: str):
     return classify_statements(cat).filter(F.array_contains("classes", cls))
 
@@ -67,9 +72,9 @@ def _examples(cat, cls: str):
 def truncate_cascade(cat):
     s = classify_statements(cat)
     c = facts_frame(s.filter(F.array_contains("classes", "truncate_cascade")), cat.keys, F.lit("(query)"),
-                    F.lit(WARNING), pattern=F.lit("cascade"), query=cut("query", QUERY_CHARS), calls=F.col("calls"))
+                    F.lit(WARNING), pattern=F.lit("cascade"), query=F.col("query"), calls=F.col("calls"))
     r = facts_frame(s.filter(F.array_contains("classes", "truncate_restart")), cat.keys, F.lit("(query)"),
-                    F.lit(CONSIDER), pattern=F.lit("restart"), query=cut("query", QUERY_CHARS), calls=F.col("calls"))
+                    F.lit(CONSIDER), pattern=F.lit("restart"), query=F.col("query"), calls=F.col("calls"))
     return c.unionByName(r)
 
 
@@ -92,7 +97,7 @@ def ddl_statements(cat):
                                           "distributed lock or keep the workload on one node."))
 def advisory_locks(cat):
     s = _of(cat, "advisory_lock")
-    return facts_frame(s, cat.keys, F.lit("(query)"), F.lit(CONSIDER), query=cut("query", QUERY_CHARS),
+    return facts_frame(s, cat.keys, F.lit("(query)"), F.lit(CONSIDER), query=F.col("query"),
                        calls=F.col("calls"))
 
 

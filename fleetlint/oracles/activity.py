@@ -5,11 +5,10 @@ from __future__ import annotations
 from ..plans.activity import (LOG_CONCURRENT_RE, LOG_DDL_RE, LOG_HEADER_RE, LOG_STATEMENT_RE)
 
 STMT_KEY = """
-with s as (select *, coalesce(cast(queryid as varchar), substr(query, 1, 200)) as stmt_key from stat_statements),
-r as (select *, row_number() over (partition by instance_id, snapshot_no, stmt_key order by calls, query) as rn from s)
-select instance_id, snapshot_no, stmt_key, query, cast(calls as bigint) as calls,
-       cast(total_exec_time as double) as total_exec_time, cast(row_count as bigint) as row_count
-from r where rn = 1"""
+with s as (select *, coalesce(cast(queryid as varchar), sha256(coalesce(query, ''))) as stmt_key from stat_statements)
+select instance_id, snapshot_no, stmt_key, min(query) as query, cast(sum(calls) as bigint) as calls,
+       cast(sum(total_exec_time) as double) as total_exec_time, cast(sum(row_count) as bigint) as row_count
+from s group by instance_id, snapshot_no, stmt_key"""
 
 _DELTA_CTES = f"""k as ({STMT_KEY}),
 sn as (select instance_id, snapshot_no, row_number() over (partition by instance_id order by snapshot_no desc) as pos
@@ -32,14 +31,13 @@ cnt as (select instance_id, count(*) filter (where status = 'new') as new_count,
 nw as (select instance_id, string_agg(case when rn <= 20 then substr(query, 1, 150) end, chr(10) order by rn) as ex
        from (select *, row_number() over (partition by instance_id order by delta_calls desc, stmt_key) as rn
              from d where status = 'new') x group by instance_id),
-top as (select * from (select *, row_number() over (partition by instance_id order by delta_calls desc, stmt_key)
-                       as rn from d where status = 'changed') x where rn <= 50),
+top as (select * from d where status = 'changed'),
 obs as (select instance_id, query, delta_calls, 'truncate_cascade' as kind from top
         where regexp_matches(query, '(?is)TRUNCATE.*CASCADE')
         union all
         select instance_id, query, delta_calls, 'concurrent_index' from top
         where regexp_matches(query, '(?is)CREATE\\s+INDEX\\s+CONCURRENTLY'))
-select o.instance_id, '(observed)' as object_name, 'WARNING' as severity, o.kind, substr(o.query, 1, 200) as query,
+select o.instance_id, '(observed)' as object_name, 'WARNING' as severity, o.kind, o.query,
        o.delta_calls, cast(null as varchar) as examples, c.new_count, c.active_count
 from obs o join cnt c on c.instance_id = o.instance_id
 union all

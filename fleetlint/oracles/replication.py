@@ -16,7 +16,7 @@ def _setting(name: str, cond: str, sev: str, extra: str = "") -> str:
 _SPOCK = "sp as (select distinct instance_id from cat_namespace where nspname = 'spock')"
 
 
-def _rollup(table: str, cols: list[str], ts: str, k: int, row_sev: str, total_sev: str, obj: str,
+def _rollup(table: str, cols: list[str], ts: str, row_sev: str, total_sev: str, obj: str,
             extra: list[tuple[str, str]]) -> str:
     gcols = ", ".join(cols)
     order = ", ".join(cols)
@@ -26,20 +26,17 @@ def _rollup(table: str, cols: list[str], ts: str, k: int, row_sev: str, total_se
 with g as (select instance_id, {gcols}, count(*) as n, max({ts}) as last_ts from {table}
            group by instance_id, {gcols}),
 tot as (select instance_id, cast(sum(n) as bigint) as total from g group by instance_id),
-top as (select *, row_number() over (partition by instance_id order by n desc, {order}) as rnk from g
-        qualify rnk <= {k}),
-sh as (select instance_id, cast(sum(n) as bigint) as shown_total from top group by instance_id),
-pinst as (select i.instance_id, coalesce(t.total, 0) as total, coalesce(s.shown_total, 0) as shown_total
-         from instances i left join tot t on t.instance_id = i.instance_id
-         left join sh s on s.instance_id = i.instance_id)
+top as (select *, row_number() over (partition by instance_id order by n desc, {order}) as rnk from g),
+pinst as (select i.instance_id, coalesce(t.total, 0) as total
+         from instances i left join tot t on t.instance_id = i.instance_id)
 select t.instance_id, t.table_name as object_name, '{row_sev}' as severity, 'group' as kind, {extra_sel},
        t.n as event_count, strftime(t.last_ts, '%Y-%m-%d %H:%M:%S') as last_event, t.rnk as rank,
-       i.total, i.shown_total
+       i.total
 from top t join pinst i on i.instance_id = t.instance_id
 union all
 select instance_id, '{obj}', case when total > 0 then '{total_sev}' else 'INFO' end,
        case when total > 0 then 'total' else 'none' end, {extra_null}, total, cast(null as varchar),
-       cast(0 as bigint), total, shown_total
+       cast(0 as bigint), total
 from pinst"""
 
 
@@ -110,11 +107,11 @@ select instance_id, slot_name as object_name,
 from (select *, coalesce(cast({_lsn('current_lsn')} - {_lsn('restart_lsn')} as double) / 1048576.0, 0.0) as mb
       from replication_slots where not active) x""",
 
-    "conflict_log": _rollup("conflict_history", ["table_name", "conflict_type", "resolution"], "conflict_ts", 50,
+    "conflict_log": _rollup("conflict_history", ["table_name", "conflict_type", "resolution"], "conflict_ts",
                             "WARNING", "WARNING", "spock.conflict_history",
                             [("conflict_type", "t.conflict_type"), ("resolution", "t.resolution")]),
     "exception_log": _rollup("exception_log", ["remote_origin", "table_name", "error_message"], "exception_time",
-                             50, "CRITICAL", "CRITICAL", "spock.exception_log",
+                             "CRITICAL", "CRITICAL", "spock.exception_log",
                              [("origin", "cast(t.remote_origin as varchar)"),
-                              ("error_message", "substr(t.error_message, 1, 300)")]),
+                              ("error_message", "t.error_message")]),
 }

@@ -126,7 +126,7 @@ with e as (
   from cat_enum e join ns n on n.instance_id = e.instance_id and n.relnamespace = e.typnamespace)
 select instance_id, nspname || '.' || typname as object_name, 'CONSIDER' as severity,
        count(*) as label_count,
-       string_agg(case when rn <= 20 then enumlabel end, ',' order by enumsortorder) as labels
+       string_agg(enumlabel, ',' order by enumsortorder) as labels
 from e group by instance_id, nspname, typname""",
 
     "generated_columns": f"""
@@ -178,7 +178,7 @@ select p.instance_id, n.nspname || '.' || p.proname as object_name, 'WARNING' as
 from cat_proc p join ns n on n.instance_id = p.instance_id and n.relnamespace = p.pronamespace
 where regexp_matches(p.prosrc, '(?i)pg_notify|\bnotify\b')
 union all
-select instance_id, '(query)', 'CONSIDER', 'statement', substr(query, 1, 200), calls
+select instance_id, '(query)', 'CONSIDER', 'statement', query, calls
 from cur_stmt where regexp_matches(query, '(?is)pg_notify|\bnotify\b')""",
 
     "tablespace_usage": f"""
@@ -189,7 +189,7 @@ with t as (
   from uc u join cat_tablespace s on s.instance_id = u.instance_id and s.oid = u.reltablespace
   where u.relkind in ('r', 'i', 'm') and u.reltablespace <> 0)
 select instance_id, spcname as object_name, 'CONSIDER' as severity, count(*) as object_count,
-       string_agg(case when rn <= 20 then label end, ',' order by rn) as objects
+       string_agg(label, ',' order by rn) as objects
 from t group by instance_id, spcname""",
 
     "temp_tables": r"""

@@ -11,13 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import cut
 from ..model import INFO, WARNING
-from ..operators.relops import group_list_preview, regex_classes, topk
+from ..operators.relops import group_list_preview, regex_classes
 
 # Fixed values -----------------------------------------------------------------
-STMT_KEY_CHARS = 200
 NEW_EXAMPLES, NEW_EXAMPLE_CHARS = 20, 150
-OBSERVED_TOP = 50
-OBSERVED_QUERY_CHARS = 200
 OBSERVED_PATTERNS = [("truncate_cascade", r"(?is)TRUNCATE.*CASCADE"),
                      ("concurrent_index", r"(?is)CREATE\s+INDEX\s+CONCURRENTLY")]
 
@@ -31,7 +28,6 @@ LOG_CLASS_RULES = [
     ("advisory_lock", r"(?i)\bpg_(try_)?advisory_lock"),
 ]
 LOG_CONCURRENT_RE = r"(?i)\bCREATE\s+INDEX\s+CONCURRENTLY\b"
-LOG_STATEMENT_CHARS = 500
 LOG_EXAMPLE_CHARS = 150
 LOG_EXAMPLES = {"truncate_cascade": 10, "concurrent_index": 10, "ddl": 20}
 LOG_CLASS_SEVERITY = {"truncate_cascade": WARNING, "concurrent_index": WARNING, "ddl": INFO,
@@ -40,15 +36,19 @@ DEFAULT_BLOCK_LINES = 1 << 20
 
 
 # -- statement counters ---------------------------------------------------------------
-def stmt_keyed(stats: DataFrame, keys: list[str], combine: str = "last") -> DataFrame:
+def stmt_key() -> Column:
+    """The query id, else a hash of the whole text (texts with a common start stay apart)."""
+    return F.coalesce(F.col("queryid").cast("string"), F.sha2(F.coalesce("query", F.lit("")), 256))
+
+
+def stmt_keyed(stats: DataFrame, keys: list[str], combine: str = "sum") -> DataFrame:
     """One row per (keys, snapshot_no, stmt_key).
 
-    ``stmt_key`` is the query id, else the first 200 characters of the text.
-    Duplicate keys inside one snapshot: ``combine='last'`` keeps the row with
-    the fewest calls (the reference's overwrite order), ties broken by text;
-    ``combine='sum'`` adds the counters up.
+    Duplicate keys inside one snapshot (one statement of several users or
+    databases): ``combine='sum'`` adds the counters up; ``combine='last'`` keeps
+    the row with the fewest calls, ties broken by text.
     """
-    s = stats.withColumn("stmt_key", F.coalesce(F.col("queryid").cast("string"), cut("query", STMT_KEY_CHARS)))
+    s = stats.withColumn("stmt_key", stmt_key())
     g = s.groupBy(*keys, "snapshot_no", "stmt_key")
     if combine == "sum":
         return g.agg(F.min("query").alias("query"), F.sum("calls").cast("bigint").alias("calls"),
@@ -103,9 +103,9 @@ def stmt_history_delta(stats: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def stmt_delta_findings(stats: DataFrame, keys: list[str]) -> DataFrame:
-    """Findings of one observation window per instance: new statements (with
-    20 examples), TRUNCATE CASCADE / CREATE INDEX CONCURRENTLY among the 50
-    most active changed statements, and a summary row."""
+    """Findings of one observation window per instance: new statements (count
+    and a preview; ``stmt_delta`` has every one with its text), TRUNCATE CASCADE /
+    CREATE INDEX CONCURRENTLY among all changed statements, and a summary row."""
     d = stmt_delta(stats, keys)
     new = d.filter(F.col("status") == "new").withColumn("example", cut("query", NEW_EXAMPLE_CHARS))
     new_g = group_list_preview(new, keys, "example", [F.col("delta_calls").desc(), F.col("stmt_key").asc()],
@@ -113,12 +113,11 @@ def stmt_delta_findings(stats: DataFrame, keys: list[str]) -> DataFrame:
     changed = d.filter(F.col("status") == "changed")
     counts = d.groupBy(*keys).agg(F.count_if(F.col("status") == "new").alias("new_count"),
                                   F.count_if(F.col("status") == "changed").alias("active_count"))
-    top = topk(changed, keys, [F.col("delta_calls").desc(), F.col("stmt_key").asc()], OBSERVED_TOP, "rank")
-    top = top.withColumn("classes", regex_classes("query", OBSERVED_PATTERNS))
-    obs = top.select(*keys, "query", "delta_calls", F.explode("classes").alias("kind")).join(counts, keys)
+    seen = changed.withColumn("classes", regex_classes("query", OBSERVED_PATTERNS))
+    obs = seen.select(*keys, "query", "delta_calls", F.explode("classes").alias("kind")).join(counts, keys)
     cols = ["object_name", "severity", "kind", "query", "delta_calls", "examples", "new_count", "active_count"]
     obs_rows = obs.select(*keys, F.lit("(observed)").alias("object_name"), F.lit(WARNING).alias("severity"), "kind",
-                          cut("query", OBSERVED_QUERY_CHARS).alias("query"), F.col("delta_calls").cast("bigint"),
+                          "query", F.col("delta_calls").cast("bigint"),
                           F.lit(None).cast("string").alias("examples"), "new_count", "active_count")
     new_rows = new_g.join(counts, keys).select(
         *keys, F.lit("(queries)").alias("object_name"), F.lit(INFO).alias("severity"), F.lit("new").alias("kind"),

@@ -115,6 +115,7 @@ _register_reports()
 
 # -- activity ------------------------------------------------------------
 def _register_activity() -> None:
+    from ..checks import sql_patterns
     from ..oracles import activity as osql
     from . import activity as act
 
@@ -125,6 +126,7 @@ def _register_activity() -> None:
         run.__doc__ = fn.__doc__
         return run
 
+    QUERIES["pattern_statements"] = keyed(lambda cat: sql_patterns.pattern_statements(cat))
     QUERIES["stmt_key"] = keyed(lambda cat: act.stmt_keyed(cat["stat_statements"], cat.keys))
     QUERIES["stmt_delta"] = keyed(lambda cat: act.stmt_delta(cat["stat_statements"], cat.keys))
     QUERIES["stmt_delta_findings"] = keyed(lambda cat: act.stmt_delta_findings(cat["stat_statements"], cat.keys))

@@ -7,7 +7,8 @@
 * ``stream_stmt_delta``: statement-counter snapshots arriving as files; per
   (instance, statement key) the last counters are kept as state and every
   arrival emits its increase.  A counter drop is a reset (the new value is
-  the delta).  Idle keys expire after ``state_ttl``.
+  the delta).  A snapshot not newer than the key's last one is reported as
+  ``late`` with no increase.  Idle keys expire after ``state_ttl_ms``.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ from pyspark import cloudpickle as _cloudpickle  # noqa: E402
 _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
 
 from ..plans.activity import (LOG_CLASS_RULES, LOG_CONCURRENT_RE, LOG_DDL_RE, LOG_HEADER_RE, LOG_STATEMENT_RE,
-                              STMT_KEY_CHARS)
+                              stmt_key)
 
 STMT_SCHEMA = ("snapshot_no int, instance_id bigint, queryid bigint, query string, calls bigint, "
-               "row_count bigint, total_exec_time bigint")
+               "row_count bigint, total_exec_time double")
 DELTA_SCHEMA = ("instance_id bigint, stmt_key string, snapshot_no int, query string, status string, "
                 "delta_calls bigint, delta_time double, delta_rows bigint")
 STATE_SCHEMA = "snapshot_no int, calls bigint, total_time double, row_count bigint"
@@ -74,42 +75,43 @@ def batch_log_classes(lines: DataFrame, window: str = "1 hour") -> DataFrame:
                      F.col("w.end").alias("window_end"), "n"))
 
 
-def _delta_fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Emit the counter increase of each newly arrived snapshot of one statement key."""
-    instance_id, stmt_key = key
-    if state.hasTimedOut:
-        state.remove()
-        return
-    prev = state.get if state.exists else None
-    rows = []
-    for pdf in pdfs:
-        for r in pdf.sort_values(["snapshot_no", "calls"]).itertuples(index=False):
-            if prev is not None and r.snapshot_no <= prev[0]:
-                continue
-            if prev is None:
-                rows.append((instance_id, stmt_key, r.snapshot_no, r.query, "new", r.calls,
-                             float(r.total_exec_time), r.row_count))
-            elif r.calls < prev[1]:
-                rows.append((instance_id, stmt_key, r.snapshot_no, r.query, "reset", r.calls,
-                             float(r.total_exec_time), r.row_count))
-            elif r.calls > prev[1]:
-                rows.append((instance_id, stmt_key, r.snapshot_no, r.query, "changed", r.calls - prev[1],
-                             float(r.total_exec_time) - prev[2], r.row_count - prev[3]))
-            prev = (int(r.snapshot_no), int(r.calls), float(r.total_exec_time), int(r.row_count))
-    if prev is not None:
-        state.update(prev)
-        if state_timeout_enabled(state):
-            state.setTimeoutDuration(state_ttl_ms)
-    if rows:
-        yield pd.DataFrame(rows, columns=["instance_id", "stmt_key", "snapshot_no", "query", "status",
-                                          "delta_calls", "delta_time", "delta_rows"])
-
-
+DELTA_COLUMNS = ["instance_id", "stmt_key", "snapshot_no", "query", "status", "delta_calls", "delta_time", "delta_rows"]
 state_ttl_ms = 7 * 24 * 3600 * 1000
 
 
-def state_timeout_enabled(state: GroupState) -> bool:
-    return getattr(state, "_timeout_conf", "NoTimeout") != GroupStateTimeout.NoTimeout
+def snapshot_rows(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """One key's arrivals of a micro-batch, all chunks together: counters summed per snapshot, oldest first."""
+    p = pd.concat(list(pdfs), ignore_index=True)
+    return p.groupby("snapshot_no", as_index=False, sort=True).agg(
+        query=("query", "min"), calls=("calls", "sum"), total_exec_time=("total_exec_time", "sum"), row_count=("row_count", "sum"))
+
+
+def _delta_fn(ttl: bool):
+    """State function that emits the counter increase of each newly arrived snapshot of one statement key."""
+    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        prev = state.get if state.exists else None
+        rows = []
+        for r in snapshot_rows(pdfs).itertuples(index=False):
+            new = (int(r.snapshot_no), int(r.calls), float(r.total_exec_time), int(r.row_count))
+            if prev is not None and new[0] <= prev[0]:
+                rows.append((*key, r.snapshot_no, r.query, "late", 0, 0.0, 0))
+                continue
+            if prev is None or new[1] < prev[1]:
+                rows.append((*key, r.snapshot_no, r.query, "new" if prev is None else "reset", *new[1:]))
+            elif new[1] > prev[1]:
+                rows.append((*key, r.snapshot_no, r.query, "changed", *(n - p for n, p in zip(new[1:], prev[1:]))))
+            prev = new
+        if prev is not None:
+            state.update(prev)
+            if ttl:
+                state.setTimeoutDuration(state_ttl_ms)
+        if rows:
+            yield pd.DataFrame(rows, columns=DELTA_COLUMNS)
+
+    return step
 
 
 def stream_stmt_delta(spark: SparkSession, snapshot_dir: str, ttl: bool = True) -> DataFrame:
@@ -119,7 +121,7 @@ def stream_stmt_delta(spark: SparkSession, snapshot_dir: str, ttl: bool = True)
     a continuous trigger (timeouts schedule extra batches, so a query with
     ``availableNow`` would never finish) - use ``ttl=False`` there."""
     s = spark.readStream.schema(STMT_SCHEMA).parquet(snapshot_dir)
-    s = s.withColumn("stmt_key", F.coalesce(F.col("queryid").cast("string"), F.substring("query", 1, STMT_KEY_CHARS)))
+    s = s.withColumn("stmt_key", stmt_key())
     return s.groupBy("instance_id", "stmt_key").applyInPandasWithState(
-        _delta_fn, DELTA_SCHEMA, STATE_SCHEMA, "append",
+        _delta_fn(ttl), DELTA_SCHEMA, STATE_SCHEMA, "append",
         GroupStateTimeout.ProcessingTimeTimeout if ttl else GroupStateTimeout.NoTimeout)

@@ -42,7 +42,7 @@ def test_stream_log_classes_equals_batch_on_closed_windows(spark):
 def test_stream_stmt_delta_matches_batch_and_survives_restart(spark):
     cat = Catalog.from_fixtures(spark, SF)
     st = cat["stat_statements"].select("snapshot_no", F.col("instance_id").cast("bigint"), "queryid", "query",
-                                       "calls", "row_count", "total_exec_time")
+                                       "calls", "row_count", F.col("total_exec_time").cast("double"))
     src = tempfile.mkdtemp(prefix="fleetlint-stream-stats-")
     out = tempfile.mkdtemp(prefix="fleetlint-stream-delta-")
 
