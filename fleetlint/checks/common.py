@@ -38,3 +38,18 @@ def sev(*cases: tuple[Column, str], otherwise: str | None = None) -> Column:
     for cond, s in cases:
         expr = F.when(cond, F.lit(s)) if expr is None else expr.when(cond, F.lit(s))
     return expr.otherwise(F.lit(otherwise)) if otherwise is not None else expr
+
+
+def distinct_in_cluster(cat, rows: DataFrame, value: str, name: str) -> DataFrame:
+    """``rows`` with cluster_id and ``name``: the distinct ``value``s among the instances of the same cluster.
+
+    Counted per snapshot (all scope keys but the instance), so an upgrade
+    between two snapshots is no skew.  An instance without a cluster id, or
+    missing from ``instances``, is a cluster of its own.
+    """
+    k = list(cat.keys)
+    scope = [c for c in k if c != "instance_id"]
+    own = F.coalesce(F.concat(F.lit("c"), F.col("cluster_id").cast("string")), F.concat(F.lit("i"), F.col("instance_id").cast("string")))
+    t = rows.join(cat.instances().select(*k, "cluster_id"), k, "left").withColumn("cluster_key", own)
+    n = t.groupBy(*scope, "cluster_key").agg(F.count_distinct(value).alias(name))
+    return t.join(n, [*scope, "cluster_key"]).drop("cluster_key")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalar import trimmed_list
-from .common import CONSIDER, CRITICAL, INFO, WARNING, facts_frame
+from .common import CONSIDER, CRITICAL, INFO, WARNING, distinct_in_cluster, facts_frame
 from .registry import register_check
 from .settings import setting_value, violations
 
@@ -60,9 +60,7 @@ def pg_minor_version(cat):
     k = cat.keys
     t = _version_num(cat).filter(F.col("version_num").isNotNull()).withColumn(
         "server_version", F.format_string("%d.%d", F.expr("version_num div 10000"), F.col("version_num") % 10000))
-    t = t.join(cat.instances().select(*k, "cluster_id"), k)
-    skew = t.groupBy("cluster_id").agg(F.countDistinct("server_version").alias("cluster_versions"))
-    t = t.join(skew, "cluster_id")
+    t = distinct_in_cluster(cat, t, "server_version", "cluster_versions")
     return facts_frame(t, k, F.lit("pg_version"), F.lit(CONSIDER), server_version=F.col("server_version"),
                        cluster_id=F.col("cluster_id"), cluster_versions=F.col("cluster_versions"))
 
@@ -91,7 +89,7 @@ def parallel_apply(cat):
     rows = facts_frame(v, k, F.col("name"), F.col("fail_severity"), current=F.col("value"),
                        **{n: F.lit(None).cast("string") for n in PARALLEL_APPLY_SETTINGS})
     s = cat["settings"].filter(F.col("name").isin(*PARALLEL_APPLY_SETTINGS))
-    piv = s.groupBy(*k).pivot("name", PARALLEL_APPLY_SETTINGS).agg(F.first("setting"))
+    piv = s.groupBy(*k).pivot("name", PARALLEL_APPLY_SETTINGS).agg(F.max("setting"))
     summ = cat.instances().select(*k).join(piv, k, "left")
     summary = facts_frame(summ, k, F.lit("(config)"), F.lit(CONSIDER), current=F.lit(None).cast("string"),
                           **{n: F.col(n) for n in PARALLEL_APPLY_SETTINGS})

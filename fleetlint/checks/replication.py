@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import fmt_time, lsn_diff_bytes
 from ..operators.relops import ordered_array_agg
-from .common import CONSIDER, CRITICAL, INFO, WARNING, facts_frame, per_instance_count, sev
+from .common import CONSIDER, CRITICAL, INFO, WARNING, distinct_in_cluster, facts_frame, per_instance_count, sev
 from .registry import register_check
 from .settings import violations
 
@@ -77,10 +77,7 @@ def max_worker_processes(cat):
                     "Use the same encoding on all nodes; UTF8 is recommended.")))
 def database_encoding(cat):
     k = cat.keys
-    db = cat["cat_database"].filter(~F.col("datistemplate")).join(
-        cat.instances().select(*k, "cluster_id"), k)
-    per_cluster = db.groupBy("cluster_id").agg(F.countDistinct("encoding").alias("cluster_encodings"))
-    t = db.join(per_cluster, "cluster_id")
+    t = distinct_in_cluster(cat, cat["cat_database"].filter(~F.col("datistemplate")), "encoding", "cluster_encodings")
     return facts_frame(t, k, F.col("datname"),
                        F.when(F.col("encoding") != "UTF8", F.lit(CONSIDER)).otherwise(F.lit(INFO)),
                        encoding=F.col("encoding"), cluster_id=F.col("cluster_id"),

@@ -17,11 +17,11 @@ from {_VN} v where vn is not null""",
     "pg_minor_version": f"""
 with v as (select s.instance_id, i.cluster_id,
                   cast(vn // 10000 as varchar) || '.' || cast(vn % 10000 as varchar) as server_version
-           from {_VN} s join instances i on i.instance_id = s.instance_id where vn is not null),
-c as (select cluster_id, count(distinct server_version) as cluster_versions from v group by cluster_id)
+           from {_VN} s left join instances i on i.instance_id = s.instance_id where vn is not null),
+c as (select coalesce('c' || cluster_id, 'i' || instance_id) as ck, count(distinct server_version) as cluster_versions from v group by 1)
 select v.instance_id, 'pg_version' as object_name, 'CONSIDER' as severity, v.server_version, v.cluster_id,
        c.cluster_versions
-from v join c on c.cluster_id = v.cluster_id""",
+from v join c on c.ck = coalesce('c' || v.cluster_id, 'i' || v.instance_id)""",
 
     "track_commit_timestamp": """
 select instance_id, name as object_name, 'CRITICAL' as severity, setting as current

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from ..checks.extensions import KNOWN_EXTENSIONS, WARN_EXTENSIONS
-
-_KNOWN = ", ".join(f"('{n}', '{note}', {'true' if n in WARN_EXTENSIONS else 'false'})"
-                   for n, note in KNOWN_EXTENSIONS.items())
+_TYPES = "Adds types or functions that rows depend on: install the same version on every node."
+_INDEX = "Adds index operators only; rows replicate as before."
+_LOCAL = "Works on this node''s own data or connections: set it up on every node."
+_OTHER = "Distributes or replicates data itself and does not work together with Spock."
+_ROWS = [(n, _TYPES, False) for n in ("postgis", "pgcrypto", "hstore", "ltree", "citext")]
+_ROWS += [(n, _INDEX, False) for n in ("pg_trgm", "btree_gist", "btree_gin")] + [(n, _LOCAL, False) for n in ("dblink", "postgres_fdw", "file_fdw")]
+_ROWS += [(n, _OTHER, True) for n in ("timescaledb", "citus")]
+_ROWS += [("pg_stat_statements", "Shows statistics of this node only.", False),
+          ("pg_partman", "Changes partitions on its own: run its maintenance on one node and replicate the DDL, or on all nodes alike.", False),
+          ("lo", "Keeps references to large objects, which logical replication leaves out; LOLOR replicates them.", True)]
+_KNOWN = ", ".join(f"('{n}', '{note}', {'true' if warn else 'false'})" for n, note, warn in _ROWS)
 
 SQL = {
     "installed_extensions": f"""

@@ -53,13 +53,13 @@ SQL = {
         "max_worker_processes", ("try_cast(s.setting as bigint) < 16", "'16'"), "WARNING"),
 
     "database_encoding": """
-with db as (select d.*, i.cluster_id from cat_database d join instances i on i.instance_id = d.instance_id
+with db as (select d.*, i.cluster_id from cat_database d left join instances i on i.instance_id = d.instance_id
             where not d.datistemplate),
-pc as (select cluster_id, count(distinct encoding) as cluster_encodings from db group by cluster_id)
+pc as (select coalesce('c' || cluster_id, 'i' || instance_id) as ck, count(distinct encoding) as cluster_encodings from db group by 1)
 select db.instance_id, db.datname as object_name,
        case when db.encoding <> 'UTF8' then 'CONSIDER' else 'INFO' end as severity,
        db.encoding, db.cluster_id, pc.cluster_encodings
-from db join pc on pc.cluster_id = db.cluster_id""",
+from db join pc on pc.ck = coalesce('c' || db.cluster_id, 'i' || db.instance_id)""",
 
     "multiple_databases": """
 select instance_id, '(instance)' as object_name, 'WARNING' as severity, count(*) as database_count,

@@ -169,7 +169,8 @@ def findings_grouped(cat, findings: DataFrame) -> DataFrame:
 def todo_list(findings: DataFrame, include_consider: bool = False) -> DataFrame:
     sev = [CRITICAL, WARNING] + ([CONSIDER] if include_consider else [])
     t = findings.filter(F.col("severity").isin(*sev) & F.col("remediation").isNotNull())
-    return t.select("instance_id", "severity", F.col("severity_rank").cast("bigint").alias("severity_rank"),
+    keys = [c for c in ("instance_id", "snapshot_ts") if c in findings.columns]
+    return t.select(*keys, "severity", F.col("severity_rank").cast("bigint").alias("severity_rank"),
                     "check_name", "category", "object_name", "remediation")
 
 

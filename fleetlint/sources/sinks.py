@@ -17,14 +17,15 @@ def write_findings(findings: DataFrame, path: str, run_ts: str | None = None, mo
 
 
 def write_report_json(verdicts: DataFrame, findings: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Report documents per instance, as JSON lines in one folder per instance:
-    a header line (counts and verdict) followed by one line per finding.
+    """Report documents as JSON lines in one folder per instance (and snapshot,
+    where findings carry one): a header line (counts and verdict) followed by one line per finding.
     Findings are written as rows, never collected into one document value,
     so an instance with millions of findings is written by many tasks."""
+    keys = [c for c in ("instance_id", "snapshot_ts") if c in findings.columns and c in verdicts.columns]
     header = verdicts.select(
-        "instance_id", F.lit("summary").alias("record"),
-        F.to_json(F.struct(*[c for c in verdicts.columns if c != "instance_id"])).alias("body"))
+        *keys, F.lit("summary").alias("record"),
+        F.to_json(F.struct(*[c for c in verdicts.columns if c not in keys])).alias("body"))
     rows = findings.select(
-        "instance_id", F.lit("finding").alias("record"),
-        F.to_json(F.struct(*[c for c in findings.columns if c != "instance_id"])).alias("body"))
-    header.unionByName(rows).write.mode(mode).partitionBy("instance_id").json(path)
+        *keys, F.lit("finding").alias("record"),
+        F.to_json(F.struct(*[c for c in findings.columns if c not in keys])).alias("body"))
+    header.unionByName(rows).write.mode(mode).partitionBy(*keys).json(path)
