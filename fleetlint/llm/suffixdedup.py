@@ -18,9 +18,10 @@ equal if the suffixes they name agree in their first PIECE bytes.
    windows that name it.  In every sorted run rank pairs at offset 16 give
    ranks of 32 bytes, unique ones drop out, and pairs at offset 18 give ranks
    of 50 bytes: past the threshold.  The smallest document of each rank decides.
-4. Ranks held by very many documents (more than ``HOT_ROWS`` and a millionth of all)
-   are not sorted into one run: their windows are reduced to the smallest and largest document by
-   a grouped aggregate, combined in each task, and joined back.
+4. Ranks with very many rows (``hot_limit``: a share of all rows, at most a
+   million) are not sorted into one run: their windows are reduced to the
+   smallest and largest document, first in each task, then by a grouped
+   aggregate, and looked up again.
 5. Window ranges are gathered per document and cut from the text.
 
 Names of pieces and windows are 64-bit hashes of the bytes.
@@ -42,14 +43,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .filters import in_filter, membership
 from .spans import written
 from .textops import _BASE, _CODES, column_bytes, map_text, mix64, row_chunks
 
 LENGTH = 50
 PIECE = 16
 BLOCK = 1 << 20
-HOT_ROWS = 2000
-FILTER_BITS = (20, 28)          # smallest and largest size of the broadcast filter, as powers of two
+HOT_SHARE, HOT_ROWS = 5000, (500, 1_000_000)
 BROADCAST_IDS = 1_000_000
 RUN_ROWS = 20_000               # rows of whole runs ranked together
 
@@ -121,15 +122,16 @@ def _chunks(batches, text: int):
 
 
 def first_ranks(texts: DataFrame) -> DataFrame:
-    """(h, docs): sampled ranks with the number of texts they occur in, summed over tasks."""
+    """(h, docs, places): sampled ranks with the number of texts and of suffixes that hold them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         size = 0
 
         def flush():
-            h, c = np.unique(np.concatenate(held), return_counts=True)
+            h, back, c = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True, return_counts=True)
+            n = np.bincount(back.reshape(-1), np.concatenate([y for _, y in held])).astype(np.int32)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int32))], names=["h", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int32)), pa.array(n)], names=["h", "c", "n"])
 
         for _, _, _, data, off in _chunks(batches, 0):
             row, _, _, _, h = sampled(data, off)
@@ -137,7 +139,8 @@ def first_ranks(texts: DataFrame) -> DataFrame:
             h, row = h[o], row[o]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-            held.append(h[new])
+            first = np.flatnonzero(new)
+            held.append((h[first], np.diff(np.append(first, len(h)))))
             size += int(new.sum())
             if size > 4_000_000:
                 yield flush()
@@ -145,40 +148,12 @@ def first_ranks(texts: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return texts.select("text").mapInArrow(run, "h long, c int").groupBy("h").agg(F.sum("c").alias("docs"))
+    return texts.select("text").mapInArrow(run, "h long, c int, n int").groupBy("h").agg(F.sum("c").alias("docs"), F.sum("n").alias("places"))
 
 
-def membership(ranks: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """A bit filter over the ranks (column h), built distributed by filter part; at most 2**28 bits (32 MB)."""
-    bits = min(FILTER_BITS[1], max(FILTER_BITS[0], int(8 * max(1, n)).bit_length()))
-    part_bits = 17
-    parts = 1 << max(0, bits - part_bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps: dict[int, np.ndarray] = {}
-        for b in batches:
-            x = b.column(1).to_numpy()
-            p = b.column(0).to_numpy()
-            o = np.argsort(p, kind="stable")
-            for i in np.split(o, np.flatnonzero(np.diff(p[o])) + 1):
-                if len(i):
-                    m = maps.setdefault(int(p[i[0]]), np.zeros(1 << part_bits, np.uint8))
-                    m[x[i]] = 1
-        for p, m in maps.items():
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(m).tobytes()], pa.binary())], names=["part", "bits"])
-
-    place = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
-    rows = (ranks.select(F.shiftright(place, part_bits).cast("int").alias("part"), place.bitwiseAND(F.lit((1 << part_bits) - 1)).cast("int").alias("x"))
-                 .repartition(min(parts, 256), "part").mapInArrow(run, "part int, bits binary").collect())
-    out = np.zeros((parts, 1 << (part_bits - 3)), np.uint8)
-    for r in rows:
-        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.reshape(-1), bits
-
-
-def _in_filter(f: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
-    x = (h & np.uint64((1 << bits) - 1)).astype(np.int64)
-    return (f[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1 == 1
+def hot_limit(places: int) -> int:
+    """Rows above which a rank is hot: the same share of the corpus at every size, within HOT_ROWS."""
+    return min(HOT_ROWS[1], max(HOT_ROWS[0], places // HOT_SHARE))
 
 
 def doubled(ctx: np.ndarray, off: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -244,16 +219,15 @@ def window_ranges(spark: SparkSession, texts: DataFrame) -> DataFrame:
     ``texts``: doc, tag, text; one row per distinct text.
     """
     ranks = written(first_ranks(texts).filter("docs > 1"), "ranks")
-    total, n = ranks.agg(F.sum("docs"), F.count("*")).first()
-    limit = max(HOT_ROWS, (total or 0) // 1_000_000)
-    hot = np.sort(np.array([r["h"] for r in ranks.filter(F.col("docs") > limit).select("h").collect()], np.int64)).view(np.uint64)
-    hot = np.sort(hot)                                      # at most a million names, by the limit
+    total, n = ranks.agg(F.sum("places"), F.count("*")).first()
+    few = ranks.filter(F.col("places") > hot_limit(total or 0)).select("h").collect()      # by the limit a tiny part of the ranks
+    hot = np.sort(np.array([r["h"] for r in few], np.int64).view(np.uint64))
     bits, size = membership(ranks, n)
     shared = spark.sparkContext.broadcast((bits, size, hot))
 
     def split(h):
         f, b, hot_names = shared.value
-        keep = _in_filter(f, b, h)
+        keep = in_filter(f, b, h)
         place = np.minimum(np.searchsorted(hot_names, h), max(0, len(hot_names) - 1))
         is_hot = (hot_names[place] == h) if len(hot_names) else np.zeros(len(h), bool)
         return keep & ~is_hot, is_hot
@@ -303,23 +277,72 @@ def window_ranges(spark: SparkSession, texts: DataFrame) -> DataFrame:
     if len(hot) == 0:
         return out
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hot_windows(batches):
+        """(batch, row offset, row, place, window name) of the windows of hot ranks, chunk by chunk."""
         for b, r0, _, data, off in _chunks(batches, 2):
             row, _, low, high, h = sampled(data, off)
             is_hot = split(h)[1]
             row, low, high = row[is_hot], low[is_hot], high[is_hot]
+            if len(row) == 0:
+                continue
             count = high - low + 1
             at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
             r = np.repeat(row, count)
-            w = names(data, LENGTH)[at] if len(at) else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), b.column(0).take(pa.array(r + r0)), b.column(1).take(pa.array(r + r0)),
-                                              pa.array((at - off[r]).astype(np.int32))], names=["w", "doc", "tag", "lo"])
-
-    every = src.mapInArrow(windows, "w long, doc long, tag int, lo int")
-    low = written(every.groupBy("w").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("w", "low"), "windows")
-    few = low.count() <= BROADCAST_IDS
-    more = every.join(F.broadcast(low) if few else low, "w").filter("low < doc").select("doc", "tag", "lo", F.col("lo").alias("hi"))
-    return out.unionByName(more)
+            yield b, r0, r, at - off[r], names(data, LENGTH)[at]
+
+    def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush():
+            w, d = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            o = np.lexsort((d, w))
+            w, d = w[o], d[o]
+            first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+            last = np.append(first[1:], len(w)) - 1
+            return pa.RecordBatch.from_arrays([pa.array(w[first].view(np.int64)), pa.array(d[first]), pa.array(d[last])], names=["w", "low", "high"])
+
+        for b, r0, r, _, w in hot_windows(batches):
+            held.append((w, b.column(0).to_numpy()[r + r0]))
+            size += len(w)
+            if size > 2_000_000:
+                yield flush()
+                size = 0
+        if held:
+            yield flush()
+
+    low = written(src.mapInArrow(extremes, "w long, low long, high long").groupBy("w").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+                  .filter("low < high").select("w", "low"), "windows")
+    if low.count() > BROADCAST_IDS:
+        def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b, r0, r, at, w in hot_windows(batches):
+                i = pa.array(r + r0)
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), b.column(0).take(i), b.column(1).take(i), pa.array(at.astype(np.int32))], names=["w", "doc", "tag", "lo"])
+
+        more = src.mapInArrow(every, "w long, doc long, tag int, lo int").join(low, "w").filter("low < doc").select("doc", "tag", "lo", F.col("lo").alias("hi"))
+        return out.unionByName(more)
+    table = low.toArrow()                                   # at most BROADCAST_IDS windows
+    w = table.column("w").to_numpy().view(np.uint64)
+    o = np.argsort(w)
+    known = spark.sparkContext.broadcast((w[o], table.column("low").to_numpy()[o]))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names_, smallest = known.value
+        for b, r0, r, at, w in hot_windows(batches):
+            if len(names_) == 0:
+                return
+            place = np.minimum(np.searchsorted(names_, w), len(names_) - 1)
+            doc = b.column(0).to_numpy()[r + r0]
+            gone = (names_[place] == w) & (smallest[place] < doc)
+            r, at, doc = r[gone], at[gone], doc[gone]
+            if len(r):
+                new = np.ones(len(r), bool)
+                new[1:] = (r[1:] != r[:-1]) | (at[1:] != at[:-1] + 1)
+                first = np.flatnonzero(new)
+                last = np.append(first[1:], len(r)) - 1
+                yield _range_batch(doc[first], b.column(1).to_numpy()[r[first] + r0], at[first], at[last])
+
+    return out.unionByName(src.mapInArrow(mark, RANGE))
 
 
 def cut_text(text: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[int, int, bytes]:

@@ -117,10 +117,11 @@ def brute_removed(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [2000, 2])
-def test_repeats(spark, monkeypatch, hot):
-    """Random, periodic, copied and overlapping texts; with every rank taking the path of hot ranks, too."""
-    monkeypatch.setattr(suffixdedup, "HOT_ROWS", hot)
+@pytest.mark.parametrize("hot, ids", [(500, 10**6), (2, 10**6), (2, 0)])
+def test_repeats(spark, monkeypatch, hot, ids):
+    """Random, periodic, copied and overlapping texts; with ranks taking the paths of hot ranks, too."""
+    monkeypatch.setattr(suffixdedup, "HOT_ROWS", (hot, hot))
+    monkeypatch.setattr(suffixdedup, "BROADCAST_IDS", ids)
     rng = random.Random(6)
     word = lambda n: "".join(rng.choice("abé ") for _ in range(n))
     p = [word(40), word(55), word(120), word(400)]
