@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from ..plans.activity import (LOG_CONCURRENT_RE, LOG_DDL_RE, LOG_HEADER_RE, LOG_STATEMENT_RE)
+# Patterns of the oracle's own.
+LOG_HEADER_RE = r"(?i)^([0-9]{4}-[0-9]{2}-[0-9]{2} [0-9:]{8}(?:\.[0-9]+)?(?: [a-z]+)?)\s.*?(?:LOG|STATEMENT|ERROR):\s+(.*)"
+LOG_STATEMENT_RE = r"(?i)\b(?:statement|execute\s+[^:\s]+):\s+(.*)"
+LOG_DDL_RE = r"(?i)\b(?:CREATE|ALTER|DROP)\s+(?:TABLE|INDEX|VIEW|FUNCTION|PROCEDURE|TRIGGER|TYPE|SCHEMA|SEQUENCE)\b"
+LOG_CONCURRENT_RE = r"(?i)\bCREATE\s+INDEX\s+CONCURRENTLY\b"
 
 STMT_KEY = """
 with s as (select *, coalesce(cast(queryid as varchar), sha256(coalesce(query, ''))) as stmt_key from stat_statements)

@@ -2,9 +2,49 @@
 
 from __future__ import annotations
 
-from ..plans.dump import (RE_DOLLAR, RE_INDEX, RE_INHERITS, RE_PARTITION_BY, RE_SEARCH_PATH, RE_TABLE,
-                          RE_USING, RE_VERSION, STATEMENT_KINDS)
-from ..sources.catalog import EXCLUDED_NAMESPACES
+# Patterns of the oracle's own: names are runs without blanks, brackets or semicolons.
+EXCLUDED_NAMESPACES = ("pg_catalog", "information_schema", "spock", "pg_toast")
+_N = r"([^\s(;]+)"
+_INE = r"(?:IF\s+NOT\s+EXISTS\s+)?"
+RE_VERSION = r"Dumped\s+from\s+database\s+version\s+(\S+)"
+RE_SEARCH_PATH = r"(?i)set_config\s*\(\s*'search_path'\s*,\s*'([^']*)'|^SET\s+search_path\s*(?:=|TO)\s*([^;]+);"
+RE_DOLLAR = r"(\$[A-Za-z0-9_]*\$)"
+RE_EXTENSION = rf"(?i)^\s*CREATE\s+EXTENSION\s+{_INE}{_N}(?:\s+WITH)?(?:\s+SCHEMA\s+([^\s;]+))?"
+RE_ENUM = rf"(?i)^\s*CREATE\s+TYPE\s+{_N}\s+AS\s+ENUM"
+RE_SEQUENCE = rf"(?i)^\s*CREATE\s+SEQUENCE\s+{_INE}{_N}"
+RE_TABLE = rf"(?i)^\s*CREATE\s+(UNLOGGED\s+)?TABLE\s+{_INE}{_N}\s*\("
+_ALTER = rf"(?i)^\s*ALTER\s+TABLE\s+(?:ONLY\s+)?{_N}\s+"
+RE_ADD_CONSTRAINT = _ALTER + rf"ADD\s+CONSTRAINT\s+{_N}\s+(PRIMARY\s+KEY|UNIQUE|FOREIGN\s+KEY|EXCLUDE|CHECK)"
+RE_INDEX = rf"(?i)^\s*CREATE\s+(UNIQUE\s+)?INDEX\s+{_INE}{_N}\s+ON\s+(?:ONLY\s+)?{_N}"
+RE_SET_DEFAULT = _ALTER + rf"ALTER\s+COLUMN\s+{_N}\s+SET\s+DEFAULT\s+([^;]+);"
+RE_ADD_IDENTITY = _ALTER + rf"ALTER\s+COLUMN\s+{_N}\s+ADD\s+GENERATED\s+(ALWAYS|BY\s+DEFAULT)\s+AS\s+IDENTITY"
+RE_SEQ_OWNED = r"(?i)^\s*ALTER\s+SEQUENCE\s+([^\s;]+)\s+OWNED\s+BY\s+([^\s;]+)\.([^\s;.]+)"
+RE_RULE = rf"(?i)^\s*CREATE\s+RULE\s+{_N}\s+AS\s+ON\s+([A-Z]+)\s+TO\s+{_N}\s+DO\s+(INSTEAD\s)?"
+STATEMENT_KINDS = [("extension", RE_EXTENSION), ("enum", RE_ENUM), ("sequence", RE_SEQUENCE), ("table", RE_TABLE),
+                   ("constraint", RE_ADD_CONSTRAINT), ("index", RE_INDEX), ("default", RE_SET_DEFAULT),
+                   ("identity", RE_ADD_IDENTITY), ("owned_by", RE_SEQ_OWNED), ("rule", RE_RULE)]
+RE_INHERITS = r"(?i)\)\s*INHERITS\s*\(([^)]+)\)"
+RE_PARTITION_BY = r"(?i)\)\s*PARTITION\s+BY\s+([^;]+)"
+RE_USING = r"(?i)\sUSING\s+([a-z]+)"
+RE_COLUMN = r"^([^\s]+)\s+(.+)$"
+RE_TABLE_CONSTRAINT = r"(?i)^(?:PRIMARY\s|UNIQUE\s|FOREIGN\s|EXCLUDE\s|CHECK\s|CONSTRAINT\s)"
+_OPTION = r"(?:NOT\s+NULL|NULL|DEFAULT|GENERATED|COLLATE|CONSTRAINT|PRIMARY|UNIQUE|REFERENCES|CHECK)"
+RE_TYPE_END = rf"(?i)^(.*?)(?:\s+{_OPTION}\b.*)?$"
+RE_NOT_NULL = r"(?i)\bNOT\s+NULL\b"
+RE_DEFAULT = rf"(?i)\bDEFAULT\s+(.+?)(?:\s+{_OPTION}\b.*)?$"
+RE_GENERATED = r"(?i)\bGENERATED\s+ALWAYS\s+AS\s*\((.+)\)\s*STORED"
+RE_IDENTITY = r"(?i)\bGENERATED\s+(ALWAYS|BY\s+DEFAULT)\s+AS\s+IDENTITY"
+RE_CONSTRAINT_NAME = r"(?i)^CONSTRAINT\s+([^\s]+)\s"
+RE_REFERENCES = r"(?i)REFERENCES\s+([^\s(]+)\s*\(([^)]+)\)"
+_ACTIONS = r"(CASCADE|SET\s+NULL|SET\s+DEFAULT|RESTRICT|NO\s+ACTION)"
+RE_ON_DELETE, RE_ON_UPDATE = rf"(?i)ON\s+DELETE\s+{_ACTIONS}", rf"(?i)ON\s+UPDATE\s+{_ACTIONS}"
+RE_DEFERRABLE, RE_NOT_DEFERRABLE = r"(?i)\bDEFERRABLE\b", r"(?i)\bNOT\s+DEFERRABLE\b"
+RE_INITIALLY_DEFERRED = r"(?i)\bINITIALLY\s+DEFERRED\b"
+CONTYPE_CODES = {"PRIMARY KEY": "p", "UNIQUE": "u", "FOREIGN KEY": "f", "EXCLUDE": "x", "CHECK": "c"}
+FK_ACTION_CODES = {"CASCADE": "c", "SET NULL": "n", "SET DEFAULT": "d", "RESTRICT": "r", "NO ACTION": "a"}
+SEQ_OPTIONS = {"data_type": r"(?i)\sAS\s+(smallint|integer|bigint)", "start_value": r"(?i)\sSTART\s+WITH\s+(-?[0-9]+)",
+               "increment": r"(?i)\sINCREMENT\s+BY\s+(-?[0-9]+)", "min_value": r"(?i)\sMINVALUE\s+(-?[0-9]+)",
+               "max_value": r"(?i)\sMAXVALUE\s+(-?[0-9]+)"}
 
 
 def _q(s: str) -> str:
@@ -63,7 +103,7 @@ SQL = {
 t as (select instance_id, file_id, stmt_no, {_ts} as schema_name, {_tn} as table_name,
              regexp_extract(text, '{_q(RE_TABLE)}', 1) <> '' as unlogged,
              case when {_INH} <> '' then array_to_string(list_transform(string_split({_INH}, ','),
-                  lambda x: replace(trim(x), '"', '')), ',') end as inherits,
+                  lambda x: case when contains(x, '.') then replace(trim(x), '"', '') else coalesce(search_path, 'public') || '.' || replace(trim(x), '"', '') end), ',') end as inherits,
              case when {_PART} <> '' then {_PART} end as partition_by
       from stmts where kind = 'table')
 select * from t where schema_name not in ({_EXCL})""",
@@ -82,8 +122,6 @@ select * from t where schema_name not in ({_EXCL})""",
 
 # dump_columns: the body split as window scans over characters (quote parity,
 # parenthesis depth, top-level commas), independent of the Spark fold.
-from ..plans.dump import (RE_ADD_IDENTITY, RE_COLUMN, RE_DEFAULT, RE_GENERATED, RE_IDENTITY, RE_NOT_NULL,  # noqa: E402
-                          RE_SET_DEFAULT, RE_TABLE_CONSTRAINT, RE_TYPE_END)
 
 _WS = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 _sd_s, _sd_n = _qual(f"regexp_extract(text, '{_q(RE_SET_DEFAULT)}', 1)")
@@ -141,15 +179,12 @@ select r.instance_id, r.file_id, r.stmt_no, r.schema_name, r.table_name, cast(r.
        r.column_name, r.data_type, r.not_null,
        case when r.gen <> '' then 's' else '' end as generated,
        case when r.gen <> '' then r.gen end as generation_expr,
-       coalesce(ov.o_default, case when r.dflt <> '' and r.gen = '' then r.dflt end) as default_expr,
+       coalesce(ov.o_default, case when r.dflt <> '' and r.gen = '' and coalesce(r.ident, '') = '' then r.dflt end) as default_expr,
        coalesce(ov.o_identity, case r.ident when 'ALWAYS' then 'a' when 'BY DEFAULT' then 'd' else '' end) as identity
 from raw r left join ov on ov.instance_id = r.instance_id and ov.file_id = r.file_id
   and ov.schema_name = r.schema_name and ov.table_name = r.table_name and ov.column_name = r.column_name"""
 
 
-from ..plans.dump import (CONTYPE_CODES, FK_ACTION_CODES, RE_ADD_CONSTRAINT, RE_CONSTRAINT_NAME,  # noqa: E402
-                          RE_DEFERRABLE, RE_INITIALLY_DEFERRED, RE_NOT_DEFERRABLE, RE_ON_DELETE, RE_ON_UPDATE,
-                          RE_REFERENCES)
 
 _ac_s, _ac_n = _qual(f"regexp_extract(text, '{_q(RE_ADD_CONSTRAINT)}', 1)")
 _rf_s, _rf_n = _qual(f"regexp_extract(text, '{_q(RE_REFERENCES)}', 1)")
@@ -198,11 +233,10 @@ c as (select instance_id, file_id, stmt_no, schema_name, table_name, constraint_
              {_DEFER} as deferrable,
              {_DEFER} and regexp_matches(text, '{_q(RE_INITIALLY_DEFERRED)}') as deferred
       from u where ctype <> '')
-select * from c where schema_name not in ({_EXCL})"""
+select * replace (case when contype = 'c' then '' else columns end as columns) from c where schema_name not in ({_EXCL})"""
 
 
 # sequences, ALTER COLUMN overrides, extensions, enums, rules
-from ..plans.dump import RE_ENUM, RE_EXTENSION, RE_RULE, RE_SEQ_OWNED, RE_SEQUENCE, SEQ_OPTIONS  # noqa: E402
 
 _sq_s, _sq_n = _qual(f"regexp_extract(text, '{_q(RE_SEQUENCE)}', 1)")
 _ow_s, _ow_n = _qual(f"regexp_extract(text, '{_q(RE_SEQ_OWNED)}', 1)")
@@ -264,7 +298,7 @@ e as (select instance_id, file_id, {_en_s} as schema_name, {_en_n} as type_name,
                as labels
       from stmts where kind = 'enum')
 select instance_id, file_id, schema_name, type_name, cast(len(labels) as bigint) as label_count,
-       array_to_string(labels, ',') as labels
+       array_to_string(list_transform(labels, lambda x: replace(x, '''''', '''')), ',') as labels
 from e where schema_name not in ({_EXCL})"""
 
 SQL["dump_rules"] = f"""with {STATEMENTS_CTES},

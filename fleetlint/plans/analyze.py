@@ -40,17 +40,18 @@ def _split_qualified(c: F.Column, default_schema: F.Column) -> tuple[F.Column, F
 
 def catalog_from_dump(spark: SparkSession, lines: DataFrame, keys: list[str] | None = None,
                       file_col: str = "file_id") -> Catalog:
-    keys = list(keys or ["instance_id"])
-    k = keys
-    stmts = D.dump_statements(lines, keys, file_col, checkpoint=True)
-    tables = D.dump_tables(stmts, keys, file_col)
-    columns = D.dump_columns(stmts, keys, file_col)
-    cons = D.dump_constraints(stmts, keys, file_col)
-    idx = D.dump_indexes(stmts, keys, file_col)
-    seqs = D.dump_sequences(stmts, keys, file_col)
-    enums = D.dump_enums(stmts, keys, file_col)
-    rules = D.dump_rules(stmts, keys, file_col)
-    exts = D.dump_extensions(stmts, keys, file_col)
+    """Catalog of dump facts; the file is a scope key, so several dumps of one instance stay apart."""
+    base = list(keys or ["instance_id"])
+    k = [*base, file_col]
+    stmts = D.dump_statements(lines, base, file_col, checkpoint=True)
+    tables = D.dump_tables(stmts, base, file_col)
+    columns = D.dump_columns(stmts, base, file_col)
+    cons = D.dump_constraints(stmts, base, file_col)
+    idx = D.dump_indexes(stmts, base, file_col, lists=True)
+    seqs = D.dump_sequences(stmts, base, file_col)
+    enums = D.enum_labels(stmts, base, file_col)
+    rules = D.dump_rules(stmts, base, file_col)
+    exts = D.dump_extensions(stmts, base, file_col)
 
     def t_oid(schema="schema_name", table="table_name"):
         return _oid(F.col(schema), F.col(table))
@@ -78,10 +79,10 @@ def catalog_from_dump(spark: SparkSession, lines: DataFrame, keys: list[str] | N
     col_pos = columns.select(*k, t_oid().alias("relid"), F.col("column_name").alias("cname"), "attnum")
 
     def attnums(df: DataFrame, id_cols: list[str], rel: str, names: str, out: str) -> DataFrame:
-        """Column-name list -> attnum array in list order (unknown names dropped)."""
-        ex = df.select(*k, *id_cols, rel, F.posexplode(F.split(names, ",")).alias("pos", "cname"))
-        j = ex.join(col_pos.withColumnRenamed("relid", rel), k + [rel, "cname"])
-        return j.groupBy(*k, *id_cols, rel).agg(ordered_array_agg("attnum", "pos").alias(out))
+        """Column-name array -> attnum array in list order; an expression or unknown name keeps its place as 0."""
+        ex = df.select(*k, *id_cols, rel, F.posexplode(names).alias("pos", "cname"))
+        j = ex.join(col_pos.withColumnRenamed("relid", rel), k + [rel, "cname"], "left")
+        return j.groupBy(*k, *id_cols, rel).agg(ordered_array_agg(F.coalesce("attnum", F.lit(0).cast("bigint")), "pos").alias(out))
 
     def constraints():
         c = cons.select(*k, "schema_name", "table_name", "constraint_name", "contype", "columns", "ref_table",
@@ -91,7 +92,8 @@ def catalog_from_dump(spark: SparkSession, lines: DataFrame, keys: list[str] | N
                         .alias("oid"))
         rs, rn = _split_qualified(F.col("ref_table"), F.lit(D.DEFAULT_SCHEMA))
         c = c.withColumn("confrelid", F.when(F.col("ref_table").isNotNull(), _oid(rs, rn)))
-        keys_ = attnums(c.filter(F.col("columns") != ""), ["oid"], "conrelid", "columns", "conkey")
+        named = c.filter(F.col("columns") != "").withColumn("names", F.split("columns", ","))
+        keys_ = attnums(named, ["oid"], "conrelid", "names", "conkey")
         c = c.join(keys_, k + ["oid", "conrelid"], "left")
         return c.select(*k, "oid", "conrelid", F.col("constraint_name").alias("conname"), "contype",
                         F.coalesce("conkey", F.array().cast("array<bigint>")).alias("conkey"), "confrelid",
@@ -100,8 +102,8 @@ def catalog_from_dump(spark: SparkSession, lines: DataFrame, keys: list[str] | N
                         F.coalesce("on_update", F.lit("a")).alias("confupdtype"))
 
     def indexes():
-        i = idx.select(*k, t_oid().alias("indrelid"), "index_name", "is_unique", "columns")
-        keys_ = attnums(i, ["index_name"], "indrelid", "columns", "indkey")
+        i = idx.select(*k, t_oid().alias("indrelid"), "index_name", "is_unique", "column_list")
+        keys_ = attnums(i, ["index_name"], "indrelid", "column_list", "indkey")
         i = i.join(keys_, k + ["index_name", "indrelid"]).select(
             *k, "indrelid", F.col("index_name").alias("indexname"), "indkey", F.col("is_unique").alias("indisunique"))
         c = constraints().filter(F.col("contype").isin("p", "u") & (F.size("conkey") > 0)).select(
@@ -123,7 +125,7 @@ def catalog_from_dump(spark: SparkSession, lines: DataFrame, keys: list[str] | N
                         F.col("is_cycle").alias("seqcycle"), "refobjid", "refobjsubid")
 
     def enum_labels():
-        e = enums.select(*k, "schema_name", "type_name", F.posexplode(F.split("labels", ",")).alias("pos", "enumlabel"))
+        e = enums.select(*k, "schema_name", "type_name", F.posexplode("label_list").alias("pos", "enumlabel"))
         return e.select(*k, _oid(F.col("schema_name")).alias("typnamespace"), F.col("type_name").alias("typname"),
                         "enumlabel", (F.col("pos") + 1).cast("bigint").alias("enumsortorder"))
 
@@ -162,7 +164,7 @@ def catalog_from_dump(spark: SparkSession, lines: DataFrame, keys: list[str] | N
                "cat_enum": enum_labels, "cat_rewrite": rewrite, "cat_inherits": inherits,
                "cat_extension": extensions, "settings": settings, "instances": instances,
                "cat_largeobject": largeobjects}
-    cat = Catalog(spark, loaders, keys=keys)
+    cat = Catalog(spark, loaders, keys=k)
     cat.source = "dump"
     return cat
 

@@ -202,14 +202,28 @@ VIEW_SQL: dict[str, str] = {
         'conversations'
     ),
     'dump_lines': (
-        'select p_partkey % 5 as instance_id, p_partkey % 5 as file_id, p_partkey * 8 + v.k as line_no, case '
+        'select p_partkey % 5 as instance_id, p_partkey % 5 as file_id, p_partkey * 16 + v.k as line_no, case '
         "v.k when 1 then '-- Name: t_' || cast(p_partkey as varchar(20)) when 2 then 'CREATE ' || case when "
         "p_type = 'PROMO' then 'UNLOGGED ' else '' end || 'TABLE public.t_' || cast(p_partkey as varchar(20)) "
         "|| ' (' when 3 then '    id bigint NOT NULL,' when 4 then '    total_count numeric(10,2) DEFAULT 0' "
-        "when 5 then ');' else case when p_size % 2 = 0 then 'ALTER TABLE ONLY public.t_' || cast(p_partkey "
+        "when 5 then ');' when 6 then case when p_size % 2 = 0 then 'ALTER TABLE ONLY public.t_' || cast(p_partkey "
         "as varchar(20)) || ' ADD CONSTRAINT pk_' || cast(p_partkey as varchar(20)) || ' PRIMARY KEY (id);' "
         "else 'CREATE INDEX ix_' || cast(p_partkey as varchar(20)) || ' ON public.t_' || cast(p_partkey as "
-        "varchar(20)) || ' USING btree (id);' end end as line from part cross join (values (1), (2), (3), "
-        '(4), (5), (6)) as v(k)'
+        "varchar(20)) || ' USING btree (id);' end "
+        "when 7 then 'CREATE SEQUENCE public.s_' || cast(p_partkey as varchar(20)) || ' AS integer START WITH ' || "
+        "cast(p_size as varchar(20)) || case when p_size % 3 = 0 then ' INCREMENT BY -1 MINVALUE -100 CYCLE;' "
+        "else ' INCREMENT BY 1 NO MINVALUE NO CYCLE;' end "
+        "when 8 then 'ALTER SEQUENCE public.s_' || cast(p_partkey as varchar(20)) || ' OWNED BY public.t_' || "
+        "cast(p_partkey as varchar(20)) || '.id;' "
+        "when 9 then case when p_size % 2 = 0 then 'ALTER TABLE ONLY public.t_' || cast(p_partkey as varchar(20)) || "
+        "' ALTER COLUMN id SET DEFAULT nextval(7);' else 'ALTER TABLE public.t_' || cast(p_partkey as varchar(20)) || "
+        "' ALTER COLUMN id ADD GENERATED BY DEFAULT AS IDENTITY;' end "
+        "when 10 then 'CREATE TYPE public.e_' || cast(p_partkey as varchar(20)) || ' AS ENUM (' || chr(39) || 'a' || chr(39) || "
+        "', ' || chr(39) || 'b c' || cast(p_size as varchar(20)) || chr(39) || ');' "
+        "when 11 then 'CREATE RULE r_' || cast(p_partkey as varchar(20)) || ' AS ON INSERT TO public.t_' || "
+        "cast(p_partkey as varchar(20)) || case when p_size % 2 = 0 then ' DO INSTEAD NOTHING;' else ' DO ALSO NOTHING;' end "
+        "else case when p_partkey < 10 then 'CREATE EXTENSION IF NOT EXISTS x_' || cast(p_partkey as varchar(20)) || "
+        "' WITH SCHEMA public;' else '-- no extension' end end "
+        'as line from part cross join (values (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12)) as v(k)'
     ),
 }
