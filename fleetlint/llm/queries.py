@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, lmscore, mixing, pii, quality, secrets, setjoin, suffixdedup, toxicity
+from . import ann, decontaminate, lmscore, mixing, oracles, pii, quality, secrets, setjoin, suffixdedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": secrets.op1,
@@ -22,5 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_ngram_jaccard_join": oracles.JOIN,
+    "op6_benchmark_decontamination": oracles.PASSAGES,
+    "op8_suffix_array_dedup": oracles.REPEATS,
     "op10_source_mixing": mixing.ORACLE,
 }
