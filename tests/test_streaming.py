@@ -90,3 +90,39 @@ def test_late_lines_are_dropped_and_counted(spark):
     assert dropped >= 1
     got = spark.read.parquet(out + "/data")
     assert got.filter(F.hour("window_start") == 9).count() == 0
+
+
+class _State:
+    """The part of the state interface that the delta uses."""
+
+    def __init__(self):
+        self.value, self.hasTimedOut, self.timeout = None, False, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, v):
+        self.value = v
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
+
+    def remove(self):
+        self.value = None
+
+
+def test_delta_of_split_chunks_late_snapshots_and_timeouts():
+    import pandas as pd
+
+    def chunk(*rows):
+        return pd.DataFrame(rows, columns=["snapshot_no", "query", "calls", "total_exec_time", "row_count"])
+
+    state = _State()
+    # one key over two chunks, newest first; two rows of one snapshot add up
+    out = pd.concat(S._delta_fn(True)((0, "k"), iter([chunk((2, "q", 9, 9.5, 9)), chunk((1, "q", 3, 1.0, 3), (1, "q", 2, 1.5, 1))]), state))
+    assert out[["snapshot_no", "status", "delta_calls", "delta_time", "delta_rows"]].values.tolist() == [[1, "new", 5, 2.5, 4], [2, "changed", 4, 7.0, 5]]
+    assert state.value == (2, 9, 9.5, 9) and state.timeout == S.state_ttl_ms
+    out = pd.concat(S._delta_fn(False)((0, "k"), iter([chunk((1, "q", 50, 1.0, 1), (3, "q", 4, 4.0, 4))]), state))
+    assert out[["snapshot_no", "status", "delta_calls"]].values.tolist() == [[1, "late", 0], [3, "reset", 4]]
+    state.hasTimedOut = True
+    assert list(S._delta_fn(True)((0, "k"), iter([]), state)) == [] and not state.exists
