@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .spans import written
-from .textops import ALNUM, column_bytes, map_text, row_chunks, split_words, word_hashes
+from .textops import ALNUM, column_bytes, map_text, row_chunks, small_batches, split_words, word_hashes
 
 MEMBERS = 32
 TOP = 48 * MEMBERS
@@ -74,6 +74,7 @@ def counts_of(docs: DataFrame) -> DataFrame:
             h, n = merged()
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
+    small_batches(docs.sparkSession)
     return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 

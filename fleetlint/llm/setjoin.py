@@ -37,13 +37,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .filters import in_filter, membership
 from .graph import components
 from .spans import written
-from .textops import byte_table, column_bytes, map_text, mix64, row_chunks, split_words, word_hashes
+from .textops import byte_table, column_bytes, map_text, mix64, row_chunks, small_batches, split_words, word_hashes
 
 SHINGLE = 4
 PERCENT = 85
@@ -53,7 +55,7 @@ SKETCH_PARTS = 64
 BITMAP_WORDS = 4
 POSITION_BLOCK = 16
 #: id lists up to this length (8 bytes each) are broadcast as filters; longer ones are joined by shuffle
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
 _SEEDS = mix64(np.arange(1, 8, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -126,6 +128,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                 [pa.nulls(SKETCH_PARTS, pa.int64()) for _ in range(len(PROFILE) - 2)]
                 + [pa.array(np.arange(SKETCH_PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=PROFILE.names)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PROFILE)
 
 
@@ -167,6 +170,28 @@ def prefixes(spark: SparkSession, docs: DataFrame, sketch: np.ndarray) -> DataFr
     return map_text(docs, "text", ["doc_id"], [T.StructField("prefix", T.ArrayType(T.LongType()))], kernel)
 
 
+def _postings(spark: SparkSession, pre: DataFrame, wide: DataFrame) -> DataFrame:
+    """(doc_id, n, root, p, token) of prefix shingles that pass a bit filter of the wanted ones (the exact
+    join follows), so the others are never shuffled again."""
+    bits, size = membership(wide.withColumnRenamed("token", "h"), wide.count())
+    shared = spark.sparkContext.broadcast((bits, size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, b = shared.value
+        for rb in batches:
+            col = rb.column(3)
+            token = col.flatten().to_numpy()
+            count = pa.compute.list_value_length(col).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(count)), count)
+            at = np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count)
+            ok = in_filter(f, b, token.view(np.uint64))
+            take = pa.array(row[ok])
+            yield pa.RecordBatch.from_arrays([rb.column(i).take(take) for i in range(3)] + [pa.array(at[ok].astype(np.int32)), pa.array(token[ok])],
+                                             names=["doc_id", "n", "root", "p", "token"])
+
+    return pre.select("doc_id", "n", "root", "prefix").mapInArrow(run, "doc_id long, n long, root long, p int, token long")
+
+
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id is in ``ids`` (one column doc_id, distinct, written)."""
     few = ids.count() <= BROADCAST_IDS
@@ -243,10 +268,9 @@ def links(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # 4. the index
     pre = prefixes(spark, docs, sketch_of(table)).join(members.select(F.col("rep").alias("doc_id"), "n", "root"), "doc_id")
     pre = written(pre.filter(F.size("prefix") > 0), "prefixes")
-    post = pre.select("doc_id", "n", "root", F.posexplode("prefix").alias("p", "token"))
+    post = pre.select("root", F.explode("prefix").alias("token"))
     wide = written(post.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token"), "tokens")
-    few = wide.count() <= BROADCAST_IDS
-    index = written(post.join(F.broadcast(wide) if few else wide, "token").distinct()
+    index = written(_postings(spark, pre, wide).join(wide, "token").distinct()
                     .join(members.select(F.col("rep").alias("doc_id"), "d", *_BITS), "doc_id")
                     .withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / (PERCENT - 0.1)))))), "index")
     side = lambda x: index.select("token", "band", *[F.col(c).alias(f"{c}{x}") for c in ("doc_id", "n", "root", "p", "d", *_BITS)])

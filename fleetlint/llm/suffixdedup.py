@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 
 from .filters import in_filter, membership
 from .spans import written
-from .textops import _BASE, _CODES, column_bytes, map_text, mix64, row_chunks
+from .textops import _BASE, _CODES, column_bytes, map_text, mix64, row_chunks, small_batches
 
 LENGTH = 50
 PIECE = 16
@@ -148,6 +148,7 @@ def first_ranks(texts: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
+    small_batches(texts.sparkSession)
     return texts.select("text").mapInArrow(run, "h long, c int, n int").groupBy("h").agg(F.sum("c").alias("docs"), F.sum("n").alias("places"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 CHUNK_BYTES = 2 << 20
+BATCH_ROWS = 2000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -128,6 +129,14 @@ def fresh(name: str, taken) -> str:
     return name
 
 
+def small_batches(spark) -> None:
+    """Arrow batches of whole texts hold ``BATCH_ROWS`` rows instead of Spark's default number, so that
+    long texts fit beside the heap; a number that the session sets itself stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def map_text(df: DataFrame, text: str, keep: list[str], fields: list[T.StructField],
              kernel: Callable[[pa.Array], list[pa.Array]], limit: int = CHUNK_BYTES) -> DataFrame:
     """``df``'s ``keep`` columns plus ``fields`` computed by ``kernel`` from the text column.
@@ -136,6 +145,7 @@ def map_text(df: DataFrame, text: str, keep: list[str], fields: list[T.StructFie
     field.  A kept column with the name of a field gives way to the field.
     Nothing is shuffled; memory is bounded by the Arrow batch and one chunk.
     """
+    small_batches(df.sparkSession)
     new = {f.name for f in fields}
     keep = [c for c in keep if c not in new]
     src = [df[f"`{c}`"].alias(f"k{i}") for i, c in enumerate(keep)] + [df[f"`{text}`"].alias("t")]
