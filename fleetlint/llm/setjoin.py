@@ -1,10 +1,11 @@
 """N-gram Jaccard join by set relations: position blocks skipped, answers derived from similar sets.
 
-A document's set holds its distinct ``SHINGLE``-word shingles (words
+A document's set holds its distinct shingles of ``k`` words (words
 ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; fewer words: the whole sequence).
-Documents link when ``100 * |A & B| >= PERCENT * |A | B|``.  All links between
-different sets count; the answer is the class (connected component) of every
-document.
+Documents link when ``100 * |A & B| >= percent * |A | B|``.  The query takes
+``SHINGLE`` and ``PERCENT`` (its contract), the pipeline's stage ``STAGE_SHINGLE``
+and ``STAGE_PERCENT``.  All links between different sets count; the answer is
+the class (connected component) of every document.
 
 1. One pass over the texts gives every set's size, 128-bit signature, three
    min-hashes and a 256-bit parity bitmap, and per task a fixed-size sketch of
@@ -49,6 +50,8 @@ from .textops import byte_table, column_bytes, map_text, mix64, row_chunks, smal
 
 SHINGLE = 4
 PERCENT = 85
+STAGE_SHINGLE = 5
+STAGE_PERCENT = 80
 NOT_BLANK = byte_table(lambda b: b not in (9, 10, 11, 12, 13, 32))
 SKETCH_BITS = 20
 SKETCH_PARTS = 64
@@ -100,7 +103,7 @@ PROFILE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n"
                        + [T.StructField("part", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 
 
-def profiles(docs: DataFrame) -> DataFrame:
+def profiles(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """Rows with ``part`` null: one per document; other rows: the task's sketch, in parts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -108,7 +111,7 @@ def profiles(docs: DataFrame) -> DataFrame:
         for b in batches:
             _, off = column_bytes(b.column(1))
             for lo, hi in row_chunks(off):
-                g, rows = shingles(*column_bytes(b.column(1).slice(lo, hi - lo)))
+                g, rows = shingles(*column_bytes(b.column(1).slice(lo, hi - lo)), k)
                 place, times = np.unique((g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
                 sketch[place] += times.astype(np.uint32)
                 seen = True
@@ -151,17 +154,17 @@ def sketch_of(profile: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def prefixes(spark: SparkSession, docs: DataFrame, sketch: np.ndarray) -> DataFrame:
+def prefixes(spark: SparkSession, docs: DataFrame, sketch: np.ndarray, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, prefix): each set's rarest shingles, in order; as many as any partner must share one of."""
     shared = spark.sparkContext.broadcast(sketch)
 
     def kernel(col: pa.Array) -> list[pa.Array]:
-        g, rows = shingles(*column_bytes(col))
+        g, rows = shingles(*column_bytes(col), k)
         n = np.diff(rows)
         r = np.repeat(np.arange(len(n)), n)
         o = np.lexsort((g, shared.value[(g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], r))
         g = g[o]
-        keep = n - (-(-PERCENT * n // 100)) + 1                  # n - ceil(PERCENT n / 100) + 1
+        keep = n - (-(-percent * n // 100)) + 1                  # n - ceil(percent n / 100) + 1
         keep = np.where(n > 0, keep, 0)
         at = np.arange(len(g)) - rows[:-1][r]
         g = g[at < keep[r]]
@@ -198,7 +201,7 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
-def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def compare(docs: DataFrame, pairs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(a, b, inter, size) of written distinct (a, b) pairs: exact intersection and union sizes."""
     ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
     texts = _only(docs.select("doc_id", "text"), ids).dropDuplicates(["doc_id", "text"])
@@ -211,8 +214,8 @@ def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             _, ob = column_bytes(rb.column(3))
             for lo, hi in row_chunks(oa + ob):
                 n = hi - lo
-                ga, ra = shingles(*column_bytes(rb.column(2).slice(lo, n)))
-                gb, rb_ = shingles(*column_bytes(rb.column(3).slice(lo, n)))
+                ga, ra = shingles(*column_bytes(rb.column(2).slice(lo, n)), k)
+                gb, rb_ = shingles(*column_bytes(rb.column(3).slice(lo, n)), k)
                 g = np.concatenate([ga, gb])
                 r = np.concatenate([np.repeat(np.arange(n), np.diff(ra)), np.repeat(np.arange(n), np.diff(rb_))])
                 o = np.lexsort((g, r))
@@ -226,21 +229,21 @@ def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, inter long, size long")
 
 
-def _possible(x: str, y: str):
+def _possible(x: str, y: str, percent: int):
     """Whether sizes and bitmaps of two rows (columns n<x>, b0<x>...) allow a link."""
     n = F.col(f"n{x}") + F.col(f"n{y}")
     apart = sum(F.bit_count(F.col(f"b{i}{x}").bitwiseXOR(F.col(f"b{i}{y}"))) for i in range(BITMAP_WORDS))
-    return ((100 * F.least(f"n{x}", f"n{y}") >= PERCENT * F.greatest(f"n{x}", f"n{y}"))
-            & (100 * (n - apart) >= PERCENT * (n + apart)))
+    return ((100 * F.least(f"n{x}", f"n{y}") >= percent * F.greatest(f"n{x}", f"n{y}"))
+            & (100 * (n - apart) >= percent * (n + apart)))
 
 
 _BITS = [f"b{i}" for i in range(BITMAP_WORDS)]
 
 
-def links(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def links(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(profile per document with its representative ``rep``, verified links (a, b))."""
     docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = written(profiles(docs), "sets")
+    table = written(profiles(docs, k), "sets")
     prof = table.filter("part is null").drop("part", "counts")
     same = prof.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in ("k1", "k2", "k3", *_BITS)])
     reps = written(same, "reps")
@@ -249,15 +252,15 @@ def links(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # 3. families of highly similar sets
     lead = None
-    for i, k in enumerate(("k1", "k2", "k3")):
+    for key in ("k1", "k2", "k3"):
         # the group's smallest representative with its size and bitmap; a bounded aggregate, so a group of any size is combined before the shuffle
-        head = reps.groupBy(k).agg(F.min(F.struct("rep", "n", *_BITS)).alias("h"), F.count("*").alias("m")).filter("m > 1")
-        one = (reps.select("rep", F.col("n").alias("nx"), *[F.col(b).alias(f"{b}x") for b in _BITS], k).join(head, k)
+        head = reps.groupBy(key).agg(F.min(F.struct("rep", "n", *_BITS)).alias("h"), F.count("*").alias("m")).filter("m > 1")
+        one = (reps.select("rep", F.col("n").alias("nx"), *[F.col(b).alias(f"{b}x") for b in _BITS], key).join(head, key)
                    .select("rep", "nx", *[f"{b}x" for b in _BITS], F.col("h.rep").alias("b"), F.col("h.n").alias("ny"), *[F.col(f"h.{b}").alias(f"{b}y") for b in _BITS])
-                   .filter((F.col("rep") != F.col("b")) & _possible("x", "y")).select(F.col("rep").alias("a"), "b"))
+                   .filter((F.col("rep") != F.col("b")) & _possible("x", "y", percent)).select(F.col("rep").alias("a"), "b"))
         lead = one if lead is None else lead.union(one)
     lead = written(lead.distinct(), "leaders")
-    checked = written(compare(docs, lead).filter(f"100 * inter >= {PERCENT} * size"), "families")
+    checked = written(compare(docs, lead, k).filter(f"100 * inter >= {percent} * size"), "families")
     family = components(checked.select("a", "b"))
     family = family.join(checked.select(F.col("a").alias("id"), F.col("b").alias("root"), (1 - F.col("inter") / F.col("size")).alias("d")).groupBy("id", "root").agg(F.min("d").alias("d")),
                          ["id", "root"], "left")
@@ -266,42 +269,42 @@ def links(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                                      F.when(F.col("root").isNull() | (F.col("root") == F.col("rep")), F.lit(0.0)).otherwise(F.coalesce("d", F.lit(1.0))).alias("d")), "members")
 
     # 4. the index
-    pre = prefixes(spark, docs, sketch_of(table)).join(members.select(F.col("rep").alias("doc_id"), "n", "root"), "doc_id")
+    pre = prefixes(spark, docs, sketch_of(table), k, percent).join(members.select(F.col("rep").alias("doc_id"), "n", "root"), "doc_id")
     pre = written(pre.filter(F.size("prefix") > 0), "prefixes")
     post = pre.select("root", F.explode("prefix").alias("token"))
     wide = written(post.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token"), "tokens")
     index = written(_postings(spark, pre, wide).join(wide, "token").distinct()
                     .join(members.select(F.col("rep").alias("doc_id"), "d", *_BITS), "doc_id")
-                    .withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / (PERCENT - 0.1)))))), "index")
+                    .withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / (percent - 0.1)))))), "index")
     side = lambda x: index.select("token", "band", *[F.col(c).alias(f"{c}{x}") for c in ("doc_id", "n", "root", "p", "d", *_BITS)])
     probe = side("x").withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
-    need = PERCENT * (F.col("nx") + F.col("ny"))                       # (100 + PERCENT) * overlap must reach this
+    need = percent * (F.col("nx") + F.col("ny"))                       # (100 + percent) * overlap must reach this
     block = F.floor(F.col("py") / POSITION_BLOCK) * POSITION_BLOCK     # the entry's position block
-    in_block = (100 + PERCENT) * F.least("nx", F.col("ny") - block) >= need
+    in_block = (100 + percent) * F.least("nx", F.col("ny") - block) >= need
     bound = 1 + F.least("px", "py") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) - 1
     hits = probe.join(side("y"), ["token", "band"]).filter(
         ((F.col("ny") < F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("doc_idy") < F.col("doc_idx")))) & (F.col("rootx") != F.col("rooty"))
-        & in_block & ((100 + PERCENT) * bound >= need) & _possible("x", "y"))
+        & in_block & ((100 + percent) * bound >= need) & _possible("x", "y", percent))
     pairs = written(hits.select(F.col("doc_idx").alias("a"), F.col("doc_idy").alias("b"), F.col("rootx").alias("ra"), F.col("rooty").alias("rb"), F.col("dx").alias("da"), F.col("dy").alias("db")).distinct(), "pairs")
 
     # 5. answers of the roots, then what they leave open
     tops = written(pairs.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct(), "roots")
-    top = written(compare(docs, tops), "answers")
-    linked = top.filter(f"100 * inter >= {PERCENT} * size").select("a", "b")
+    top = written(compare(docs, tops, k), "answers")
+    linked = top.filter(f"100 * inter >= {percent} * size").select("a", "b")
     gap = top.groupBy("a", "b").agg(F.min(1 - F.col("inter") / F.col("size")).alias("gap"))
-    limit = 1 - PERCENT / 100 + 1e-9
+    limit = 1 - percent / 100 + 1e-9
     open_pairs = (pairs.filter((F.col("a") != F.col("ra")) | (F.col("b") != F.col("rb")))
                        .withColumn("x", F.greatest("ra", "rb")).withColumn("y", F.least("ra", "rb"))
                        .join(gap.select(F.col("a").alias("x"), F.col("b").alias("y"), "gap"), ["x", "y"])
                        .filter((F.col("gap") > limit) & (F.col("gap") - F.col("da") - F.col("db") <= limit)))
     rest = written(open_pairs.select("a", "b").distinct(), "open")
-    own = compare(docs, rest).filter(f"100 * inter >= {PERCENT} * size").select("a", "b")
+    own = compare(docs, rest, k).filter(f"100 * inter >= {percent} * size").select("a", "b")
     return docrep, written(checked.select("a", "b").union(linked).union(own), "links")
 
 
-def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def classes(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, component_id) of every distinct non-null doc_id."""
-    docrep, found = links(spark, docs)
+    docrep, found = links(spark, docs, k, percent)
     vertex = docrep.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
     shared = docrep.join(vertex.filter("rep < other").select("doc_id", F.col("rep").alias("low")), "doc_id").filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     comp = components(found.union(shared))
@@ -314,16 +317,16 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def kernel(col: pa.Array) -> list[pa.Array]:
-        return [pa.array(np.diff(shingles(*column_bytes(col))[1]), pa.int64())]
+        return [pa.array(np.diff(shingles(*column_bytes(col), SHINGLE)[1]), pa.int64())]
 
     sizes = map_text(docs, "text", ["doc_id"], [T.StructField("n_shingles", T.LongType())], kernel)
-    return sizes.join(classes(spark, docs), "doc_id", "left").select("doc_id", "n_shingles", "component_id")
+    return sizes.join(classes(spark, docs, SHINGLE, PERCENT), "doc_id", "left").select("doc_id", "n_shingles", "component_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays: the one whose doc_id is the class id (one row, if repeated);
     documents without words or without doc_id stay as they are."""
-    comp = classes(spark, docs)
+    comp = classes(spark, docs, STAGE_SHINGLE, STAGE_PERCENT)
     gone = written(comp.filter("doc_id <> component_id").select("doc_id"), "gone")
     few = gone.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)

@@ -90,6 +90,48 @@ def test_join_query(spark, small):
     assert got == sorted(brute_classes(rows))
 
 
+def five_word_jaccard(a, b):
+    sets = []
+    for t in (a, b):
+        w = re.findall(r"[^\x20\x09-\x0D]+", fold(t))
+        k = min(5, len(w))
+        sets.append({tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if k else set())
+    return len(sets[0] & sets[1]), len(sets[0] | sets[1])
+
+
+def test_join_stage_takes_five_words_and_four_fifths(spark):
+    """The stage against brute force, with scattered and contiguous edits on both sides of 0.80."""
+    rng = random.Random(11)
+    rows = []
+    for f in range(40):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([7, 60, 120, 200]))]
+        rows.append((10 * f, " ".join(base)))
+        for c in range(1, 4):
+            copy = list(base)
+            if (f + c) % 2:
+                cut = round(len(copy) * rng.uniform(0.02, 0.14))
+                at = rng.randrange(len(copy) - cut)
+                copy[at:at + cut] = [f"x{f}.{c}.{i}" for i in range(cut)]
+            else:
+                copy = edited(rng, copy, rng.uniform(0.01, 0.03))
+            rows.append((10 * f + c, " ".join(copy)))
+    par, between = {d: d for d, _ in rows}, 0
+
+    def find(a):
+        while par[a] != a:
+            a = par[a]
+        return a
+    for (i, a), (j, b) in itertools.combinations(rows, 2):
+        inter, union = five_word_jaccard(a, b)
+        if 100 * inter >= 80 * union:
+            between += 100 * inter < 85 * union
+            p, q = sorted((find(i), find(j)))
+            par[q] = p
+    assert between >= 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(r["doc_id"] for r in setjoin.stage(spark, docs, "").collect()) == sorted(d for d in par if find(d) == d)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 50), (50, 70), (70, 70), (200, 199), (100, 50)]
     got = {r["id"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
