@@ -6,14 +6,15 @@ is taken directly on the scan, before any shuffle, so it increases with the
 line position inside each split.  ``log_assemble`` uses the split start as
 its block, so a huge log file is assembled by many tasks.
 
-Dump files are small per instance and are read whole (``wholetext``), then
-exploded into numbered lines.  Folder layout ``<root>/instance_id=<n>/...``
+Dump files are read the same way, so a huge dump is split across tasks; their
+lines are then numbered by position inside the split and lines of the splits
+before it.  Folder layout ``<root>/instance_id=<n>/...``
 gives the instance column by partition discovery.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -31,9 +32,17 @@ def read_log_lines(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_dump_lines(spark: SparkSession, root: str) -> DataFrame:
-    """(instance_id?, file_id, line_no, line) for every dump file under ``root`` (1-based lines)."""
-    df = spark.read.option("basePath", root).text(root, wholetext=True)
+    """(instance_id?, file_id, line_no, line) for every dump file under ``root`` (1-based lines).
+
+    Lines are numbered inside each split of a file; the lines of the splits before
+    come from one count per split, so no task holds more than one split."""
+    df = spark.read.option("basePath", root).option("lineSep", "\n").text(root)
     parts = [c for c in df.columns if c != "value"]
-    return df.select(*parts, F.col("_metadata.file_path").alias("file_id"),
-                     F.posexplode(F.split("value", "\n")).alias("pos", "line")) \
-             .select(*parts, "file_id", (F.col("pos") + 1).cast("bigint").alias("line_no"), "line")
+    split = [F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("__split")]
+    at = Window.partitionBy("file_id", "__split")
+    counts = df.select(*split).groupBy("file_id", "__split").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("file_id", "__split", (F.sum("__n").over(Window.partitionBy("file_id").orderBy("__split")) - F.col("__n")).alias("__before"))
+    lines = df.select(*parts, *split, F.monotonically_increasing_id().alias("__order"), F.col("value").alias("line"))
+    lines = lines.withColumn("__pos", F.row_number().over(at.orderBy("__order")))
+    return lines.join(before, ["file_id", "__split"]).select(
+        *parts, "file_id", (F.col("__before") + F.col("__pos")).cast("bigint").alias("line_no"), "line")

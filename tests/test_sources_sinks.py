@@ -43,6 +43,33 @@ def test_dump_files(spark):
     assert [r.line_no for r in lines][:4] == [1, 2, 3, 4] and lines[0].instance_id == 3
 
 
+def test_dump_files_are_split(spark):
+    """A dump over many splits: line numbers and statements as in the whole text, by more than one scan task."""
+    from fleetlint.plans import dump as D
+    root = tempfile.mkdtemp(prefix="fleetlint-dumps-")
+    text = "-- Dumped from database version 17.1\nSET search_path = app;\n\nCREATE TABLE t0 (\n    a int\n);\nCOPY t0 (a) FROM stdin;\n"
+    text += "".join(f"{i}\tdata; \r{'x' * (i % 50)}\n" for i in range(4000)) + "\\.\n"
+    text += "".join(f"CREATE TABLE t{i} (\r\n    a int,\n    é text\n);\n\n" for i in range(1, 300))
+    text += "CREATE FUNCTION f() RETURNS int AS $_$\n" + "select 1;\n" * 2000 + "$_$ LANGUAGE sql;\nCREATE SEQUENCE last_one;"
+    for i in (3, 4):
+        os.makedirs(os.path.join(root, f"instance_id={i}"))
+        with open(os.path.join(root, f"instance_id={i}", "schema.sql"), "w", newline="") as fh:
+            fh.write(text if i == 3 else "CREATE TABLE other (\n    a int\n);\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        lines = read_dump_lines(spark, root)
+        got = sorted((r.line_no, r.line) for r in lines.filter("instance_id = 3").collect())
+        assert got == list(enumerate(text.split("\n"), 1))
+        assert spark.read.text(root).rdd.getNumPartitions() > 4 and "wholetext" not in lines._jdf.queryExecution().toString().lower()
+        st = {(r.instance_id, r.stmt_no): (r.kind, r.search_path, r.first_line) for r in D.dump_statements(lines, ["instance_id"], block_lines=1000).collect()}
+        whole = spark.createDataFrame([(3, "f", i, x) for i, x in enumerate(text.split("\n"), 1)], "instance_id long, file_id string, line_no long, line string")
+        want = {(r.instance_id, r.stmt_no): (r.kind, r.search_path, r.first_line) for r in D.dump_statements(whole, ["instance_id"]).collect()}
+        assert {k: v for k, v in st.items() if k[0] == 3} == want and len(st) == len(want) + 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_sinks_roundtrip(spark):
     from fleetlint.plans import report
     from fleetlint.sources.catalog import Catalog
