@@ -9,11 +9,11 @@ and key ids), ``weak_secret`` (other secret-like assignments with short or
 unusual values, and bare 40-character keys) and ``endpoint`` (URLs of
 services).  Every part is a row (document, scope, role, start); scopes are
 paragraphs (split at blank lines).  An interval join inside each scope links
-parts whose starts are at most ``REACH`` code points apart: a weak identifier is
-reported only near a secret, a weak secret only near an identifier, an
-endpoint only near both.  The join runs on (document, scope, bin of REACH code
-points), so a bin never holds more than REACH parts per kind and no group
-grows with the document.
+parts with at most ``REACH`` code points between the end of one and the start of
+the other, however long they are: a weak identifier is reported only near a
+secret, a weak secret only near an identifier, an endpoint only near both.  The
+join runs on (document, scope, bin of REACH code points), with a part in every
+bin it covers, so no group grows with the document.
 
 Defined cases: null text is the empty text (no spans); repeated rows are
 reported alike; a null doc_id is its own document; extra columns are ignored by
@@ -61,12 +61,14 @@ def linked(found: DataFrame) -> DataFrame:
                   .select("key", "_t", F.explode(tagged(KINDS)).alias("x"))
                   .select("key", "x.s", "x.k", "x.e", (F.size(F.split(F.substring("_t", F.lit(1), F.col("x.s")), r"\n\x20*\n")) - 1).alias("scope"))
                   .withColumn("role", F.element_at(F.array(*[F.lit(ROLE[k]) for k in KINDS]), F.col("k") + 1))
-                  .withColumn("bin", F.floor(F.col("s") / REACH)))
+                  .withColumn("lo", F.floor(F.col("s") / REACH)).withColumn("hi", F.floor(F.col("e") / REACH)))
     weak = parts.filter(F.col("k") >= len(BASE)).dropDuplicates(["key", "s", "k", "e"])
-    near = (parts.filter(F.col("role") != "endpoint").dropDuplicates(["key", "scope", "s", "role"])
-                 .select("key", "scope", F.col("role").alias("role2"), F.col("s").alias("s2"), F.explode(F.array(*[F.col("bin") + d for d in (-1, 0, 1)])).alias("bin")))
-    pairs = (weak.join(near, ["key", "scope", "bin"])
-                 .filter((F.abs(F.col("s") - F.col("s2")) <= REACH) & (F.col("role") != F.col("role2"))))
+    weak = weak.select("key", "scope", "s", "k", "e", "role", F.explode(F.sequence("lo", "hi")).alias("bin"))
+    # of parts with one start and role the longest is the nearest to everything
+    near = (parts.filter(F.col("role") != "endpoint").groupBy("key", "scope", "s", "role").agg(F.max("e").alias("e2"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+                 .select("key", "scope", F.col("role").alias("role2"), F.col("s").alias("s2"), "e2", F.explode(F.sequence(F.col("lo") - 1, F.col("hi") + 1)).alias("bin")))
+    gap = F.greatest("s", "s2") - F.least("e", "e2")               # below zero where they overlap
+    pairs = weak.join(near, ["key", "scope", "bin"]).filter((gap <= REACH) & (F.col("role") != F.col("role2")))
     seen = pairs.groupBy("key", "s", "k", "e", "role").agg(
         F.max((F.col("role2") == "identifier").cast("int")).alias("id"), F.max((F.col("role2") == "secret").cast("int")).alias("sec"))
     good = seen.filter(((F.col("role") == "identifier") & (F.col("sec") == 1)) | ((F.col("role") == "secret") & (F.col("id") == 1))

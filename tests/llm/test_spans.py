@@ -69,6 +69,19 @@ def test_secret_links(spark):
     assert got[5] == [[(0, "assign", 23), (24, "weak_id", 37)]] * 2
 
 
+def test_secret_links_count_the_gap_between_parts(spark):
+    """The length of a part does not count against the reach; the gap between parts does."""
+    key, url = "private_key=" + "Zq9$" * 200, "https://db.example.com/" + "p" * 900
+    apart = lambda n: "login: bob99" + " " * n + "pwd=ab12cd"
+    texts = [key + " user_name: joe", url + " login: joe pwd=ab12cd", "login: bob99 " + url + " pwd=ab12cd", apart(secrets.REACH), apart(secrets.REACH + 1),
+             " " * 199 + apart(secrets.REACH), key + " " * (secrets.REACH + 1) + "user_name: joe", "user_name: joe " + key]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [secrets.KINDS[x["k"]] for x in r["all"]] for r in secrets.scan(docs).collect()}
+    both = ["weak_id", "weak_secret"]
+    assert got == {0: both[::-1], 1: ["endpoint", *both], 2: ["endpoint"], 3: both, 4: [], 5: both, 6: [], 7: both}
+    assert {r["doc_id"]: r["text"] for r in secrets.redact(docs.filter("doc_id < 2")).collect()} == {0: "[SECRET] [SECRET]", 1: "[SECRET] [SECRET] [SECRET]"}
+
+
 def test_secret_redaction(spark, odd_docs, no_docs):
     docs = spark.createDataFrame([(1, "ab password=hunter2hunter2 user_name=joe end", 9), (2, "clean", 5), (3, None, None)], "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secrets.redact(docs).collect()}
