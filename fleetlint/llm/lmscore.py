@@ -8,9 +8,8 @@ The network predicts each token from the ``SIDE`` tokens before and after it
 (class, member), so every probability is normalised over all ids.  A document's
 score is the sum of the conditional log-probabilities of all its tokens.
 
-Training covers the whole corpus: every task walks all its rows, trains on one
-position in ``STRIDE`` of every text with the full context, and returns its
-weights; they are averaged by positions seen, ``ROUNDS`` times.  What is
+Training covers the whole corpus: every task walks all its rows, trains on every
+position of every text with the full context, and returns its weights; they are averaged by positions seen, ``ROUNDS`` times.  What is
 gathered (word counts, weights per task) grows with the input; the model
 (about 0.5 MB, whatever the corpus) is broadcast.  Biases start from corpus
 counts.
@@ -42,7 +41,9 @@ CLASSES = IDS // MEMBERS
 SIDE = 3
 EMBED = 16
 HIDDEN = 32
-STRIDE = 16
+STRIDE = 1           # every position is a training target
+#: positions a step, and from how many positions seen by the task on
+STEPS = ((256, 0), (2048, 1 << 17))
 ROUNDS = 2
 OFFSETS = [j for j in range(-SIDE, SIDE + 1) if j]
 
@@ -173,40 +174,37 @@ class Trainer:
     def step(self, ctx: np.ndarray, y: np.ndarray) -> None:
         m, n = self.m, len(y)
         self.seen += n
-        x = m["e"][ctx]                                            # (n, offsets, EMBED)
-        h = np.tanh(np.einsum("noe,oeh->nh", x, m["w"], optimize=True) + m["b"])
+        o = np.argsort(y, kind="stable")                           # by class
+        ctx, y = ctx[o], y[o]
         k, r = y // MEMBERS, y % MEMBERS
+        x = m["e"][ctx].reshape(n, -1)                             # (n, offsets * EMBED)
+        w = m["w"].reshape(-1, HIDDEN)
+        h = np.tanh(x @ w + m["b"])
         pc = np.exp(_log_softmax(h @ m["c"] + m["cb"]))
         pc[np.arange(n), k] -= 1
-        mk = m["m"][k]
-        pm = np.exp(_log_softmax(np.einsum("nh,nhr->nr", h, mk) + m["mb"][k]))
-        pm[np.arange(n), r] -= 1
         pc /= n
-        pm /= n
-        dh = pc @ m["c"].T + np.einsum("nr,nhr->nh", pm, mk)
+        dh = pc @ m["c"].T
+        edge = np.searchsorted(k, np.arange(CLASSES + 1))
+        for c in np.flatnonzero(edge[1:] > edge[:-1]):
+            i = slice(edge[c], edge[c + 1])
+            pm = np.exp(_log_softmax(h[i] @ m["m"][c] + m["mb"][c]))
+            pm[np.arange(len(pm)), r[i]] -= 1
+            pm /= n
+            dh[i] += pm @ m["m"][c].T
+            self._move("m", h[i].T @ pm, c)
+            self._move("mb", pm.sum(0), c)
         da = dh * (1 - h * h)
-        dx = np.einsum("nh,oeh->noe", da, m["w"], optimize=True).reshape(-1, EMBED)
-        dw = np.einsum("noe,nh->oeh", x, da, optimize=True)
-        self._dense("c", h.T @ pc)
-        self._dense("cb", pc.sum(0))
-        self._dense("w", dw)
-        self._dense("b", da.sum(0))
-        self._rows("e", ctx.reshape(-1), dx)
-        self._rows("m", k, np.einsum("nh,nr->nhr", h, pm))
-        self._rows("mb", k, pm)
-
-    def _dense(self, key, g):
-        self.acc[key] += g * g
-        self.m[key] -= self.rate * g / np.sqrt(self.acc[key])
-
-    def _rows(self, key, at, g):
-        o = np.argsort(at, kind="stable")
-        a = at[o]
-        first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-        g = np.add.reduceat(g[o], first, axis=0)
-        rows = a[first]
-        self.acc[key][rows] += g * g
-        self.m[key][rows] -= self.rate * g / np.sqrt(self.acc[key][rows])
+        dx = (da @ w.T).reshape(-1, EMBED)
+        self._move("c", h.T @ pc)
+        self._move("cb", pc.sum(0))
+        self._move("w", (x.T @ da).reshape(m["w"].shape))
+        self._move("b", da.sum(0))
+        at = ctx.reshape(-1)
+        self._move("e", np.stack([np.bincount(at, dx[:, j], IDS + 1) for j in range(EMBED)], 1).astype(np.float32))
+
+    def _move(self, key, g, at=slice(None)):
+        self.acc[key][at] += g * g
+        self.m[key][at] -= self.rate * g / np.sqrt(self.acc[key][at])
 
 
 def _flat(m: dict) -> np.ndarray:
@@ -243,14 +241,14 @@ def train(spark: SparkSession, docs: DataFrame) -> dict | None:
             for b in batches:
                 _, off = column_bytes(b.column(0))
                 for lo, hi in row_chunks(off):
-                    ids, at, rows = ids_of(b.column(0).slice(lo, hi - lo), o, t)
-                    # one position in STRIDE of every row, starting where the row's length says
-                    inner = np.arange(len(at)) - rows[:-1][np.searchsorted(rows, np.arange(len(at)), side="right") - 1]
-                    size = np.diff(rows)[np.searchsorted(rows, np.arange(len(at)), side="right") - 1]
-                    p = at[(inner + size) % STRIDE == 0]
-                    for i in range(0, len(p), 256):
-                        q = p[i:i + 256]
+                    ids, at, _ = ids_of(b.column(0).slice(lo, hi - lo), o, t)
+                    p = at[::STRIDE]
+                    i = 0
+                    while i < len(p):
+                        size = max(n for n, seen in STEPS if trainer.seen >= seen)
+                        q = p[i:i + size]
                         trainer.step(ids[q[:, None] + np.array(OFFSETS)], ids[q])
+                        i += size
             if trainer.seen:
                 v = np.array_split(_flat(trainer.m) * np.float32(trainer.seen), PARTS)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS), pa.int32()), pa.array([trainer.seen] * PARTS, pa.int64()),

@@ -129,6 +129,17 @@ def test_training_learns_both_sides(spark, monkeypatch):
     assert got[1][1] / 200 > -math.log(40) + 1.0 and got[1][1] > got[2][1] + 100
 
 
+def test_training_learns_from_short_texts(spark):
+    """With the production values, a corpus of texts of seven words is learned."""
+    assert lmscore.STRIDE == 1
+    rows = [(d, " ".join(f"w{(7 * d + i) % 40}" for i in range(7))) for d in range(12000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    trained = lmscore.train(spark, docs)
+    test = spark.createDataFrame([(1, rows[0][1]), (2, " ".join(reversed(rows[0][1].split())))], "doc_id long, text string")
+    got = {r["doc_id"]: r["logp"] for r in lmscore.score(spark, test, trained, ["doc_id"]).collect()}
+    assert got[1] / 7 > -math.log(40) + 0.5 and got[1] > got[2] + 3
+
+
 def test_scoring_odd(spark, odd_docs, no_docs):
     out = lmscore.score(spark, odd_docs, lmscore.train(spark, odd_docs), ["doc_id"]).collect()
     assert sorted(r["n_tokens"] for r in out) == [0, 0, 0, 3, 3, 5, 5, 32000] and all(math.isfinite(r["logp"]) for r in out)
