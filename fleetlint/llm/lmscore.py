@@ -5,8 +5,13 @@ characters, A-Z lowered).  The ``TOP`` most frequent words of the whole corpus
 have an id each, every other word the id of its hash bucket (``TAIL`` buckets).
 The network predicts each token from the ``SIDE`` tokens before and after it
 (position-wise embeddings, one hidden layer) through a two-level softmax
-(class, member), so every probability is normalised over all ids.  A document's
-score is the sum of the conditional log-probabilities of all its tokens.
+(class, member), so every probability is normalised over all ids.  A word of a
+bucket has its share of the bucket's probability, ``(n + SMOOTH) / (N + SMOOTH *
+(V + 1))`` by corpus counts (n of the word, N and V: tokens and distinct words of
+the bucket; n is 0 for all words not in the corpus, which share one place).  The
+counts of all words stay in a table that is joined with the documents' distinct
+bucket words.  A document's score is the sum of the conditional log-probabilities
+of all its tokens.
 
 Training covers the whole corpus: every task walks all its rows, trains on every
 position of every text with the full context, and returns its weights; they are averaged by positions seen, ``ROUNDS`` times.  What is
@@ -45,6 +50,7 @@ STRIDE = 1           # every position is a training target
 #: positions a step, and from how many positions seen by the task on
 STEPS = ((256, 0), (2048, 1 << 17))
 ROUNDS = 2
+SMOOTH = 0.5
 OFFSETS = [j for j in range(-SIDE, SIDE + 1) if j]
 
 
@@ -79,8 +85,9 @@ def counts_of(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each of the TOP ids, by frequency; corpus count of every id)."""
+def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, DataFrame]:
+    """(hash of each of the TOP ids, by frequency; corpus count of every id; distinct words of each
+    bucket; the written table (h, n) of all words)."""
     words = written(counts_of(docs), "words")
     top = words.orderBy(F.desc("n"), "h").limit(TOP)
     rows = top.collect()
@@ -88,10 +95,11 @@ def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     n = np.zeros(IDS)
     n[:len(rows)] = [r["n"] for r in rows]
     bucket = F.pmod(F.shiftright("h", 7), F.lit(TAIL)).cast("int")
-    tail = words.join(F.broadcast(top.select("h")), "h", "left_anti").groupBy(bucket.alias("b")).agg(F.sum("n").alias("n"))
+    distinct = np.zeros(TAIL)
+    tail = words.join(F.broadcast(top.select("h")), "h", "left_anti").groupBy(bucket.alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("v"))
     for r in tail.collect():                       # at most TAIL rows
-        n[TOP + r["b"]] = r["n"]
-    return h, n
+        n[TOP + r["b"]], distinct[r["b"]] = r["n"], r["v"]
+    return h, n, distinct, words
 
 
 def start(n: np.ndarray, seed: int = 3) -> dict:
@@ -103,8 +111,13 @@ def start(n: np.ndarray, seed: int = 3) -> dict:
             "m": np.zeros((CLASSES, HIDDEN, MEMBERS)), "mb": np.log(p / p.sum(1, keepdims=True))}
 
 
-def ids_of(col: pa.Array, order: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids laid out with SIDE boundary tokens around every row, place of each row's first token plus counts)."""
+def ids_of(col: pa.Array, order: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids laid out with SIDE boundary tokens around every row, place of every token, tokens before each row)."""
+    return _hashed_ids(col, order, top)[:3]
+
+
+def _hashed_ids(col: pa.Array, order: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``ids_of`` and every token's word hash."""
     folded, s, e, rows = split_words(*column_bytes(col), ALNUM)
     h = word_hashes(folded, s, e).view(np.int64)
     place = np.searchsorted(top, h)
@@ -115,7 +128,7 @@ def ids_of(col: pa.Array, order: np.ndarray, top: np.ndarray) -> tuple[np.ndarra
     out = np.full(int(rows[-1]) + SIDE * (n + 1), IDS, np.int32)
     at = np.arange(len(ids)) + SIDE * (np.repeat(np.arange(n), np.diff(rows)) + 1)
     out[at] = ids
-    return out, at, rows
+    return out, at, rows, h
 
 
 def _log_softmax(z):
@@ -225,7 +238,7 @@ PARTS = 16
 
 def train(spark: SparkSession, docs: DataFrame) -> dict | None:
     """The averaged network and its vocabulary; None for a corpus without words."""
-    top, n = vocabulary(docs)
+    top, n, distinct, words = vocabulary(docs)
     if n.sum() == 0:
         return None
     by_hash = np.argsort(top, kind="stable")
@@ -270,25 +283,52 @@ def train(spark: SparkSession, docs: DataFrame) -> dict | None:
             break
         rows.sort(key=lambda r: r["part"])
         model = _shaped(np.concatenate([np.frombuffer(r["w"], float) / r["seen"] for r in rows]), model)
-    return {"model": model, "order": order, "top": top_sorted}
+    return {"model": model, "order": order, "top": top_sorted, "bucket": n[TOP:] + SMOOTH * (distinct + 1), "words": words}
 
 
 FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("logp", T.DoubleType())]
 
 
+_TAIL_FIELDS = [T.StructField("_tail_h", T.ArrayType(T.LongType())), T.StructField("_tail_c", T.ArrayType(T.LongType()))]
+
+
 def score(spark: SparkSession, docs: DataFrame, trained: dict | None, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns plus n_tokens and logp (natural logarithm) of every row."""
-    shared = spark.sparkContext.broadcast(None if trained is None else (ready(trained["model"]), trained["order"], trained["top"]))
+    """``keep`` columns plus n_tokens and logp (natural logarithm) of every row.
 
-    def kernel(col: pa.Array) -> list[pa.Array]:
-        if shared.value is None:
+    The network's part is written once with each row's distinct bucket words; their counts are
+    joined from the table of all words and summed by row."""
+    if trained is None:
+        def empty(col: pa.Array) -> list[pa.Array]:
             return [pa.array(np.zeros(len(col), np.int64)), pa.array(np.zeros(len(col)))]
-        m, o, t = shared.value
-        ids, at, rows = ids_of(col, o, t)
-        total = np.concatenate([[0.0], np.cumsum(log_probs(m, ids, at))])
-        return [pa.array(np.diff(rows), pa.int64()), pa.array(total[rows[1:]] - total[rows[:-1]], pa.float64())]
 
-    return map_text(docs, text, keep, FIELDS, kernel)
+        return map_text(docs, text, keep, FIELDS, empty)
+    shared = spark.sparkContext.broadcast((ready(trained["model"]), trained["order"], trained["top"], np.log(trained["bucket"])))
+
+    def kernel(col: pa.Array) -> list[pa.Array]:
+        m, o, t, bucket = shared.value
+        ids, at, rows, h = _hashed_ids(col, o, t)
+        own = ids[at]
+        in_bucket = own >= TOP
+        lp = log_probs(m, ids, at)
+        lp[in_bucket] -= bucket[own[in_bucket] - TOP]
+        total = np.concatenate([[0.0], np.cumsum(lp)])
+        row, word = np.repeat(np.arange(len(col)), np.diff(rows))[in_bucket], h[in_bucket]
+        s = np.lexsort((word, row))
+        row, word = row[s], word[s]
+        new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (word[1:] != word[:-1])]) if len(row) else np.zeros(0, np.int64)
+        edge = pa.array(np.searchsorted(row[new], np.arange(len(col) + 1)), pa.int32())
+        times = np.diff(np.r_[new, len(row)])
+        return [pa.array(np.diff(rows), pa.int64()), pa.array(total[rows[1:]] - total[rows[:-1]], pa.float64()),
+                pa.ListArray.from_arrays(edge, pa.array(word[new], pa.int64())), pa.ListArray.from_arrays(edge, pa.array(times, pa.int64()))]
+
+    made = map_text(docs, text, keep, FIELDS + _TAIL_FIELDS, kernel)
+    made = written(made.withColumn("_row", F.monotonically_increasing_id()), "scored")
+    tail = made.select("_row", F.explode(F.arrays_zip("_tail_h", "_tail_c")).alias("x")).select("_row", F.col("x._tail_h").alias("h"), F.col("x._tail_c").alias("c"))
+    part = (tail.join(trained["words"], "h", "left")
+                .groupBy("_row").agg(F.sum(F.col("c") * F.log(F.coalesce("n", F.lit(0)) + F.lit(SMOOTH))).alias("_part")))
+    names = [c for c in made.columns if c not in ("_row", "_tail_h", "_tail_c")]
+    out = made.select("_row", *[F.col(f"`{c}`") for c in names]).join(part, "_row", "left")
+    return out.select(*[(F.col("logp") + F.coalesce("_part", F.lit(0.0))).alias(c) if c == "logp" else F.col(f"`{c}`") for c in names])
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,6 +140,36 @@ def test_training_learns_from_short_texts(spark):
     assert got[1] / 7 > -math.log(40) + 0.5 and got[1] > got[2] + 3
 
 
+def test_bucket_words_have_their_own_share(spark, monkeypatch):
+    """Beyond the vocabulary a word has its share of its bucket by its own count; never-seen words have the smoothed rest."""
+    monkeypatch.setattr(lmscore, "ROUNDS", 0)
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(lmscore.TOP)]
+    rare = [f"r{i}" for i in range(2000)]
+    texts = [" ".join(words)] * 40 + [" ".join(rng.permutation(rare))] + [" ".join(rare[:500])] * 9
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    trained = lmscore.train(spark, docs)
+    seen = collections.Counter(" ".join(texts).split())
+    tests = ["r0", "r1999", "never", "r0 r0 never", "w1", ""] + rare
+    test = spark.createDataFrame(list(enumerate(tests + tests[:1])), "doc_id long, text string").withColumn("doc_id", F.when(F.col("doc_id") < len(tests), F.col("doc_id")))
+    got = {r["doc_id"]: r["logp"] for r in lmscore.score(spark, test, trained, ["doc_id"]).collect()}
+    assert abs(got[None] - got[0]) < 1e-9 and got[5] == 0 and len(got) == len(tests) + 1
+    # without training rounds the network gives the id's corpus share, so a word has count by count its own
+    total = sum(seen.values()) + 0.5 * lmscore.IDS
+    col = pa.array(tests)
+    ids, at, rows = lmscore.ids_of(col, trained["order"], trained["top"])
+    per_bucket, distinct = collections.Counter(), collections.Counter()
+    for w, i in {t: ids[at[rows[k]]] for k, t in enumerate(tests) if t in seen}.items():
+        if i >= lmscore.TOP:
+            per_bucket[i] += seen[w]
+            distinct[i] += 1
+    for k in (0, 1, 2):
+        i = ids[at[rows[k]]]
+        want = math.log((per_bucket[i] + 0.5) / total) + math.log((seen[tests[k]] + 0.5) / (per_bucket[i] + 0.5 * (distinct[i] + 1)))
+        assert abs(got[k] - want) < 1e-3
+    assert got[0] > got[1] and abs(got[3] - 2 * got[0] - got[2]) < 1e-3
+
+
 def test_scoring_odd(spark, odd_docs, no_docs):
     out = lmscore.score(spark, odd_docs, lmscore.train(spark, odd_docs), ["doc_id"]).collect()
     assert sorted(r["n_tokens"] for r in out) == [0, 0, 0, 3, 3, 5, 5, 32000] and all(math.isfinite(r["logp"]) for r in out)
