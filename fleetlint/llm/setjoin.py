@@ -324,8 +324,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: the one whose doc_id is the class id (one row, if repeated);
-    documents without words or without doc_id stay as they are."""
+    """One doc_id of each class stays: the one that is the class id, with all its rows (repeated rows and
+    different texts under that doc_id stay); rows without words or without doc_id stay as they are, copies included."""
     comp = classes(spark, docs, STAGE_SHINGLE, STAGE_PERCENT)
     gone = written(comp.filter("doc_id <> component_id").select("doc_id"), "gone")
     few = gone.count() <= BROADCAST_IDS
