@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, lmscore, mixing, oracles, pii, quality, secrets, setjoin, suffixdedup, toxicity
+from . import ann, decontaminate, linededup, lmscore, mixing, oracles, periodic, pii, quality, secrets, setjoin, suffixdedup, toxicity, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": secrets.op1,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": suffixdedup.op8,
     "op9_quality": quality.op9,
     "op10_source_mixing": mixing.op10,
+    "op11_periodic_runs": periodic.op11,
+    "op12_line_dedup": linededup.op12,
+    "op13_spelling_variants": variants.op13,
 }
 
 ORACLES: dict[str, str] = {
@@ -26,4 +29,7 @@ ORACLES: dict[str, str] = {
     "op6_benchmark_decontamination": oracles.PASSAGES,
     "op8_suffix_array_dedup": oracles.REPEATS,
     "op10_source_mixing": mixing.ORACLE,
+    "op11_periodic_runs": periodic.ORACLE,
+    "op12_line_dedup": linededup.ORACLE,
+    "op13_spelling_variants": variants.ORACLE,
 }
