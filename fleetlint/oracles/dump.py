@@ -79,7 +79,7 @@ l4 as (select *, cast(coalesce(sum(is_end) over ({_W} rows between unbounded pre
 st as (select instance_id, file_id, stmt_no, min(line_no) as first_line, max(line_no) as last_line,
               arg_max(sp, line_no) as search_path, string_agg(line, chr(10) order by line_no) as text
        from l4 group by instance_id, file_id, stmt_no),
-stmts as (select st.instance_id, st.file_id, st.stmt_no, st.first_line, st.last_line, {_KIND} as kind,
+stmts as (select st.instance_id, st.file_id, st.stmt_no, cast(0 as bigint) as piece, st.first_line, st.last_line, {_KIND} as kind,
                  st.search_path, ver.pg_version, st.text
           from st left join ver on ver.instance_id = st.instance_id and ver.file_id = st.file_id)"""
 

@@ -32,23 +32,17 @@ def _oid(*parts) -> F.Column:
     return F.xxhash64(*parts)
 
 
-def _split_qualified(c: F.Column, default_schema: F.Column) -> tuple[F.Column, F.Column]:
-    parts = F.split(c, r"\.", 2)
-    return (F.when(F.size(parts) > 1, parts[0]).otherwise(default_schema),
-            F.when(F.size(parts) > 1, parts[1]).otherwise(c))
-
-
 def catalog_from_dump(spark: SparkSession, lines: DataFrame, keys: list[str] | None = None,
                       file_col: str = "file_id") -> Catalog:
     """Catalog of dump facts; the file is a scope key, so several dumps of one instance stay apart."""
     base = list(keys or ["instance_id"])
     k = [*base, file_col]
-    stmts = D.dump_statements(lines, base, file_col, checkpoint=True)
-    tables = D.dump_tables(stmts, base, file_col)
+    stmts = D.dump_statements(lines, base, file_col)
+    tables = D.dump_tables(stmts, base, file_col, lists=True)
     columns = D.dump_columns(stmts, base, file_col)
-    cons = D.dump_constraints(stmts, base, file_col)
+    cons = D.dump_constraints(stmts, base, file_col, lists=True)
     idx = D.dump_indexes(stmts, base, file_col, lists=True)
-    seqs = D.dump_sequences(stmts, base, file_col)
+    seqs = D.dump_sequences(stmts, base, file_col, lists=True)
     enums = D.enum_labels(stmts, base, file_col)
     rules = D.dump_rules(stmts, base, file_col)
     exts = D.dump_extensions(stmts, base, file_col)
@@ -85,15 +79,12 @@ def catalog_from_dump(spark: SparkSession, lines: DataFrame, keys: list[str] | N
         return j.groupBy(*k, *id_cols, rel).agg(ordered_array_agg(F.coalesce("attnum", F.lit(0).cast("bigint")), "pos").alias(out))
 
     def constraints():
-        c = cons.select(*k, "schema_name", "table_name", "constraint_name", "contype", "columns", "ref_table",
-                        "on_delete", "on_update", "deferrable", "deferred",
-                        t_oid().alias("conrelid"),
+        c = cons.select(*k, "constraint_name", "contype", "column_list", "on_delete", "on_update", "deferrable", "deferred",
+                        t_oid().alias("conrelid"), F.when(F.col("ref_name").isNotNull(), _oid("ref_schema", "ref_name")).alias("confrelid"),
                         _oid(F.col("schema_name"), F.col("table_name"), F.coalesce("constraint_name", F.lit("")))
                         .alias("oid"))
-        rs, rn = _split_qualified(F.col("ref_table"), F.lit(D.DEFAULT_SCHEMA))
-        c = c.withColumn("confrelid", F.when(F.col("ref_table").isNotNull(), _oid(rs, rn)))
-        named = c.filter(F.col("columns") != "").withColumn("names", F.split("columns", ","))
-        keys_ = attnums(named, ["oid"], "conrelid", "names", "conkey")
+        named = c.filter(F.size("column_list") > 0)
+        keys_ = attnums(named, ["oid"], "conrelid", "column_list", "conkey")
         c = c.join(keys_, k + ["oid", "conrelid"], "left")
         return c.select(*k, "oid", "conrelid", F.col("constraint_name").alias("conname"), "contype",
                         F.coalesce("conkey", F.array().cast("array<bigint>")).alias("conkey"), "confrelid",
@@ -112,8 +103,7 @@ def catalog_from_dump(spark: SparkSession, lines: DataFrame, keys: list[str] | N
         return i.unionByName(c)
 
     def sequences():
-        os_, ot = _split_qualified(F.col("owner_table"), F.lit(D.DEFAULT_SCHEMA))
-        s = seqs.withColumn("refobjid", F.when(F.col("owner_table").isNotNull(), _oid(os_, ot)))
+        s = seqs.withColumn("refobjid", F.when(F.col("owner_name").isNotNull(), _oid("owner_schema", "owner_name")))
         s = s.join(col_pos.select(*k, F.col("relid").alias("refobjid"), F.col("cname").alias("owner_column"),
                                   F.col("attnum").alias("refobjsubid")), k + ["refobjid", "owner_column"], "left")
         return s.select(*k, _oid(F.col("schema_name")).alias("relnamespace"), F.col("sequence_name").alias("relname"),
@@ -135,10 +125,8 @@ def catalog_from_dump(spark: SparkSession, lines: DataFrame, keys: list[str] | N
                             F.coalesce(F.element_at(m, F.col("event")), F.col("event")).alias("ev_type"), "is_instead")
 
     def inherits():
-        t = tables.filter(F.col("inherits").isNotNull()).select(
-            *k, t_oid().alias("inhrelid"), F.explode(F.split("inherits", ",")).alias("parent"))
-        ps, pn = _split_qualified(F.col("parent"), F.lit(D.DEFAULT_SCHEMA))
-        return t.select(*k, "inhrelid", _oid(ps, pn).alias("inhparent"))
+        t = tables.select(*k, t_oid().alias("inhrelid"), F.explode("parent_list").alias("p"))
+        return t.select(*k, "inhrelid", _oid("p.schema_name", "p.table_name").alias("inhparent"))
 
     def extensions():
         return exts.select(*k, F.col("extension_name").alias("extname"),

@@ -294,9 +294,8 @@ _register_relops()
 def _register_dump() -> None:
     from . import dump as D
 
-    def stmts(cat, checkpoint=True):
-        # the fact tables read the statement table more than once: write it once
-        return D.dump_statements(cat["dump_lines"], cat.keys, checkpoint=checkpoint)
+    def stmts(cat):
+        return D.dump_statements(cat["dump_lines"], cat.keys)
 
     def reg(name, fn):
         def run(spark, sf_dir):
@@ -305,7 +304,7 @@ def _register_dump() -> None:
         run.__doc__ = (fn.__doc__ or "") or name
         QUERIES[name] = run
 
-    reg("dump_statements", lambda cat: stmts(cat, checkpoint=False))
+    reg("dump_statements", stmts)
     for name in ("dump_tables", "dump_columns", "dump_constraints", "dump_indexes", "dump_sequences",
                  "dump_defaults_identity", "dump_extensions", "dump_enums", "dump_rules"):
         fn = getattr(D, name)

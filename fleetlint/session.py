@@ -71,3 +71,19 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A folder under the shared checkpoint location for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def written(df, name: str):
+    """``df`` written once as Parquet to the shared checkpoint folder and read back: columns stay prunable,
+    the lineage is cut, and a lost executor re-reads files instead of deriving them again."""
+    import uuid
+    spark = df.sparkSession
+    path = scratch_dir(spark, f"tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the tables that this application has written with ``written``; results that read them must be saved before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark, f"tables/{spark.sparkContext.applicationId}"))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
