@@ -53,6 +53,7 @@ BLOCK = 1 << 20
 HOT_SHARE, HOT_ROWS = 5000, (500, 1_000_000)
 BROADCAST_IDS = 1_000_000
 RUN_ROWS = 20_000               # rows of whole runs ranked together
+FLUSH_ROWS = 500_000            # names held by a task before it sends them on
 
 
 def names(data: np.ndarray, k: int) -> np.ndarray:
@@ -142,7 +143,7 @@ def first_ranks(texts: DataFrame) -> DataFrame:
             first = np.flatnonzero(new)
             held.append((h[first], np.diff(np.append(first, len(h)))))
             size += int(new.sum())
-            if size > 4_000_000:
+            if size > FLUSH_ROWS:
                 yield flush()
                 size = 0
         if held:
@@ -306,7 +307,7 @@ def window_ranges(spark: SparkSession, texts: DataFrame) -> DataFrame:
         for b, r0, r, _, w in hot_windows(batches):
             held.append((w, b.column(0).to_numpy()[r + r0]))
             size += len(w)
-            if size > 2_000_000:
+            if size > FLUSH_ROWS:
                 yield flush()
                 size = 0
         if held:
