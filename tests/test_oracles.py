@@ -4,9 +4,7 @@ import re
 import pytest
 
 from __spark_entry__ import oracle_sql, queries
-from helpers import canon
-
-from conftest import SF_SMALL
+from helpers import SF_SMALL, canon
 
 ORACLES = oracle_sql()
 HEAVY = {"severity_counts", "verdict", "fleet_verdicts", "check_status", "findings_grouped", "todo_list"}
