@@ -17,16 +17,23 @@ def components(edges: DataFrame) -> DataFrame:
     executor costs one round.  Self-edges and repeated edges are harmless.
     """
     live = written(_tidy(edges), "cc")
+    before = _digest(live)
     while True:
         big = _tidy(_star(live, larger=True))
-        nxt = written(_tidy(_star(big, larger=False)), "cc")
-        if nxt.join(live, ["a", "b"], "left_anti").isEmpty() and live.join(nxt, ["a", "b"], "left_anti").isEmpty():
+        live = written(_tidy(_star(big, larger=False)), "cc")
+        now = _digest(live)
+        if now == before:
             break
-        live = nxt
+        before = now
     # stars now: every edge joins a vertex (a) to its root (b)
     return live.select(F.col("a").alias("id"), F.col("b").alias("root")).union(live.select(F.col("b").alias("id"), F.col("b").alias("root"))).distinct()
 
 
+def _digest(e: DataFrame):
+    """Number of edges and the sums of two hashes of them: equal for equal sets of edges."""
+    return tuple(e.agg(F.count("*"), *[F.sum(F.xxhash64(F.lit(k), "a", "b").cast("decimal(38,0)")) for k in (1, 2)]).first())
+
+
 def _tidy(e: DataFrame) -> DataFrame:
     """Distinct edges, larger end first."""
     return (e.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())

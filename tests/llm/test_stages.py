@@ -1,5 +1,8 @@
 """Stages and pass-through operators: odd inputs, clashing columns, empty tables."""
 
+import itertools
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,29 +43,76 @@ def test_mixing_keeps_columns(odd_docs):
     assert out.filter("key <> 'x' or _t <> 'x'").count() == 0
 
 
-def test_pipeline_effects(spark, small, tmp_path):
-    """Every stage on its own input: toxic rows go, classes keep one row, passages and secrets are gone."""
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    n0 = docs.count()
-    kept = toxicity.stage(spark, docs, small).cache()
+@pytest.fixture(scope="module")
+def staged(spark, small, tmp_path_factory):
+    """Input and output of every stage, each written and read again."""
+    base, docs, out = tmp_path_factory.mktemp("stages"), spark.read.parquet(f"{small}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, small).write.parquet(f"{base}/{name}")
+        out[name] = (docs, spark.read.parquet(f"{base}/{name}"))
+        docs = out[name][1]
+    return out
+
+
+def test_toxic_documents_go(spark, small, staged):
+    docs, kept = staged["toxicity"]
     toxic = spark.read.parquet(f"{small}/labels.parquet").filter("toxic = 1")
     assert kept.join(toxic, "doc_id").count() <= 0.1 * docs.join(toxic, "doc_id").count()
-    assert kept.count() > 0.75 * n0
-    comp = setjoin.classes(spark, kept)
-    one = setjoin.stage(spark, kept, small).cache()
-    assert one.count() == comp.select("component_id").distinct().count()
+    clean = spark.read.parquet(f"{small}/labels.parquet").filter("toxic = 0")
+    assert kept.join(clean, "doc_id").count() >= 0.95 * docs.join(clean, "doc_id").count()
+
+
+def test_scores_spread_on_few_labels(spark, small):
+    r = toxicity.op7(spark, small).join(spark.read.parquet(f"{small}/labels.parquet").select("doc_id", "toxic"), "doc_id")
+    low, high = (r.filter(F.col("toxic") == t).agg(F.avg("score")).first()[0] for t in (0, 1))
+    assert high - low > 0.5
+
+
+def test_one_document_of_a_class_stays(spark, staged):
+    """Against a plain five-word join over all pairs."""
+    docs, kept = staged["ngram_jaccard_join"]
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    sets = {}
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        k = min(5, len(w))
+        sets[d] = {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if k else set()
+    up = {d: d for d in sets}
+
+    def top(d):
+        return d if up[d] == d else top(up[d])
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        n = len(sets[a] & sets[b])
+        if sets[a] and 100 * n >= 80 * len(sets[a] | sets[b]):
+            x, y = sorted((top(a), top(b)))
+            up[y] = x
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(d for d in sets if up[d] == d)
+    assert kept.count() < docs.count()
+
+
+def test_benchmark_passages_are_cut(spark, small, staged):
+    one, cut = staged["benchmark_decontamination"]
     blocks = list(decontaminate.phrase_blocks(spark.read.parquet(f"{small}/benchmark.parquet")))
-    cut = decontaminate.stage(spark, one, small).cache()
     assert decontaminate.find(spark, one, blocks, ["doc_id"]).filter("n_hit > 0").count() > 0
     assert decontaminate.find(spark, cut, blocks, ["doc_id"]).filter("n_hit > 0").count() == 0
     clean = decontaminate.find(spark, one, blocks, ["doc_id"]).filter("n_hit = 0").select("doc_id")
     same = one.join(clean, "doc_id").select("doc_id", "text")
     assert same.join(cut.select("doc_id", F.col("text").alias("t2")), "doc_id").filter("text = t2").count() == same.count()
-    safe = secrets.stage(spark, cut, small).cache()
-    assert safe.count() == cut.count()
-    assert secrets.scan(safe).filter(F.size("base") > 0).count() == 0
-    mixed = mixing.stage(spark, safe, small)
-    assert set(docs.columns) < set(mixed.columns) and mixed.count() > 0
+
+
+def test_secrets_are_cut(spark, staged):
+    cut, safe = staged["secret_scans"]
+    assert safe.count() == cut.count() and secrets.scan(safe).filter(F.size("base") > 0).count() == 0
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert secrets.scan(docs).filter(F.size("base") > 0).count() > 0
+    assert secrets.scan(secrets.stage(spark, docs, None)).filter(F.size("base") > 0).count() == 0
+
+
+def test_mixing_deals_every_source(staged):
+    safe, mixed = staged["source_mixing"]
+    assert set(safe.columns) < set(mixed.columns)
+    assert mixed.select("source").distinct().count() == safe.select("source").distinct().count()
 
 
 def test_pipeline_run(spark, small):
