@@ -31,8 +31,7 @@ TRIGGER_EVENT_BITS = [("INSERT", 4), ("DELETE", 8), ("UPDATE", 16), ("TRUNCATE",
                     "Writes inside functions replicate as row changes; DDL inside them needs DDL replication.")))
 def stored_procedures(cat):
     k = cat.keys
-    p = (cat["cat_proc"].withColumnRenamed("pronamespace", "relnamespace")
-         .join(cat.user_namespaces(), k + ["relnamespace"])
+    p = (cat.with_namespace(cat["cat_proc"].withColumnRenamed("pronamespace", "relnamespace"), "oid")
          .filter(F.col("lanname").isin(*AUDITED_LANGUAGES)))
     totals = p.groupBy(*k).agg(F.count(F.lit(1)).alias("total_count"))
     # body scan (prosrc); the full definition text would always contain "CREATE "

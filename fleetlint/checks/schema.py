@@ -285,8 +285,7 @@ def multiple_unique_indexes(cat):
                 offline=True)
 def enum_types(cat):
     k = cat.keys
-    e = cat["cat_enum"].withColumnRenamed("typnamespace", "relnamespace").join(
-        cat.user_namespaces(), k + ["relnamespace"])
+    e = cat.with_namespace(cat["cat_enum"].withColumnRenamed("typnamespace", "relnamespace"), "typname")
     g = e.groupBy(*k, "nspname", "typname").agg(ordered_array_agg("enumlabel", "enumsortorder").alias("labels"))
     return facts_frame(g, k, qualify("nspname", "typname"), F.lit(CONSIDER),
                        label_count=F.size("labels").cast("bigint"), labels=F.array_join("labels", ","))
@@ -333,7 +332,7 @@ def rules(cat):
 def inheritance(cat):
     k = cat.keys
     cls = cat["cat_class"].filter(F.col("relkind") == "r")
-    parent = (cls.join(cat.user_namespaces(), k + ["relnamespace"])
+    parent = (cat.with_namespace(cls, "oid")
               .select(*k, F.col("oid").alias("inhparent"), qualify("nspname", "relname").alias("parent_table")))
     ns_all = cat["cat_namespace"].select(*k, F.col("oid").alias("relnamespace"), "nspname")
     child = (cls.join(ns_all, k + ["relnamespace"])
@@ -389,7 +388,7 @@ def event_triggers(cat):
 
 def _user_procs(cat):
     p = cat["cat_proc"].withColumnRenamed("pronamespace", "relnamespace")
-    return p.join(cat.user_namespaces(), cat.keys + ["relnamespace"]) \
+    return cat.with_namespace(p, "oid") \
             .withColumn("fqn", qualify("nspname", "proname"))
 
 

@@ -13,8 +13,8 @@ TYPE_MAX = {"smallint": 32767, "integer": 2147483647}
 
 
 def _user_sequences(cat):
-    return cat["cat_sequence"].join(cat.user_namespaces(), cat.keys + ["relnamespace"]) \
-                              .withColumn("fqn", qualify("nspname", "relname"))
+    return cat.with_namespace(cat["cat_sequence"], "relname") \
+              .withColumn("fqn", qualify("nspname", "relname"))
 
 
 @register_check("sequence_audit", "sequences", needs=("cat_sequence", "cat_namespace", "cat_class", "cat_attribute"),

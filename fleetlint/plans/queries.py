@@ -48,8 +48,7 @@ _VERDICT = ("case when critical = 0 and warning = 0 then 'READY' when critical =
 
 def _findings(spark, sf_dir):
     cat = Catalog.from_fixtures(spark, sf_dir)
-    # 57 checks read the same catalog tables: derive each once (checkpoint)
-    return cat, report.run_findings(cat, cache_inputs=True)
+    return cat, report.run_isolated(cat).findings
 
 
 def _register_reports() -> None:
@@ -89,9 +88,8 @@ left join cnt on cnt.instance_id = i.instance_id and cnt.check_name = ck.check_n
     def check_status(spark, sf_dir):
         """Per instance and check: passed, failed (has findings), error or skipped (missing input)."""
         cat = Catalog.from_fixtures(spark, sf_dir)
-        errors: dict = {}
-        f = report.run_findings(cat, cache_inputs=True, errors=errors)
-        return report.check_status(cat, f, errors=errors)
+        run = report.run_isolated(cat)
+        return report.check_status(cat, run.findings, errors=run.errors)
 
     @query("findings_grouped", f"""with {af}
 select instance_id, {_RANK} as severity_rank, severity, category, count(*) as finding_count

@@ -1,20 +1,25 @@
 """Run composition and report rollups.
 
-``run_findings`` unions the findings of the selected checks into one lazy
-plan (Catalyst plans it as one job; identical catalog sub-plans are reused).
+``run_isolated`` runs every check as a job of its own that appends to one
+findings table, so a failing check costs its own rows only.  ``run_findings``
+unions the findings of the selected checks into one lazy plan instead.
 The rollups are aggregations of that findings table, always starting from
 the ``instances`` dimension so zero rows are kept.
 """
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..checks.registry import CheckSpec, select_checks
-from ..model import CONSIDER, CRITICAL, INFO, SEVERITIES, WARNING, severity_rank, to_findings
+from ..model import CONSIDER, CRITICAL, INFO, SEVERITIES, WARNING, findings_schema, severity_rank, to_findings
+from ..session import scratch_dir
 
 # Which findings carry a remediation (SQL predicate over the
 # check's facts columns; the default is "severity is not INFO").
@@ -68,10 +73,6 @@ def run_findings(cat, mode: str | None = None, categories=None, exclude=None, in
     specs, _ = runnable(cat, select_checks(mode, categories, exclude, include_only))
     if cache_inputs:
         persist_inputs(cat, specs)
-    else:
-        for s in specs:          # resolve inputs once before building in parallel
-            for t in s.needs:
-                cat.table(t)
     # Each check is an independent plan; build them concurrently on the driver
     # (pure planning work: eager analysis in the JVM, no data is touched).
     def build(spec):
@@ -96,29 +97,83 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return parts[0]
 
 
-def persist_inputs(cat, specs: list[CheckSpec]) -> None:
-    """Checkpoint catalog tables read by two or more checks (reliable, in the
-    shared checkpoint folder): each is derived once, and the checks plan on
-    a leaf instead of re-analysing the derivation."""
+def persist_inputs(cat, specs: list[CheckSpec], tolerant: bool = False) -> None:
+    """Store derived catalog tables that two or more checks read, co-located by relation (see
+    ``Catalog.materialize``): each is derived once, and the checks plan on a leaf."""
     use: dict[str, int] = {}
     for s in specs:
         for t in s.needs:
             use[t] = use.get(t, 0) + 1
     use["instances"] = use.get("instances", 0) + 2
-    cat.materialize([t for t, n in use.items() if n > 1 and cat.has(t)])
-    cat.materialize_shared()
+    cat.materialize([t for t, n in use.items() if n > 1 and cat.has(t)], tolerant)
+    if cat.has("cat_class") and cat.has("cat_namespace"):
+        cat.materialize_shared(tolerant)
+
+
+@dataclass
+class Run:
+    """What a run of checks left behind: its findings table, and the checks that gave none and why."""
+
+    findings: DataFrame
+    errors: dict[str, str]
+    skipped: dict[str, str]
+
+
+def run_isolated(cat, mode: str | None = None, categories=None, exclude=None, include_only=None,
+                 path: str | None = None, workers: int = 8, store_inputs: bool = True) -> Run:
+    """Run every selected check as a job of its own and append to one findings table.
+
+    A check that cannot be built, or fails while it runs, is recorded with its
+    message and leaves no rows; all others keep theirs.  A check whose inputs
+    are not there (no loader, or no folder in its file system) is skipped.
+    Jobs run side by side in fair-scheduler pools, one a check.  ``path``
+    names the table's folder (default: the checkpoint folder); derived inputs that
+    several checks read are stored once before (``store_inputs``)."""
+    specs, skipped = runnable(cat, select_checks(mode, categories, exclude, include_only))
+    spark, errors = cat.spark, {}
+    path = (path or scratch_dir(spark, f"tables/{spark.sparkContext.applicationId}/findings-{uuid.uuid4().hex}")).rstrip("/")
+
+    def message(e: Exception) -> str:
+        return f"{type(e).__name__}: {next(iter(str(e).strip().splitlines()), '')[:300]}"
+
+    if store_inputs:
+        persist_inputs(cat, specs, tolerant=True)     # an input that cannot be read fails in the checks that need it
+
+    def run(spec: CheckSpec):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", spec.name)
+        try:
+            out = check_findings(spec, cat)
+            out.drop("check_name").write.mode("append").parquet(f"{path}/check_name={spec.name}")
+            return out.schema
+        except Exception as e:
+            errors[spec.name] = message(e)
+            return None
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(max_workers=max(1, min(workers, len(specs) or 1))) as pool:
+        schemas = [x for x in pool.map(run, specs) if x is not None]
+    if schemas:
+        cols = [f for f in schemas[0].fields]
+        found = spark.read.schema(T.StructType(cols)).parquet(path).select(*[f.name for f in cols])
+    else:
+        found = spark.createDataFrame([], findings_schema(cat.keys))
+    return Run(found, errors, skipped)
 
 
 def check_status(cat, findings: DataFrame | None = None, mode: str | None = None,
                  errors: dict | None = None) -> DataFrame:
-    """Per instance and check: passed / failed (with findings) / error (plan could
-    not be built, with message) / skipped (missing input, with reason)."""
+    """Per instance and check: passed / failed (with findings) / error (the check could not be
+    built or its job failed, with message) / skipped (missing input, with reason).
+
+    Without ``findings`` the checks are run, each as a job of its own."""
     k = cat.keys
     specs = select_checks(mode)
     ok, skipped = runnable(cat, specs)
     errors = {} if errors is None else errors
     if findings is None:
-        findings = run_findings(cat, mode, errors=errors)
+        run = run_isolated(cat, mode)
+        findings, errors = run.findings, run.errors
     counts = findings.groupBy(*k, "check_name").agg(F.count(F.lit(1)).alias("finding_count"))
     rows = F.array(*[F.struct(F.lit(s.name).alias("check_name"), F.lit(s.category).alias("category"),
                               F.lit(skipped.get(s.name)).cast("string").alias("skip_reason"),

@@ -22,6 +22,7 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.scheduler.mode": "FAIR",
 }
 
 
@@ -73,17 +74,39 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
-def written(df, name: str):
+_SAVED: list[str] = []           # bucketed tables of this application's scratch folder
+
+
+def written(df, name: str, bucket_by: list[str] | None = None):
     """``df`` written once as Parquet to the shared checkpoint folder and read back: columns stay prunable,
-    the lineage is cut, and a lost executor re-reads files instead of deriving them again."""
+    the lineage is cut, and a lost executor re-reads files instead of deriving them again.
+
+    ``bucket_by``: dealt and sorted by these columns, as many buckets as shuffle partitions, so that joins and
+    groupings by them need no exchange."""
     import uuid
     spark = df.sparkSession
-    path = scratch_dir(spark, f"tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
+    unique = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = scratch_dir(spark, f"tables/{spark.sparkContext.applicationId}/{unique}")
+    if bucket_by:
+        bucketed(df, unique, path, bucket_by, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        _SAVED.append(unique)
+        return spark.table(unique)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df, table: str, path: str, keys: list[str], buckets: int, partition_by: str | None = None) -> None:
+    """Save ``df`` as a table of the session catalog with its files under ``path``, bucketed and sorted by ``keys``; one
+    file for each bucket (and partition)."""
+    from pyspark.sql import functions as F
+    w = df.repartition(buckets, *[F.col(k) for k in keys]).write.format("parquet").mode("overwrite").option("path", path)
+    w = w.bucketBy(buckets, keys[0], *keys[1:]).sortBy(keys[0], *keys[1:])
+    (w.partitionBy(partition_by) if partition_by else w).saveAsTable(table)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete the tables that this application has written with ``written``; results that read them must be saved before."""
+    while _SAVED:
+        spark.sql(f"drop table if exists {_SAVED.pop()}")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark, f"tables/{spark.sparkContext.applicationId}"))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

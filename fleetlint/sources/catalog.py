@@ -32,6 +32,11 @@ BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "li
 # Namespaces never holding user objects.
 EXCLUDED_NAMESPACES = ("pg_catalog", "information_schema", "spock", "pg_toast")
 
+# Relation id of the tables that checks join by relation: their stored form is bucketed and sorted by it.
+RELATION_KEYS = {"cat_class": "oid", "cat_attribute": "attrelid", "cat_constraint": "conrelid", "cat_index": "indrelid", "cat_table_stats": "relid",
+                 "cat_inherits": "inhrelid", "cat_partitioned": "partrelid", "cat_policy": "polrelid", "cat_rewrite": "ev_class",
+                 "cat_trigger": "tgrelid", "repset_table": "set_reloid", "user_classes": "oid"}
+
 _BASE_RE = re.compile(r"\b(" + "|".join(BASE_TABLES) + r")\b(?!\s*\()")
 
 
@@ -54,6 +59,8 @@ class Catalog:
         self.spark = spark
         self._loaders = dict(loaders)
         self._cache: dict[str, DataFrame] = {}
+        self._paths: dict[str, str] = {}         # tables that are files at rest, with their folders
+        self._found: dict[str, bool] = {}
         self._memo: dict[tuple, DataFrame] = {}
         self._lock = threading.RLock()
         self.keys = list(keys)
@@ -62,7 +69,11 @@ class Catalog:
 
     # -- access -------------------------------------------------------------
     def has(self, name: str) -> bool:
-        return name in self._loaders
+        """Whether the table can be read; a folder is looked up once in its own file system."""
+        if name in self._paths and name not in self._found:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._paths[name])
+            self._found[name] = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return name in self._loaders and self._found.get(name, True)
 
     def table(self, name: str) -> DataFrame:
         with self._lock:
@@ -84,36 +95,79 @@ class Catalog:
     def available(self) -> list[str]:
         return sorted(self._loaders)
 
-    def materialize(self, names: Iterable[str] | None = None) -> "Catalog":
-        """Cut the lineage of the given tables with a reliable checkpoint.
+    def materialize(self, names: Iterable[str] | None = None, tolerant: bool = False) -> "Catalog":
+        """Store the given derived tables once, in the shared checkpoint folder, in co-located form.
 
-        The data is written once to ``spark.checkpoint.dir`` (a shared folder
-        on a cluster), so many checks reading the same table build on a small
-        leaf plan and a lost executor never forces re-deriving the table.
+        Tables with a relation id are bucketed and sorted by scope keys and
+        relation, so that joins by relation need no exchange; all are Parquet,
+        so later reads are pruned to the columns they use.  Tables that are
+        files already are left alone.  ``tolerant``: a table that cannot be
+        derived stays as it is, and fails in whatever reads it.
         """
         from concurrent.futures import ThreadPoolExecutor
 
-        from ..session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(self.spark)
-        todo = [n for n in (names if names is not None else self.available()) if n in self._loaders]
+        todo = [n for n in (names if names is not None else self.available()) if n in self._loaders and n not in self._paths]
         # independent small jobs: run them side by side so the cores stay busy
         with ThreadPoolExecutor(max_workers=max(1, min(8, len(todo)))) as pool:
-            done = list(pool.map(lambda n: (n, self.table(n).checkpoint(eager=True)), todo))
+            done = list(pool.map(lambda n: self._try(n, lambda: self.table(n), tolerant), todo))
         with self._lock:
-            self._cache.update(dict(done))
+            self._cache.update({n: df for n, df in zip(todo, done) if df is not None})
         return self
 
+    def _try(self, name: str, build: Callable[[], DataFrame], tolerant: bool) -> DataFrame | None:
+        try:
+            return self._stored(name, build())
+        except Exception:
+            if not tolerant:
+                raise
+            return None
+
+    def _stored(self, name: str, df: DataFrame) -> DataFrame:
+        """``df`` written and read back: bucketed by scope keys and relation where it has one."""
+        from ..session import written
+        df = df.select(*[F.col(f"`{c}`").cast("string").alias(c) if t == "void" else F.col(f"`{c}`") for c, t in df.dtypes])
+        rel = RELATION_KEYS.get(name)
+        return written(df, name, [*self.keys, rel] if rel in df.columns else None)
+
+    def save_layout(self, prefix: str, path: str, buckets: int, partition_by: str | None = None) -> None:
+        """Save every table as ``<prefix><table>`` in the session catalog, files under ``path``: bucketed and sorted by scope keys and
+        relation, in partitions of ``partition_by`` (the snapshot date) where the table has that column."""
+        from ..session import bucketed
+        for name in self.available():
+            df, rel = self.table(name), RELATION_KEYS.get(name)
+            part = partition_by if partition_by in df.columns else None
+            keys = [*self.keys, rel] if rel in df.columns else [c for c in self.keys if c in df.columns]
+            bucketed(df, f"{prefix}{name}", f"{path.rstrip('/')}/{name}", keys, buckets, part)
+
+    @classmethod
+    def from_layout(cls, spark: SparkSession, prefix: str, snapshot_date: str | None = None, keys: Iterable[str] = ("instance_id",), **kw) -> "Catalog":
+        """Catalog of the tables that ``save_layout`` has saved; a snapshot date prunes partitions."""
+        def loader(t: str) -> Callable[[], DataFrame]:
+            def load() -> DataFrame:
+                df = spark.table(t)
+                return df.filter(F.col("snapshot_date") == F.lit(snapshot_date)) if snapshot_date is not None and "snapshot_date" in df.columns else df
+            return load
+
+        names = [t.name for t in spark.catalog.listTables() if t.name.startswith(prefix.lower())]
+        cat = cls(spark, {t[len(prefix):]: loader(t) for t in names}, keys=keys, **kw)
+        cat._paths = {t: "" for t in cat._loaders}
+        cat._found = {t: True for t in cat._loaders}
+        return cat
+
     def without(self, *names: str) -> "Catalog":
         """A copy of this catalog with some inputs missing (for skip handling)."""
-        return Catalog(self.spark, {k: v for k, v in self._loaders.items() if k not in names},
-                       self.keys, self.excluded_namespaces)
-
-    def materialize_shared(self) -> "Catalog":
-        """Checkpoint the user-object projections most checks start from."""
-        for key, build in ((("user_namespaces",), self.user_namespaces), (("user_classes",), self.user_classes)):
-            df = build()
+        out = Catalog(self.spark, {k: v for k, v in self._loaders.items() if k not in names},
+                      self.keys, self.excluded_namespaces)
+        out._paths = {k: v for k, v in self._paths.items() if k not in names}
+        return out
+
+    def materialize_shared(self, tolerant: bool = False) -> "Catalog":
+        """Store the user-object projections most checks start from."""
+        for name, build in (("user_namespaces", self.user_namespaces), ("user_classes", self.user_classes)):
+            df = self._try(name, build, tolerant)
             with self._lock:
-                self._memo[key] = df.checkpoint(eager=True)
+                if df is not None:
+                    self._memo[(name,)] = df
         return self
 
     # -- shared projections used by many checks ------------------------------
@@ -128,14 +182,26 @@ class Catalog:
                       .select(*self.keys, F.col("oid").alias("relnamespace"), "nspname"))
         return self.memo(("user_namespaces",), build)
 
+    def with_namespace(self, df: DataFrame, by: str) -> DataFrame:
+        """``df`` (with relnamespace) joined to its user namespaces; ``by``: a column that varies inside a namespace.
+
+        One namespace may hold all rows of an instance, so the few namespaces
+        are replicated over salts and ``df`` is dealt to them by ``by``."""
+        salts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        ns = self.user_namespaces().withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        dealt = df.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+        return dealt.join(ns, self.keys + ["relnamespace", "__salt"]).drop("__salt")
+
     def user_classes(self, *relkinds: str) -> DataFrame:
         """Relations in user namespaces with ``fqn`` = schema.name."""
         def build() -> DataFrame:
+            whole = self._memo.get(("user_classes",))
+            if relkinds and whole is not None:
+                return whole.filter(F.col("relkind").isin(*relkinds))
             c = self.table("cat_class")
             if relkinds:
                 c = c.filter(F.col("relkind").isin(*relkinds))
-            return (c.join(self.user_namespaces(), self.keys + ["relnamespace"])
-                     .withColumn("fqn", F.concat_ws(".", "nspname", "relname")))
+            return self.with_namespace(c, "oid").withColumn("fqn", F.concat_ws(".", "nspname", "relname"))
         return self.memo(("user_classes",) + tuple(sorted(relkinds)), build)
 
     # -- constructors --------------------------------------------------------
@@ -172,4 +238,6 @@ class Catalog:
                 return df
             return load
 
-        return cls(spark, {t: loader(t) for t in names}, keys=keys, **kw)
+        cat = cls(spark, {t: loader(t) for t in names}, keys=keys, **kw)
+        cat._paths = {t: f"{root.rstrip('/')}/{t}" for t in names}
+        return cat
