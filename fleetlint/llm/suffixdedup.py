@@ -49,10 +49,11 @@ from .textops import _BASE, _CODES, column_bytes, map_text, mix64, row_chunks, s
 
 LENGTH = 50
 PIECE = 16
-BLOCK = 1 << 20
+BLOCK = 1 << 16                 # bytes named at a time: the arrays stay in the processor's cache
+TEXT_BYTES = 1 << 19            # whole rows handled at a time
 HOT_SHARE, HOT_ROWS = 5000, (500, 1_000_000)
 BROADCAST_IDS = 1_000_000
-RUN_ROWS = 20_000               # rows of whole runs ranked together
+RUN_ROWS = 4_000                # rows of whole runs ranked together
 FLUSH_ROWS = 500_000            # names held by a task before it sends them on
 
 
@@ -118,7 +119,7 @@ def sampled(data: np.ndarray, off: np.ndarray):
 def _chunks(batches, text: int):
     for b in batches:
         _, off = column_bytes(b.column(text))
-        for lo, hi in row_chunks(off):
+        for lo, hi in row_chunks(off, TEXT_BYTES):
             yield b, lo, hi, *column_bytes(b.column(text).slice(lo, hi - lo))
 
 
