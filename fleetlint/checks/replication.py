@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import fmt_time, lsn_diff_bytes
-from ..operators.relops import ordered_array_agg
+from ..operators.relops import distributed_rank, ordered_array_agg
 from .common import CONSIDER, CRITICAL, INFO, WARNING, distinct_in_cluster, facts_frame, per_instance_count, sev
 from .registry import register_check
 from .settings import violations
@@ -204,10 +203,10 @@ def _log_rollup(cat, table: str, group_cols: list, ts: str, count_name: str,
     g = src.groupBy(*k, *group_cols).agg(F.count(F.lit(1)).alias(count_name),
                                          F.max(ts).alias("last_ts"))
     totals = g.groupBy(*k).agg(F.sum(count_name).cast("bigint").alias("total"))
-    w = Window.partitionBy(*k).orderBy(F.col(count_name).desc(), *[F.col(c).asc() for c in group_cols])
     inst = cat.instances().select(*k).join(totals, k, "left") \
         .select(*k, F.coalesce("total", F.lit(0)).cast("bigint").alias("total"))
-    detail = g.withColumn("rank", F.row_number().over(w)).join(inst, k)
+    # groups of one instance may be nearly as many as its rows
+    detail = distributed_rank(g, k, [F.col(count_name).desc(), *[F.col(c).asc() for c in group_cols]], "rank").join(inst, k)
     detail = facts_frame(detail, k, F.col(object_col), F.lit(row_sev), kind=F.lit("group"),
                          **extra, event_count=F.col(count_name), last_event=fmt_time("last_ts"),
                          rank=F.col("rank").cast("bigint"), total=F.col("total"))

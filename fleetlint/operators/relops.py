@@ -1,15 +1,30 @@
 """Reusable relational operators.
 
-All are plain DataFrame compositions: they stay inside Catalyst (no Python
-UDFs) and are parameterised by column names so every check can reuse them.
+All but ``first_k`` are plain DataFrame compositions: they stay inside Catalyst
+(no Python UDFs).  All are parameterised by column names so every check can
+reuse them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import heapq
+import itertools
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import written
+
+# The Arrow functions of this module run in Python workers: ship them by
+# value so executors need not have the package installed.
+import sys as _sys  # noqa: E402
+
+from pyspark import cloudpickle as _cloudpickle  # noqa: E402
+
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
 
 
 def _cols(xs: Sequence[str] | str) -> list[str]:
@@ -73,6 +88,101 @@ def topk(df: DataFrame, partition: Sequence[str], order: Sequence[Column], k: in
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
 
 
+# -- ranks and first values over groups of any size ---------------------------------
+def distributed_rank(df: DataFrame, partition: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
+    """``df`` with the rank (1, 2, ...; ``row_number``) of every row in its partition, without a window over one partition.
+
+    Rows are range-partitioned by partition and order, and written once with
+    their place in their range.  The ranges' sizes give each range its offset;
+    a partition's first place is one ``min``.  A partition of a million rows is
+    ranked by as many tasks as it has ranges."""
+    p = list(partition)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sort = [*[F.col(c) for c in p], *order]
+    placed = written(df.repartitionByRange(parts, *sort).sortWithinPartitions(*sort).withColumn("__id", F.monotonically_increasing_id()), "ranked")
+    place = (F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__off")).cast("long")
+    sizes = placed.groupBy(F.shiftright("__id", 33).cast("int").alias("__range")).agg(F.count(F.lit(1)).alias("__n"))
+    # one row a range, so this window is bounded by the number of shuffle partitions
+    offsets = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__off"))
+    at = placed.withColumn("__range", F.shiftright("__id", 33).cast("int")).join(F.broadcast(offsets), "__range").withColumn("__at", place)
+    start = at.groupBy(*p).agg(F.min("__at").alias("__start"))
+    return at.join(start, p).withColumn(out, (F.col("__at") - F.col("__start") + 1).cast("bigint")).drop("__id", "__range", "__off", "__at", "__start")
+
+
+def first_k(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, k: int, weight: str | None = None) -> DataFrame:
+    """(group..., count, kept) in one pass: the rows of each group (or the sum of ``weight``), and its first ``k`` non-null
+    values by the ``order`` columns (ascending, nulls first).
+
+    A mergeable aggregate: every task keeps a count and at most ``k`` values of each group it meets, the partial
+    rows are shuffled by group and merged in a stream, so neither a task nor a cell holds more than ``k`` values of a group."""
+    group, order = list(group), list(order)
+    g, o = len(group), len(order)
+    fields = [df.schema[c] for c in group]
+    value_type = df.schema[value].dataType
+    part = T.StructType([*[T.StructField(f"g{i}", f.dataType) for i, f in enumerate(fields)], *[T.StructField(f"o{i}", df.schema[c].dataType) for i, c in enumerate(order)],
+                         T.StructField("v", value_type), T.StructField("n", T.LongType())])
+    done = T.StructType([*fields, T.StructField("count", T.LongType()), T.StructField("kept", T.ArrayType(value_type))])
+    part_arrow, done_arrow = _arrow_schema(part), _arrow_schema(done)
+    place = lambda r: tuple((x is not None, x) if x is not None else (False, 0) for x in r[g:g + o])
+
+    def best(rows: list[tuple]) -> list[tuple]:
+        return heapq.nsmallest(k, rows, key=place)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+
+        def flush():
+            rows = []
+            for key, (n, found) in held.items():
+                found = best(found)
+                rows += [(*r[:-1], n if i == 0 else 0) for i, r in enumerate(found)] or [(*key, *[None] * (o + 1), n)]
+            held.clear()
+            return _batches(rows, part_arrow)
+
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns)):
+                slot = held.setdefault(r[:g], [0, []])
+                slot[0] += r[-1] or 0
+                if r[-2] is not None:
+                    slot[1].append(r)
+                    if len(slot[1]) > 8 * k + 8:
+                        slot[1] = best(slot[1])
+            if len(held) > 50_000:
+                yield from flush()
+        yield from flush()
+
+    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+
+        def merged():
+            for key, own in itertools.groupby(rows, key=lambda r: r[:g]):
+                n, found = 0, []
+                for r in own:
+                    n += r[-1]
+                    if r[-2] is not None:
+                        found.append(r)
+                        if len(found) > 8 * k + 8:
+                            found = best(found)
+                yield *key, n, [r[-2] for r in best(found)]
+        return _batches(merged(), done_arrow)
+
+    src = df.select(*[F.col(c).alias(f"g{i}") for i, c in enumerate(group)], *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],
+                    F.col(value).alias("v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("n"))
+    keys = [f"g{i}" for i in range(g)]
+    return src.mapInArrow(partial, part).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(final, done)
+
+
+def _arrow_schema(schema: T.StructType) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    return to_arrow_schema(schema)
+
+
+def _batches(rows, schema: pa.Schema, size: int = 1000) -> Iterator[pa.RecordBatch]:
+    rows = iter(rows)
+    while block := list(itertools.islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*block), schema.types)], schema=schema)
+
+
 # -- r_group_list_preview --------------------------------------------------------
 def group_list_preview(df: DataFrame, group: Sequence[str], value: str | Column,
                        order: Sequence[Column], show: int = 10, keep: int = 20,

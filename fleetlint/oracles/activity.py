@@ -93,7 +93,31 @@ union all
 select instance_id, '(log)', 'INFO', 'summary', count(*) filter (where is_statement), null from e
 group by instance_id"""
 
+_NAMES = ("case kind when 'truncate_cascade' then 'TRUNCATE with CASCADE' when 'concurrent_index' then 'an index build without a lock' "
+          "when 'ddl' then 'schema changes' when 'advisory_lock' then 'advisory locks' when 'temp_table' then 'temporary tables' end")
+_ADVICE = ("case kind when 'truncate_cascade' then 'Name the dependent tables in the TRUNCATE: a cascade takes effect on the node it runs on only.' "
+           "when 'concurrent_index' then 'Build the index on every node by hand.' "
+           "when 'ddl' then 'Send schema changes through DDL replication, or run them on all nodes in step.' end")
+_MONITOR = f"""mf as (
+  select instance_id, 'pgstat_observation' as check_name, 'monitor' as category, severity, object_name,
+         case kind when 'summary' then (active_count + new_count) || ' statement(s) ran between the snapshots, ' || new_count || ' of them new'
+              when 'new' then new_count || ' new statement(s)' else 'Seen ' || delta_calls || ' time(s): ' || {_NAMES} end as title,
+         coalesce(query, examples, 'Active: ' || active_count || ', new: ' || new_count) as detail, {_ADVICE} as remediation
+  from ({STMT_DELTA_FINDINGS}) x
+  union all
+  select instance_id, 'log_analysis', 'monitor', severity, object_name,
+         case kind when 'summary' then occurrences || ' statement(s) in the log' else 'The log holds ' || {_NAMES} || ' (' || occurrences || ')' end,
+         coalesce(examples, case kind when 'advisory_lock' then 'A lock taken on one node is not known to the others.'
+                  when 'temp_table' then 'Temporary tables live in one session and are not replicated.' else 'All entries of the log' end), {_ADVICE}
+  from ({LOG_FINDINGS}) y),
+mr as (select instance_id, check_name, category, severity, case severity when 'WARNING' then 1::BIGINT else 3::BIGINT end as severity_rank,
+              object_name, title, detail, remediation from mf)"""
+
 SQL = {
+    "monitor_findings": f"with {_MONITOR}\nselect * from mr",
+    "monitor_todo": f"""with {_MONITOR}
+select instance_id, severity, severity_rank, check_name, category, object_name, remediation from mr
+where severity in ('WARNING', 'INFO') and remediation is not null""",
     "stmt_key": STMT_KEY,
     "stmt_delta": STMT_DELTA,
     "stmt_delta_findings": STMT_DELTA_FINDINGS,

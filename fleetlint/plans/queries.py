@@ -133,6 +133,8 @@ def _register_activity() -> None:
                                     .select("instance_id", "file_id", "entry_no", "line_no", "class"))
     QUERIES["log_findings"] = keyed(lambda cat: act.log_findings(act.log_assemble(cat["log_lines"], cat.keys),
                                                                  cat.keys))
+    QUERIES["monitor_findings"] = keyed(lambda cat: act.monitor_findings(cat).drop("metadata").withColumn("severity_rank", F.col("severity_rank").cast("bigint")))
+    QUERIES["monitor_todo"] = keyed(lambda cat: report.todo_list(act.monitor_findings(cat), severities=["WARNING", "INFO"]))
     ORACLES.update(osql.SQL)
 
 

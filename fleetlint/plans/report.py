@@ -221,8 +221,9 @@ def findings_grouped(cat, findings: DataFrame) -> DataFrame:
             .withColumn("severity_rank", F.col("severity_rank").cast("bigint")))
 
 
-def todo_list(findings: DataFrame, include_consider: bool = False) -> DataFrame:
-    sev = [CRITICAL, WARNING] + ([CONSIDER] if include_consider else [])
+def todo_list(findings: DataFrame, include_consider: bool = False, severities: list[str] | None = None) -> DataFrame:
+    """Findings with a remediation; ``severities`` names others than CRITICAL and WARNING (a log's DDL is INFO)."""
+    sev = severities or [CRITICAL, WARNING] + ([CONSIDER] if include_consider else [])
     t = findings.filter(F.col("severity").isin(*sev) & F.col("remediation").isNotNull())
     keys = [c for c in ("instance_id", "snapshot_ts") if c in findings.columns]
     return t.select(*keys, "severity", F.col("severity_rank").cast("bigint").alias("severity_rank"),

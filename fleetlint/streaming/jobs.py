@@ -28,8 +28,7 @@ from pyspark import cloudpickle as _cloudpickle  # noqa: E402
 
 _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
 
-from ..plans.activity import (LOG_CLASS_RULES, LOG_CONCURRENT_RE, LOG_DDL_RE, LOG_HEADER_RE, LOG_STATEMENT_RE,
-                              stmt_key)
+from ..plans.activity import log_line, logged_statement, statement_classes, stmt_key
 
 STMT_SCHEMA = ("snapshot_no int, instance_id bigint, queryid bigint, query string, calls bigint, "
                "row_count bigint, total_exec_time double")
@@ -40,16 +39,9 @@ STATE_SCHEMA = "snapshot_no int, calls bigint, total_time double, row_count bigi
 
 def log_classes_of(lines: DataFrame) -> DataFrame:
     """Single-line entries: header lines with their statement, event time and classes."""
-    ts_text = F.regexp_extract("line", LOG_HEADER_RE, 1)
-    content = F.regexp_extract("line", LOG_HEADER_RE, 2)
-    stmt = F.when(content.rlike(LOG_STATEMENT_RE), F.regexp_extract(content, LOG_STATEMENT_RE, 1)).otherwise(content)
-    ddl, conc = stmt.rlike(LOG_DDL_RE), stmt.rlike(LOG_CONCURRENT_RE)
-    classes = F.array_compact(F.array(
-        F.when(ddl & conc, F.lit("concurrent_index")), F.when(ddl & ~conc, F.lit("ddl")),
-        *[F.when(stmt.rlike(rx), F.lit(c)) for c, rx in LOG_CLASS_RULES]))
-    ts = F.to_timestamp(F.regexp_extract(ts_text, r"^(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2})", 1))
-    return (lines.filter(F.col("line").rlike(LOG_HEADER_RE) & (content != ""))
-                 .select("instance_id", ts.alias("ts"), F.explode(classes).alias("class")))
+    l = lines.withColumn("head", log_line("line")).filter(F.col("head").isNotNull() & (F.col("head.message") != ""))
+    ts = F.to_timestamp(F.substring("head.ts", 1, 19))
+    return l.select("instance_id", ts.alias("ts"), F.explode(statement_classes(logged_statement(F.col("head.message"))["text"])).alias("class"))
 
 
 def stream_log_classes(spark: SparkSession, log_dir: str, watermark: str = "1 hour",
