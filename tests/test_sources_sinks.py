@@ -21,7 +21,11 @@ def test_log_lines_keep_order_across_splits(spark):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
         lines = read_log_lines(spark, root)
-        assert lines.rdd.getNumPartitions() > 10
+        assert lines.select("block").distinct().count() > 10
+        assert {(r.instance_id, r.n, r.m) for r in lines.groupBy("instance_id").agg(F.countDistinct("line_no").alias("n"), F.max("line_no").alias("m")).collect()} == {(0, 8000, 8000), (1, 8000, 8000)}
+        assert lines.filter("instance_id = 1 and line_no = 3").first().line.endswith("SELECT 1")
+        wrong = lines.filter(F.col("line").startswith("\tcont") & (F.col("line") != F.concat(F.lit("\tcont "), (F.col("line_no") / 2 - 1).cast("int").cast("string"))))
+        assert wrong.count() == 0
         e = A.log_assemble(lines, ["instance_id"], file_col="file_id", order_col="line_no", block_col="block")
         got = e.groupBy("instance_id").agg(F.count(F.lit(1)).alias("n"),
                                            F.count_if(F.col("text") != F.concat(

@@ -47,7 +47,7 @@ def test_stream_stmt_delta_matches_batch_and_survives_restart(spark):
     out = tempfile.mkdtemp(prefix="fleetlint-stream-delta-")
 
     def run():
-        q = (S.stream_stmt_delta(spark, src, ttl=False).writeStream.format("parquet").outputMode("append")
+        q = (S.stream_stmt_delta(spark, src, ttl_ms=None).writeStream.format("parquet").outputMode("append")
              .option("checkpointLocation", out + "/ckpt").option("path", out + "/data")
              .trigger(availableNow=True).start())
         q.awaitTermination()
@@ -92,37 +92,35 @@ def test_late_lines_are_dropped_and_counted(spark):
     assert got.filter(F.hour("window_start") == 9).count() == 0
 
 
-class _State:
-    """The part of the state interface that the delta uses."""
-
-    def __init__(self):
-        self.value, self.hasTimedOut, self.timeout = None, False, None
-
-    exists = property(lambda self: self.value is not None)
-    get = property(lambda self: self.value)
-
-    def update(self, v):
-        self.value = v
-
-    def setTimeoutDuration(self, ms):
-        self.timeout = ms
-
-    def remove(self):
-        self.value = None
-
-
-def test_delta_of_split_chunks_late_snapshots_and_timeouts():
+def test_delta_of_split_chunks_and_late_snapshots():
     import pandas as pd
 
     def chunk(*rows):
-        return pd.DataFrame(rows, columns=["snapshot_no", "query", "calls", "total_exec_time", "row_count"])
+        return pd.DataFrame([(*r, 0) for r in rows], columns=["snapshot_no", "query", "calls", "total_exec_time", "row_count", "seen"])
 
-    state = _State()
     # one key over two chunks, newest first; two rows of one snapshot add up
-    out = pd.concat(S._delta_fn(True)((0, "k"), iter([chunk((2, "q", 9, 9.5, 9)), chunk((1, "q", 3, 1.0, 3), (1, "q", 2, 1.5, 1))]), state))
-    assert out[["snapshot_no", "status", "delta_calls", "delta_time", "delta_rows"]].values.tolist() == [[1, "new", 5, 2.5, 4], [2, "changed", 4, 7.0, 5]]
-    assert state.value == (2, 9, 9.5, 9) and state.timeout == S.state_ttl_ms
-    out = pd.concat(S._delta_fn(False)((0, "k"), iter([chunk((1, "q", 50, 1.0, 1), (3, "q", 4, 4.0, 4))]), state))
-    assert out[["snapshot_no", "status", "delta_calls"]].values.tolist() == [[1, "late", 0], [3, "reset", 4]]
-    state.hasTimedOut = True
-    assert list(S._delta_fn(True)((0, "k"), iter([]), state)) == [] and not state.exists
+    out, last = S.deltas((0, "k"), S.snapshot_rows(iter([chunk((2, "q", 9, 9.5, 9)), chunk((1, "q", 3, 1.0, 3), (1, "q", 2, 1.5, 1))])), None)
+    assert [r[2:3] + r[4:] for r in out] == [(1, "new", 5, 2.5, 4), (2, "changed", 4, 7.0, 5)] and last == (2, 9, 9.5, 9)
+    out, last = S.deltas((0, "k"), S.snapshot_rows(iter([chunk((1, "q", 50, 1.0, 1), (3, "q", 4, 4.0, 4))])), last)
+    assert [(r[2], r[4], r[5]) for r in out] == [(1, "late", 0), (3, "reset", 4)] and last[0] == 3
+
+
+def test_idle_keys_expire_across_restarts(spark):
+    """State lives through restarts; a key that is silent for the time to live counts as new, others do not; null counters are 0."""
+    src, out = tempfile.mkdtemp(prefix="fleetlint-stream-ttl-"), tempfile.mkdtemp(prefix="fleetlint-stream-ttl-out-")
+
+    def arrive(no, ts, *rows):
+        df = spark.createDataFrame([(no, 0, q, f"q{q}", c, c, float(c) if c is not None else None) for q, c in rows],
+                                   "snapshot_no int, instance_id bigint, queryid bigint, query string, calls bigint, row_count bigint, total_exec_time double")
+        df.withColumn("snapshot_ts", F.to_timestamp(F.lit(ts))).coalesce(1).write.mode("append").parquet(src)
+        q = (S.stream_stmt_delta(spark, src, ttl_ms=3600_000, watermark="10 minutes").writeStream.format("parquet").outputMode("append")
+             .option("checkpointLocation", out + "/ckpt").option("path", out + "/data").trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    arrive(1, "2026-01-01 00:00:00", (1, 5), (2, None), (3, 7))
+    arrive(2, "2026-01-01 00:30:00", (1, 6), (2, 4))                 # restart: key 3 stays silent
+    arrive(3, "2026-01-01 01:25:00", (1, 9))                         # watermark 01:15: key 3 was due at 01:00, key 2 is due at 01:30
+    arrive(4, "2026-01-01 01:26:00", (2, 5), (3, 8))
+    got = {(r.snapshot_no, r.stmt_key): (r.status, r.delta_calls) for r in spark.read.parquet(out + "/data").collect()}
+    assert got == {(1, "1"): ("new", 5), (1, "2"): ("new", 0), (1, "3"): ("new", 7), (2, "1"): ("changed", 1), (2, "2"): ("changed", 4),
+                   (3, "1"): ("changed", 3), (4, "2"): ("changed", 1), (4, "3"): ("new", 8)}
