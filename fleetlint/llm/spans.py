@@ -22,7 +22,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark, 'llm')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)      # no job to learn the schema
 
 
 def with_matches(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
