@@ -23,10 +23,10 @@ nothing is added; empty tables give empty results; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .spans import joined, row_key, sha, tagged, with_matches, written
+from .spans import cut_points, joined, row_key, sha, tagged, with_matches, written
 
 # The rules of the contract; the look-behinds only keep a failing run from being tried at each of its
 # characters (\G: right after the previous match), the possessive loops only keep it from being retried.
@@ -38,7 +38,7 @@ BASE = {
 }
 TOKEN = {"token": r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9@]*+[0-9@])[^\x20\x09-\x0D]++"}
 KINDS = list(BASE) + [f"ctx_{k}" for k in BASE]
-CONTEXT = 48
+CONTEXT = 48                    # code points of the longest word that a pattern may hold
 ROUNDS = 3
 SUPPORT = 3
 ACCEPT = 0.8
@@ -56,21 +56,37 @@ def located(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def instances(found: DataFrame) -> DataFrame:
-    """(key, s, e, kind, value, patterns) of all base spans (kind set) and candidate tokens (kind null)."""
+    """(key, s, e, kind, value, patterns) of all base spans (kind set) and candidate tokens (kind null).
+
+    Candidates that overlap a base span are left out; the neighbours are found by running windows over a text's spans.
+    The words before a span are read from the code points before it that hold two longest words: a word that is
+    cut there, or has more than CONTEXT code points, is no part of a pattern."""
     names = F.array(*[F.lit(k) for k in BASE])
-    base = tagged(list(BASE))
-    cands = F.filter("token", lambda c: ~F.exists("_base", lambda b: (c["s"] < b["e"]) & (b["s"] < c["e"])))
+    base = F.transform(tagged(list(BASE)), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.element_at(names, x["k"] + 1).alias("kind")))
     some = with_matches(found.filter("_t is not null").select("key", "_t", base.alias("_base")), "_t", TOKEN)
-    every = F.concat(F.transform("_base", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.element_at(names, x["k"] + 1).alias("kind"))),
-                     F.transform(cands, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(None).cast("string").alias("kind"))))
-    before = F.substring("_t", F.greatest(F.lit(1), F.col("s") + 1 - CONTEXT), F.least(F.col("s"), F.lit(CONTEXT)))
-    words = F.filter(F.split(F.lower(before), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return (some.select("key", "_t", F.explode(every).alias("x")).select("key", "_t", "x.*")
-                .withColumn("value", F.lower(F.substring("_t", F.col("s") + 1, F.col("e") - F.col("s"))))
-                .withColumn("w", words)
-                .withColumn("patterns", F.array_distinct(F.filter(F.array(
-                    F.when(F.size("w") >= 1, F.element_at("w", -1)),
-                    F.when(F.size("w") >= 2, F.concat_ws(" ", F.element_at("w", -2), F.element_at("w", -1)))), lambda p: p.isNotNull())))
+    every = F.concat("_base", F.transform("token", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(None).cast("string").alias("kind"))))
+    width = F.lit(2 * (CONTEXT + 1) + 1)
+
+    def read(piece) -> Column:
+        return F.transform(every, lambda x: F.struct(
+            x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), F.lower(piece(x["s"], x["e"] - x["s"])).alias("value"),
+            F.lower(piece(F.greatest(F.lit(0), x["s"] - width), F.least(x["s"], width))).alias("before")))
+
+    rows = some.select("key", F.explode(cut_points(F.col("_t"), read)).alias("x")).select("key", "x.*")
+    # two frames that only grow, one in each direction
+    before, behind = (Window.partitionBy("key").orderBy(*[c(x) for x in ("s", "e", "kind")]).rowsBetween(Window.unboundedPreceding, -1) for c in (F.asc, F.desc))
+    is_base = F.col("kind").isNotNull()
+    last, after = F.max(F.when(is_base, F.col("e"))).over(before), F.min(F.when(is_base, F.col("s"))).over(behind)
+    rows = rows.withColumn("_last", last).withColumn("_next", after)
+    rows = rows.filter(is_base | ~(F.coalesce(F.col("_last") > F.col("s"), F.lit(False)) | F.coalesce(F.col("_next") < F.col("e"), F.lit(False))))
+    # the first piece is a whole word only if the text, or a blank, comes before it
+    split = F.split("before", r"[\x20\x09-\x0D]+")
+    whole = F.when(F.col("s") > width, F.slice(split, F.lit(2), F.size(split))).otherwise(split)
+    short = F.filter(whole, lambda w: w != "")
+    w1, w2 = F.try_element_at("w", F.lit(-1)), F.try_element_at("w", F.lit(-2))
+    fits = lambda w: F.length(w) <= CONTEXT
+    return (rows.withColumn("w", short)
+                .withColumn("patterns", F.array_distinct(F.array_compact(F.array(F.when(fits(w1), w1), F.when(fits(w1) & fits(w2), F.concat_ws(" ", w2, w1))))))
                 .select("key", "s", "e", "kind", "value", "patterns"))
 
 

@@ -8,12 +8,15 @@ The method adds weak candidates: ``weak_id`` (account, user or client names
 and key ids), ``weak_secret`` (other secret-like assignments with short or
 unusual values, and bare 40-character keys) and ``endpoint`` (URLs of
 services).  Every part is a row (document, scope, role, start); scopes are
-paragraphs (split at blank lines).  An interval join inside each scope links
-parts with at most ``REACH`` code points between the end of one and the start of
-the other, however long they are: a weak identifier is reported only near a
-secret, a weak secret only near an identifier, an endpoint only near both.  The
-join runs on (document, scope, bin of REACH code points), with a part in every
-bin it covers, so no group grows with the document.
+paragraphs (split at blank lines).  Inside each scope the parts are ordered by
+place and joined with the nearest identifier and secret before and after them
+(running windows over intervals, whatever their length): a weak identifier is
+reported only with a secret in its scope, a weak secret only with an
+identifier, an endpoint only with both.  ``reach`` narrows this to parts with at
+most so many code points between the end of one and the start of the other.
+
+Time grows with the text, not with the square of its matches: positions are
+running sums (``spans.running``), pieces are cut without searching their place.
 
 Defined cases: null text is the empty text (no spans); repeated rows are
 reported alike; a null doc_id is its own document; extra columns are ignored by
@@ -22,12 +25,12 @@ the query and passed through by ``redact``; empty tables give empty results.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .spans import joined, redacted, row_key, sha, tagged, with_matches, written
 
-REACH = 200
+GAP = {"_gap": r"\n\x20*\n"}           # what separates the scopes (paragraphs) of a text
 BASE = {
     "assign": r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
     "access": r"AKIA[A-Z0-9]{12,}",     # a shorter run fails whole, so the length can stand in the pattern
@@ -47,40 +50,46 @@ MARK = "[SECRET]"
 def located(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` plus one span array per kind; assignments with short values are dropped."""
     clean = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    out = with_matches(clean, "_t", BASE | WEAK)
+    out = with_matches(clean, "_t", BASE | WEAK | GAP)
     value = lambda x: F.regexp_extract(x["m"], BASE["assign"], 1)
     return out.withColumn("assign", F.filter("assign", lambda x: F.length(value(x)) >= 8))
 
 
-def linked(found: DataFrame) -> DataFrame:
+def linked(found: DataFrame, reach: int | None = None) -> DataFrame:
     """Reported weak candidates as (key, weak: sorted (s, k, e) structs).
 
-    ``found``: key, the text ``_t`` and the kind columns.
-    """
-    parts = (found.filter(" or ".join(f"size({k}) > 0" for k in WEAK))
-                  .select("key", "_t", F.explode(tagged(KINDS)).alias("x"))
-                  .select("key", "x.s", "x.k", "x.e", (F.size(F.split(F.substring("_t", F.lit(1), F.col("x.s")), r"\n\x20*\n")) - 1).alias("scope"))
-                  .withColumn("role", F.element_at(F.array(*[F.lit(ROLE[k]) for k in KINDS]), F.col("k") + 1))
-                  .withColumn("lo", F.floor(F.col("s") / REACH)).withColumn("hi", F.floor(F.col("e") / REACH)))
-    weak = parts.filter(F.col("k") >= len(BASE)).dropDuplicates(["key", "s", "k", "e"])
-    weak = weak.select("key", "scope", "s", "k", "e", "role", F.explode(F.sequence("lo", "hi")).alias("bin"))
-    # of parts with one start and role the longest is the nearest to everything
-    near = (parts.filter(F.col("role") != "endpoint").groupBy("key", "scope", "s", "role").agg(F.max("e").alias("e2"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-                 .select("key", "scope", F.col("role").alias("role2"), F.col("s").alias("s2"), "e2", F.explode(F.sequence(F.col("lo") - 1, F.col("hi") + 1)).alias("bin")))
-    gap = F.greatest("s", "s2") - F.least("e", "e2")               # below zero where they overlap
-    pairs = weak.join(near, ["key", "scope", "bin"]).filter((gap <= REACH) & (F.col("role") != F.col("role2")))
-    seen = pairs.groupBy("key", "s", "k", "e", "role").agg(
-        F.max((F.col("role2") == "identifier").cast("int")).alias("id"), F.max((F.col("role2") == "secret").cast("int")).alias("sec"))
-    good = seen.filter(((F.col("role") == "identifier") & (F.col("sec") == 1)) | ((F.col("role") == "secret") & (F.col("id") == 1))
-                       | ((F.col("role") == "endpoint") & (F.col("id") == 1) & (F.col("sec") == 1)))
+    ``found``: key and the columns of ``located``.  The parts of a text are
+    ordered by place; per scope, the nearest identifier and secret before and after each
+    part come from running windows, so a part of any length and distance finds its
+    complement.  ``reach``: the largest gap between linked parts in code points; None, the whole scope."""
+    spans = F.transform(tagged(KINDS), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+    gaps = F.transform("_gap", lambda g: F.struct(g["e"].alias("s"), F.lit(-1).alias("k"), g["e"].alias("e")))
+    parts = (found.filter(" or ".join(f"size({k}) > 0" for k in WEAK)).select("key", F.explode(F.concat(spans, gaps)).alias("x"))
+                  .select("key", "x.*").dropDuplicates(["key", "s", "k", "e"]))
+    parts = parts.withColumn("scope", F.sum((F.col("k") < 0).cast("int")).over(Window.partitionBy("key").orderBy("s", "k")))
+    parts = parts.filter("k >= 0").withColumn("role", F.element_at(F.array(*[F.lit(ROLE[k]) for k in KINDS]), F.col("k") + 1))
+    # frames that only grow: a frame up to the last row would be summed anew for every row
+    scope = Window.partitionBy("key", "scope")
+    before, after = (scope.orderBy(*[c(x) for x in ("s", "k", "e")]).rowsBetween(Window.unboundedPreceding, 0) for c in (F.asc, F.desc))
+
+    def near(role: str):
+        mine = F.col("role") == role
+        last, first = F.max(F.when(mine, F.col("e"))).over(before), F.min(F.when(mine, F.col("s"))).over(after)
+        if reach is None:
+            return last.isNotNull() | first.isNotNull()
+        return F.coalesce(F.col("s") - last <= reach, F.lit(False)) | F.coalesce(first - F.col("e") <= reach, F.lit(False))
+
+    seen = parts.withColumn("id", near("identifier")).withColumn("sec", near("secret"))
+    good = seen.filter((F.col("k") >= len(BASE)) & (((F.col("role") == "identifier") & F.col("sec")) | ((F.col("role") == "secret") & F.col("id"))
+                       | ((F.col("role") == "endpoint") & F.col("id") & F.col("sec"))))
     return good.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("s", "k", "e"))).alias("weak"))
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, reach: int | None = None) -> DataFrame:
     """Every row's doc_id, its base spans and all reported spans, as sorted (s, k, e) structs."""
     found = located(docs.select("doc_id", "text", row_key("doc_id", "text").alias("key")))
-    slim = written(found.select("doc_id", "key", *KINDS, F.when(F.expr(" or ".join(f"size({k}) > 0" for k in WEAK)), F.col("_t")).alias("_t")), "secrets")
-    out = slim.select("doc_id", "key", *BASE, tagged(list(BASE)).alias("base")).join(linked(slim), "key", "left")
+    slim = written(found.select("doc_id", "key", *KINDS, "_gap"), "secrets")
+    out = slim.select("doc_id", "key", *BASE, tagged(list(BASE)).alias("base")).join(linked(slim, reach), "key", "left")
     return out.withColumn("all", F.when(F.col("weak").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "weak"))))
 
 
@@ -91,19 +100,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                       sha(joined(F.col("base"), KINDS)).alias("base_sha256"), joined(F.col("all"), KINDS).alias("spans"))
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, reach: int | None = None) -> DataFrame:
     """``docs`` with every reported span replaced by ``MARK``; n_chars, if there, follows the new text.
 
-    Only rows with weak candidates take part in a join; all others are
-    rewritten in place without a shuffle.
+    The rows are written once with their spans, so that no text is searched twice.  Only rows with weak
+    candidates take part in a join; all others are rewritten in place without a shuffle.
     """
     cols = docs.columns
     weak = F.expr(" or ".join(f"size({k}) > 0" for k in WEAK))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), "doc_id", "text", row_key("doc_id", "text").alias("key"))
-    found = located(rows)
+    found = written(located(rows).select("row", "key", *KINDS, "_gap"), "located").withColumn("text", F.col("row.text")).withColumn("_t", F.coalesce(F.col("text"), F.lit("")))
     plain = found.filter(~weak).withColumn("_all", tagged(list(BASE)))
     hard = found.filter(weak)
-    hard = hard.join(linked(hard), "key", "left").withColumn(
+    hard = hard.join(linked(hard, reach), "key", "left").withColumn(
         "_all", F.array_sort(F.concat(tagged(list(BASE)), F.coalesce("weak", F.expr("cast(array() as array<struct<s:int,k:int,e:int>>)")))))
     out = []
     for part in (plain, hard):

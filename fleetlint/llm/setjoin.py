@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 
 from .filters import in_filter, membership
 from .graph import components
-from .spans import written
+from .spans import release, written
 from .textops import byte_table, column_bytes, map_text, mix64, row_chunks, small_batches, split_words, word_hashes
 
 SHINGLE = 4
@@ -250,6 +250,7 @@ def links(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, percent: int =
     docrep = prof.select("doc_id", "n", "s1", "s2").join(reps.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"], "left")
     docrep = written(docrep.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "docrep")
 
+    release(spark)
     # 3. families of highly similar sets
     lead = None
     for key in ("k1", "k2", "k3"):
@@ -268,6 +269,7 @@ def links(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, percent: int =
     members = written(members.select("rep", "n", *_BITS, F.coalesce("root", "rep").alias("root"),
                                      F.when(F.col("root").isNull() | (F.col("root") == F.col("rep")), F.lit(0.0)).otherwise(F.coalesce("d", F.lit(1.0))).alias("d")), "members")
 
+    release(spark)
     # 4. the index
     pre = prefixes(spark, docs, sketch_of(table), k, percent).join(members.select(F.col("rep").alias("doc_id"), "n", "root"), "doc_id")
     pre = written(pre.filter(F.size("prefix") > 0), "prefixes")
@@ -287,6 +289,7 @@ def links(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, percent: int =
         & in_block & ((100 + percent) * bound >= need) & _possible("x", "y", percent))
     pairs = written(hits.select(F.col("doc_idx").alias("a"), F.col("doc_idy").alias("b"), F.col("rootx").alias("ra"), F.col("rooty").alias("rb"), F.col("dx").alias("da"), F.col("dy").alias("db")).distinct(), "pairs")
 
+    release(spark)
     # 5. answers of the roots, then what they leave open
     tops = written(pairs.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct(), "roots")
     top = written(compare(docs, tops, k), "answers")
@@ -305,6 +308,7 @@ def links(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, percent: int =
 def classes(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, component_id) of every distinct non-null doc_id."""
     docrep, found = links(spark, docs, k, percent)
+    release(spark)
     vertex = docrep.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
     shared = docrep.join(vertex.filter("rep < other").select("doc_id", F.col("rep").alias("low")), "doc_id").filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     comp = components(found.union(shared))

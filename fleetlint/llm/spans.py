@@ -25,6 +25,45 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)      # no job to learn the schema
 
 
+def release(spark) -> None:
+    """Let Spark drop the shuffle files and broadcasts of finished steps now: it does so when the driver's unused
+    objects are collected, which a driver with memory to spare puts off."""
+    import gc
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def bound(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once, however often ``fn``'s lambdas use it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def running(values: Column, op, zero: Column) -> Column:
+    """Array of ``op`` over all earlier values (``zero`` for the first one).
+
+    Arrays grow by copying, so the values are taken in blocks of about the square root of their number:
+    a text of 100,000 matches copies some ten million numbers, not some billions."""
+    def fold(xs: Column, start: Column) -> Column:
+        seed = F.struct(start.alias("at"), F.slice(F.array(start), 1, 0).alias("out"))
+        return F.aggregate(xs, seed, lambda acc, v: F.struct(op(acc["at"], v).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+
+    def blocks(xs: Column) -> Column:
+        step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(xs))).cast("int"))
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(xs) / step).cast("int") - 1), lambda b: F.slice(xs, b * step + 1, step))
+
+    def whole(xs: Column) -> Column:
+        return bound(blocks(xs), lambda bs: F.flatten(F.zip_with(
+            bs, fold(F.transform(bs, lambda x: F.aggregate(x, zero, op)), zero), fold)))
+
+    return bound(values, lambda xs: F.when(F.size(xs) > 0, whole(xs)).otherwise(xs))
+
+
+def cut_points(text: Column, fn) -> Column:
+    """``fn`` of a function (start, length in code points) -> piece of the text, that does not search for its place."""
+    wide = lambda u: lambda at, n: F.decode(F.substr(u, at * 4 + 1, n * 4), "UTF-32")
+    return bound(F.encode(text, "UTF-32"), lambda u: fn(wide(u)))
+
+
 def with_matches(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
     """One column per pattern name: its leftmost non-overlapping matches as ``SPAN`` arrays."""
     cols = df.columns
@@ -32,15 +71,16 @@ def with_matches(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFram
     cut = hits.select("*", *[F.when(F.size(f"_m_{k}") > 0, F.split(F.col(text), p, -1)).alias(f"_p_{k}") for k, p in patterns.items()])
 
     def placed(k: str) -> Column:
-        step = lambda acc, i: F.struct(
-            (acc["at"] + F.length(F.element_at(f"_p_{k}", i)) + F.length(F.element_at(f"_m_{k}", i))).alias("at"),
-            F.array_append(acc["out"], F.struct(
-                (acc["at"] + F.length(F.element_at(f"_p_{k}", i))).alias("s"),
-                (acc["at"] + F.length(F.element_at(f"_p_{k}", i)) + F.length(F.element_at(f"_m_{k}", i))).alias("e"),
-                F.element_at(f"_m_{k}", i).alias("m"))).alias("out"))
-        start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
-        return F.when(F.size(f"_m_{k}") > 0, F.aggregate(F.sequence(F.lit(1), F.size(f"_m_{k}")), start, step, lambda acc: acc["out"])
-                      ).otherwise(F.expr(f"cast(array() as {SPAN})"))
+        def counted(m: Column) -> Column:
+            # lengths of the pieces before the matches; the last piece follows them all
+            return bound(F.transform(F.slice(F.col(f"_p_{k}"), 1, F.size(m)), F.length), lambda gaps: spans(m, gaps))
+
+        def spans(m: Column, gaps: Column) -> Column:
+            size = F.zip_with(gaps, m, lambda g, x: g + F.length(x))
+            return bound(running(size, lambda a, b: a + b, F.lit(0)), lambda at: F.transform(m, lambda x, i: F.struct(
+                (F.get(at, i) + F.get(gaps, i)).alias("s"), (F.get(at, i) + F.get(gaps, i) + F.length(x)).alias("e"), x.alias("m"))))
+
+        return F.when(F.size(f"_m_{k}") > 0, bound(F.col(f"_m_{k}"), counted)).otherwise(F.expr(f"cast(array() as {SPAN})"))
 
     return cut.select(*cols, *[placed(k).alias(k) for k in patterns])
 
@@ -67,13 +107,16 @@ def sha(text: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str) -> Column:
     """``text`` with every run of overlapping (s, e) spans, sorted by start, replaced by ``mark``."""
-    step = lambda acc, x: F.when(x["s"] >= acc["at"], F.struct(
-        x["e"].alias("at"),
-        F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark)).alias("out"))
-    ).otherwise(F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, lambda acc: F.concat(
-        acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))).otherwise(text)
+    def pieces(piece, xs: Column, upto: Column) -> Column:
+        inner = F.transform(xs, lambda x, i: F.when(x["s"] >= F.get(upto, i), F.concat(piece(F.get(upto, i), x["s"] - F.get(upto, i)), F.lit(mark))).otherwise(F.lit("")))
+        end = F.greatest(F.element_at(upto, -1), F.element_at(xs, -1)["e"])
+        return F.concat(F.array_join(inner, ""), piece(end, F.length(text) - end))
+
+    def cut(piece) -> Column:
+        return bound(spans, lambda xs: bound(running(F.transform(xs, lambda x: x["e"]), lambda a, b: F.greatest(a, b), F.lit(0)),
+                                             lambda upto: pieces(piece, xs, upto)))
+
+    return F.when(F.size(spans) > 0, cut_points(text, cut)).otherwise(text)
 
 
 def row_key(doc_id: str, text: str) -> Column:

@@ -1,12 +1,16 @@
 """Secret scan and PII: base spans against Python's re, planted links and contexts, odd inputs."""
 
 import hashlib
+import math
+import random
 import re
+import time
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlint.llm import pii, secrets
+from fleetlint.llm import pii, secrets, spans
 
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -61,7 +65,7 @@ def test_secret_links(spark):
     docs = spark.createDataFrame([(1, near), (2, "https://a.b/c pwd=zz99"), (3, far), (4, "login: bob99\n\npwd=ab12cd"),
                                   (5, "password=hunter2hunter2 user_name=joe"), (5, "password=hunter2hunter2 user_name=joe")], "doc_id long, text string")
     got = {}
-    for r in secrets.scan(docs).collect():
+    for r in secrets.scan(docs, reach=200).collect():
         got.setdefault(r["doc_id"], []).append([(x["s"], secrets.KINDS[x["k"]], x["e"]) for x in r["all"]])
     assert got[1] == [[(0, "weak_id", 12), (16, "endpoint", 40), (41, "weak_secret", 51)]]
     assert got[2] == [[]]                        # a secret and an endpoint without an identifier
@@ -73,15 +77,62 @@ def test_secret_links_count_the_gap_between_parts(spark):
     """The length of a part does not count against the reach; the gap between parts does."""
     key, url = "private_key=" + "Zq9$" * 200, "https://db.example.com/" + "p" * 900
     apart = lambda n: "login: bob99" + " " * n + "pwd=ab12cd"
-    texts = [key + " user_name: joe", url + " login: joe pwd=ab12cd", "login: bob99 " + url + " pwd=ab12cd", apart(secrets.REACH), apart(secrets.REACH + 1),
-             " " * 199 + apart(secrets.REACH), key + " " * (secrets.REACH + 1) + "user_name: joe", "user_name: joe " + key]
+    texts = [key + " user_name: joe", url + " login: joe pwd=ab12cd", "login: bob99 " + url + " pwd=ab12cd", apart(200), apart(201),
+             " " * 199 + apart(200), key + " " * 201 + "user_name: joe", "user_name: joe " + key]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: [secrets.KINDS[x["k"]] for x in r["all"]] for r in secrets.scan(docs).collect()}
+    got = {r["doc_id"]: [secrets.KINDS[x["k"]] for x in r["all"]] for r in secrets.scan(docs, reach=200).collect()}
     both = ["weak_id", "weak_secret"]
     assert got == {0: both[::-1], 1: ["endpoint", *both], 2: ["endpoint"], 3: both, 4: [], 5: both, 6: [], 7: both}
     assert {r["doc_id"]: r["text"] for r in secrets.redact(docs.filter("doc_id < 2")).collect()} == {0: "[SECRET] [SECRET]", 1: "[SECRET] [SECRET] [SECRET]"}
 
 
+def plain_links(text, kinds):
+    """Reported weak spans of a text whose spans (s, k, e) are given: complementary parts of one paragraph."""
+    gaps = [m.end() for m in re.finditer(r"\n\x20*\n", text)]
+    parts = [(sum(g <= s for g in gaps), secrets.ROLE[secrets.KINDS[k]], s, k, e) for s, k, e in kinds]
+    out = []
+    for scope, role, s, k, e in parts:
+        others = {r for p, r, *_ in parts if p == scope}
+        ok = {"identifier": "secret" in others, "secret": "identifier" in others, "endpoint": {"identifier", "secret"} <= others}[role]
+        if k >= len(secrets.BASE) and ok:
+            out.append((s, k, e))
+    return sorted(out)
+
+
+def test_secret_links_over_whole_paragraphs(spark):
+    """Against all pairs of a paragraph, at any distance."""
+    rng = random.Random(8)
+    bits = ["login: bob99", "pwd=ab12cd", "https://db.example.com/x", "password=hunter2hunter2", "AKIA1234567890ABCD", "é text", "x " * 150, "\n", "\n  \n", "\n\n\n", "client_id=zz9"]
+    texts = [" ".join(rng.choices(bits, k=rng.randint(1, 25))) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(7, texts[7])], "doc_id long, text string")
+    found = {r["doc_id"]: [tuple(x) for x in r["every"]] for r in secrets.located(docs).select("doc_id", spans.tagged(secrets.KINDS).alias("every")).collect()}
+    for r in secrets.scan(docs).collect():
+        want = sorted([tuple(x) for x in r["base"]] + plain_links(texts[r["doc_id"]], found[r["doc_id"]]))
+        assert [tuple(x) for x in r["all"]] == want
+
+
+def test_long_texts_of_short_matches(spark):
+    """Four megabytes of matches take time in proportion to the text."""
+    text = "é token=abcdefgh1 login: bob99 pwd=ab12cd " * 100_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    r = secrets.scan(docs).select(F.size("all").alias("n"), F.element_at("all", -1).alias("x")).first()
+    assert r["n"] == 300_000 and (r["x"]["s"], r["x"]["e"]) == (len(text) - 11, len(text) - 1)
+    assert secrets.redact(docs).select(F.length("text")).first()[0] == len("é [SECRET] [SECRET] [SECRET] ") * 100_000
+    mails = spark.createDataFrame([(1, "é a@b.co +1 269 555 3296 ref 12x " * 120_000)], "doc_id long, text string")
+    assert pii.scan(mails).select(F.size("base")).first()[0] == 240_000
+    assert time.time() - began < 150        # three texts; the square of their matches would take hours
+
+
+def test_running_and_cut_points(spark):
+    rows = [([],), ([5],), ([1, 2, 3],), (list(range(200)),)]
+    df = spark.createDataFrame(rows, "v array<int>")
+    got = [r[0] for r in df.select(spans.running(F.col("v"), lambda a, b: a + b, F.lit(0))).collect()]
+    assert got == [[sum(v[:i]) for i in range(len(v))] for v, in rows]
+    t = spark.createDataFrame([("aé漢😀z",)], "t string")
+    assert t.select(spans.cut_points(F.col("t"), lambda piece: F.concat_ws("|", piece(F.lit(1), F.lit(3)), piece(F.lit(4), F.lit(9)), piece(F.lit(0), F.lit(0))))).first()[0] == "é漢😀|z|"
+
+
 def test_secret_redaction(spark, odd_docs, no_docs):
     docs = spark.createDataFrame([(1, "ab password=hunter2hunter2 user_name=joe end", 9), (2, "clean", 5), (3, None, None)], "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secrets.redact(docs).collect()}
@@ -128,6 +179,54 @@ def test_pii_contexts(spark):
     assert all(len(got[i]) == 1 for i in range(10))
 
 
+def plain_patterns(before):
+    """One and two words before a span, from the whole text before it."""
+    w = re.split(r"[\x20\x09-\x0D]+", before.lower())
+    w = [x for x in w if x]
+    one = w[-1] if w and len(w[-1]) <= pii.CONTEXT else None
+    two = f"{w[-2]} {w[-1]}" if len(w) > 1 and one and len(w[-2]) <= pii.CONTEXT else None
+    return [x for x in (one, two) if x]
+
+
+def test_pii_graph_equals_plain_version(spark):
+    """Instances, contexts, three rounds of scores and the reported places against plain Python."""
+    rng = random.Random(6)
+    lead = ["please call", "ring", "mail to:", "é " * 3, "from host", "w" * 49, "x" * 48 + " " + "y" * 48, "card no", "\n", ""]
+    item = ["+1 (269) 555-3296", "a@b.co", "1.2.3.4", "4111 1111 1111 1111", "555-1234x9", "ext12", "u2@x", "v2.0", "plain", "3.4.5"]
+    rows = [(i, " ".join(f"{rng.choice(lead)} {rng.choice(item)}" + str(rng.randrange(3)) * rng.randint(0, 1) for _ in range(rng.randint(0, 12)))) for i in range(150)]
+    kinds = list(pii.BASE)
+    inst = []
+    for d, t in rows:
+        base = pii_base(t)
+        spans_ = [(s, e, kinds[k]) for s, k, e in base]
+        spans_ += [(m.start(), m.end(), None) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)
+                   if re.search("[0-9@]", m.group()) and not any(m.start() < e and s < m.end() for s, _, e in base)]
+        inst += [(d, s, e, k, t[s:e].lower(), plain_patterns(t[:s])) for s, e, k in spans_]
+    edges = {(p, v, k) for _, _, _, k, v, ps in inst for p in ps}
+    n = Counter(p for p, v in {(p, v) for p, v, _ in edges})
+    seed = Counter((p, k) for p, _, k in edges if k)
+    useful = {pk: c for pk, c in seed.items() if c >= pii.SUPPORT}
+    conf = {pk: c / (n[pk[0]] + 1) for pk, c in useful.items()}
+    open_ = {(p, v) for p, v, k in edges if k is None and any(q == p for q, _ in useful)}
+    for _ in range(pii.ROUNDS):
+        score = {}
+        for v in {v for _, v in open_}:
+            for k in kinds:
+                own = [min(conf[(p, k)], 0.999) for p, x in open_ if x == v and (p, k) in conf]
+                if own:
+                    score[(v, k)] = 1 - math.prod(1 - c for c in own)
+        conf = {(p, k): (c + sum(score.get((v, k), 0) for q, v in open_ if q == p)) / (n[p] + 1) for (p, k), c in useful.items()}
+    want = defaultdict(set)
+    for d, s, e, k, v, ps in inst:
+        for j, kind in enumerate(kinds):
+            if k is None and score.get((v, kind), 0) >= pii.ACCEPT and any(conf.get((p, kind), 0) >= pii.ACCEPT / 2 for p in ps):
+                want[d].add((s, len(kinds) + j, e))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: {tuple(x) for x in r["all"]} - {tuple(x) for x in r["base"]} for r in pii.scan(docs).collect()}
+    assert {d: s for d, s in got.items() if s} == dict(want)
+    assert sum(map(len, want.values())) > 20
+
+
 def test_pii_odd(odd_docs, no_docs):
     assert [r["all"] for r in pii.scan(odd_docs).collect()] == [[]] * 8
     assert pii.scan(no_docs).count() == 0
