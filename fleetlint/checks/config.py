@@ -32,8 +32,8 @@ def _version_num(cat):
                 title=lambda: F.when(F.col("severity") == WARNING, F.lit(
                     "Could not determine the PostgreSQL version of the dump"))
                 .when(F.col("severity") == CRITICAL, F.format_string(
-                    "PostgreSQL %d is not supported by Spock 5", F.col("major")))
-                .otherwise(F.format_string("PostgreSQL %d is supported by Spock 5", F.col("major"))),
+                    "Server version %d has no Spock 5 release", F.col("major")))
+                .otherwise(F.format_string("Server version %d runs Spock 5", F.col("major"))),
                 remediation=lambda: F.when(F.col("severity") == CRITICAL, F.lit(
                     "Upgrade to a supported major version (15, 16, 17 or 18).")).when(
                     F.col("severity") == WARNING, F.lit("Check that the dump header names the server version.")),
@@ -54,7 +54,7 @@ def pg_version(cat):
 
 @register_check("pg_minor_version", "config", mode="audit", needs=("settings", "instances"),
                 description="PostgreSQL version; all nodes of a cluster should match",
-                title=lambda: F.format_string("PostgreSQL %s", F.col("server_version")),
+                title=lambda: F.format_string("Server version %s", F.col("server_version")),
                 remediation=lambda: F.lit("Run the same minor version on all nodes of a cluster."))
 def pg_minor_version(cat):
     k = cat.keys
@@ -67,7 +67,7 @@ def pg_minor_version(cat):
 
 @register_check("track_commit_timestamp", "config", needs=("settings",),
                 description="track_commit_timestamp must be on for last-update-wins",
-                title=lambda: F.format_string("track_commit_timestamp is '%s' - must be 'on'", F.col("current")),
+                title=lambda: F.format_string("track_commit_timestamp = %s keeps no commit times; on is needed", F.col("current")),
                 remediation=lambda: F.lit("ALTER SYSTEM SET track_commit_timestamp = on; then restart."))
 def track_commit_timestamp(cat):
     v = violations(cat, "track_commit_timestamp")
@@ -76,7 +76,7 @@ def track_commit_timestamp(cat):
 
 @register_check("parallel_apply", "config", needs=("settings", "instances"),
                 description="Apply worker settings",
-                title=lambda: F.when(F.col("object_name") == "(config)", F.lit("Parallel apply configuration summary"))
+                title=lambda: F.when(F.col("object_name") == "(config)", F.lit("Workers for parallel apply"))
                 .otherwise(F.format_string("%s = %s", F.col("object_name"), F.col("current"))),
                 remediation=lambda: F.when(F.col("object_name") == "max_logical_replication_workers",
                                            F.lit("Raise max_logical_replication_workers to at least 4."))
@@ -98,7 +98,7 @@ def parallel_apply(cat):
 
 @register_check("shared_preload_libraries", "config", mode="audit", needs=("settings",),
                 description="The replication library must be preloaded",
-                title=lambda: F.lit("'spock' not in shared_preload_libraries"),
+                title=lambda: F.lit("Library spock is not loaded at server start"),
                 remediation=lambda: F.lit("Add spock to shared_preload_libraries and restart."))
 def shared_preload_libraries(cat):
     t = setting_value(cat, "shared_preload_libraries", "libs").withColumn("lib_list", trimmed_list("libs"))
@@ -110,10 +110,10 @@ def shared_preload_libraries(cat):
 @register_check("spock_gucs", "config", mode="audit", needs=("settings", "instances"),
                 description="Recommended replication extension settings",
                 title=lambda: F.when(F.col("status") == "missing", F.format_string(
-                    "GUC '%s' not available", F.col("object_name")))
+                    "Setting %s is unknown to the server", F.col("object_name")))
                 .when(F.col("status") == "mismatch", F.format_string(
-                    "%s = '%s' (recommended: '%s')", F.col("object_name"), F.col("current"), F.col("recommended")))
-                .otherwise(F.format_string("%s = '%s' (OK)", F.col("object_name"), F.col("current"))),
+                    "%s = %s, better %s", F.col("object_name"), F.col("current"), F.col("recommended")))
+                .otherwise(F.format_string("%s = %s is fine", F.col("object_name"), F.col("current"))),
                 remediation=lambda: F.when(F.col("status") == "mismatch", F.format_string(
                     "ALTER SYSTEM SET %s = '%s';", F.col("object_name"), F.col("recommended"))))
 def spock_gucs(cat):
@@ -132,8 +132,8 @@ def spock_gucs(cat):
 
 @register_check("timezone_config", "config", needs=("settings",),
                 description="Server and log time zone should be UTC",
-                title=lambda: F.when(F.col("severity") == INFO, F.lit("Timezone and log_timezone are both UTC (OK)"))
-                .otherwise(F.format_string("%s = '%s' (recommended: UTC)", F.col("object_name"), F.col("current"))),
+                title=lambda: F.when(F.col("severity") == INFO, F.lit("Clock and log run in UTC"))
+                .otherwise(F.format_string("%s = %s, better UTC", F.col("object_name"), F.col("current"))),
                 remediation=lambda: F.when(F.col("severity") == CONSIDER, F.format_string(
                     "ALTER SYSTEM SET %s = 'UTC'; SELECT pg_reload_conf();", F.col("object_name"))))
 def timezone_config(cat):
@@ -150,7 +150,7 @@ def timezone_config(cat):
 
 @register_check("idle_transaction_timeout", "config", needs=("settings",),
                 description="Idle transaction and session timeouts",
-                title=lambda: F.format_string("%s is not set", F.col("object_name")),
+                title=lambda: F.format_string("No limit is set by %s", F.col("object_name")),
                 remediation=lambda: F.format_string(
                     "ALTER SYSTEM SET %s = '10min'; SELECT pg_reload_conf();", F.col("object_name")))
 def idle_transaction_timeout(cat):

@@ -44,9 +44,9 @@ def _installed(cat):
 @register_check("installed_extensions", "extensions", needs=("cat_extension", "instances"),
                 description="Installed extensions and their replication notes",
                 title=lambda: F.when(F.col("object_name") == "(extensions)", F.format_string(
-                    "Installed extensions: %d", F.col("extension_count")))
-                .when(F.col("version").isNull(), F.format_string("Extension '%s'", F.col("object_name")))
-                .otherwise(F.format_string("Extension '%s' v%s", F.col("object_name"), F.col("version"))),
+                    "%d extensions are installed", F.col("extension_count")))
+                .when(F.col("version").isNull(), F.format_string("Extension %s", F.col("object_name")))
+                .otherwise(F.format_string("Extension %s, version %s", F.col("object_name"), F.col("version"))),
                 remediation=lambda: F.when(F.col("severity") == WARNING, F.col("note")),
                 offline=True)
 def installed_extensions(cat):
@@ -76,7 +76,7 @@ def installed_extensions(cat):
 
 @register_check("extension_versions", "extensions", needs=("cat_extension",),
                 description="Installed extensions that are older than the available version",
-                title=lambda: F.format_string("Extension '%s' can be upgraded: v%s -> v%s", F.col("object_name"),
+                title=lambda: F.format_string("Extension %s has version %s, and %s is there", F.col("object_name"),
                                               F.col("installed_version"), F.col("available_version")),
                 remediation=lambda: F.format_string("ALTER EXTENSION %s UPDATE; (on all nodes)",
                                                     F.col("object_name")))
@@ -89,10 +89,10 @@ def extension_versions(cat):
 @register_check("snowflake_ext", "extensions", needs=("cat_extension", "instances"),
                 description="Snowflake extension for globally unique sequences",
                 title=lambda: F.when(F.col("status") == "installed", F.format_string(
-                    "Snowflake extension installed (v%s)", F.col("version")))
+                    "Snowflake keys are ready (version %s)", F.col("version")))
                 .when(F.col("status") == "available", F.format_string(
-                    "Snowflake extension available (v%s) but not installed", F.col("version")))
-                .otherwise(F.lit("Snowflake extension not available")),
+                    "Snowflake keys could be installed (version %s)", F.col("version")))
+                .otherwise(F.lit("Snowflake keys cannot be installed")),
                 remediation=lambda: F.when(F.col("status") == "available", F.lit(
                     "CREATE EXTENSION snowflake; and convert sequences with snowflake.convert_sequence_to_snowflake()."))
                 .when(F.col("status") == "unavailable", F.lit(
@@ -113,9 +113,9 @@ def snowflake_ext(cat):
 
 @register_check("pg_stat_statements_check", "extensions", needs=("cat_extension", "instances"),
                 description="Statement statistics extension presence",
-                title=lambda: F.when(F.col("status") == "missing", F.lit("pg_stat_statements is NOT installed"))
-                .when(F.col("status") == "unreadable", F.lit("pg_stat_statements installed but not queryable"))
-                .otherwise(F.format_string("pg_stat_statements available (%d statements tracked)",
+                title=lambda: F.when(F.col("status") == "missing", F.lit("No statement statistics are kept"))
+                .when(F.col("status") == "unreadable", F.lit("Statement statistics are kept but were not read"))
+                .otherwise(F.format_string("Statement statistics hold %d statements",
                                            F.col("statement_count"))),
                 remediation=lambda: F.when(F.col("status") == "missing", F.lit(
                     "CREATE EXTENSION pg_stat_statements; (with shared_preload_libraries) to enable SQL pattern checks."))
@@ -125,8 +125,10 @@ def pg_stat_statements_check(cat):
     ext = _installed(cat).filter(F.col("extname") == "pg_stat_statements").select(*k, F.col("extversion").alias("version"))
     t = cat.instances().select(*k).join(ext, k, "left")
     if cat.has("stat_statements"):
+        # an instance whose statistics could be read has rows in some snapshot
         counts = per_instance_count(cat, current_statements(cat), "statement_count")
-        t = t.join(counts, k, "left").withColumn("readable", F.lit(True))
+        read = cat["stat_statements"].select(*k).distinct().withColumn("__read", F.lit(True))
+        t = t.join(counts, k, "left").join(read, k, "left").withColumn("readable", F.coalesce("__read", F.lit(False)))
     else:
         t = t.withColumn("statement_count", F.lit(0).cast("bigint")).withColumn("readable", F.lit(False))
     status = (F.when(F.col("version").isNull(), F.lit("missing"))
@@ -145,11 +147,11 @@ def pg_stat_statements_check(cat):
                        "settings", "instances"),
                 description="Large objects need the LOLOR extension to replicate",
                 title=lambda: F.when(F.col("status") == "not_installed", F.lit(
-                    "Large objects detected but LOLOR extension is not installed"))
-                .when(F.col("status") == "node_unset", F.lit("LOLOR installed but lolor.node is not configured"))
-                .when(F.col("status") == "node_invalid", F.format_string("LOLOR lolor.node has invalid value: %s",
+                    "Large objects are stored, and LOLOR is not installed to replicate them"))
+                .when(F.col("status") == "node_unset", F.lit("LOLOR has no node number"))
+                .when(F.col("status") == "node_invalid", F.format_string("LOLOR node number %s is out of range",
                                                                          F.col("node")))
-                .otherwise(F.format_string("LOLOR extension installed (node=%s)", F.col("node"))),
+                .otherwise(F.format_string("LOLOR runs as node %s", F.col("node"))),
                 remediation=lambda: F.when(F.col("status") == "not_installed", F.lit(
                     "CREATE EXTENSION lolor; and add its tables to the default replication set."))
                 .when(F.col("status").isin("node_unset", "node_invalid"), F.lit(

@@ -23,8 +23,8 @@ TRIGGER_EVENT_BITS = [("INSERT", 4), ("DELETE", 8), ("UPDATE", 16), ("TRUNCATE",
 @register_check("stored_procedures", "functions", needs=("cat_namespace", "cat_proc"),
                 description="Functions and procedures that write data or run DDL",
                 title=lambda: F.when(F.col("object_name") == "(functions)", F.format_string(
-                    "Found %d user-defined function(s)/procedure(s)", F.col("total_count")))
-                .otherwise(F.format_string("%s '%s' (%s, %s) contains write operations",
+                    "%d functions and procedures of users", F.col("total_count")))
+                .otherwise(F.format_string("%s %s (%s, %s) writes",
                                            F.initcap("kind"), F.col("object_name"), F.col("language"),
                                            F.col("volatility"))),
                 remediation=lambda: F.when(F.col("object_name") != "(functions)", F.lit(
@@ -49,7 +49,7 @@ def stored_procedures(cat):
 @register_check("trigger_functions", "functions",
                 needs=("cat_trigger", "cat_class", "cat_namespace", "cat_proc"),
                 description="Triggers: ENABLE REPLICA and ENABLE ALWAYS fire during apply",
-                title=lambda: F.format_string("Trigger '%s' (%s %s, %s)", F.col("object_name"), F.col("timing"),
+                title=lambda: F.format_string("Trigger %s: %s %s, %s", F.col("object_name"), F.col("timing"),
                                               F.col("event"), code_labels("enabled", TRIGGER_ENABLED_LABELS)),
                 remediation=lambda: F.when(F.col("enabled").isin("A", "R"), F.lit(
                     "Use ORIGIN mode (the default) unless the trigger must fire for replicated changes.")))
@@ -79,10 +79,10 @@ def trigger_functions(cat):
 @register_check("views_audit", "functions", mode="both", needs=("cat_class", "cat_namespace", "cat_trigger"),
                 description="Materialized views and views with INSTEAD OF triggers",
                 title=lambda: F.when(F.col("kind") == "materialized", F.format_string(
-                    "Materialized view '%s'", F.col("object_name")))
+                    "%s: a stored view", F.col("object_name")))
                 .when(F.col("kind") == "instead_of_trigger", F.format_string(
-                    "Updatable view '%s' (INSTEAD OF trigger: %s)", F.col("object_name"), F.col("trigger_name")))
-                .otherwise(F.format_string("Found %d user view(s) (%d materialized, %d regular)",
+                    "%s: a view that trigger %s makes writable", F.col("object_name"), F.col("trigger_name")))
+                .otherwise(F.format_string("%d views of users: %d stored, %d plain",
                                            F.col("view_count"), F.col("materialized_count"),
                                            F.col("view_count") - F.col("materialized_count"))),
                 remediation=lambda: F.when(F.col("kind") == "materialized", F.lit(

@@ -33,7 +33,7 @@ def extra_cols(extra, keys):
 
 @register_check("wal_level", "replication", needs=("settings",),
                 description="wal_level must be 'logical' for logical replication",
-                title=lambda: F.format_string("wal_level is '%s' - must be 'logical'", F.col("current")),
+                title=lambda: F.format_string("wal_level = %s carries no row changes; logical is needed", F.col("current")),
                 remediation=lambda: F.lit("ALTER SYSTEM SET wal_level = 'logical'; then restart."))
 def wal_level(cat):
     return _setting_check(cat, "wal_level")
@@ -41,7 +41,7 @@ def wal_level(cat):
 
 @register_check("max_replication_slots", "replication", needs=("settings", "replication_slots"),
                 description="Enough replication slots for all peers",
-                title=lambda: F.format_string("max_replication_slots = %s (currently %d in use)",
+                title=lambda: F.format_string("max_replication_slots = %s, %d taken",
                                               F.col("current"), F.col("used_slots")),
                 remediation=lambda: F.lit("ALTER SYSTEM SET max_replication_slots = 10; then restart."))
 def max_replication_slots(cat):
@@ -51,11 +51,14 @@ def max_replication_slots(cat):
 
 @register_check("max_wal_senders", "replication", needs=("settings", "replication_slots"),
                 description="Enough WAL senders for all peers",
-                title=lambda: F.format_string("max_wal_senders is %s (recommend >= 10)", F.col("current")),
+                title=lambda: F.format_string("max_wal_senders = %s is short of 10", F.col("current")),
                 remediation=lambda: F.lit("ALTER SYSTEM SET max_wal_senders = 10; then restart."))
 def max_wal_senders(cat):
-    # active senders are counted from active replication slots (one sender each)
-    active = per_instance_count(cat, cat["replication_slots"].filter("active"), "active_slots")
+    # one row a sender, where snapshots hold that view; else active replication slots stand for senders
+    if cat.has("stat_replication"):
+        active = per_instance_count(cat, cat["stat_replication"], "active_slots")
+    else:
+        active = per_instance_count(cat, cat["replication_slots"].filter("active"), "active_slots")
     return _setting_check(cat, "max_wal_senders", active=active)
 
 
@@ -70,8 +73,8 @@ def max_worker_processes(cat):
 @register_check("database_encoding", "replication", needs=("cat_database", "instances"),
                 description="Database encoding should be UTF8 and equal across a cluster",
                 title=lambda: F.when(F.col("severity") == CONSIDER, F.format_string(
-                    "Database encoding is '%s' (not UTF-8)", F.col("encoding")))
-                .otherwise(F.format_string("Database encoding: %s", F.col("encoding"))),
+                    "Text is stored as %s instead of UTF-8", F.col("encoding")))
+                .otherwise(F.format_string("Text is stored as %s", F.col("encoding"))),
                 remediation=lambda: F.when(F.col("severity") == CONSIDER, F.lit(
                     "Use the same encoding on all nodes; UTF8 is recommended.")))
 def database_encoding(cat):
@@ -85,7 +88,7 @@ def database_encoding(cat):
 
 @register_check("multiple_databases", "replication", needs=("cat_database",),
                 description="More than one user database on an instance",
-                title=lambda: F.format_string("Instance has %d user database(s): %s",
+                title=lambda: F.format_string("%d databases on the instance: %s",
                                               F.col("database_count"), F.col("databases")),
                 remediation=lambda: F.lit("Each database needs its own replication setup; "
                                           "consider one database per instance."))
@@ -100,9 +103,9 @@ def multiple_databases(cat):
 
 @register_check("hba_config", "replication", needs=("hba_rules", "instances"),
                 description="pg_hba.conf must allow replication connections",
-                title=lambda: F.when(F.col("status") == "unreadable", F.lit("Could not read pg_hba_file_rules"))
-                .when(F.col("status") == "missing", F.lit("No replication entries found in pg_hba.conf"))
-                .otherwise(F.format_string("Found %d replication entry/entries in pg_hba.conf",
+                title=lambda: F.when(F.col("status") == "unreadable", F.lit("The host access rules cannot be read"))
+                .when(F.col("status") == "missing", F.lit("No host may connect for replication"))
+                .otherwise(F.format_string("%d host rules allow replication",
                                            F.col("replication_entries"))),
                 remediation=lambda: F.when(F.col("status") == "missing", F.lit(
                     "Add 'host replication <user> <peer-address> scram-sha-256' lines for every peer."))
@@ -131,8 +134,8 @@ def _spock_instances(cat):
                 needs=("cat_class", "cat_namespace", "repset_table", "instances"),
                 description="User tables that are in no replication set",
                 title=lambda: F.when(F.col("object_name") == "spock", F.lit(
-                    "Spock schema not found - skipping repset membership check"))
-                .otherwise(F.format_string("Table '%s' is not in any replication set", F.col("object_name"))),
+                    "Replication sets are unknown: schema spock is missing"))
+                .otherwise(F.format_string("%s: in no replication set", F.col("object_name"))),
                 remediation=lambda: F.when(F.col("object_name") != "spock", F.format_string(
                     "SELECT spock.repset_add_table('default', '%s');", F.col("object_name"))))
 def repset_membership(cat):
@@ -149,11 +152,11 @@ def repset_membership(cat):
                 needs=("subscriptions", "replication_slots", "cat_namespace", "instances"),
                 description="Subscriptions disabled or with inactive slots",
                 title=lambda: F.when(F.col("kind") == "disabled", F.format_string(
-                    "Subscription '%s' is DISABLED", F.col("object_name")))
+                    "Subscription %s is switched off", F.col("object_name")))
                 .when(F.col("kind") == "slot_inactive", F.format_string(
-                    "Replication slot '%s' is inactive", F.col("object_name")))
-                .when(F.col("kind") == "no_spock", F.lit("Spock schema not found - skipping subscription health check"))
-                .otherwise(F.lit("No Spock subscriptions found")),
+                    "Nobody reads slot %s", F.col("object_name")))
+                .when(F.col("kind") == "no_spock", F.lit("Subscriptions are unknown: schema spock is missing"))
+                .otherwise(F.lit("There are no subscriptions")),
                 remediation=lambda: F.when(F.col("kind") == "disabled", F.format_string(
                     "SELECT spock.alter_subscription_enable('%s');", F.col("object_name")))
                 .when(F.col("kind") == "slot_inactive", F.lit("Check network connectivity and provider node status.")))
@@ -176,7 +179,7 @@ def subscription_health(cat):
 
 @register_check("stale_replication_slots", "replication", mode="audit", needs=("replication_slots",),
                 description="Inactive replication slots retaining WAL",
-                title=lambda: F.format_string("Inactive replication slot '%s' retaining %.0f MB of WAL",
+                title=lambda: F.format_string("Slot %s is not read and holds back %.0f MB of log",
                                               F.col("object_name"), F.col("retained_mb")),
                 remediation=lambda: F.format_string(
                     "Drop the slot if it is no longer needed: SELECT pg_drop_replication_slot('%s');",
@@ -222,10 +225,10 @@ def _log_rollup(cat, table: str, group_cols: list, ts: str, count_name: str,
 @register_check("conflict_log", "replication", mode="audit", needs=("conflict_history", "instances"),
                 description="Replication conflicts recorded in the conflict history",
                 title=lambda: F.when(F.col("kind") == "group", F.format_string(
-                    "%d '%s' conflicts on '%s'", F.col("event_count"), F.col("conflict_type"), F.col("object_name")))
-                .when(F.col("kind") == "total", F.format_string("%d total replication conflict(s) recorded",
+                    "%d conflicts of kind %s on %s", F.col("event_count"), F.col("conflict_type"), F.col("object_name")))
+                .when(F.col("kind") == "total", F.format_string("%d conflicts in all",
                                                                 F.col("total")))
-                .otherwise(F.lit("No replication conflicts found")))
+                .otherwise(F.lit("The conflict history is empty")))
 def conflict_log(cat):
     return _log_rollup(cat, "conflict_history", ["table_name", "conflict_type", "resolution"], "conflict_ts",
                        "n", WARNING, WARNING, "table_name", "spock.conflict_history",
@@ -235,11 +238,11 @@ def conflict_log(cat):
 @register_check("exception_log", "replication", mode="audit", needs=("exception_log", "instances"),
                 description="Apply exceptions recorded in the exception log",
                 title=lambda: F.when(F.col("kind") == "group", F.format_string(
-                    "%d exception(s) on '%s' from origin %s", F.col("event_count"), F.col("object_name"),
+                    "%d changes of %s from origin %s could not be applied", F.col("event_count"), F.col("object_name"),
                     F.col("origin")))
-                .when(F.col("kind") == "total", F.format_string("%d total replication exception(s) recorded",
+                .when(F.col("kind") == "total", F.format_string("%d changes in all could not be applied",
                                                                 F.col("total")))
-                .otherwise(F.lit("No replication exceptions found")),
+                .otherwise(F.lit("The exception log is empty")),
                 remediation=lambda: F.when(F.col("kind") == "group", F.lit(
                     "Review the failing rows and resolve the cause on the subscriber.")))
 def exception_log(cat):

@@ -50,7 +50,7 @@ def _no_pk_tables(cat):
 
 @register_check("primary_keys", "schema", needs=("cat_class", "cat_namespace", "cat_constraint"),
                 description="Tables without primary keys - affects replication behaviour",
-                title=lambda: F.format_string("Table '%s' has no primary key", F.col("object_name")),
+                title=lambda: F.format_string("%s: no primary key", F.col("object_name")),
                 remediation=lambda: F.format_string(
                     "Add a primary key to '%s' if UPDATE/DELETE replication is needed; "
                     "insert-only tables replicate through the insert-only set.", F.col("object_name")),
@@ -64,8 +64,8 @@ def primary_keys(cat):
                 needs=("cat_class", "cat_namespace", "cat_constraint", "cat_table_stats"),
                 description="Tables without a primary key that receive UPDATE/DELETE traffic",
                 title=lambda: F.when(F.col("severity") == CRITICAL, F.format_string(
-                    "Table '%s' has UPDATE/DELETE activity but no primary key", F.col("object_name")))
-                .otherwise(F.format_string("Table '%s' is insert-only with no PK (OK for replication)",
+                    "%s: rows are updated or deleted, and no primary key tells them apart", F.col("object_name")))
+                .otherwise(F.format_string("%s: no primary key, but rows are only inserted",
                                            F.col("object_name"))),
                 remediation=lambda: F.when(F.col("severity") == CRITICAL, F.format_string(
                     "Add a primary key to '%s', or set REPLICA IDENTITY FULL.", F.col("object_name"))))
@@ -82,7 +82,7 @@ def tables_update_delete_no_pk(cat):
 
 @register_check("deferrable_constraints", "schema", needs=("cat_class", "cat_namespace", "cat_constraint"),
                 description="Deferrable PRIMARY KEY / UNIQUE constraints",
-                title=lambda: F.format_string("Deferrable %s '%s'", F.col("constraint_type"), F.col("object_name")),
+                title=lambda: F.format_string("%s %s is checked late", F.col("constraint_type"), F.col("object_name")),
                 remediation=lambda: F.lit("Make the constraint NOT DEFERRABLE; conflict detection "
                                           "uses immediate unique checks."),
                 offline=True)
@@ -97,7 +97,7 @@ def deferrable_constraints(cat):
 
 @register_check("exclusion_constraints", "schema", needs=("cat_class", "cat_namespace", "cat_constraint"),
                 description="Exclusion constraints cannot be enforced across nodes",
-                title=lambda: F.format_string("Exclusion constraint '%s'", F.col("object_name")),
+                title=lambda: F.format_string("%s: rows exclude each other", F.col("object_name")),
                 remediation=lambda: F.lit("Replace with application-level checks or keep the "
                                           "constrained writes on one node."),
                 offline=True)
@@ -110,8 +110,8 @@ def exclusion_constraints(cat):
 @register_check("foreign_keys", "schema", needs=("cat_class", "cat_namespace", "cat_constraint"),
                 description="Foreign keys, CASCADE actions in particular",
                 title=lambda: F.when(F.col("object_name") == "(database)", F.format_string(
-                    "Database has %d foreign key constraint(s)", F.col("fk_count")))
-                .otherwise(F.format_string("CASCADE foreign key '%s' on '%s'", F.col("constraint_name"),
+                    "%d foreign keys in all", F.col("fk_count")))
+                .otherwise(F.format_string("Foreign key %s passes changes on to %s", F.col("constraint_name"),
                                            F.col("object_name"))),
                 remediation=lambda: F.when(F.col("object_name") == "(database)", F.lit(
                     "Make sure parent and child rows replicate in the same replication set."))
@@ -146,7 +146,7 @@ def foreign_keys(cat):
 @register_check("missing_fk_indexes", "schema",
                 needs=("cat_class", "cat_namespace", "cat_constraint", "cat_index", "cat_attribute"),
                 description="Foreign keys without an index on their columns",
-                title=lambda: F.format_string("No index on FK columns '%s' (%s)", F.col("object_name"),
+                title=lambda: F.format_string("%s: no index leads with the referencing columns %s", F.col("object_name"),
                                               F.col("fk_columns")),
                 remediation=lambda: F.format_string("CREATE INDEX ON %s (%s);", F.col("object_name"),
                                                     F.col("fk_columns")),
@@ -169,7 +169,7 @@ def missing_fk_indexes(cat):
 
 @register_check("sequence_pks", "schema", needs=("cat_class", "cat_namespace", "cat_constraint", "cat_attribute"),
                 description="Primary keys backed by a standard sequence or identity",
-                title=lambda: F.format_string("PK column '%s.%s' uses a standard sequence",
+                title=lambda: F.format_string("%s.%s: keys are drawn from a sequence of one node",
                                               F.col("object_name"), F.col("column_name")),
                 remediation=lambda: F.lit("Use globally unique keys (snowflake ids or per-node "
                                           "sequence ranges) before enabling multi-master writes."),
@@ -191,7 +191,7 @@ def sequence_pks(cat):
 
 @register_check("unlogged_tables", "schema", needs=("cat_class", "cat_namespace"),
                 description="UNLOGGED tables are not written to WAL and do not replicate",
-                title=lambda: F.format_string("Unlogged table '%s'", F.col("object_name")),
+                title=lambda: F.format_string("%s: changes are not logged, so they cannot be replicated", F.col("object_name")),
                 remediation=lambda: F.format_string("ALTER TABLE %s SET LOGGED;", F.col("object_name")),
                 offline=True)
 def unlogged_tables(cat):
@@ -202,8 +202,8 @@ def unlogged_tables(cat):
 @register_check("large_objects", "schema", needs=("cat_class", "cat_namespace", "cat_attribute", "cat_largeobject"),
                 description="Large objects and oid-typed columns (large objects do not replicate)",
                 title=lambda: F.when(F.col("object_name") == "pg_largeobject", F.format_string(
-                    "Database contains %d large object(s)", F.col("lob_count")))
-                .otherwise(F.format_string("Column '%s' uses the oid type", F.col("object_name"))),
+                    "%d large objects are stored", F.col("lob_count")))
+                .otherwise(F.format_string("%s: the column holds object ids, perhaps of large objects", F.col("object_name"))),
                 remediation=lambda: F.lit("Move large objects to bytea columns or use the LOLOR extension."),
                 offline=True)
 def large_objects(cat):
@@ -225,7 +225,7 @@ def _user_columns(cat):
 
 @register_check("column_defaults", "schema", needs=("cat_class", "cat_namespace", "cat_attribute"),
                 description="Volatile column defaults (now(), random(), ...) may differ across nodes",
-                title=lambda: F.format_string("Volatile default on '%s': %s", F.col("object_name"),
+                title=lambda: F.format_string("%s: the default may differ on every node: %s", F.col("object_name"),
                                               F.col("default_expr")),
                 remediation=lambda: F.lit("Set the value explicitly in the application, or accept "
                                           "that each node computes its own default."),
@@ -241,8 +241,8 @@ def column_defaults(cat):
 @register_check("numeric_columns", "schema", needs=("cat_class", "cat_namespace", "cat_attribute"),
                 description="Numeric counter-like columns that may be Delta-Apply candidates",
                 title=lambda: F.when(F.col("severity") == WARNING, F.format_string(
-                    "Delta-Apply candidate '%s' allows NULL", F.col("object_name")))
-                .otherwise(F.format_string("Potential Delta-Apply column: '%s' (%s)", F.col("object_name"),
+                    "%s: adds up over nodes only if it is never null", F.col("object_name")))
+                .otherwise(F.format_string("%s: a number (%s) that could be added up over nodes", F.col("object_name"),
                                            F.col("data_type"))),
                 remediation=lambda: F.when(F.col("severity") == WARNING, F.format_string(
                     "If this column will use Delta-Apply: ALTER TABLE ... ALTER COLUMN %s SET NOT NULL;",
@@ -260,7 +260,7 @@ def numeric_columns(cat):
 
 @register_check("multiple_unique_indexes", "schema", needs=("cat_class", "cat_namespace", "cat_index"),
                 description="Tables with more than one unique index (conflict resolution ambiguity)",
-                title=lambda: F.format_string("Table '%s' has %d unique indexes", F.col("object_name"),
+                title=lambda: F.format_string("%s: %d unique indexes may conflict", F.col("object_name"),
                                               F.col("unique_index_count")),
                 remediation=lambda: F.lit("Make sure the replica identity index is the one conflicts "
                                           "should be resolved on."),
@@ -278,7 +278,7 @@ def multiple_unique_indexes(cat):
 
 @register_check("enum_types", "schema", needs=("cat_namespace", "cat_enum"),
                 description="ENUM types: value changes are DDL that all nodes must apply",
-                title=lambda: F.format_string("ENUM type '%s' (%d values)", F.col("object_name"),
+                title=lambda: F.format_string("%s: an enumerated type with %d labels", F.col("object_name"),
                                               F.col("label_count")),
                 remediation=lambda: F.lit("Apply ENUM changes through DDL replication on all nodes, "
                                           "or use a lookup table."),
@@ -293,7 +293,7 @@ def enum_types(cat):
 
 @register_check("generated_columns", "schema", needs=("cat_class", "cat_namespace", "cat_attribute"),
                 description="Generated columns are recomputed on each node",
-                title=lambda: F.format_string("Generated column '%s' (%s)", F.col("object_name"),
+                title=lambda: F.format_string("%s: computed by the server (%s)", F.col("object_name"),
                                               F.col("gen_type")),
                 remediation=lambda: F.lit("Make sure the generation expression gives the same result "
                                           "on every node."),
@@ -307,7 +307,7 @@ def generated_columns(cat):
 
 @register_check("rules", "schema", needs=("cat_class", "cat_namespace", "cat_rewrite"),
                 description="Rewrite rules on tables",
-                title=lambda: F.format_string("%s rule '%s' on %s",
+                title=lambda: F.format_string("%s rule %s rewrites %s",
                                               F.when(F.col("is_instead"), F.lit("INSTEAD")).otherwise(F.lit("ALSO")),
                                               F.col("rule_name"), F.col("event")),
                 remediation=lambda: F.lit("Replace rules with triggers or application logic; rules "
@@ -324,7 +324,7 @@ def rules(cat):
 
 @register_check("inheritance", "schema", needs=("cat_class", "cat_namespace", "cat_inherits"),
                 description="Table inheritance (non-partition) is not replicated as a hierarchy",
-                title=lambda: F.format_string("Table '%s' inherits from '%s'", F.col("object_name"),
+                title=lambda: F.format_string("%s: child of %s", F.col("object_name"),
                                               F.col("parent_table")),
                 remediation=lambda: F.lit("Add parent and child tables to replication sets "
                                           "explicitly, or convert to declarative partitioning."),
@@ -344,7 +344,7 @@ def inheritance(cat):
 
 @register_check("partitioned_tables", "schema", needs=("cat_class", "cat_namespace", "cat_partitioned", "cat_inherits"),
                 description="Partitioned tables: partitions must match on every node",
-                title=lambda: F.format_string("Partitioned table '%s' (%s, %d partitions)", F.col("object_name"),
+                title=lambda: F.format_string("%s: partitioned by %s into %d", F.col("object_name"),
                                               F.col("strategy"), F.col("partition_count")),
                 remediation=lambda: F.lit("Create the same partitions on every node before "
                                           "replicating, and add each partition to a replication set."))
@@ -359,7 +359,7 @@ def partitioned_tables(cat):
 
 @register_check("row_level_security", "schema", needs=("cat_class", "cat_namespace", "cat_policy"),
                 description="Row-level security: the apply worker bypasses policies",
-                title=lambda: F.format_string("RLS enabled on '%s' (%d policies)", F.col("object_name"),
+                title=lambda: F.format_string("%s: rows are guarded by %d policies", F.col("object_name"),
                                               F.col("policy_count")),
                 remediation=lambda: F.lit("Make sure policies are identical on all nodes; replicated "
                                           "changes are applied regardless of policies."))
@@ -373,7 +373,7 @@ def row_level_security(cat):
 
 @register_check("event_triggers", "schema", needs=("cat_event_trigger",),
                 description="Event triggers and whether they fire during apply",
-                title=lambda: F.format_string("Event trigger '%s' on %s (enabled: %s)", F.col("object_name"),
+                title=lambda: F.format_string("Event trigger %s fires at %s (%s)", F.col("object_name"),
                                               F.col("event"),
                                               code_labels("enabled", EVENT_TRIGGER_ENABLED_LABELS)),
                 remediation=lambda: F.when(F.col("enabled").isin("A", "R"), F.lit(
@@ -395,8 +395,8 @@ def _user_procs(cat):
 @register_check("notify_listen", "schema", needs=("cat_namespace", "cat_proc", "stat_statements"),
                 description="LISTEN/NOTIFY is not replicated",
                 title=lambda: F.when(F.col("source") == "function", F.format_string(
-                    "Function '%s' uses NOTIFY", F.col("object_name")))
-                .otherwise(F.format_string("NOTIFY in statements (%d calls)", F.col("calls"))),
+                    "%s: the function notifies listeners", F.col("object_name")))
+                .otherwise(F.format_string("Statements notified listeners %d times", F.col("calls"))),
                 remediation=lambda: F.when(F.col("source") == "function", F.lit(
                     "Notifications fire only on the node where the transaction commits; listeners "
                     "must connect to every node.")))
@@ -413,7 +413,7 @@ def notify_listen(cat):
 
 @register_check("tablespace_usage", "schema", needs=("cat_class", "cat_namespace", "cat_tablespace"),
                 description="Objects in non-default tablespaces",
-                title=lambda: F.format_string("Tablespace '%s' used by %d object(s)", F.col("object_name"),
+                title=lambda: F.format_string("Tablespace %s holds %d objects", F.col("object_name"),
                                               F.col("object_count")),
                 remediation=lambda: F.format_string("Create tablespace '%s' on all nodes before "
                                                     "initializing replication.", F.col("object_name")))
@@ -430,7 +430,7 @@ def tablespace_usage(cat):
 
 @register_check("temp_tables", "schema", needs=("cat_namespace", "cat_proc"),
                 description="Functions creating temporary tables",
-                title=lambda: F.format_string("Function '%s' creates temporary tables", F.col("object_name")),
+                title=lambda: F.format_string("%s: the function makes temporary tables", F.col("object_name")),
                 remediation=lambda: F.lit("Temporary tables are node-local; make sure the function "
                                           "does not depend on replicated temp data."))
 def temp_tables(cat):

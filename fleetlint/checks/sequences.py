@@ -19,7 +19,7 @@ def _user_sequences(cat):
 
 @register_check("sequence_audit", "sequences", needs=("cat_sequence", "cat_namespace", "cat_class", "cat_attribute"),
                 description="Every sequence needs a multi-node strategy",
-                title=lambda: F.format_string("Sequence '%s' (%s)", F.col("object_name"), F.col("data_type")),
+                title=lambda: F.format_string("Sequence %s of type %s", F.col("object_name"), F.col("data_type")),
                 remediation=lambda: F.lit("Convert to snowflake ids or give each node its own "
                                           "non-overlapping range."),
                 offline=True)
@@ -39,7 +39,7 @@ def sequence_audit(cat):
 
 @register_check("sequence_data_types", "sequences", needs=("cat_sequence", "cat_namespace"),
                 description="smallint/integer sequences can run out of values",
-                title=lambda: F.format_string("Sequence '%s' uses %s (max %d)", F.col("object_name"),
+                title=lambda: F.format_string("Sequence %s is a %s and ends at %d", F.col("object_name"),
                                               F.col("data_type"), F.col("type_max")),
                 remediation=lambda: F.format_string("ALTER SEQUENCE %s AS bigint;", F.col("object_name")),
                 offline=True)

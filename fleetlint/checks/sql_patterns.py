@@ -61,26 +61,33 @@ def _examples(cat, cls: str):
                               show=EXAMPLES, keep=EXAMPLES)
 
 
-@register_check("truncate_cascade", "sql_patterns", needs=("stat_statements",),
+@register_check("truncate_cascade", "sql_patterns", needs=("instances",),
                 description="TRUNCATE CASCADE / RESTART IDENTITY in statement history",
-                title=lambda: F.when(F.col("pattern") == "cascade", F.format_string(
-                    "TRUNCATE CASCADE detected (%d call(s))", F.col("calls")))
-                .otherwise(F.format_string("TRUNCATE RESTART IDENTITY detected (%d call(s))", F.col("calls"))),
+                title=lambda: F.when(F.col("pattern") == "no_statistics", F.lit("Truncates are unknown: no statement statistics were read"))
+                .when(F.col("pattern") == "cascade", F.format_string(
+                    "A truncate with cascade ran %d times", F.col("calls")))
+                .otherwise(F.format_string("A truncate that restarts sequences ran %d times", F.col("calls"))),
                 remediation=lambda: F.when(F.col("pattern") == "cascade", F.lit(
                     "List dependent tables explicitly instead of CASCADE; cascaded truncates are applied per node."))
                 .otherwise(F.lit("Sequence restarts are node-local; coordinate them on all nodes.")))
 def truncate_cascade(cat):
+    """Truncates that cascade or restart sequences; an INFO row for every instance without statement statistics."""
+    nulls = {"pattern": F.lit("no_statistics"), "query": F.lit(None).cast("string"), "calls": F.lit(0).cast("bigint")}
+    if not cat.has("stat_statements"):
+        return facts_frame(cat.instances(), cat.keys, F.lit("pg_stat_statements"), F.lit(INFO), **nulls)
+    read = cat["stat_statements"].select(*cat.keys).distinct()
+    none = facts_frame(cat.instances().select(*cat.keys).join(read, cat.keys, "left_anti"), cat.keys, F.lit("pg_stat_statements"), F.lit(INFO), **nulls)
     s = classify_statements(cat)
     c = facts_frame(s.filter(F.array_contains("classes", "truncate_cascade")), cat.keys, F.lit("(query)"),
                     F.lit(WARNING), pattern=F.lit("cascade"), query=F.col("query"), calls=F.col("calls"))
     r = facts_frame(s.filter(F.array_contains("classes", "truncate_restart")), cat.keys, F.lit("(query)"),
                     F.lit(CONSIDER), pattern=F.lit("restart"), query=F.col("query"), calls=F.col("calls"))
-    return c.unionByName(r)
+    return c.unionByName(r).unionByName(none)
 
 
 @register_check("ddl_statements", "sql_patterns", needs=("stat_statements",),
                 description="DDL in statement history needs DDL replication or coordination",
-                title=lambda: F.format_string("Found %d DDL statement pattern(s) in pg_stat_statements",
+                title=lambda: F.format_string("%d different schema changes ran",
                                               F.col("pattern_count")),
                 remediation=lambda: F.lit("Enable automatic DDL replication, or run DDL through "
                                           "spock.replicate_ddl_command()."))
@@ -92,7 +99,7 @@ def ddl_statements(cat):
 
 @register_check("advisory_locks", "sql_patterns", needs=("stat_statements",),
                 description="Advisory locks are node-local",
-                title=lambda: F.format_string("Advisory lock usage detected (%d call(s))", F.col("calls")),
+                title=lambda: F.format_string("Advisory locks were taken %d times", F.col("calls")),
                 remediation=lambda: F.lit("Advisory locks do not coordinate across nodes; use a "
                                           "distributed lock or keep the workload on one node."))
 def advisory_locks(cat):
@@ -103,7 +110,7 @@ def advisory_locks(cat):
 
 @register_check("concurrent_indexes", "sql_patterns", needs=("stat_statements",),
                 description="CREATE INDEX CONCURRENTLY is not replicated by DDL replication",
-                title=lambda: F.format_string("CREATE INDEX CONCURRENTLY detected (%d pattern(s))",
+                title=lambda: F.format_string("%d different index builds without a lock ran",
                                               F.col("pattern_count")),
                 remediation=lambda: F.lit("Run CREATE INDEX CONCURRENTLY on each node separately."))
 def concurrent_indexes(cat):
@@ -114,7 +121,7 @@ def concurrent_indexes(cat):
 
 @register_check("temp_table_queries", "sql_patterns", needs=("stat_statements",),
                 description="Temporary tables in statement history",
-                title=lambda: F.format_string("CREATE TEMP TABLE detected (%d pattern(s))", F.col("pattern_count")))
+                title=lambda: F.format_string("%d different statements made temporary tables", F.col("pattern_count")))
 def temp_table_queries(cat):
     g = _examples(cat, "temp_table")
     return facts_frame(g, cat.keys, F.lit("(queries)"), F.lit(INFO),

@@ -62,7 +62,10 @@ def to_findings(spec, facts: DataFrame, keys: list[str], remediation_when: Colum
         pairs += [F.lit(c), _meta_value(facts, c)]
     meta = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
     title = spec.title() if spec.title else F.lit(spec.description)
-    detail = spec.detail() if spec.detail else F.lit(spec.description)
+    # without a text of its own, a finding tells its facts
+    told = [F.when(_meta_value(facts, c).isNotNull() & (_meta_value(facts, c) != ""), F.concat(F.lit(c.replace("_", " ") + ": "), _meta_value(facts, c))) for c in fact_cols]
+    named = F.concat(F.lit(spec.description + ". Object: "), F.col("object_name").cast("string"))
+    detail = spec.detail() if spec.detail else F.concat_ws("; ", named, *told)
     remediation = spec.remediation() if spec.remediation else F.lit(None).cast("string")
     if remediation_when is not None:
         remediation = F.when(remediation_when, remediation)

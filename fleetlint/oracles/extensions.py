@@ -48,8 +48,8 @@ from instances i left join sf on sf.instance_id = i.instance_id""",
 with e as (select instance_id, extversion from cat_extension where installed and extname = 'pg_stat_statements'),
 c as (select instance_id, count(*) as n from cur_stmt group by instance_id)
 select i.instance_id, 'pg_stat_statements' as object_name,
-       case when e.extversion is null then 'CONSIDER' else 'INFO' end as severity,
-       case when e.extversion is null then 'missing' else 'present' end as status,
+       case when e.extversion is null then 'CONSIDER' when c.n is null then 'WARNING' else 'INFO' end as severity,
+       case when e.extversion is null then 'missing' when c.n is null then 'unreadable' else 'present' end as status,
        case when e.extversion is null then 0 else coalesce(c.n, 0) end as statement_count
 from instances i left join e on e.instance_id = i.instance_id left join c on c.instance_id = i.instance_id""",
 

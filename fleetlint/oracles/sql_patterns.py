@@ -33,7 +33,10 @@ select instance_id, '(query)' as object_name, 'WARNING' as severity, 'cascade' a
 from cur_stmt where regexp_matches(query, '(?is)TRUNCATE.*CASCADE')
 union all
 select instance_id, '(query)', 'CONSIDER', 'restart', query, calls
-from cur_stmt where regexp_matches(query, '(?is)TRUNCATE.*RESTART')""",
+from cur_stmt where regexp_matches(query, '(?is)TRUNCATE.*RESTART')
+union all
+select instance_id, 'pg_stat_statements', 'INFO', 'no_statistics', null, 0
+from instances i where not exists (select 1 from stat_statements s where s.instance_id = i.instance_id)""",
     "ddl_statements": _examples(DDL_RX, 120, "CONSIDER"),
     "advisory_locks": r"""
 select instance_id, '(query)' as object_name, 'CONSIDER' as severity, query as query, calls

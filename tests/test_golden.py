@@ -1,5 +1,5 @@
 """Golden catalog (FIXTURES.md section 1): a small hand-written catalog that
-mirrors the reference's schema fixture, with the findings expected per check."""
+describes the database of a lending library, with the findings expected per check."""
 import pytest
 
 from fleetlint.checks.registry import get
@@ -7,48 +7,48 @@ from fleetlint.sources.catalog import Catalog
 
 PUB, CAT = 2200, 11
 T = {  # name -> (oid, relkind, persistence)
-    "mmr_no_pk": (101, "r", "p"), "mmr_unlogged": (102, "r", "u"), "mmr_parent_tbl": (103, "r", "p"),
-    "mmr_child_tbl": (104, "r", "p"), "mmr_exclusion_tbl": (105, "r", "p"), "mmr_partitioned": (106, "p", "p"),
-    "mmr_part_2024": (107, "r", "p"), "mmr_part_2025": (108, "r", "p"), "mmr_log_tbl": (109, "r", "p"),
-    "mmr_archive_tbl": (110, "r", "p"), "mmr_insert_only_no_pk": (111, "r", "p"),
-    "mmr_serial_pk": (120, "r", "p"), "mmr_identity_pk": (121, "r", "p"), "mmr_deferrable_pk": (122, "r", "p"),
-    "mmr_deferrable_uq": (123, "r", "p"), "mmr_cascade_parent": (124, "r", "p"), "mmr_cascade_child": (125, "r", "p"),
-    "mmr_ref_parent": (126, "r", "p"), "mmr_ref_child": (127, "r", "p"), "mmr_rls_table": (128, "r", "p"),
-    "mmr_lob_ref": (129, "r", "p"), "mmr_numerics": (130, "r", "p"), "mmr_multi_unique": (131, "r", "p"),
-    "mmr_generated": (132, "r", "p"), "mmr_defaults": (133, "r", "p"), "mmr_rule_tbl": (134, "r", "p"),
-    "mmr_products": (140, "r", "p"), "mmr_categories": (141, "r", "p"), "mmr_suppliers": (142, "r", "p"),
-    "mmr_orders": (143, "r", "p"), "mmr_customers": (144, "r", "p"), "mmr_employees": (145, "r", "p"),
-    "mmr_order_details": (146, "r", "p"), "mmr_matview": (150, "m", "p"), "mmr_view": (151, "v", "p"),
+    "visits": (101, "r", "p"), "scan_buffer": (102, "r", "u"), "media": (103, "r", "p"),
+    "atlas": (104, "r", "p"), "room_bookings": (105, "r", "p"), "loans": (106, "p", "p"),
+    "loans_north": (107, "r", "p"), "loans_south": (108, "r", "p"), "loans_mobile": (112, "r", "p"), "desk_journal": (109, "r", "p"),
+    "withdrawn": (110, "r", "p"), "gate_counts": (111, "r", "p"),
+    "shelves": (120, "r", "p"), "readers": (121, "r", "p"), "seats": (122, "r", "p"),
+    "cards": (123, "r", "p"), "branches": (124, "r", "p"), "branch_hours": (125, "r", "p"),
+    "publishers": (126, "r", "p"), "imprints": (127, "r", "p"), "fines": (128, "r", "p"),
+    "cover_scans": (129, "r", "p"), "budgets": (130, "r", "p"), "call_numbers": (131, "r", "p"),
+    "invoices": (132, "r", "p"), "returns_box": (133, "r", "p"), "reservations": (134, "r", "p"),
+    "books": (140, "r", "p"), "subjects": (141, "r", "p"), "vendors": (142, "r", "p"),
+    "purchases": (143, "r", "p"), "donors": (144, "r", "p"), "staff": (145, "r", "p"),
+    "purchase_lines": (146, "r", "p"), "stock_report": (150, "m", "p"), "open_titles": (151, "v", "p"),
 }
-NO_PK = {"mmr_no_pk", "mmr_unlogged", "mmr_parent_tbl", "mmr_child_tbl", "mmr_exclusion_tbl", "mmr_part_2024",
-         "mmr_part_2025", "mmr_log_tbl", "mmr_archive_tbl", "mmr_insert_only_no_pk", "mmr_partitioned",
-         "mmr_matview", "mmr_view"}
+NO_PK = {"visits", "scan_buffer", "media", "atlas", "room_bookings", "loans_north",
+         "loans_south", "loans_mobile", "desk_journal", "withdrawn", "gate_counts", "loans",
+         "stock_report", "open_titles"}
 # (table, attnum, name, type, notnull, generated, identity, default)
-COLS = [("mmr_serial_pk", 1, "id", "integer", True, "", "", "nextval('mmr_serial_pk_id_seq'::regclass)"),
-        ("mmr_identity_pk", 1, "id", "integer", True, "", "a", None),
-        ("mmr_numerics", 2, "total_count", "integer", False, "", "", None),
-        ("mmr_numerics", 3, "sum_value", "numeric(12,2)", False, "", "", None),
-        ("mmr_numerics", 4, "balance", "numeric", True, "", "", None),
-        ("mmr_generated", 2, "price", "numeric", True, "", "", None),
-        ("mmr_generated", 3, "total", "numeric", False, "s", "", "(price * 2)"),
-        ("mmr_defaults", 2, "created_at", "timestamp with time zone", False, "", "", "now()"),
-        ("mmr_defaults", 3, "rand_val", "double precision", False, "", "", "random()"),
-        ("mmr_order_details", 1, "order_id", "integer", True, "", "", None),
-        ("mmr_order_details", 2, "product_id", "integer", True, "", "", None),
-        ("mmr_order_details", 3, "discount", "numeric", False, "", "", None),
-        ("mmr_order_details", 4, "quantity", "integer", True, "", "", None),
-        ("mmr_products", 2, "supplier_id", "integer", False, "", "", None),
-        ("mmr_products", 3, "category_id", "integer", False, "", "", None),
-        ("mmr_orders", 2, "customer_id", "integer", False, "", "", None),
-        ("mmr_orders", 3, "employee_id", "integer", False, "", "", None),
-        ("mmr_ref_child", 2, "parent_id", "integer", False, "", "", None),
-        ("mmr_cascade_child", 2, "parent_id", "integer", False, "", "", None),
-        ("mmr_deferrable_uq", 2, "email", "text", False, "", "", None),
-        ("mmr_lob_ref", 2, "file_ref", "oid", False, "", "", None)]
-FKS = [("mmr_products", [2], "mmr_suppliers", "a"), ("mmr_products", [3], "mmr_categories", "a"),
-       ("mmr_orders", [2], "mmr_customers", "a"), ("mmr_orders", [3], "mmr_employees", "a"),
-       ("mmr_order_details", [1], "mmr_orders", "a"), ("mmr_order_details", [2], "mmr_products", "a"),
-       ("mmr_ref_child", [2], "mmr_ref_parent", "a"), ("mmr_cascade_child", [2], "mmr_cascade_parent", "c")]
+COLS = [("shelves", 1, "id", "integer", True, "", "", "nextval('shelf_numbers'::regclass)"),
+        ("readers", 1, "id", "integer", True, "", "a", None),
+        ("budgets", 2, "copy_count", "integer", False, "", "", None),
+        ("budgets", 3, "spent_sum", "numeric(12,2)", False, "", "", None),
+        ("budgets", 4, "fund_balance", "numeric", True, "", "", None),
+        ("invoices", 2, "net", "numeric", True, "", "", None),
+        ("invoices", 3, "total", "numeric", False, "s", "", "(net + tax)"),
+        ("returns_box", 2, "dropped_at", "timestamp with time zone", False, "", "", "now()"),
+        ("returns_box", 3, "lottery", "double precision", False, "", "", "random()"),
+        ("purchase_lines", 1, "purchase", "integer", True, "", "", None),
+        ("purchase_lines", 2, "book", "integer", True, "", "", None),
+        ("purchase_lines", 3, "rebate_total", "numeric", False, "", "", None),
+        ("purchase_lines", 4, "quantity", "integer", True, "", "", None),
+        ("books", 2, "vendor", "integer", False, "", "", None),
+        ("books", 3, "subject", "integer", False, "", "", None),
+        ("purchases", 2, "donor", "integer", False, "", "", None),
+        ("purchases", 3, "clerk", "integer", False, "", "", None),
+        ("imprints", 2, "owner", "integer", False, "", "", None),
+        ("branch_hours", 2, "owner", "integer", False, "", "", None),
+        ("cards", 2, "barcode", "text", False, "", "", None),
+        ("cover_scans", 2, "scan", "oid", False, "", "", None)]
+FKS = [("books", [2], "vendors", "a"), ("books", [3], "subjects", "a"),
+       ("purchases", [2], "donors", "a"), ("purchases", [3], "staff", "a"),
+       ("purchase_lines", [1], "purchases", "a"), ("purchase_lines", [2], "books", "a"),
+       ("imprints", [2], "publishers", "a"), ("branch_hours", [2], "branches", "c")]
 
 
 @pytest.fixture(scope="module")
@@ -63,21 +63,21 @@ def golden(spark):
     for n in T:
         if n in NO_PK:
             continue
-        key = [1, 2] if n == "mmr_order_details" else [1]
-        dfr = n == "mmr_deferrable_pk"
+        key = [1, 2] if n == "purchase_lines" else [1]
+        dfr = n == "seats"
         cons.append((0, k, oid[n], f"{n}_pkey", "p", key, 0, dfr, dfr, "a", "a")); k += 1
         idx.append((0, oid[n], f"{n}_pkey", key, True))
-    cons.append((0, k, oid["mmr_deferrable_uq"], "mmr_deferrable_uq_email_key", "u", [2], 0, True, False, "a", "a"))
-    idx.append((0, oid["mmr_deferrable_uq"], "mmr_deferrable_uq_email_key", [2], True)); k += 1
-    cons.append((0, k, oid["mmr_exclusion_tbl"], "mmr_exclusion_tbl_excl", "x", [1], 0, False, False, "a", "a"))
+    cons.append((0, k, oid["cards"], "cards_barcode_key", "u", [2], 0, True, False, "a", "a"))
+    idx.append((0, oid["cards"], "cards_barcode_key", [2], True)); k += 1
+    cons.append((0, k, oid["room_bookings"], "room_bookings_excl", "x", [1], 0, False, False, "a", "a"))
     k += 1
     for t, key, ref, act in FKS:
         cons.append((0, k, oid[t], f"{t}_fk{k}", "f", key, oid[ref], False, False, act, "a")); k += 1
-    idx += [(0, oid["mmr_multi_unique"], f"mmr_multi_unique_u{i}", [i + 1], True) for i in range(1, 3)]
+    idx += [(0, oid["call_numbers"], f"call_numbers_u{i}", [i + 1], True) for i in range(1, 3)]
     tables = {
         "instances": df("instances", [(0, "cluster_0")]),
         "cat_namespace": df("cat_namespace", [(0, PUB, "public"), (0, CAT, "pg_catalog")]),
-        "cat_class": df("cat_class", [(0, o, PUB, n, kind, pers, n == "mmr_rls_table", False, 0)
+        "cat_class": df("cat_class", [(0, o, PUB, n, kind, pers, n == "fines", False, 0)
                                       for n, (o, kind, pers) in T.items()] +
                         [(0, 9000, CAT, "pg_class", "r", "p", False, False, 0)]),
         "cat_attribute": df("cat_attribute",
@@ -86,30 +86,30 @@ def golden(spark):
                              if n not in {c[0] for c in COLS if c[1] == 1}]),
         "cat_constraint": df("cat_constraint", cons),
         "cat_index": df("cat_index", idx),
-        "cat_table_stats": df("cat_table_stats", [(0, oid["mmr_no_pk"], 2, 1, 1),
-                                                  (0, oid["mmr_insert_only_no_pk"], 3, 0, 0)]),
-        "cat_inherits": df("cat_inherits", [(0, oid["mmr_child_tbl"], oid["mmr_parent_tbl"]),
-                                            (0, oid["mmr_part_2024"], oid["mmr_partitioned"]),
-                                            (0, oid["mmr_part_2025"], oid["mmr_partitioned"])]),
-        "cat_partitioned": df("cat_partitioned", [(0, oid["mmr_partitioned"], "r")]),
-        "cat_policy": df("cat_policy", [(0, 7001, oid["mmr_rls_table"])]),
-        "cat_rewrite": df("cat_rewrite", [(0, oid["mmr_rule_tbl"], "mmr_instead_rule", "3", True),
-                                          (0, oid["mmr_rule_tbl"], "mmr_also_rule", "2", False),
-                                          (0, oid["mmr_view"], "_RETURN", "1", True)]),
-        "cat_enum": df("cat_enum", [(0, PUB, "mmr_status", lbl, i) for i, lbl in
-                                    enumerate(["pending", "active", "completed"], 1)]),
+        "cat_table_stats": df("cat_table_stats", [(0, oid["visits"], 40, 7, 3),
+                                                  (0, oid["gate_counts"], 900, 0, 0)]),
+        "cat_inherits": df("cat_inherits", [(0, oid["atlas"], oid["media"]),
+                                            (0, oid["loans_north"], oid["loans"]),
+                                            (0, oid["loans_south"], oid["loans"]), (0, oid["loans_mobile"], oid["loans"])]),
+        "cat_partitioned": df("cat_partitioned", [(0, oid["loans"], "l")]),
+        "cat_policy": df("cat_policy", [(0, 7001, oid["fines"])]),
+        "cat_rewrite": df("cat_rewrite", [(0, oid["reservations"], "keep_reserved", "3", True),
+                                          (0, oid["reservations"], "note_reserved", "2", False),
+                                          (0, oid["open_titles"], "_RETURN", "1", True)]),
+        "cat_enum": df("cat_enum", [(0, PUB, "item_state", lbl, i) for i, lbl in
+                                    enumerate(["ordered", "on shelf", "lent", "lost"], 1)]),
         "cat_sequence": df("cat_sequence", [
-            (0, PUB, "mmr_serial_pk_id_seq", "integer", 1, 1, 2147483647, False, oid["mmr_serial_pk"], 1),
-            (0, PUB, "mmr_identity_pk_id_seq", "integer", 1, 1, 2147483647, False, oid["mmr_identity_pk"], 1),
-            (0, PUB, "mmr_small_seq", "smallint", 1, 1, 32767, False, None, None),
-            (0, PUB, "mmr_big_seq", "bigint", 1, 1, 9223372036854775807, False, None, None)]),
+            (0, PUB, "shelf_numbers", "integer", 1, 1, 2147483647, False, oid["shelves"], 1),
+            (0, PUB, "reader_numbers", "integer", 1, 1, 2147483647, False, oid["readers"], 1),
+            (0, PUB, "locker_numbers", "smallint", 1, 1, 32767, False, None, None),
+            (0, PUB, "barcodes", "bigint", 1, 1, 9223372036854775807, False, None, None)]),
         "cat_proc": df("cat_proc", [
-            (0, 501, PUB, "mmr_notify_func", "f", "plpgsql", "v", "BEGIN PERFORM pg_notify('ch', 'x'); RETURN NEW; END;"),
-            (0, 502, PUB, "mmr_write_func", "f", "plpgsql", "v", "BEGIN INSERT INTO t VALUES (1); DELETE FROM t; END;"),
-            (0, 503, PUB, "mmr_temp_func", "f", "plpgsql", "v", "BEGIN CREATE TEMP TABLE tmp (x int); DROP TABLE tmp; END;"),
-            (0, 504, PUB, "mmr_plain_func", "f", "sql", "i", "SELECT 1")]),
-        "cat_trigger": df("cat_trigger", [(0, oid["mmr_log_tbl"], "mmr_notify_trig", 5, "A", False, 501)]),
-        "cat_event_trigger": df("cat_event_trigger", [(0, "mmr_ddl_trigger", "ddl_command_start", "O")]),
+            (0, 501, PUB, "call_desk", "f", "plpgsql", "v", "BEGIN PERFORM pg_notify('desk', 'bell ' || NEW.id); RETURN NULL; END;"),
+            (0, 502, PUB, "close_loan", "f", "plpgsql", "v", "BEGIN INSERT INTO desk_journal VALUES (loan); DELETE FROM loans WHERE id = loan; END;"),
+            (0, 503, PUB, "weekly_count", "f", "plpgsql", "v", "BEGIN CREATE TEMP TABLE week (day date, n int); DROP TABLE week; END;"),
+            (0, 504, PUB, "shelf_label", "f", "sql", "i", "SELECT upper($1)")]),
+        "cat_trigger": df("cat_trigger", [(0, oid["desk_journal"], "ring_desk", 5, "A", False, 501)]),
+        "cat_event_trigger": df("cat_event_trigger", [(0, "watch_schema", "ddl_command_start", "O")]),
         "cat_tablespace": df("cat_tablespace", [(0, 1663, "pg_default")]),
         "cat_largeobject": df("cat_largeobject", [(0, 16999)]),
     }
@@ -128,76 +128,75 @@ def test_primary_keys(golden):
 
 
 def test_no_pk_activity(golden):
-    assert found(golden, "tables_update_delete_no_pk") == [("CRITICAL", "public.mmr_no_pk"),
-                                                           ("INFO", "public.mmr_insert_only_no_pk")]
+    assert found(golden, "tables_update_delete_no_pk") == [("CRITICAL", "public.visits"),
+                                                           ("INFO", "public.gate_counts")]
 
 
 def test_sequence_pks_unlogged_inheritance(golden):
-    assert found(golden, "sequence_pks") == [("CRITICAL", "public.mmr_identity_pk"),
-                                             ("CRITICAL", "public.mmr_serial_pk")]
-    assert found(golden, "unlogged_tables") == [("WARNING", "public.mmr_unlogged")]
-    assert found(golden, "inheritance") == [("WARNING", "public.mmr_child_tbl")]
+    assert found(golden, "sequence_pks") == [("CRITICAL", "public.readers"),
+                                             ("CRITICAL", "public.shelves")]
+    assert found(golden, "unlogged_tables") == [("WARNING", "public.scan_buffer")]
+    assert found(golden, "inheritance") == [("WARNING", "public.atlas")]
 
 
 def test_constraints(golden):
     d = {r.object_name: (r.severity, r.initially) for r in get("deferrable_constraints").fn(golden).collect()}
-    assert d == {"public.mmr_deferrable_pk.mmr_deferrable_pk_pkey": ("CRITICAL", "DEFERRED"),
-                 "public.mmr_deferrable_uq.mmr_deferrable_uq_email_key": ("WARNING", "IMMEDIATE")}
+    assert d == {"public.seats.seats_pkey": ("CRITICAL", "DEFERRED"),
+                 "public.cards.cards_barcode_key": ("WARNING", "IMMEDIATE")}
     assert [r.severity for r in get("exclusion_constraints").fn(golden).collect()] == ["WARNING"]
     fk = {r.object_name: r for r in get("foreign_keys").fn(golden).collect()}
     assert fk["(database)"].fk_count == 8 and fk["(database)"].cascade_count == 1
-    assert fk["public.mmr_cascade_child"].severity == "WARNING" and len(fk) == 2
+    assert fk["public.branch_hours"].severity == "WARNING" and len(fk) == 2
 
 
 def test_missing_fk_indexes(golden):
     got = sorted(r.object_name + ":" + r.fk_columns for r in get("missing_fk_indexes").fn(golden).collect())
-    assert got == sorted(["public.mmr_products:supplier_id", "public.mmr_products:category_id",
-                          "public.mmr_orders:customer_id", "public.mmr_orders:employee_id",
-                          "public.mmr_order_details:product_id", "public.mmr_ref_child:parent_id",
-                          "public.mmr_cascade_child:parent_id"])
+    assert got == sorted(["public.books:vendor", "public.books:subject",
+                          "public.purchases:donor", "public.purchases:clerk",
+                          "public.purchase_lines:book", "public.imprints:owner",
+                          "public.branch_hours:owner"])
 
 
 def test_columns(golden):
     assert found(golden, "numeric_columns") == sorted([
-        ("WARNING", "public.mmr_numerics.total_count"), ("WARNING", "public.mmr_numerics.sum_value"),
-        ("WARNING", "public.mmr_generated.total"), ("WARNING", "public.mmr_order_details.discount"),
-        ("CONSIDER", "public.mmr_numerics.balance"), ("CONSIDER", "public.mmr_order_details.quantity")])
-    assert found(golden, "generated_columns") == [("CONSIDER", "public.mmr_generated.total")]
-    assert found(golden, "column_defaults") == [("CONSIDER", "public.mmr_defaults.created_at"),
-                                                ("CONSIDER", "public.mmr_defaults.rand_val")]
-    assert ("WARNING", "public.mmr_lob_ref.file_ref") in found(golden, "large_objects")
+        ("WARNING", "public.budgets.copy_count"), ("WARNING", "public.budgets.spent_sum"),
+        ("WARNING", "public.invoices.total"), ("WARNING", "public.purchase_lines.rebate_total"),
+        ("CONSIDER", "public.budgets.fund_balance"), ("CONSIDER", "public.purchase_lines.quantity")])
+    assert found(golden, "generated_columns") == [("CONSIDER", "public.invoices.total")]
+    assert found(golden, "column_defaults") == [("CONSIDER", "public.returns_box.dropped_at"),
+                                                ("CONSIDER", "public.returns_box.lottery")]
+    assert ("WARNING", "public.cover_scans.scan") in found(golden, "large_objects")
     assert ("WARNING", "pg_largeobject") in found(golden, "large_objects")
 
 
 def test_tables_misc(golden):
     mu = {r.object_name: r.unique_index_count for r in get("multiple_unique_indexes").fn(golden).collect()}
-    assert mu == {"public.mmr_multi_unique": 3, "public.mmr_deferrable_uq": 2}
+    assert mu == {"public.call_numbers": 3, "public.cards": 2}
     p = get("partitioned_tables").fn(golden).collect()
-    assert [(r.object_name, r.strategy, r.partition_count) for r in p] == [("public.mmr_partitioned", "RANGE", 2)]
+    assert [(r.object_name, r.strategy, r.partition_count) for r in p] == [("public.loans", "LIST", 3)]
     r = get("row_level_security").fn(golden).collect()
-    assert [(x.object_name, x.policy_count, x.rls_forced) for x in r] == [("public.mmr_rls_table", 1, False)]
-    assert found(golden, "rules") == [("CONSIDER", "public.mmr_rule_tbl.mmr_also_rule"),
-                                      ("WARNING", "public.mmr_rule_tbl.mmr_instead_rule")]
+    assert [(x.object_name, x.policy_count, x.rls_forced) for x in r] == [("public.fines", 1, False)]
+    assert found(golden, "rules") == [("CONSIDER", "public.reservations.note_reserved"),
+                                      ("WARNING", "public.reservations.keep_reserved")]
     e = get("enum_types").fn(golden).collect()
-    assert [(x.object_name, x.label_count, x.labels) for x in e] == [("public.mmr_status", 3, "pending,active,completed")]
+    assert [(x.object_name, x.label_count, x.labels) for x in e] == [("public.item_state", 4, "ordered,on shelf,lent,lost")]
 
 
 def test_sequences(golden):
     assert len(found(golden, "sequence_audit")) == 4
-    assert found(golden, "sequence_data_types") == [("WARNING", "public.mmr_identity_pk_id_seq"),
-                                                    ("WARNING", "public.mmr_serial_pk_id_seq"),
-                                                    ("WARNING", "public.mmr_small_seq")]
+    assert found(golden, "sequence_data_types") == [("WARNING", "public.locker_numbers"), ("WARNING", "public.reader_numbers"),
+                                                    ("WARNING", "public.shelf_numbers")]
 
 
 def test_functions(golden):
-    assert found(golden, "notify_listen") == [("WARNING", "public.mmr_notify_func")]
-    assert found(golden, "temp_tables") == [("CONSIDER", "public.mmr_temp_func")]
+    assert found(golden, "notify_listen") == [("WARNING", "public.call_desk")]
+    assert found(golden, "temp_tables") == [("CONSIDER", "public.weekly_count")]
     sp = {r.object_name: r.writes for r in get("stored_procedures").fn(golden).collect()}
-    assert sp == {"public.mmr_notify_func": "PERFORM", "public.mmr_write_func": "INSERT,DELETE",
-                  "public.mmr_temp_func": "CREATE,DROP", "(functions)": None}
+    assert sp == {"public.call_desk": "PERFORM", "public.close_loan": "INSERT,DELETE",
+                  "public.weekly_count": "CREATE,DROP", "(functions)": None}
     t = get("trigger_functions").fn(golden).collect()
     assert [(x.object_name, x.severity, x.timing, x.event, x.enabled) for x in t] == [
-        ("public.mmr_log_tbl.mmr_notify_trig", "WARNING", "AFTER", "INSERT", "A")]
+        ("public.desk_journal.ring_desk", "WARNING", "AFTER", "INSERT", "A")]
     v = {(r.kind, r.object_name): (r.view_count, r.materialized_count) for r in get("views_audit").fn(golden).collect()}
-    assert v == {("materialized", "public.mmr_matview"): (2, 1), ("total", "(views)"): (2, 1)}
-    assert found(golden, "event_triggers") == [("INFO", "mmr_ddl_trigger")]
+    assert v == {("materialized", "public.stock_report"): (2, 1), ("total", "(views)"): (2, 1)}
+    assert found(golden, "event_triggers") == [("INFO", "watch_schema")]

@@ -1,4 +1,7 @@
 """Metamorphic properties, skip handling, plan assertions and verdict cases."""
+import tempfile
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +95,106 @@ def test_check_errors_are_captured(spark):
     st = {r.check_name: (r.status, r.error) for r in report.check_status(cat, f, errors=errors)
           .filter("instance_id = 1").collect()}
     assert st["trigger_functions"][0] == "error" and st["wal_level"] == ("failed", None)
+
+
+def test_isolated_checks(spark):
+    """A check that fails in a task, one that cannot be built and one without its folder cost only their own rows."""
+    from fleetlint.checks import registry
+    base = Catalog.from_fixtures(spark, SF)
+    root = tempfile.mkdtemp(prefix="fleetlint-isolated-")
+    names = ["instances", "cat_namespace", "cat_class", "cat_constraint", "settings", "cat_trigger", "cat_proc"]
+    for t in names:
+        df = base[t].drop("tgenabled") if t == "cat_trigger" else base[t]
+        df.write.parquet(f"{root}/{t}")
+    cat = Catalog.from_path(spark, root, tables=[*names, "conflict_history"], keys=["instance_id"])
+
+    @registry.register_check("breaks_in_a_task", "schema", needs=("cat_class",))
+    def breaks(cat):
+        return cat["cat_class"].select("instance_id", "relname", F.raise_error(F.lit("no such page")).cast("string").alias("object_name"), F.lit("INFO").alias("severity"))
+    try:
+        run = report.run_isolated(cat, include_only=["breaks_in_a_task", "trigger_functions", "conflict_log", "primary_keys", "wal_level"])
+        st = {r.check_name: (r.status, r.error, r.skip_reason) for r in report.check_status(cat, run.findings, errors=run.errors).filter("instance_id = 1").collect()}
+    finally:
+        del registry.REGISTRY["breaks_in_a_task"]
+    assert st["breaks_in_a_task"][0] == "error" and "no such page" in st["breaks_in_a_task"][1]
+    assert st["trigger_functions"][0] == "error" and "tgenabled" in st["trigger_functions"][1]
+    assert st["conflict_log"] == ("skipped", None, "missing input: conflict_history") and st["primary_keys"][0] == "failed"
+    for name in ("primary_keys", "wal_level"):
+        got = sorted((r.instance_id, r.object_name) for r in run.findings.filter(F.col("check_name") == name).collect())
+        assert got == sorted((r.instance_id, r.object_name) for r in get(name).fn(base).collect()) and got
+    assert run.findings.filter("detail is null or title is null").count() == 0
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_layout_needs_fewer_exchanges(spark):
+    """Stored tables are bucketed by relation: joins by relation shuffle nothing; pruning by snapshot stays."""
+    base = Catalog.from_fixtures(spark, SF)
+    names = ["cat_class", "cat_namespace", "cat_attribute", "cat_constraint", "cat_index", "instances"]
+    loaders = {t: (lambda t=t: base[t].withColumn("snapshot_date", F.lit("2026-12-01"))) for t in names}
+    cat = Catalog(spark, loaders)
+    prefix = "laid_" + uuid.uuid4().hex[:8] + "_"
+    cat.save_layout(prefix, tempfile.mkdtemp(prefix="fleetlint-layout-"), 8, partition_by="snapshot_date")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        laid = Catalog.from_layout(spark, prefix, snapshot_date="2026-12-01")
+        stored = Catalog(spark, loaders).materialize().materialize_shared()
+        few = many = 0
+        for name in ("primary_keys", "missing_fk_indexes", "multiple_unique_indexes", "numeric_columns", "column_defaults"):
+            plain, a, b = (get(name).fn(c) for c in (cat, laid, stored))
+            want = sorted(map(str, plain.collect()))
+            assert sorted(map(str, a.collect())) == want and sorted(map(str, b.collect())) == want
+            many, few = many + _exchanges(plain), few + _exchanges(b)
+        assert few < many / 2
+        plan = laid["cat_class"]._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(snapshot_date" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_one_namespace_is_dealt_to_many_tasks(spark):
+    cat = Catalog(spark, {"cat_namespace": lambda: spark.createDataFrame([(0, 1, "app")], "instance_id long, oid long, nspname string"),
+                          "cat_class": lambda: spark.range(4000).selectExpr("0L as instance_id", "id as oid", "1L as relnamespace", "concat('t', id) as relname", "'r' as relkind")})
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["n"] for r in cat.user_classes().groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old[0])
+        spark.conf.set("spark.sql.adaptive.enabled", old[1])
+    assert sum(sizes) == 4000 and len(sizes) >= 4 and max(sizes) < 3000
+
+
+def test_distributed_rank_and_first_k(spark):
+    """One group of many rows is ranked by many tasks, without a window over it; first values and counts in one pass."""
+    from pyspark.sql import Window
+
+    from fleetlint.operators.relops import distributed_rank, first_k
+    df = spark.range(20000).selectExpr("id % 7 = 6 as g", "cast(id * 7919 % 101 as int) as n", "concat('m', id) as name").repartition(5)
+    order = [F.col("n").desc(), F.col("name").asc()]
+    got = distributed_rank(df, ["g"], order, "rank")
+    want = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*order)).cast("bigint"))
+    assert sorted(map(tuple, got.select("g", "n", "name", "rank").collect())) == sorted(map(tuple, want.select("g", "n", "name", "rank").collect()))
+    assert "Window [row_number" not in got._jdf.queryExecution().executedPlan().toString()
+    k = {r.g: (r["count"], r.kept) for r in first_k(df.withColumn("v", F.when(F.col("n") % 2 == 0, F.col("name"))), ["g"], ["n", "name"], "v", 4).collect()}
+    for g in (False, True):
+        rows = sorted((r.n, r.name) for r in df.filter(F.col("g") == g).collect())
+        assert k[g] == (len(rows), [name for n, name in rows if n % 2 == 0][:4])
+
+
+def test_missing_statistics_are_told_per_instance(spark):
+    base = Catalog.from_fixtures(spark, SF)
+    some = {t: (lambda t=t: base[t]) for t in base.available()}
+    some["stat_statements"] = lambda: base["stat_statements"].filter("instance_id <> 2")
+    cat = Catalog(spark, some)
+    rows = [r for r in get("truncate_cascade").fn(cat).collect() if r.pattern == "no_statistics"]
+    assert [(r.instance_id, r.severity) for r in rows] == [(2, "INFO")]
+    assert get("truncate_cascade").fn(cat.without("stat_statements")).count() == 5
+    st = {r.instance_id: r.status for r in get("pg_stat_statements_check").fn(cat).collect()}
+    ok = {r.instance_id: r.status for r in get("pg_stat_statements_check").fn(base).collect()}
+    assert {i: s for i, s in st.items() if i != 2} == {i: s for i, s in ok.items() if i != 2}
+    assert st[2] == ("unreadable" if ok[2] == "present" else "missing")

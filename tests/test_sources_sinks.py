@@ -1,5 +1,8 @@
 """Sources and sinks: line order across splits, dump files, findings and report sinks."""
+import glob
+import json
 import os
+import re
 import tempfile
 
 from pyspark.sql import functions as F
@@ -85,7 +88,27 @@ def test_sinks_roundtrip(spark):
     assert back.count() == f.count()
     assert set(back.columns) >= {"snapshot_date", "severity", "run_ts", "metadata"}
     v = report.verdict(report.severity_counts(cat, f))
-    write_report_json(v, f, out + "/report")
-    rep = spark.read.json(out + "/report")
-    assert rep.filter("record = 'summary'").count() == 5
-    assert rep.filter("record = 'finding'").count() == f.count()
+    status = report.check_status(cat, f).filter("check_name in ('primary_keys', 'wal_level', 'unlogged_tables')")
+    rows = [r.asDict() for r in f.collect()]
+
+    def documents(path):
+        return {(int(i), int(p)): json.loads(open(glob.glob(f"{path}/instance_id={i}/part={p}/*.txt")[0]).read())
+                for i, p in (re.findall(r"instance_id=(\d+)/part=(\d+)", d)[0] for d in glob.glob(f"{path}/*/*"))}
+
+    write_report_json(v, status, f, out + "/report")
+    docs = documents(out + "/report")
+    assert sorted(docs) == [(i, 1) for i in range(5)]
+    for (i, _), d in docs.items():
+        assert list(d) == ["meta", "summary", "results"] and d["summary"]["verdict"] in report.VERDICTS
+        assert [r["check_name"] for r in d["results"]] == ["primary_keys", "unlogged_tables", "wal_level"]
+        for r in d["results"]:
+            own = [x for x in rows if x["instance_id"] == i and x["check_name"] == r["check_name"]]
+            assert [x["object_name"] for x in r["findings"]] == [x["object_name"] for x in sorted(own, key=lambda x: (x["severity_rank"], x["object_name"]))]
+            assert all(x["title"] and x["metadata"] is not None for x in r["findings"])
+    # large documents go on in further parts
+    write_report_json(v, status, f, out + "/parts", part_findings=10)
+    parts = documents(out + "/parts")
+    assert max(p for _, p in parts) > 1
+    for i in range(5):
+        whole = [(r["check_name"], x["object_name"]) for _, d in sorted((k, d) for k, d in parts.items() if k[0] == i) for r in d["results"] for x in r["findings"]]
+        assert whole == [(r["check_name"], x["object_name"]) for r in docs[(i, 1)]["results"] for x in r["findings"]]
