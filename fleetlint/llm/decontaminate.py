@@ -37,7 +37,7 @@ from .textops import ALNUM, column_bytes, fresh, map_text, split_words, word_has
 
 WINDOW = 10
 SAMPLE = 16
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: words of benchmark text held by one phrase block; larger benchmarks take several passes
 BLOCK_WORDS = 1_000_000
 
