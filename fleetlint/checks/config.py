@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import trimmed_list
 from .common import CONSIDER, CRITICAL, INFO, WARNING, distinct_in_cluster, facts_frame
 from .registry import register_check
+from .rules import setting_rules
 from .settings import setting_value, violations
 
 # Fixed values
@@ -119,7 +120,7 @@ def shared_preload_libraries(cat):
 def spock_gucs(cat):
     k = cat.keys
     rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(r).alias("recommended"), F.lit(s).alias("rule_sev"))
-                      for n, r, s in SPOCK_GUCS])
+                      for _, n, _, r, s in setting_rules(cat, [("spock_gucs", n, "eq", r, s) for n, r, s in SPOCK_GUCS], {"spock_gucs"})])
     grid = cat.instances().select(*k, F.inline(rules))
     t = grid.join(cat["settings"].select(*k, "name", F.col("setting").alias("current")), k + ["name"], "left")
     status = (F.when(F.col("current").isNull(), F.lit("missing"))

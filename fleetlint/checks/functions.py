@@ -8,6 +8,7 @@ from ..functions.scalar import qualify
 from ..operators.relops import code_labels, keyword_all_hits
 from .common import CONSIDER, INFO, WARNING, facts_frame
 from .registry import register_check
+from .rules import keywords
 
 # Fixed values
 AUDITED_LANGUAGES = ["plpgsql", "sql", "plpython3u", "plperl", "plv8"]
@@ -35,7 +36,7 @@ def stored_procedures(cat):
          .filter(F.col("lanname").isin(*AUDITED_LANGUAGES)))
     totals = p.groupBy(*k).agg(F.count(F.lit(1)).alias("total_count"))
     # body scan (prosrc); the full definition text would always contain "CREATE "
-    w = p.withColumn("writes", keyword_all_hits("prosrc", WRITE_PATTERNS)).filter(F.size("writes") > 0)
+    w = p.withColumn("writes", keyword_all_hits("prosrc", keywords(cat, "function_writes", WRITE_PATTERNS))).filter(F.size("writes") > 0)
     detail = facts_frame(w.join(totals, k), k, qualify("nspname", "proname"), F.lit(CONSIDER),
                          kind=code_labels("prokind", PROKIND_LABELS), language=F.col("lanname"),
                          volatility=code_labels("provolatile", VOLATILITY_LABELS),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.relops import setting_rule_eval
 from .common import CONSIDER, CRITICAL, WARNING
+from .rules import setting_rules
 
 # Fixed values: (check, setting, op, target, severity when violated).
 #   eq  - value must equal target;  ne - value must differ from target;
@@ -32,16 +33,17 @@ SETTING_RULES = [
 ]
 
 
-def rule_table(spark) -> DataFrame:
-    return spark.createDataFrame(
-        SETTING_RULES, "check_name string, name string, op string, target string, fail_severity string")
+def rule_table(cat) -> DataFrame:
+    """The fixed rules with the catalog's own (at most ``rules.RULE_ROWS`` rows)."""
+    return cat.spark.createDataFrame(
+        setting_rules(cat, SETTING_RULES), "check_name string, name string, op string, target string, fail_severity string")
 
 
 def setting_evaluations(cat) -> DataFrame:
     """(keys, check_name, name, value, op, target, fail_severity, violated) per
     instance setting that has a rule."""
     def build() -> DataFrame:
-        rules = F.broadcast(rule_table(cat.spark))
+        rules = F.broadcast(rule_table(cat))
         s = cat["settings"].select(*cat.keys, "name", F.col("setting").alias("value"))
         j = s.join(rules, "name")
         return j.withColumn("violated", F.coalesce(

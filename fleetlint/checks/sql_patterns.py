@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalar import cut
-from ..operators.relops import group_list_preview, regex_classes
+from ..operators.relops import group_list_preview
 from .common import CONSIDER, INFO, WARNING, current_statements, facts_frame
 from .registry import register_check
+from .rules import matched_classes, statement_rules
 
 # DDL phrases and statement patterns (case-insensitive; `.` spans newlines).
 DDL_PHRASES = [
@@ -41,7 +42,7 @@ EXAMPLES = 10
 def classify_statements(cat):
     """Newest statement counters per instance with their pattern classes."""
     return cat.memo(("classified_statements",), lambda: current_statements(cat).withColumn(
-        "classes", regex_classes("query", STATEMENT_PATTERNS)))
+        "classes", matched_classes(F.col("query"), statement_rules(cat, STATEMENT_PATTERNS))))
 
 
 def pattern_statements(cat):

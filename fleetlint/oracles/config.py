@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from ..checks.config import SPOCK_GUCS
+# Values of the oracle's own.
+SPOCK_GUCS = [
+    ("spock.conflict_resolution", "last_update_wins", "WARNING"),
+    ("spock.save_resolutions", "on", "INFO"),
+    ("spock.enable_ddl_replication", "on", "WARNING"),
+    ("spock.include_ddl_repset", "on", "INFO"),
+    ("spock.allow_ddl_from_functions", "on", "INFO"),
+]
 
 _GUCS = ", ".join(f"('{n}', '{r}', '{s}')" for n, r, s in SPOCK_GUCS)
 _VN = "(select instance_id, try_cast(setting as bigint) as vn from settings where name = 'server_version_num')"

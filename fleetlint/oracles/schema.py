@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from ..checks.schema import (CONSTRAINT_TYPE_LABELS, COUNTER_NAME_PATTERNS, FK_ACTION_LABELS,
-                             GENERATED_LABELS, NUMERIC_TYPES, PARTITION_STRATEGY_LABELS,
-                             RELKIND_LABELS, RULE_EVENT_LABELS, VOLATILE_DEFAULT_PATTERNS)
 from . import any_contains, label_case
 
+# Values of the oracle's own.
+CONSTRAINT_TYPE_LABELS = {"p": "PRIMARY KEY", "u": "UNIQUE"}
+COUNTER_NAME_PATTERNS = ["count", "total", "sum", "balance", "quantity", "qty", "amount", "tally", "counter", "num_", "cnt", "running_", "cumulative", "aggregate", "accrued", "inventory"]
+FK_ACTION_LABELS = {"a": "NO ACTION", "r": "RESTRICT", "c": "CASCADE", "n": "SET NULL", "d": "SET DEFAULT"}
+GENERATED_LABELS = {"s": "STORED", "v": "VIRTUAL"}
+NUMERIC_TYPES = ["integer", "bigint", "smallint", "numeric", "real", "double precision"]
+PARTITION_STRATEGY_LABELS = {"r": "RANGE", "l": "LIST", "h": "HASH"}
+RELKIND_LABELS = {"r": "table", "i": "index", "m": "materialized view"}
+RULE_EVENT_LABELS = {"1": "SELECT", "2": "UPDATE", "3": "INSERT", "4": "DELETE"}
+VOLATILE_DEFAULT_PATTERNS = ["now()", "current_timestamp", "current_date", "current_time", "clock_timestamp()", "statement_timestamp()", "transaction_timestamp()", "timeofday()", "random()", "gen_random_uuid()", "uuid_generate_", "pg_current_xact_id()"]
+
 NO_PK = ("not exists (select 1 from cat_constraint k where k.instance_id = u.instance_id "
          "and k.conrelid = u.oid and k.contype = 'p')")
 UCOL = ("from cat_attribute a join uc u on u.instance_id = a.instance_id and u.oid = a.attrelid "

@@ -37,6 +37,9 @@ RELATION_KEYS = {"cat_class": "oid", "cat_attribute": "attrelid", "cat_constrain
                  "cat_inherits": "inhrelid", "cat_partitioned": "partrelid", "cat_policy": "polrelid", "cat_rewrite": "ev_class",
                  "cat_trigger": "tgrelid", "repset_table": "set_reloid", "user_classes": "oid"}
 
+# Tables that a fleet may bring along: senders, and rules as rows (see ``checks.rules``).
+OPTIONAL_TABLES = ["stat_replication", "rule_patterns", "rule_keywords", "rule_settings"]
+
 _BASE_RE = re.compile(r"\b(" + "|".join(BASE_TABLES) + r")\b(?!\s*\()")
 
 
@@ -228,7 +231,7 @@ class Catalog:
                   fmt: str = "parquet", snapshot_date: str | None = None,
                   keys: Iterable[str] = ("instance_id", "snapshot_ts"), **kw) -> "Catalog":
         """Fleet layout: one folder per table, partitioned by ``snapshot_date``."""
-        names = list(tables) if tables is not None else list(VIEW_SQL)
+        names = list(tables) if tables is not None else [*VIEW_SQL, *OPTIONAL_TABLES]
 
         def loader(t: str) -> Callable[[], DataFrame]:
             def load() -> DataFrame:

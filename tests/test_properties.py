@@ -198,3 +198,23 @@ def test_missing_statistics_are_told_per_instance(spark):
     ok = {r.instance_id: r.status for r in get("pg_stat_statements_check").fn(base).collect()}
     assert {i: s for i, s in st.items() if i != 2} == {i: s for i, s in ok.items() if i != 2}
     assert st[2] == ("unreadable" if ok[2] == "present" else "missing")
+
+
+def test_rules_as_rows(spark):
+    """A row in a rule table changes what the checks find; other rules stay."""
+    base = Catalog.from_fixtures(spark, SF)
+    tables = {t: (lambda t=t: base[t]) for t in base.available()}
+    tables["rule_patterns"] = lambda: spark.createDataFrame([("truncate_cascade", r"(?i)select\s+1\b"), ("notices", "NOTIFY")], "class string, pattern string")
+    tables["rule_keywords"] = lambda: spark.createDataFrame([("function_writes", "notify ")], "list string, keyword string")
+    tables["rule_settings"] = lambda: spark.createDataFrame([("spock_gucs", "work_mem", "eq", "64MB", "WARNING"), ("wal_level", "wal_level", "eq", "no such level", "WARNING")],
+                                                            "check_name string, name string, op string, target string, severity string")
+    cat = Catalog(spark, tables)
+    count = lambda c, name, cond: get(name).fn(c).filter(cond).count()
+    assert count(cat, "truncate_cascade", "pattern = 'cascade'") > count(base, "truncate_cascade", "pattern = 'cascade'")
+    assert count(cat, "truncate_cascade", "pattern = 'cascade' and query like 'SELECT 1%'") > 0
+    assert count(cat, "ddl_statements", "true") == count(base, "ddl_statements", "true")
+    from fleetlint.checks.sql_patterns import pattern_statements
+    assert pattern_statements(cat).filter("pattern = 'notices'").count() > 0
+    assert count(cat, "spock_gucs", "object_name = 'work_mem'") == 5 and count(base, "spock_gucs", "object_name = 'work_mem'") == 0
+    assert count(cat, "wal_level", "severity = 'WARNING'") == 5
+    assert count(cat, "stored_procedures", "writes like '%NOTIFY%'") > 0 and count(base, "stored_procedures", "writes like '%NOTIFY%'") == 0
