@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..operators.relops import ordered_array_agg
 from ..sources.catalog import Catalog
 from . import dump as D
-from .report import check_findings, check_status, runnable, union_all
+from .report import check_status, run_isolated
 
 # Rule event names to catalog codes.
 RULE_EVENT_CODES = {"SELECT": "1", "UPDATE": "2", "INSERT": "3", "DELETE": "4"}
@@ -163,9 +163,9 @@ def offline_checks():
 
 
 def analyze_findings(cat: Catalog) -> DataFrame:
-    """Findings of the offline checks over a dump catalog (others are skipped)."""
-    specs, _ = runnable(cat, offline_checks())
-    return union_all([check_findings(s, cat) for s in specs])
+    """Findings of the offline checks over a dump catalog (others are skipped); each check is a job of its own
+    over tables that are derived from the dump once."""
+    return run_isolated(cat, include_only=[s.name for s in offline_checks()]).findings
 
 
 def analyze_check_status(cat: Catalog, findings: DataFrame | None = None) -> DataFrame:

@@ -322,8 +322,9 @@ def _register_analyze() -> None:
         return AZ.catalog_from_dump(spark, Catalog.from_fixtures(spark, sf_dir)["dump_lines"])
 
     def analyze_findings(spark, sf_dir):
-        """Findings of the 19 offline checks over the schema dumps (metadata map left out)."""
-        return AZ.analyze_findings(dump_cat(spark, sf_dir)).drop("metadata")
+        """Findings of the 19 offline checks over the schema dumps (texts and metadata left out for the oracle)."""
+        return AZ.analyze_findings(dump_cat(spark, sf_dir)).drop("title", "detail", "remediation", "metadata").withColumn(
+            "severity_rank", F.col("severity_rank").cast("bigint"))
 
     def analyze_check_status(spark, sf_dir):
         """Per dump and check: passed / failed / skipped (live-only checks)."""
@@ -331,6 +332,9 @@ def _register_analyze() -> None:
 
     QUERIES["analyze_findings"] = analyze_findings
     QUERIES["analyze_check_status"] = analyze_check_status
+    from ..oracles import analyze as osql
+    ORACLES["analyze_findings"] = osql.FINDINGS
+    ORACLES["analyze_check_status"] = osql.status([(s.name, s.category) for s in select_checks()])
 
 
 _register_analyze()
