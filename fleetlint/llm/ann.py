@@ -36,7 +36,7 @@ from .spans import written
 
 SAMPLE_ROWS = 8192
 SAMPLE_BYTES = 32 << 20
-PART_ROWS = 800
+PART_ROOT = 5                   # parts: the square root of the rows over this, at most MAX_PARTS
 MAX_PARTS = 256
 NEIGHBOURS = 10
 HIDDEN = 64
@@ -150,7 +150,7 @@ def route(m: dict, x: np.ndarray, probes: int) -> np.ndarray:
 
 def fit(sample: np.ndarray, rows: int) -> tuple[dict | None, int, int]:
     """(router, parts, probes) from sampled unit vectors, for a table of ``rows``."""
-    levels = int(np.floor(np.log2(max(1.0, min(MAX_PARTS, rows / PART_ROWS, len(sample) / 24)))))
+    levels = int(np.floor(np.log2(max(1.0, min(MAX_PARTS, np.sqrt(rows) / PART_ROOT, len(sample) / 24)))))
     if levels < 1:
         return None, 1, 1
     held = np.arange(len(sample)) % 10 == 0                # queries for the choice of probes: no training

@@ -23,7 +23,7 @@ def brute_near(ids, x, q, k=5):
 
 
 def test_search_recall_with_clusters_and_a_hot_vector(spark, monkeypatch):
-    monkeypatch.setattr(ann, "PART_ROWS", 250)
+    monkeypatch.setattr(ann, "PART_ROOT", 3)
     monkeypatch.setattr(ann, "BLOCK", 300)
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(40, 16))
