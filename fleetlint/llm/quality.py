@@ -2,7 +2,7 @@
 
 A logistic classifier (numpy) over shape statistics of the whole text gives
 each document's evidence ``p``.  It is fitted on a bounded sample of labelled rows
-(``SAMPLE_ROWS``, ``SAMPLE_BYTES``); evidence, counts and all priors are computed from every row.
+(``SAMPLE_ROWS``; their statistics, not their texts, reach the driver); evidence, counts and all priors are computed from every row.
 
 Sites are a hierarchy: global, host, path.  A host's posterior mean shrinks
 the mean evidence of its documents toward the global mean, a path's toward its
@@ -32,7 +32,6 @@ from .spans import written
 from .textops import byte_table, column_bytes, map_text, split_words, word_hashes
 
 SAMPLE_ROWS = 6000
-SAMPLE_BYTES = 24_000_000
 MOST = 1e6                       # largest prior size: groups that do not differ at all
 #: site tables up to this many rows are broadcast, larger ones joined by shuffle
 BROADCAST_SITES = 100_000

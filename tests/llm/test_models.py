@@ -289,3 +289,64 @@ def test_mixing_odd(spark, odd_docs, no_docs):
     assert mixing.deal(no_docs).count() == 0
     empty = spark.createDataFrame([(1, "a", None), (2, "b", "")], "doc_id long, source string, text string")
     assert mixing.deal(empty).count() == 0
+
+
+def test_toxicity_scores_equal_a_plain_forward_pass():
+    """Every window of every width scored on its own, the best of each filter kept, the units leaking below zero."""
+    rng = np.random.default_rng(3)
+    texts = ["", "Bad bad WORD 12 é", "a", "good fine nice day", "\n\t", "x " * 70000, "bad word good", "é漢 Bad", "fine day bad bad"]
+    docs = [toxicity.tokens(pa.array([t], pa.large_string())) for t in texts]
+    y = np.array([0, 1, 0, 0, 0, 0, 1, 1, 1])
+    m = toxicity.fit([(d[0][:2000], d[1][:2000]) for d in docs], y)
+    h1, h2, rows = toxicity.tokens(pa.array(texts, pa.large_string()))
+    got = toxicity.score_tokens(m, h1, h2, rows)
+    zero = np.full(2 * toxicity.HALF, 0.0)
+    for (a, b, _), score in zip(docs, got):
+        x = [np.concatenate([m["e1"][i], m["e2"][j]]) for i, j in zip(a, b)] if len(a) < 1000 else [np.concatenate([m["e1"][a[0]], m["e2"][b[0]]])] * 1000
+        hidden = []
+        for w in toxicity.WIDTHS:
+            padded = x + [zero] * w
+            z = [sum(padded[s + j] @ m[f"w{w}"][j] for j in range(w)) for s in range(len(x) + 1)]
+            hidden += list(np.max(z, axis=0))
+        pre = np.array(hidden) + m["b"]
+        z = np.where(pre > 0, pre, toxicity.LEAK * pre) @ m["v"] + m["c"]
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-4
+    assert got.max() - got.min() > 0.3
+
+
+def test_quality_posteriors_equal_a_plain_version(spark):
+    """Means and prior sizes of hosts and paths in plain Python, each document left out of its own site."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for h in range(12):
+        base = rng.beta(2, 2)
+        for p in range(rng.integers(1, 5)):
+            share = np.clip(base + rng.normal(0, 0.15), 0.05, 0.95)
+            rows += [(len(rows) + i, None if h == 3 else f"h{h}", None if p == 2 else f"p{p}", float(rng.beta(8 * share, 8 * (1 - share)))) for i in range(rng.integers(1, 30))]
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+
+    def strength(groups, centers):
+        n = sum(len(g) for g in groups)
+        between = sum(len(g) * (np.mean(g) - c) ** 2 for g, c in zip(groups, centers))
+        within = sum(sum(x * x for x in g) - sum(g) ** 2 / len(g) for g in groups) / n
+        between = (between - len(groups) * within) / max(1, n - sum(len(g) ** 2 for g in groups) / n)
+        spread = sum(len(g) * c * (1 - c) for g, c in zip(groups, centers)) / n
+        return min(quality.MOST, max(1, spread / between - 1)) if between > 0 else quality.MOST
+
+    hosts, paths = collections.defaultdict(list), collections.defaultdict(list)
+    for _, h, p, v in rows:
+        hosts[h].append(v)
+        paths[(h, p)].append(v)
+    mu = np.mean([r[3] for r in rows])
+    kh = strength(list(hosts.values()), [mu] * len(hosts))
+    post = {h: (sum(g) + kh * mu) / (len(g) + kh) for h, g in hosts.items()}
+    kp = strength(list(paths.values()), [post[h] for h, _ in paths])
+    logit = lambda x: np.log(min(max(x, 1e-4), 1 - 1e-4) / (1 - min(max(x, 1e-4), 1 - 1e-4)))
+    df = spark.createDataFrame(rows, "doc_id long, host string, path string, p double")
+    got = {r["doc_id"]: r for r in quality.combine(df).collect()}
+    for i, h, p, v in rows:
+        host = (sum(hosts[h]) - v + kh * mu) / (len(hosts[h]) - 1 + kh)
+        path = (sum(paths[(h, p)]) - v + kp * host) / (len(paths[(h, p)]) - 1 + kp)
+        want = 1 / (1 + np.exp(-(logit(v) + logit(path) - logit(mu))))
+        assert np.allclose([got[i]["host_post"], got[i]["path_post"], got[i]["quality"]], [host, path, want], atol=1e-9)
+    assert 1 < kh < quality.MOST and 1 < kp < quality.MOST
