@@ -25,6 +25,7 @@ text are passed through; an operator column replaces an equally named one.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,12 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .spans import written
 from .textops import ALNUM, column_bytes, fresh, map_text, split_words, word_hashes
 
 WINDOW = 10
 SAMPLE = 16
 SHARD_BYTES = 2 << 20
-#: words of benchmark text held by one phrase block; larger benchmarks take several passes
+#: words of benchmark text held by one phrase block; a larger benchmark takes one pass over the documents a block
 BLOCK_WORDS = 1_000_000
 
 
@@ -306,11 +308,16 @@ FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongT
           T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))]
 
 
-def find(spark: SparkSession, docs: DataFrame, blocks: list[Phrases], keep: list[str], text: str = "text") -> DataFrame:
+def shared_blocks(spark: SparkSession, blocks: list[Phrases]) -> list:
+    """Broadcasts of blocks; plain values, so that any worker can read them."""
+    return [spark.sparkContext.broadcast(vars(b)) for b in blocks]
+
+
+def find(spark: SparkSession, docs: DataFrame, blocks: list[Phrases], keep: list[str], text: str = "text", shared: list | None = None) -> DataFrame:
     """``keep`` columns plus n_words, n_hit, items (sorted) and spans (byte start and end of each
-    run of hit words).  A benchmark of several blocks is searched block by block within the task, so
-    no join is needed; hits of the blocks are merged per row."""
-    shared = [spark.sparkContext.broadcast(vars(b)) for b in blocks]     # plain values: any worker can read them
+    run of hit words).  The given blocks are searched within the task, so no join is needed; hits of the blocks are merged
+    per row.  ``shared``: broadcasts of the blocks that the caller frees."""
+    shared = shared_blocks(spark, blocks) if shared is None else shared
 
     def kernel(col: pa.Array) -> list[pa.Array]:
         n = len(col)
@@ -358,6 +365,16 @@ def _hit_words(text: str, spans: list) -> int:
     return int(sum(np.searchsorted(s, b) - np.searchsorted(s, a) for a, b in spans))
 
 
+def _without(text: str, spans: list) -> str:
+    """The text without the byte spans, each replaced by a line feed."""
+    raw, out, at = text.encode(), [], 0
+    for a, b in spans:
+        out.append(raw[at:a])
+        at = b
+    out.append(raw[at:])
+    return b"\n".join(out).decode()
+
+
 def cut(text: str, p: Phrases | list[Phrases]) -> str:
     """The text without its hit spans, each replaced by a line feed, repeated until nothing is hit."""
     ps = p if isinstance(p, list) else [p]
@@ -365,12 +382,7 @@ def cut(text: str, p: Phrases | list[Phrases]) -> str:
         spans = _merged([[a, b] for q in ps for a, b in zip(*[x.tolist() for x in scan(pa.array([text], pa.large_string()), q)[3][1:]])])
         if not spans:
             return text
-        raw, out, at = text.encode(), [], 0
-        for a, b in spans:
-            out.append(raw[at:a])
-            at = b
-        out.append(raw[at:])
-        text = b"\n".join(out).decode()
+        text = _without(text, spans)
 
 
 def remove(spark: SparkSession, docs: DataFrame, blocks: list[Phrases], text: str = "text") -> DataFrame:
@@ -394,11 +406,88 @@ def remove(spark: SparkSession, docs: DataFrame, blocks: list[Phrases], text: st
     return out.select(*cols)
 
 
+def block_hits(spark: SparkSession, docs: DataFrame, key: str, blocks) -> DataFrame:
+    """(key, items, spans) of the rows that any block hits, one pass a block.
+
+    The driver holds one block; it is broadcast, searched, and freed before the next.  ``docs``: key and text;
+    rows of equal key have equal texts.  Hits are written a block at a time and merged by a grouped aggregate, one short
+    list a block and row."""
+    found = None
+    for block in blocks:
+        shared = shared_blocks(spark, [block])
+        hits = find(spark, docs.select(key, "text"), [block], [key], shared=shared).filter("n_hit > 0").select(key, "items", "spans")
+        hits = written(hits.dropDuplicates([key]), "passages")
+        shared[0].destroy()
+        found = hits if found is None else found.unionByName(hits)
+    return written(found.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+                                          F.flatten(F.collect_list("spans")).alias("spans")), "passages")
+
+
+def search(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """As ``find``, for a benchmark of any size: more than one block takes one pass each."""
+    blocks = phrase_blocks(benchmark, window, block_words)
+    few = list(itertools.islice(blocks, 2))
+    if len(few) < 2:
+        return find(spark, docs, few, keep)
+    key, taken = fresh("key", docs.columns), [c for c in keep if c not in {f.name for f in FIELDS}]
+    src = docs.withColumn(key, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    hits = block_hits(spark, src, key, itertools.chain(few, blocks))
+    plain = src.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(taken)], "text", key)
+    both = plain.join(hits.withColumnRenamed("items", "_items").withColumnRenamed("spans", "_spans"), key, "left")
+    types = {f.name: f.dataType for f in docs.schema.fields}
+    schema = T.StructType([T.StructField(c, types[c]) for c in taken] + FIELDS)
+
+    def merge(batches):
+        n = len(taken)
+        for b in batches:
+            words, hit, items, spans = [], [], [], []
+            for text, own, at in zip(b.column(n), b.column(n + 1).to_pylist(), b.column(n + 2).to_pylist()):
+                text = text.as_py() or ""
+                data, off = column_bytes(pa.array([text], pa.large_string()))
+                merged = _merged(at or [])
+                words.append(int(split_words(data, off, ALNUM)[3][-1]))
+                hit.append(_hit_words(text, merged))
+                items.append(own or [])
+                spans.append(merged)
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(n)] + [pa.array(words, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string())),
+                                             pa.array(spans, pa.list_(pa.list_(pa.int64())))], names=[f.name for f in schema.fields])
+
+    return both.select(*[f"k{i}" for i in range(len(taken))], "text", "_items", "_spans").mapInArrow(merge, schema)
+
+
+def remove_all(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """As ``remove``, for a benchmark of any size: more than one block takes passes over the hit rows until nothing is hit."""
+    blocks = list(itertools.islice(phrase_blocks(benchmark, window, block_words), 2))
+    if len(blocks) < 2:
+        return remove(spark, docs, blocks)
+    cols = docs.columns
+    key = fresh("key", cols)
+    live = written(docs.withColumn(key, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)), "decontaminated")
+    while True:
+        hits = block_hits(spark, live, key, phrase_blocks(benchmark, window, block_words))
+        if hits.isEmpty():
+            break
+        spans = hits.select(key, F.col("spans").alias("_spans"))
+        schema = T.StructType([T.StructField(key, T.StringType()), T.StructField("_new", T.StringType())])
+
+        def cut_rows(batches):
+            for b in batches:
+                new = [_without(t, _merged(at)) for t, at in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(new, pa.string())], names=[key, "_new"])
+
+        made = written(live.select(key, "text").join(spans, key).dropDuplicates([key]).mapInArrow(cut_rows, schema), "cut")
+        joined = live.join(made, key, "left").withColumn("text", F.coalesce("_new", "text"))
+        live = written(joined.withColumn(key, F.when(F.col("_new").isNotNull(), F.sha2(F.col("text").cast("binary"), 256)).otherwise(F.col(key))).drop("_new"), "decontaminated")
+    out = live
+    if "n_chars" in cols:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*cols)
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract digest per document, plus the merged byte spans."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    blocks = list(phrase_blocks(spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
-    out = find(spark, docs.select("doc_id", "text"), blocks, ["doc_id"])
+    out = search(spark, docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ["doc_id"])
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                       F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
                       (F.col("n_hit") > 0).alias("contaminated"), F.size("spans").cast("long").alias("n_spans"))
@@ -406,9 +495,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with benchmark passages cut from their texts; documents that were nothing else go."""
-    blocks = list(phrase_blocks(spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
     was = fresh("was", docs.columns)
-    out = remove(spark, docs.withColumn(was, F.coalesce(F.length("text"), F.lit(0))), blocks)
+    out = remove_all(spark, docs.withColumn(was, F.coalesce(F.length("text"), F.lit(0))), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     emptied = (F.col(was) > 0) & ~F.coalesce(F.col("text").rlike(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"), F.lit(False)) & (F.length("text") < F.col(was))
     return out.filter(~emptied).select(*docs.columns)
 

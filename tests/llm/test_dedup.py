@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from fleetlint.llm import decontaminate, graph, setjoin, suffixdedup
 
@@ -259,3 +260,31 @@ def test_passage_query_and_empty(spark, small, no_docs, odd_docs):
     assert decontaminate.find(spark, no_docs, [], ["doc_id"]).count() == 0
     none = decontaminate.find(spark, odd_docs, [], ["doc_id", "n_words"]).collect()
     assert sum(r["n_words"] for r in none) == 32000 + 3 + 3 + 5 + 5 and all(r["n_hit"] == 0 for r in none)
+
+
+def test_decontamination_block_by_block(spark):
+    """A benchmark of many blocks: one pass a block, merged hits and cuts as with one block."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(30)]
+    items = [(f"b{i}", " ".join(rng.choice(words) for _ in range(rng.choice([0, 3, 12, 25])))) for i in range(12)]
+    texts = []
+    for _ in range(60):
+        parts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 8))) for _ in range(4)]
+        parts.insert(2, rng.choice(items)[1])
+        texts.append(" é ".join(parts))
+    rows = list(enumerate(texts)) + [(5, texts[5]), (None, None), (900, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("x")).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)))
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    cols = ["doc_id", "n_words", "n_hit", "items", "spans", "key"]
+    one = sorted(map(str, decontaminate.search(spark, docs, bench, ["doc_id", "key"]).select(*cols).collect()))
+    many = sorted(map(str, decontaminate.search(spark, docs, bench, ["doc_id", "key"], block_words=20).select(*cols).collect()))
+    assert one == many and len(list(decontaminate.phrase_blocks(bench, block_words=20))) > 5
+    for r in decontaminate.search(spark, docs, bench, ["doc_id"], block_words=20).collect():
+        if r["doc_id"] is not None and r["doc_id"] < 60:
+            assert (r["n_words"], r["n_hit"], len(r["items"])) == decontaminate.brute_force(texts[r["doc_id"]], items)[:3]
+    a, b = (decontaminate.remove_all(spark, docs, bench, block_words=n) for n in (10**6, 20))
+    assert a.columns == b.columns == docs.columns
+    left = lambda df: {r["doc_id"]: decontaminate.brute_force(r["text"], items)[1] for r in df.collect()}
+    assert set(left(b).values()) == {0} and left(a) == left(b)
+    same = {r["doc_id"]: r["text"] for r in docs.collect() if decontaminate.brute_force(r["text"], items)[1] == 0}
+    assert all(r["text"] == same[r["doc_id"]] for r in b.collect() if r["doc_id"] in same) and b.count() == len(rows)
