@@ -33,5 +33,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         path = f"{base}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        if k:                                   # the table before is of no use any more
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/{k - 1}-{STAGES[k - 1][0]}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
         docs = spark.read.parquet(path)
     return docs

@@ -36,6 +36,7 @@ from .spans import written
 BLOCK = 1024
 SECTIONS = 32
 PASSES = 6
+KEY_DIGITS = 3                  # hexadecimal digits of a block key that name its range: 4096 ranges
 #: the table of sources is broadcast up to this many rows (about 150 bytes each), else joined by shuffle
 BROADCAST_SOURCES = 50_000
 
@@ -129,8 +130,14 @@ def plan(docs: DataFrame, t: Target = Target()) -> tuple[DataFrame, int]:
     placed = (slim.join(small, "src").filter("rest > 0").withColumn("block", _block(t.seed, F.col("blocks"))))
     sums = (placed.groupBy("src", "epochs", "rest", "block").agg(F.sum("tokens").alias("tokens"))
                   .withColumn("key", _block_key(t.seed, F.col("epochs"))))
-    w = Window.partitionBy("src").orderBy("key", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = (sums.withColumn("end", F.sum("tokens").over(w))
+    # keys are uniform hashes: their first digits deal a source's blocks into 16**KEY_DIGITS ranges, whose sums
+    # name the one range in which the rest ends; only its blocks are added up one by one
+    sums = sums.withColumn("range", F.substring("key", 1, KEY_DIGITS))
+    upto = Window.partitionBy("src").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = sums.groupBy("src", "rest", "range").agg(F.sum("tokens").alias("held")).withColumn("upto", F.sum("held").over(upto.orderBy("range")))
+    ranges = ranges.filter((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("held") < F.col("rest"))).select(
+        "src", "range", (F.col("upto") - F.col("held")).alias("before"))
+    edge = (sums.join(_sized(ranges, n), ["src", "range"]).withColumn("end", F.col("before") + F.sum("tokens").over(upto.orderBy("key", "block")))
                 .filter((F.col("end") >= F.col("rest")) & (F.col("end") - F.col("tokens") < F.col("rest")))
                 .select("src", "block", F.col("key").alias("cut_block"), (F.col("rest") - F.col("end") + F.col("tokens")).alias("left")))
     inside = placed.join(_sized(edge, n), ["src", "block"]).withColumn("key", _doc_key(t.seed, F.col("epochs")))

@@ -7,22 +7,18 @@ leaves between the same matches.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_dir
+from .. import session
 
 SPAN = "array<struct<s:int,e:int,m:string>>"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet to the shared checkpoint folder and read back (cuts the lineage)."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark, 'llm')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)      # no job to learn the schema
+    """``df`` written once as Parquet to the shared checkpoint folder and read back (cuts the lineage);
+    ``session.clear_scratch`` deletes what an application has written."""
+    return session.written(df, name)
 
 
 def release(spark) -> None:

@@ -115,6 +115,18 @@ def test_mixing_deals_every_source(staged):
     assert mixed.select("source").distinct().count() == safe.select("source").distinct().count()
 
 
+def test_pipeline_on_odd_rows(spark, odd_docs, no_docs, small, tmp_path):
+    """All stages in a row on nulls, empty and long texts, repeats and clashing columns, and on no rows."""
+    for what, docs in (("odd", odd_docs), ("none", no_docs)):
+        before, cols = docs.count(), docs.columns
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, small).write.parquet(f"{tmp_path}/{what}-{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{what}-{name}")
+            if k < 4:
+                assert docs.columns == cols and docs.count() == before
+        assert (docs.count() > 0) == (before > 0)
+
+
 def test_pipeline_run(spark, small):
     out = corpus_pipeline.run(spark, small)
     assert out.count() > 0 and {"doc_id", "text", "epoch", "block_key", "doc_key"} <= set(out.columns)
