@@ -31,6 +31,8 @@ def all_queries() -> dict[str, QueryFn]:
         out[spec.name] = _check_query(spec.name)
     from .plans import queries as plan_queries
     out.update(plan_queries.QUERIES)
+    from .plans import io_queries
+    out.update(io_queries.QUERIES)
     return out
 
 
@@ -41,5 +43,7 @@ def all_oracles() -> dict[str, str]:
     texts.update(checks_sql.SQL)
     from .plans import queries as plan_queries
     texts.update(plan_queries.ORACLES)
+    from .plans import io_queries
+    texts.update(io_queries.ORACLES)
     flat = plan_queries.NO_INSTANCE_COLUMN
     return {k: build(v, bigint_instance=(k not in flat and "instance_id" in v)) for k, v in texts.items()}
