@@ -46,7 +46,7 @@ from pyspark.sql import types as T
 from .filters import in_filter, membership
 from .graph import components
 from .spans import release, written
-from .textops import byte_table, column_bytes, map_text, mix64, row_chunks, small_batches, split_words, word_hashes
+from .textops import byte_table, column_bytes, give_back, map_text, mix64, row_chunks, small_batches, split_words, word_hashes
 
 SHINGLE = 4
 PERCENT = 85
@@ -130,6 +130,7 @@ def profiles(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(SKETCH_PARTS, pa.int64()) for _ in range(len(PROFILE) - 2)]
                 + [pa.array(np.arange(SKETCH_PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=PROFILE.names)
+        give_back()
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PROFILE)
@@ -191,6 +192,7 @@ def _postings(spark: SparkSession, pre: DataFrame, wide: DataFrame) -> DataFrame
             take = pa.array(row[ok])
             yield pa.RecordBatch.from_arrays([rb.column(i).take(take) for i in range(3)] + [pa.array(at[ok].astype(np.int32)), pa.array(token[ok])],
                                              names=["doc_id", "n", "root", "p", "token"])
+        give_back()
 
     return pre.select("doc_id", "n", "root", "prefix").mapInArrow(run, "doc_id long, n long, root long, p int, token long")
 
@@ -225,6 +227,7 @@ def compare(docs: DataFrame, pairs: DataFrame, k: int = SHINGLE) -> DataFrame:
                 union = np.diff(ra) + np.diff(rb_) - inter
                 yield pa.RecordBatch.from_arrays([rb.column(0).slice(lo, n), rb.column(1).slice(lo, n), pa.array(inter, pa.int64()), pa.array(union, pa.int64())],
                                                  names=["a", "b", "inter", "size"])
+        give_back()
 
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, inter long, size long")
 

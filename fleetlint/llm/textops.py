@@ -8,6 +8,7 @@ the empty text.  Work is cut into chunks of whole rows of about
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -121,6 +122,15 @@ def word_hashes(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix64(out)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system.  Spark keeps its Python workers for later tasks, and an allocator keeps what
+    they have freed; the memory is taken from whatever the executor runs next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)        # the GNU C library has it
+    if trim is not None:
+        trim(0)
+
+
 def fresh(name: str, taken) -> str:
     """``name``, lengthened until no column in ``taken`` has it (names compare without case)."""
     low = {c.lower() for c in taken}
@@ -162,5 +172,6 @@ def map_text(df: DataFrame, text: str, keep: list[str], fields: list[T.StructFie
                 made = kernel(col.slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(i).slice(lo, hi - lo) for i in range(n_keep)] + made, names=names)
+        give_back()
 
     return df.select(*src).mapInArrow(run, schema)
