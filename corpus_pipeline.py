@@ -12,14 +12,28 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetlint.llm import decontaminate, mixing, secrets, setjoin, toxicity
+from fleetlint.llm.textops import small_batches
 from fleetlint.session import scratch_dir
 
+#: rows of an Arrow batch of whole documents: all stages share the executors, which keep what a stage has used
+BATCH_ROWS = 500
+
+
+def _in_small_batches(stage):
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark, BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    run.__doc__ = stage.__doc__
+    return run
+
+
 STAGES = [
-    ("toxicity", toxicity.stage),
-    ("ngram_jaccard_join", setjoin.stage),
-    ("benchmark_decontamination", decontaminate.stage),
-    ("secret_scans", secrets.stage),
-    ("source_mixing", mixing.stage),
+    ("toxicity", _in_small_batches(toxicity.stage)),
+    ("ngram_jaccard_join", _in_small_batches(setjoin.stage)),
+    ("benchmark_decontamination", _in_small_batches(decontaminate.stage)),
+    ("secret_scans", _in_small_batches(secrets.stage)),
+    ("source_mixing", _in_small_batches(mixing.stage)),
 ]
 
 #: stages 1 (a trained network) and 2 (similarity classes) are not expressible in SQL

@@ -139,12 +139,12 @@ def fresh(name: str, taken) -> str:
     return name
 
 
-def small_batches(spark) -> None:
-    """Arrow batches of whole texts hold ``BATCH_ROWS`` rows instead of Spark's default number, so that
-    long texts fit beside the heap; a number that the session sets itself stays."""
+def small_batches(spark, rows: int = BATCH_ROWS) -> None:
+    """Arrow batches of whole texts hold ``rows`` rows instead of Spark's default number, so that
+    long texts fit beside the heap; a smaller number that the session has stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(BATCH_ROWS))
+    if int(spark.conf.get(name)) in (10000, BATCH_ROWS):
+        spark.conf.set(name, str(rows if spark.conf.get(name) == "10000" else min(rows, BATCH_ROWS)))
 
 
 def map_text(df: DataFrame, text: str, keep: list[str], fields: list[T.StructField],
