@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetlint.llm import decontaminate, mixing, secrets, setjoin, toxicity
+from fleetlint.llm.spans import release
 from fleetlint.llm.textops import small_batches
 from fleetlint.session import scratch_dir
 
@@ -22,6 +23,7 @@ BATCH_ROWS = 500
 def _in_small_batches(stage):
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         small_batches(spark, BATCH_ROWS)
+        release(spark)                          # what the stage before has left behind
         return stage(spark, docs, sf_dir)
 
     run.__doc__ = stage.__doc__
