@@ -1,4 +1,4 @@
-"""N-gram Jaccard join by set relations: position blocks skipped, answers derived from similar sets.
+"""N-gram Jaccard join by set relations: families share index entries, answers derived from similar sets.
 
 A document's set holds its distinct shingles of ``k`` words (words
 ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; fewer words: the whole sequence).
@@ -12,16 +12,17 @@ the class (connected component) of every document.
    shingle counts over all rows, which only orders shingles (rare first).
 2. Equal sets are one representative (smallest doc_id).
 3. Highly similar sets: representatives that share a min-hash are compared with
-   the smallest of their group; verified ones form families with a root and an
-   exact distance to it.
+   the smallest of their group; verified ones form families with a root; every
+   member's exact distance to the root is computed.
 4. Index: every representative posts its prefix (the rarest shingles that any
-   partner must share one of) as (shingle, size band, position).  Only shingles
-   of two or more families are kept.  Probing skips what cannot match by
-   position block, size and bitmap; partners of one family are never paired.
+   partner must share one of).  Only shingles of two or more families are kept.
+   A family has one entry a shingle and size band, however many rows it has;
+   probing skips what positions, sizes and the roots' bitmaps exclude, and gives
+   pairs of families.
 5. Answers are computed once for pairs of family roots.  A member's answer
    follows from its root's by the triangle inequality of the Jaccard distance
-   (linked families are one class already; pairs that the bound excludes are
-   skipped); only undecided pairs are read and compared themselves.
+   (linked families are one class already; pairs that the bound, their sizes or
+   bitmaps exclude are skipped); only undecided pairs are read and compared.
 6. Components of verified links.
 
 Every comparison is exact on shingle hashes of the whole texts (64 bits).
@@ -56,7 +57,6 @@ NOT_BLANK = byte_table(lambda b: b not in (9, 10, 11, 12, 13, 32))
 SKETCH_BITS = 20
 SKETCH_PARTS = 64
 BITMAP_WORDS = 4
-POSITION_BLOCK = 16
 #: id lists up to this length (8 bytes each) are broadcast as filters; longer ones are joined by shuffle
 BROADCAST_IDS = 200_000
 _SEEDS = mix64(np.arange(1, 8, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -175,7 +175,7 @@ def prefixes(spark: SparkSession, docs: DataFrame, sketch: np.ndarray, k: int =
 
 
 def _postings(spark: SparkSession, pre: DataFrame, wide: DataFrame) -> DataFrame:
-    """(doc_id, n, root, p, token) of prefix shingles that pass a bit filter of the wanted ones (the exact
+    """(n, root, d, p, token) of prefix shingles that pass a bit filter of the wanted ones (the exact
     join follows), so the others are never shuffled again."""
     bits, size = membership(wide.withColumnRenamed("token", "h"), wide.count())
     shared = spark.sparkContext.broadcast((bits, size))
@@ -191,10 +191,10 @@ def _postings(spark: SparkSession, pre: DataFrame, wide: DataFrame) -> DataFrame
             ok = in_filter(f, b, token.view(np.uint64))
             take = pa.array(row[ok])
             yield pa.RecordBatch.from_arrays([rb.column(i).take(take) for i in range(3)] + [pa.array(at[ok].astype(np.int32)), pa.array(token[ok])],
-                                             names=["doc_id", "n", "root", "p", "token"])
+                                             names=["n", "root", "d", "p", "token"])
         give_back()
 
-    return pre.select("doc_id", "n", "root", "prefix").mapInArrow(run, "doc_id long, n long, root long, p int, token long")
+    return pre.select("n", "root", "d", "prefix").mapInArrow(run, "n long, root long, d double, p int, token long")
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -205,6 +205,8 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def compare(docs: DataFrame, pairs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(a, b, inter, size) of written distinct (a, b) pairs: exact intersection and union sizes."""
+    if pairs.isEmpty():
+        return pairs.select("a", "b", F.lit(0).cast("long").alias("inter"), F.lit(0).cast("long").alias("size")).filter("false")
     ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
     texts = _only(docs.select("doc_id", "text"), ids).dropDuplicates(["doc_id", "text"])
     both = (pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
@@ -266,46 +268,64 @@ def links(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, percent: int =
     lead = written(lead.distinct(), "leaders")
     checked = written(compare(docs, lead, k).filter(f"100 * inter >= {percent} * size"), "families")
     family = components(checked.select("a", "b"))
-    family = family.join(checked.select(F.col("a").alias("id"), F.col("b").alias("root"), (1 - F.col("inter") / F.col("size")).alias("d")).groupBy("id", "root").agg(F.min("d").alias("d")),
-                         ["id", "root"], "left")
-    members = reps.join(family.select(F.col("id").alias("rep"), "root", "d"), "rep", "left")
+    near = checked.select(F.col("a").alias("id"), F.col("b").alias("root"), "inter", "size")
+    far = written(family.filter("id <> root").join(near, ["id", "root"], "left_anti").select(F.col("id").alias("a"), F.col("root").alias("b")), "far")
+    apart = near.union(compare(docs, far, k)).groupBy("id", "root").agg(F.max(1 - F.col("inter") / F.col("size")).alias("d"))
+    members = reps.join(family.join(apart, ["id", "root"], "left").select(F.col("id").alias("rep"), "root", "d"), "rep", "left")
     members = written(members.select("rep", "n", *_BITS, F.coalesce("root", "rep").alias("root"),
                                      F.when(F.col("root").isNull() | (F.col("root") == F.col("rep")), F.lit(0.0)).otherwise(F.coalesce("d", F.lit(1.0))).alias("d")), "members")
 
     release(spark)
     # 4. the index
-    pre = prefixes(spark, docs, sketch_of(table), k, percent).join(members.select(F.col("rep").alias("doc_id"), "n", "root"), "doc_id")
+    pre = prefixes(spark, docs, sketch_of(table), k, percent).join(members.select(F.col("rep").alias("doc_id"), "n", "root", "d"), "doc_id")
     pre = written(pre.filter(F.size("prefix") > 0), "prefixes")
     post = pre.select("root", F.explode("prefix").alias("token"))
     wide = written(post.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token"), "tokens")
-    index = written(_postings(spark, pre, wide).join(wide, "token").distinct()
-                    .join(members.select(F.col("rep").alias("doc_id"), "d", *_BITS), "doc_id")
-                    .withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / (percent - 0.1)))))), "index")
-    side = lambda x: index.select("token", "band", *[F.col(c).alias(f"{c}{x}") for c in ("doc_id", "n", "root", "p", "d", *_BITS)])
-    probe = side("x").withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
-    need = percent * (F.col("nx") + F.col("ny"))                       # (100 + percent) * overlap must reach this
-    block = F.floor(F.col("py") / POSITION_BLOCK) * POSITION_BLOCK     # the entry's position block
-    in_block = (100 + percent) * F.least("nx", F.col("ny") - block) >= need
-    bound = 1 + F.least("px", "py") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) - 1
-    hits = probe.join(side("y"), ["token", "band"]).filter(
-        ((F.col("ny") < F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("doc_idy") < F.col("doc_idx")))) & (F.col("rootx") != F.col("rooty"))
-        & in_block & ((100 + percent) * bound >= need) & _possible("x", "y", percent))
-    pairs = written(hits.select(F.col("doc_idx").alias("a"), F.col("doc_idy").alias("b"), F.col("rootx").alias("ra"), F.col("rooty").alias("rb"), F.col("dx").alias("da"), F.col("dy").alias("db")).distinct(), "pairs")
+    index = written(family_index(_postings(spark, pre, wide).join(wide, "token"), members, percent), "index")
+    pairs = written(family_hits(index, percent).select("a", "b").distinct(), "pairs")
 
     release(spark)
     # 5. answers of the roots, then what they leave open
-    tops = written(pairs.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct(), "roots")
-    top = written(compare(docs, tops, k), "answers")
+    top = written(compare(docs, pairs, k), "answers")
     linked = top.filter(f"100 * inter >= {percent} * size").select("a", "b")
-    gap = top.groupBy("a", "b").agg(F.min(1 - F.col("inter") / F.col("size")).alias("gap"))
     limit = 1 - percent / 100 + 1e-9
-    open_pairs = (pairs.filter((F.col("a") != F.col("ra")) | (F.col("b") != F.col("rb")))
-                       .withColumn("x", F.greatest("ra", "rb")).withColumn("y", F.least("ra", "rb"))
-                       .join(gap.select(F.col("a").alias("x"), F.col("b").alias("y"), "gap"), ["x", "y"])
-                       .filter((F.col("gap") > limit) & (F.col("gap") - F.col("da") - F.col("db") <= limit)))
-    rest = written(open_pairs.select("a", "b").distinct(), "open")
-    own = compare(docs, rest, k).filter(f"100 * inter >= {percent} * size").select("a", "b")
-    return docrep, written(checked.select("a", "b").union(linked).union(own), "links")
+    reach = members.groupBy("root").agg(F.max("d").alias("reach"))
+    gap = (top.groupBy("a", "b").agg(F.min(1 - F.col("inter") / F.col("size")).alias("gap")).filter(F.col("gap") > limit)
+              .join(reach.select(F.col("root").alias("a"), F.col("reach").alias("fa")), "a").join(reach.select(F.col("root").alias("b"), F.col("reach").alias("fb")), "b")
+              .filter((F.col("fa") + F.col("fb") > 0) & (F.col("gap") - F.col("fa") - F.col("fb") <= limit)).select(F.col("a").alias("rootx"), F.col("b").alias("rooty"), "gap", "fb"))
+    own = lambda x: members.select(*[F.col(c).alias(f"{c}{x}") for c in ("rep", "n", "root", "d", *_BITS)])
+    half = gap.join(own("x"), "rootx").filter(F.col("gap") - F.col("dx") - F.col("fb") <= limit)
+    rest = (half.join(own("y"), "rooty")
+                .filter(((F.col("repx") != F.col("rootx")) | (F.col("repy") != F.col("rooty"))) & (F.col("gap") - F.col("dx") - F.col("dy") <= limit) & _possible("x", "y", percent)))
+    rest = written(rest.select(F.col("repx").alias("a"), F.col("repy").alias("b")).distinct(), "open")
+    more = compare(docs, rest, k).filter(f"100 * inter >= {percent} * size").select("a", "b")
+    return docrep, written(checked.select("a", "b").union(linked).union(more), "links")
+
+
+def family_index(postings: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """One row per token, size band and family of the ``postings`` (n, root, d, p, token), whatever the family's size:
+    the bounds of its rows, with the size and bitmap of the family's root."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / (percent - 0.1)))))
+    own = postings.groupBy("token", band.alias("band"), "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("p")).alias("left"), F.max("d").alias("d"))
+    return own.join(members.filter("rep = root").select("root", F.col("n").alias("m"), *_BITS), "root")
+
+
+def family_hits(index: DataFrame, percent: int) -> DataFrame:
+    """Pairs of families (a > b, roots; repeated) that share a token and whose rows may link.
+
+    The first common token of two linked sets, in the order of the index, lies before what they have in common, so
+    as much must be left of both from there on.  Bitmaps bound the distance of the roots from below, and rows of two
+    families are closer than their roots by no more than their distances to them."""
+    side = lambda x: index.select("token", "band", *[F.col(c).alias(f"{c}{x}") for c in ("root", "lo", "hi", "left", "d", "m", *_BITS)])
+    probe = side("x").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("down")).withColumn("band", F.col("band") - F.col("down"))
+    total = F.col("mx") + F.col("my")
+    apart = sum(F.bit_count(F.col(f"b{i}x").bitwiseXOR(F.col(f"b{i}y"))) for i in range(BITMAP_WORDS))
+    hits = probe.join(side("y"), ["token", "band"]).filter(
+        (F.col("rootx") != F.col("rooty")) & ((F.col("down") == 1) | (F.col("rooty") < F.col("rootx")))
+        & (100 * F.least("hix", "hiy") >= percent * F.greatest("lox", "loy"))
+        & ((100 + percent) * F.least("leftx", "lefty") >= percent * (F.col("lox") + F.col("loy")))
+        & (2 * apart / (total + apart) - F.col("dx") - F.col("dy") <= 1 - percent / 100 + 1e-9))
+    return hits.select(F.greatest("rootx", "rooty").alias("a"), F.least("rootx", "rooty").alias("b"))
 
 
 def classes(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

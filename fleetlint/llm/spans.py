@@ -25,7 +25,9 @@ def release(spark) -> None:
     """Let Spark drop the shuffle files and broadcasts of finished steps now: it does so when the driver's unused
     objects are collected, which a driver with memory to spare puts off."""
     import gc
+    from .textops import give_back
     gc.collect()
+    give_back()                                 # the driver's own Python, too
     spark.sparkContext._jvm.System.gc()
 
 

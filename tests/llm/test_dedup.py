@@ -69,6 +69,33 @@ def test_join_random_families(spark):
     assert joined(spark, rows) == brute_classes(rows)
 
 
+def test_join_probes_families_not_their_rows(spark, monkeypatch):
+    """Rows just below the threshold from a large family meet it once a shared shingle, not once a shingle and member."""
+    rng = random.Random(8)
+    base, tail = [f"v{i}" for i in range(150)], [f"t{i}" for i in range(11)]      # the tail is frequent, so what all rows of the family share comes first
+    rows = [(9000 + i, " ".join([*base[:138], *tail, f"x{i}"])) for i in range(8)]
+    rows += [(i, " ".join(edited(rng, base, 0.004))) for i in range(80)]
+    rows += [(20000 + i, " ".join([f"z{i}y{j}" for j in range(30)] + tail)) for i in range(200)]
+    made = []
+    hits = setjoin.family_hits
+
+    def counted(index, percent):
+        made.append(hits(index, percent).count())
+        return hits(index, percent)
+
+    monkeypatch.setattr(setjoin, "family_hits", counted)
+    assert joined(spark, rows) == brute_classes(rows)
+    assert 0 < made[0] < 8 * 80                 # not even one for each pair of rows
+
+
+def test_join_of_rows_that_share_a_doc_id(spark):
+    """A doc_id with a text near its family's root and another far from it: the far one's links count."""
+    rng = random.Random(9)
+    one, two = [f"v{i}" for i in range(120)], [f"u{i}" for i in range(120)]
+    rows = [(1, " ".join(one)), (5, " ".join(edited(rng, one, 0.01))), (5, " ".join(two)), (3, " ".join(two[:118])), (8, " ".join(two[2:]))]
+    assert joined(spark, rows) == brute_classes(rows)
+
+
 def test_join_hot_family_and_odd_rows(spark):
     rng = random.Random(5)
     base = [f"v{i}" for i in range(120)]
