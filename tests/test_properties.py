@@ -3,9 +3,11 @@ import tempfile
 import uuid
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from fleetlint.checks.registry import get, select_checks
+from fleetlint.operators import relops
 from fleetlint.plans import report
 from fleetlint.sources.catalog import Catalog
 
@@ -218,3 +220,18 @@ def test_rules_as_rows(spark):
     assert count(cat, "spock_gucs", "object_name = 'work_mem'") == 5 and count(base, "spock_gucs", "object_name = 'work_mem'") == 0
     assert count(cat, "wal_level", "severity = 'WARNING'") == 5
     assert count(cat, "stored_procedures", "writes like '%NOTIFY%'") > 0 and count(base, "stored_procedures", "writes like '%NOTIFY%'") == 0
+
+
+def test_prefix_cover_compares_first_elements_before_slices(spark):
+    """Null elements and empty lists are covered as by the slice alone, which is cut only behind the comparison of first elements."""
+    left = spark.createDataFrame([(1, [1]), (1, []), (1, [None]), (1, [2, 3]), (1, [2, 4]), (2, [1]), (1, None)], "k int, want array<int>")
+    right = spark.createDataFrame([(1, [1, 2]), (1, [None, 5]), (1, [2, 3, 4]), (1, None)], "r int, have array<int>")
+    out = relops.prefix_cover_anti(left, right, ["k"], ["r"], "want", "have")
+    assert sorted(map(str, out.collect())) == sorted(map(str, [Row(k=1, want=[2, 4]), Row(k=2, want=[1]), Row(k=1, want=None)]))
+    assert "get(__r_arr" in out._jdf.queryExecution().toString()
+
+
+def test_list_ordered_by_itself_is_held_once(spark):
+    df = spark.createDataFrame([("b",), (None,), ("a",), ("b",)], "x string").agg(relops.ordered_array_agg("x", "x").alias("v"))
+    assert df.first()["v"] == [None, "a", "b", "b"]
+    assert "o0" not in df._jdf.queryExecution().toString()
