@@ -19,14 +19,14 @@ def components(edges: DataFrame) -> DataFrame:
     live = written(_tidy(edges), "cc")
     before = _digest(live)
     while True:
-        big = _tidy(_star(live, larger=True))
+        big = written(_tidy(_star(live, larger=True)), "cc")       # one star a plan: a driver renders a plan anew after each of its steps
         live = written(_tidy(_star(big, larger=False)), "cc")
         now = _digest(live)
         if now == before:
             break
         before = now
     # stars now: every edge joins a vertex (a) to its root (b)
-    return live.select(F.col("a").alias("id"), F.col("b").alias("root")).union(live.select(F.col("b").alias("id"), F.col("b").alias("root"))).distinct()
+    return _either(live, ("a", "b"), ("b", "b")).toDF("id", "root").distinct()
 
 
 def _digest(e: DataFrame):
@@ -41,11 +41,15 @@ def _tidy(e: DataFrame) -> DataFrame:
 
 def _star(e: DataFrame, larger: bool) -> DataFrame:
     """Large star: hang larger neighbours on the smallest of the neighbourhood; small star: the smaller ones
-    and the vertex itself."""
+    and the vertex itself.  ``e`` is named twice only: what it is made from counts as often in the plan."""
     if larger:
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = _either(e, ("a", "b"), ("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
         return both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     low = e.groupBy("a").agg(F.min("b").alias("m"))
-    hung = e.join(low, "a")
-    return hung.select(F.col("b").alias("a"), F.col("m").alias("b")).union(hung.select("a", F.col("m").alias("b")))
+    return _either(e.join(low, "a"), ("b", "m"), ("a", "m"))
+
+
+def _either(e: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """(a, b): a row for each of the column ``pairs`` of every row."""
+    return e.select(F.inline(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in pairs])))

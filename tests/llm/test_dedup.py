@@ -315,3 +315,13 @@ def test_decontamination_block_by_block(spark):
     assert set(left(b).values()) == {0} and left(a) == left(b)
     same = {r["doc_id"]: r["text"] for r in docs.collect() if decontaminate.brute_force(r["text"], items)[1] == 0}
     assert all(r["text"] == same[r["doc_id"]] for r in b.collect() if r["doc_id"] in same) and b.count() == len(rows)
+
+
+def test_stars_name_their_edges_twice(spark):
+    """A round's plan holds what its edges are made from no more often; the components are those of plain merging."""
+    edges = [(9, 4), (4, 2), (7, 9), (20, 21), (21, 22), (5, 5), (9, 4)]
+    e = spark.createDataFrame(edges, "a long, b long")
+    for larger in (True, False):
+        assert graph._star(e, larger)._jdf.queryExecution().analyzed().collectLeaves().size() == 2
+    got = {r["id"]: r["root"] for r in graph.components(e).collect()}
+    assert got == {2: 2, 4: 2, 7: 2, 9: 2, 20: 20, 21: 20, 22: 20}
