@@ -17,7 +17,7 @@ def _fleet(spark, broken: bool) -> Catalog:
     return Catalog(spark, {"instances": lambda: instances, "settings": lambda: rows})
 
 
-@pytest.mark.parametrize("name", ["verdict"])
+@pytest.mark.parametrize("name", ["verdict", "severity_counts"])
 def test_rollups_need_every_check(spark, monkeypatch, name):
     monkeypatch.setattr(Catalog, "from_fixtures", lambda spark, sf_dir: _fleet(spark, True))
     with pytest.raises(report.ChecksFailed, match="wal_level: .*no such page") as e:
