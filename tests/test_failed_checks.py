@@ -50,3 +50,10 @@ def test_offline_status_tells_failed_checks(spark):
     assert sound["enum_types"].status == "failed" and sound["enum_types"].finding_count == 1
     assert len(got) == len(sound) == 57 and got["unlogged_tables"].status == "failed"
     assert {n: r for n, r in got.items() if n != "enum_types"} == {n: r for n, r in sound.items() if n != "enum_types"}
+
+
+def test_offline_findings_need_every_check(spark):
+    with pytest.raises(report.ChecksFailed, match="enum_types: .*no such page") as e:
+        AZ.analyze_findings(_dump(spark, True)).collect()
+    assert set(e.value.errors) == {"enum_types"}
+    assert {(r.check_name, r.object_name) for r in AZ.analyze_findings(_dump(spark, False)).collect()} >= {("enum_types", "public.mood"), ("unlogged_tables", "public.t")}
